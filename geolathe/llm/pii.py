@@ -103,7 +103,7 @@ def _last_word(e: Column) -> Column:
 
 def _number(noise: Column, i: Column, below: int) -> Column:
     """The i-th number below ``below`` of the noise (128 hex digits), i from 0."""
-    return F.conv(F.substr(noise, (F.pmod(i, F.lit(31)) * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int") % below
+    return F.conv(F.substr(noise, (F.pmod(i, F.lit(63)) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int") % below
 
 
 def _alike(e: Column, noise: Column) -> Column:
