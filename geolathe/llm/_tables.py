@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when it has been counted and has at most this many (slim) rows.
 BROADCAST_ROWS = 20_000
 
+#: The same for a table of ids alone.
+SLIM_ROWS = 200_000
+
 _own_dir: list[str] = []
 
 

@@ -2,11 +2,12 @@
 
 1. One pass over the texts gives each text's set size and a 128-bit fingerprint of its set (equal sets are one
    class, whose representative is its smallest id) and finds shingles that many texts share.
-2. A second pass orders each set by (shared by many, hash) and keeps its prefix: the size - need + 1 first
-   shingles, where need is the least overlap that the threshold allows. Two linked sets have a shingle of their
-   prefixes in common whatever the common order is. The first shingle of the prefix names the text's group.
-3. The matrix (shingle, group) is built in hash buckets, and each text gets the groups that it shares a prefix
-   shingle with: no other group can hold a partner.
+2. A second pass orders each set by (shared by many, hash) and keeps its prefix: the size - need + extra first
+   shingles, where need is the least overlap that the threshold allows. Two linked sets have at least the smaller
+   ``extra`` of shingles of their prefixes in common, whatever the common order is. The first shingle of the prefix
+   names the text's group.
+3. The matrix (shingle, group) is built in hash buckets. Each text counts the shingles of its prefix that are in a
+   group's union; a group with too few for a partner of the text's size cannot hold one and is not opened.
 4. Each text is compared with the leader of its group, and leaders with other groups' leaders. Where a group is
    not yet in the same component as a text, the union of its sets bounds the overlap, and only groups that can
    reach the threshold are opened and compared in full.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import small, stage
+from ._tables import SLIM_ROWS, small, stage
 from ._words import chunks, mix, shingle_sets
 from .components import components
 
@@ -40,6 +41,8 @@ SUSPECT = 3
 #: At most so many shingles are told to all tasks; beyond, SHARED is doubled until they fit. Any order is exact.
 TOLD = 1_000_000
 BUCKET = 400_000
+#: Share of a set, in percent, that the prefix is longer than one shingle would need.
+EXTRA = 5
 #: A shingle in more groups than this is put at the end of the order, and the matrix is made again.
 CROWD = 512
 #: Sets that are opened together.
@@ -63,9 +66,9 @@ def survey(docs: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for row, data, off in chunks(batch.column(1), 4 << 20):
+            for row, data, off in chunks(batch.column(1), 16 << 20):
                 n, a, b, sets = [], [], [], {}
-                for s in shingle_sets(data, off, k):
+                for s in (s for lo in _pieces(data, off) for s in shingle_sets(*lo, k)):
                     x, y = (int(np.add.reduce(s)), int(np.add.reduce(mix(s)))) if len(s) else (0, 0)
                     n.append(len(s)), a.append(x), b.append(y)
                     sets[x, y] = s  # equal texts count once
@@ -104,7 +107,7 @@ def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
 
 
 def _prefix(s: np.ndarray, shared: np.ndarray, buckets: int, percent: int) -> np.ndarray:
-    p = len(s) - _needed(len(s), percent) + 1
+    p = len(s) - _needed(len(s), percent) + _needed(len(s), EXTRA)
     late = _among(_keys(s, buckets), shared)
     return np.concatenate((s[~late], s[late]))[:p] if late.any() else s[:p]
 
@@ -148,11 +151,11 @@ def _pieces(data: np.ndarray, off: np.ndarray, limit: int = 1 << 20) -> Iterator
 
 
 def _meetings(blocks: DataFrame, shared: np.ndarray) -> DataFrame:
-    """Rows (kind, doc, grp) of the matrix, bucket by bucket.
+    """Rows (kind, doc, grp, n) of the matrix, bucket by bucket.
 
-    OWN: a doc and its group. MET: a doc and another group with a shingle of the doc's prefix. HEAVY: bucket and
-    lower half of a shingle that is in more than CROWD groups and not yet at the end of the order; its meetings
-    are left to the next round.
+    OWN: a doc and its group. MET: a doc, a group with other docs, and how many shingles of the doc's prefix they
+    have. HEAVY: bucket and lower half of a shingle that is in more than CROWD groups and not yet at the end of
+    the order; its meetings are left to the next round.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -171,25 +174,28 @@ def _meetings(blocks: DataFrame, shared: np.ndarray) -> DataFrame:
         known = _among((np.uint64(bucket) << np.uint64(32)) | t[start].astype(np.uint64), shared)
         heavy = (groups > CROWD) & ~known
         own = t == g
-        out = [(OWN, d[own], g[own]), (HEAVY, np.full(int(heavy.sum()), bucket), t[start[heavy]])]
-        live = np.flatnonzero((groups > 1) & ~heavy)
+        names, d = np.unique(d, return_inverse=True)
+        docs_of = np.diff(np.append(first, len(t)))  # of each (shingle, group)
+        alone = (docs_of == 1)[np.cumsum(pair) - 1]
+        out = [(OWN, names[d[own]], g[own], np.ones(int(own.sum()), np.int64)), (HEAVY, np.full(int(heavy.sum()), bucket), t[start[heavy]], np.ones(int(heavy.sum()), np.int64))]
+        live = np.flatnonzero((size > 1) & ~heavy)
         cost = np.cumsum(size[live].astype(np.int64) * groups[live])
         at = 0
         while at < len(live):
-            end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + (1 << 20), "right")))
+            end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + (1 << 21), "right")))
             some = live[at:end]
             rows = np.repeat(start[some], size[some]) + _ranges(size[some])  # all docs of these shingles
             wide = groups[token[rows]]
             left = np.repeat(rows, wide)
             right = first[np.repeat(base[token[rows]], wide) + _ranges(wide)]
-            other = g[left] != g[right]
-            x = np.unique(np.stack((d[left[other]], g[right[other]].astype(np.int64)), 1), axis=0)
-            out.append((MET, x[:, 0], x[:, 1]))
+            other = (g[left] != g[right]) | ~alone[left]
+            key, n = np.unique(d[left[other]].astype(np.uint64) << np.uint64(32) | g[right[other]], return_counts=True)
+            out.append((MET, names[(key >> np.uint64(32)).astype(np.int64)], key & np.uint64(0xFFFFFFFF), n))
             at = end
-        kinds = np.concatenate([np.full(len(x), kind, np.int32) for kind, x, _ in out])
-        return pa.table({"kind": kinds, "doc": np.concatenate([x.astype(np.int64) for _, x, _ in out]), "grp": np.concatenate([y.astype(np.int64) for _, _, y in out])})
+        kinds = np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in out])
+        return pa.table({"kind": kinds, **{c: np.concatenate([x[i].astype(np.int64) for x in out]) for i, c in enumerate(("doc", "grp", "n"), 1)}})
 
-    return blocks.groupBy("bucket").applyInArrow(run, "kind int, doc long, grp long")
+    return blocks.groupBy("bucket").applyInArrow(run, "kind int, doc long, grp long, n long")
 
 
 def _ranges(sizes: np.ndarray) -> np.ndarray:
@@ -242,26 +248,27 @@ def matrix(docs: DataFrame, shared: np.ndarray, buckets: int, k: int = K, percen
 def _candidate_links(docs: DataFrame, reps: DataFrame, shared: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
     """(a, b) links between classes, enough of them to connect whatever the threshold connects."""
     met = matrix(docs, shared, buckets, k, percent)
-    mine = met.join(reps.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
-    own = mine.filter(F.col("kind") == OWN).select("doc", "grp").distinct()
+    sizes = reps.groupBy(F.col("rep").alias("doc")).agg(F.max("n_shingles").alias("size"))
+    least = F.floor(F.col("size") * EXTRA * percent / 10_000)
+    other = met.filter(F.col("kind") == MET).groupBy("doc", "grp").agg(F.sum("n").alias("n")).join(sizes, "doc").filter(F.col("n") >= least).select("doc", "grp")
+    other = stage(other, "qualifying")
+    ids = stage(other.select("doc").distinct(), "touched")
+    own = met.filter(F.col("kind") == OWN).select("doc", "grp").distinct().join(ids, "doc", "left_semi")
     groups = own.groupBy("grp").agg(F.min("doc").alias("leader"), F.count("*").alias("n"))
     own = stage(own.join(groups, "grp"), "own")
-    other = mine.filter(F.col("kind") == MET).select("doc", "grp").distinct()
-    other = stage(other.join(groups, "grp"), "other")
-    touched = other.select("doc").unionByName(own.filter("n > 1").select("doc")).unionByName(own.join(other.select("grp").distinct(), "grp", "left_semi").select("doc"))
-    ids = stage(touched.distinct(), "touched")
-    texts = docs.join(small(ids.withColumnRenamed("doc", "_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+    texts = docs.join(small(ids.withColumnRenamed("doc", "_id"), SLIM_ROWS), F.col("doc_id") == F.col("_id"), "left_semi")
     sets = stage(_full_sets(texts, k), "members", "lz4")
     led = own.filter("doc != leader").select(F.col("doc").alias("a"), F.col("leader").alias("b"))
-    leaders = other.join(own.filter("doc = leader").select("doc").distinct(), "doc", "left_semi").select(F.col("doc").alias("a"), F.col("leader").alias("b"))
-    pairs = led.unionByName(leaders).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    leads = own.select("grp", "leader").distinct()
+    leaders = other.join(own.filter("doc = leader").select("doc").distinct(), "doc", "left_semi").join(leads, "grp").filter("doc != leader")
+    pairs = led.unionByName(leaders.select(F.col("doc").alias("a"), F.col("leader").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = stage(_linked(pairs, sets, percent), "links")
     labels = _labels(edges)
 
     blocks = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK))
     members = stage(_labelled(own.withColumn("block", blocks), labels, "doc", "comp").select("grp", "block", "doc", "comp"), "members")
     spread = members.groupBy("grp", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    asks = _labelled(own.select("doc", "grp").unionByName(other.select("doc", "grp")), labels, "doc", "comp")
+    asks = _labelled(other, labels, "doc", "comp")
     rest = asks.join(spread, "grp").filter("NOT (lo = hi AND lo = comp)").select("doc", "comp", "grp", "block")
     rest = stage(rest, "unsettled")
     if rest.limit(1).count():
