@@ -1,0 +1,45 @@
+"""Acquisition networks: candidate pairs within a span, nearest dates, gaps, and joins on time."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+
+def candidate_pairs(dates: DataFrame, by: str, max_days: int, date: str = "date") -> DataFrame:
+    """(by, d1, d2) with 0 < d2 - d1 <= max_days.
+
+    A range join as an equality join on buckets of ``max_days``: a date can only pair within its bucket and the next.
+    """
+    d = dates.select(by, F.col(date).alias("d2"), F.floor(F.datediff(date, F.lit("1970-01-01").cast("date")) / max_days).alias("b"))
+    left = d.select(by, F.col("d2").alias("d1"), F.explode(F.array("b", F.col("b") + 1)).alias("b"))
+    span = F.datediff("d2", "d1")
+    return left.join(d, [by, "b"]).filter((span > 0) & (span <= max_days)).select(by, "d1", "d2", span.alias("days"))
+
+
+def nearest_pairs(dates: DataFrame, by: str, n: int, date: str = "date") -> DataFrame:
+    """Each date with the next ``n`` of its track."""
+    w = W.partitionBy(by).orderBy(date)
+    nxt = F.array(*[F.lead(date, i).over(w) for i in range(1, n + 1)])
+    return dates.withColumn("_n", nxt).select(by, F.col(date).alias("d1"), F.posexplode("_n").alias("k", "d2")).filter("d2 IS NOT NULL").select(by, "d1", "d2", (F.col("k") + 1).alias("rank"))
+
+
+def gaps(dates: DataFrame, by: str, date: str = "date") -> DataFrame:
+    w = W.partitionBy(by).orderBy(date)
+    return dates.withColumn("gap", F.datediff(date, F.lag(date).over(w))).groupBy(by).agg(F.count("*").alias("n_dates"), F.max("gap").alias("max_gap"))
+
+
+def islands(dates: DataFrame, by: str, max_days: int, date: str = "date") -> DataFrame:
+    """Runs of dates with no gap over ``max_days``: the components of the pair network, found by one window."""
+    w = W.partitionBy(by).orderBy(date)
+    cut = F.coalesce((F.datediff(date, F.lag(date).over(w)) > max_days).cast("int"), F.lit(0))
+    d = dates.withColumn("_cut", cut).withColumn("island", F.sum("_cut").over(w))
+    return d.groupBy(by, "island").agg(F.count("*").alias("n_dates"), F.min(date).alias("first"), F.max(date).alias("last"))
+
+
+def asof(left: DataFrame, right: DataFrame, by: str, time: str, value: str) -> DataFrame:
+    """Each left row with the latest right value at or before it, by one sort of both sides."""
+    both = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_left")).unionByName(right.select(by, time, F.col(value).alias("_v"), F.lit(0).alias("_left")), allowMissingColumns=True)
+    w = W.partitionBy(by).orderBy(time, "_left").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).filter("_left = 1").drop("_v", "_left")
