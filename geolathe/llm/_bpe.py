@@ -18,8 +18,8 @@ import pyarrow as pa
 
 from ._words import chunks
 
-#: Segments that a worker remembers; the memory is emptied when full.
-REMEMBERED = 600_000
+#: Segments that a worker remembers from its last batches, and as many from those before.
+REMEMBERED = 350_000
 BATCH = 12 << 20
 
 _LETTER = np.zeros(256, bool)
@@ -50,7 +50,7 @@ def _loaded(path: str):
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return t, {}
+    return t, [{}, {}]
 
 
 def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -68,7 +68,7 @@ def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def encode(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, offsets of each text in the ids and the end)."""
-    lib, known = _loaded(path)
+    lib, memory = _loaded(path)
     for row, data, off in chunks(texts, BATCH):
         at = cuts(data, off)
         if len(at) < 2:
@@ -76,10 +76,16 @@ def encode(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.nda
             continue
         segments = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         words = segments.dictionary.to_pylist()
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = words
+        if len(memory[0]) > REMEMBERED:
+            memory[:] = [{}, memory[0]]
+        known, older = memory
+        new = []
+        for w in words:
+            if w not in known:
+                if (ids := older.get(w)) is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
         for i in range(0, len(new), 50_000):
             some = new[i : i + 50_000]
             known.update(zip(some, (tuple(e.ids) for e in lib.encode_batch_fast(some, add_special_tokens=False))))

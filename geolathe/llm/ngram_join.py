@@ -4,14 +4,16 @@
    class, whose representative is its smallest id) and finds shingles that many texts share.
 2. A second pass orders each set by (shared by many, hash) and keeps its prefix: the size - need + extra first
    shingles, where need is the least overlap that the threshold allows. Two linked sets have at least the smaller
-   ``extra`` of shingles of their prefixes in common, whatever the common order is. The first shingle of the prefix
-   names the text's group.
+   ``extra`` of shingles of their prefixes in common, whatever the common order is. 
 3. The matrix (shingle, group) is built in hash buckets. Each text counts the shingles of its prefix that are in a
    group's union; a group with too few for a partner of the text's size cannot hold one and is not opened.
-4. Each text is compared with the leader of its group, and leaders with other groups' leaders. Where a group is
+4. Each text is compared with the leaders of the groups that qualify. Where a group is
    not yet in the same component as a text, the union of its sets bounds the overlap, and only groups that can
    reach the threshold are opened and compared in full.
 
+Groups are formed beforehand: texts that agree in several minhashes are compared with a leader, and what is linked
+so is one group. This only makes the matrix small: links that it misses are found by the steps above.
+
 No pair is lost: steps 2 and 3 are exact filters, and step 4 only skips pairs that are already connected.
 A hash bucket or a block of a group has a bounded size; a large group of copies is resolved by its leader.
 
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import SLIM_ROWS, small, stage
@@ -47,9 +49,15 @@ EXTRA = 5
 CROWD = 512
 #: Sets that are opened together.
 BLOCK = 256
-OWN, MET, HEAVY = 0, 1, 2
+MET, HEAVY = 1, 2
+#: Marks the number of a group with at least BIG_ROWS texts.
+BIG, BIG_ROWS = np.uint32(1 << 31), 8
+
+#: Minhashes of a set; texts that agree in one of the first LEADS and in AGREE of all are compared with a leader at once.
+HASHES, LEADS, AGREE = 10, 5, 5
+_TURN = np.random.default_rng(5).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_SETS = "doc_id long, n_shingles long, sig_a long, sig_b long"
+_SETS = "doc_id long, n_shingles long, sig_a long, sig_b long, low binary"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -67,10 +75,11 @@ def survey(docs: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             ids = batch.column(0)
             for row, data, off in chunks(batch.column(1), 16 << 20):
-                n, a, b, sets = [], [], [], {}
+                n, a, b, low, sets = [], [], [], [], {}
                 for s in (s for lo in _pieces(data, off) for s in shingle_sets(*lo, k)):
                     x, y = (int(np.add.reduce(s)), int(np.add.reduce(mix(s)))) if len(s) else (0, 0)
                     n.append(len(s)), a.append(x), b.append(y)
+                    low.append(np.array([(s * c).min() for c in _TURN]).tobytes() if len(s) else None)
                     sets[x, y] = s  # equal texts count once
                 t = np.sort(np.concatenate(list(sets.values()))) if sets else np.zeros(0, np.uint64)
                 edge = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
@@ -78,8 +87,8 @@ def survey(docs: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
                 many = runs >= SUSPECT
                 t, runs = t[edge[many]], runs[many]
                 nulls = pa.nulls(len(t), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(row, len(n)), pa.array(n, pa.int64()), _signed(np.array(a, np.uint64)), _signed(np.array(b, np.uint64)), pa.array([False] * len(n))], names=["doc_id", "n_shingles", "sig_a", "sig_b", "suspect"])
-                yield pa.RecordBatch.from_arrays([nulls, pa.array(runs.astype(np.int64)), _signed(t), nulls, pa.array([True] * len(t))], names=["doc_id", "n_shingles", "sig_a", "sig_b", "suspect"])
+                yield pa.RecordBatch.from_arrays([ids.slice(row, len(n)), pa.array(n, pa.int64()), _signed(np.array(a, np.uint64)), _signed(np.array(b, np.uint64)), pa.array(low, pa.binary()), pa.array([False] * len(n))], names=["doc_id", "n_shingles", "sig_a", "sig_b", "low", "suspect"])
+                yield pa.RecordBatch.from_arrays([nulls, pa.array(runs.astype(np.int64)), _signed(t), nulls, pa.nulls(len(t), pa.binary()), pa.array([True] * len(t))], names=["doc_id", "n_shingles", "sig_a", "sig_b", "low", "suspect"])
 
     found = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS + ", suspect boolean"), "sets")
     sets = found.filter(~F.col("suspect")).drop("suspect")
@@ -113,24 +122,23 @@ def _prefix(s: np.ndarray, shared: np.ndarray, buckets: int, percent: int) -> np
 
 
 def _prefix_blocks(docs: DataFrame, shared: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
-    """Rows (bucket, shingles, docs, groups): the prefix entries of a chunk of texts as three arrays of equal length."""
+    """Rows (bucket, shingles, docs, groups) of (id, text, group): a chunk's prefix entries as three arrays of equal length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for row, data, off in chunks(batch.column(1), 16 << 20):
-                own = ids.slice(row, len(off) - 1).to_pylist()
-                found, doc = [], []
-                for one, s in zip(own, (s for lo in _pieces(data, off) for s in shingle_sets(*lo, k))):
+                own, kin = (x.slice(row, len(off) - 1).to_pylist() for x in (ids, batch.column(2)))
+                found, doc, group = [], [], []
+                for one, g, s in zip(own, kin, (s for lo in _pieces(data, off) for s in shingle_sets(*lo, k))):
                     if one is not None and len(s):
                         found.append(_prefix(s, shared, buckets, percent))
-                        doc.append(one)
+                        doc.append(one), group.append(g)
                 if not found:
                     continue
                 size = np.array([len(x) for x in found])
                 t, d = np.concatenate(found), np.repeat(np.array(doc, np.int64), size)
-                low = t.astype(np.uint32)
-                g = np.repeat(low[np.cumsum(size) - size], size)  # a group goes by its shingle's lower half
+                low, g = t.astype(np.uint32), np.repeat(np.array(group, np.uint32), size)
                 bucket = ((t >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 low, d, g, bucket = low[order], d[order], g[order], bucket[order]
@@ -153,8 +161,8 @@ def _pieces(data: np.ndarray, off: np.ndarray, limit: int = 1 << 20) -> Iterator
 def _meetings(blocks: DataFrame, shared: np.ndarray) -> DataFrame:
     """Rows (kind, doc, grp, n) of the matrix, bucket by bucket.
 
-    OWN: a doc and its group. MET: a doc, a group with other docs, and how many shingles of the doc's prefix they
-    have. HEAVY: bucket and lower half of a shingle that is in more than CROWD groups and not yet at the end of
+    MET: a doc, another group, and how many shingles of the doc's prefix its union has; docs of a BIG group ask
+    other big groups only, as the docs of small groups ask them. HEAVY: bucket and lower half of a shingle that is in more than CROWD groups and not yet at the end of
     the order; its meetings are left to the next round.
     """
 
@@ -172,23 +180,25 @@ def _meetings(blocks: DataFrame, shared: np.ndarray) -> DataFrame:
         groups = np.bincount(token[first], minlength=len(start))
         base = np.searchsorted(first, start)
         known = _among((np.uint64(bucket) << np.uint64(32)) | t[start].astype(np.uint64), shared)
-        heavy = (groups > CROWD) & ~known
-        own = t == g
+        heavy = (groups > CROWD) & ~known & (size > 1)
         names, d = np.unique(d, return_inverse=True)
-        docs_of = np.diff(np.append(first, len(t)))  # of each (shingle, group)
-        alone = (docs_of == 1)[np.cumsum(pair) - 1]
-        out = [(OWN, names[d[own]], g[own], np.ones(int(own.sum()), np.int64)), (HEAVY, np.full(int(heavy.sum()), bucket), t[start[heavy]], np.ones(int(heavy.sum()), np.int64))]
-        live = np.flatnonzero((size > 1) & ~heavy)
-        cost = np.cumsum(size[live].astype(np.int64) * groups[live])
+        out = [(HEAVY, np.full(int(heavy.sum()), bucket), t[start[heavy]], np.ones(int(heavy.sum()), np.int64))]
+        asks = (g & BIG) == 0  # of the entries
+        asked_big = np.bincount(token[first], (g[first] & BIG) > 0, len(start)).astype(np.int64)
+        # within a shingle the big groups come last, as BIG is the highest bit
+        wide_of = np.where(asks, groups[token], asked_big[token])
+        live = np.flatnonzero((groups > 1) & ~heavy)
+        cost = np.cumsum(np.bincount(token, wide_of, len(start)).astype(np.int64)[live])
         at = 0
         while at < len(live):
             end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + (1 << 21), "right")))
             some = live[at:end]
             rows = np.repeat(start[some], size[some]) + _ranges(size[some])  # all docs of these shingles
-            wide = groups[token[rows]]
+            wide = wide_of[rows]
             left = np.repeat(rows, wide)
-            right = first[np.repeat(base[token[rows]], wide) + _ranges(wide)]
-            other = (g[left] != g[right]) | ~alone[left]
+            skip = np.repeat(groups[token[rows]] - wide, wide)  # of a big group's doc, the small groups
+            right = first[np.repeat(base[token[rows]], wide) + skip + _ranges(wide)]
+            other = g[left] != g[right]
             key, n = np.unique(d[left[other]].astype(np.uint64) << np.uint64(32) | g[right[other]], return_counts=True)
             out.append((MET, names[(key >> np.uint64(32)).astype(np.int64)], key & np.uint64(0xFFFFFFFF), n))
             at = end
@@ -245,47 +255,70 @@ def matrix(docs: DataFrame, shared: np.ndarray, buckets: int, k: int = K, percen
         shared = np.unique(np.concatenate((shared, heavy.view(np.uint64))))
 
 
-def _candidate_links(docs: DataFrame, reps: DataFrame, shared: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
+def _first_links(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links between a class and the smallest id that shares one of its LEADS minhashes, as far as they hold."""
+    part = lambda i: F.substring("low", 8 * i + 1, 8)
+    keyed = classes.select("rep", "low", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), part(i).alias("h")) for i in range(LEADS)])).alias("x")).select("rep", "low", "x.i", "x.h")
+    lead = keyed.groupBy("i", "h").agg(F.min(F.struct("rep", "low")).alias("lead"), F.count("*").alias("n")).filter("n > 1")
+    agree = sum(((F.substring("low", 8 * i + 1, 8) == F.substring("lead.low", 8 * i + 1, 8)).cast("int") for i in range(HASHES)), F.lit(0))
+    pairs = keyed.join(lead.drop("n"), ["i", "h"]).filter((F.col("rep") != F.col("lead.rep")) & (agree >= AGREE))
+    pairs = stage(pairs.select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct(), "pairs")
+    return stage(_linked(pairs, _sets_of(docs, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), k), percent), "links")
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc, shingles) of the texts with these ids (one column)."""
+    ids = stage(ids.toDF("_id").distinct(), "ids")
+    return stage(_full_sets(docs.join(small(ids, SLIM_ROWS), F.col("doc_id") == F.col("_id"), "left_semi"), k), "members", "lz4")
+
+
+def _group_number(comp: str, n: str) -> Column:
+    low = F.xxhash64(comp).bitwiseAND(0x7FFFFFFF)
+    return F.when(F.coalesce(F.col(n), F.lit(1)) >= BIG_ROWS, low.bitwiseOR(1 << 31)).otherwise(low)
+
+
+def _candidate_links(docs: DataFrame, classes: DataFrame, shared: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
     """(a, b) links between classes, enough of them to connect whatever the threshold connects."""
-    met = matrix(docs, shared, buckets, k, percent)
-    sizes = reps.groupBy(F.col("rep").alias("doc")).agg(F.max("n_shingles").alias("size"))
+    edges = _first_links(classes, docs, k, percent)
+    labels = _labels(edges)
+    counts = labels.groupBy("component").agg(F.count("*").alias("n"))
+    kin = stage(labels.join(counts, "component").select("node", "component", _group_number("component", "n").alias("g")), "kin")
+    grouped = docs.join(small(kin.select("node", "g"), SLIM_ROWS), F.col("doc_id") == F.col("node"), "left")
+    grouped = grouped.select("doc_id", "text", F.coalesce("g", F.xxhash64("doc_id").bitwiseAND(0x7FFFFFFF)).alias("g"))
+    met = matrix(grouped, shared, buckets, k, percent)
+    sizes = classes.groupBy(F.col("rep").alias("doc")).agg(F.max("n_shingles").alias("size"))
     least = F.floor(F.col("size") * EXTRA * percent / 10_000)
-    other = met.filter(F.col("kind") == MET).groupBy("doc", "grp").agg(F.sum("n").alias("n")).join(sizes, "doc").filter(F.col("n") >= least).select("doc", "grp")
-    other = stage(other, "qualifying")
-    ids = stage(other.select("doc").distinct(), "touched")
-    own = met.filter(F.col("kind") == OWN).select("doc", "grp").distinct().join(ids, "doc", "left_semi")
-    groups = own.groupBy("grp").agg(F.min("doc").alias("leader"), F.count("*").alias("n"))
-    own = stage(own.join(groups, "grp"), "own")
-    texts = docs.join(small(ids.withColumnRenamed("doc", "_id"), SLIM_ROWS), F.col("doc_id") == F.col("_id"), "left_semi")
-    sets = stage(_full_sets(texts, k), "members", "lz4")
-    led = own.filter("doc != leader").select(F.col("doc").alias("a"), F.col("leader").alias("b"))
-    leads = own.select("grp", "leader").distinct()
-    leaders = other.join(own.filter("doc = leader").select("doc").distinct(), "doc", "left_semi").join(leads, "grp").filter("doc != leader")
-    pairs = led.unionByName(leaders.select(F.col("doc").alias("a"), F.col("leader").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = stage(_linked(pairs, sets, percent), "links")
+    asks = met.filter(F.col("kind") == MET).groupBy("doc", "grp").agg(F.sum("n").alias("n")).join(sizes, "doc").filter(F.col("n") >= least).select("doc", "grp")
+    asks = stage(asks, "qualifying")
+    if not asks.limit(1).count():
+        return edges
+    members = sizes.select("doc").join(kin, F.col("doc") == F.col("node"), "left")
+    members = members.select("doc", F.coalesce("component", "doc").alias("comp"), F.coalesce("g", F.xxhash64("doc").bitwiseAND(0x7FFFFFFF)).alias("grp"))
+    members = stage(members.join(asks.select("grp").distinct(), "grp", "left_semi"), "members")
+    # first the leaders of the groups
+    leads = members.groupBy("grp").agg(F.min("doc").alias("leader"), F.count("*").alias("n"))
+    leads = stage(leads, "leads")
+    pairs = asks.join(leads, "grp").filter("doc != leader").select(F.greatest("doc", "leader").alias("a"), F.least("doc", "leader").alias("b")).distinct()
+    pairs = stage(pairs, "pairs")
+    more = stage(_linked(pairs, _sets_of(docs, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), k), percent), "links")
+    edges = stage(edges.unionByName(more), "links")
     labels = _labels(edges)
 
     blocks = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK))
-    members = stage(_labelled(own.withColumn("block", blocks), labels, "doc", "comp").select("grp", "block", "doc", "comp"), "members")
-    spread = members.groupBy("grp", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    asks = _labelled(other, labels, "doc", "comp")
-    rest = asks.join(spread, "grp").filter("NOT (lo = hi AND lo = comp)").select("doc", "comp", "grp", "block")
+    placed = members.join(leads, "grp").filter("n > 1").withColumn("block", blocks).select("grp", "block", "doc")
+    placed = stage(_labelled(placed, labels, "doc", "comp"), "placed")
+    spread = placed.groupBy("grp", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    rest = _labelled(asks, labels, "doc", "comp").join(spread, "grp").filter("NOT (lo = hi AND lo = comp)").select("doc", "comp", "grp", "block")
     rest = stage(rest, "unsettled")
-    if rest.limit(1).count():
-        cells = rest.select("grp", "block").distinct()
-        unions = (
-            members.join(cells, ["grp", "block"], "left_semi")
-            .join(sets, "doc")
-            .groupBy("grp", "block")
-            .agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("union"))
-        )
-        asked = rest.join(sets, "doc").join(unions, ["grp", "block"])
-        opened = asked.filter(100 * F.size(F.array_intersect("union", "shingles")) >= percent * F.size("shingles")).select("doc", "comp", "grp", "block")
-        inside = members.select("grp", "block", F.col("doc").alias("b"), F.col("comp").alias("comp_b"))
-        more = opened.join(inside, ["grp", "block"]).filter("comp != comp_b AND doc != b")
-        more = stage(more.select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b")).distinct(), "pairs")
-        edges = edges.unionByName(stage(_linked(more, sets, percent), "links"))
-    return edges
+    if not rest.limit(1).count():
+        return edges
+    inside = placed.join(rest.select("grp", "block").distinct(), ["grp", "block"], "left_semi")
+    sets = _sets_of(docs, inside.select("doc").unionByName(rest.select("doc")), k)
+    unions = inside.join(sets, "doc").groupBy("grp", "block").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("union"))
+    opened = rest.join(sets, "doc").join(unions, ["grp", "block"]).filter(100 * F.size(F.array_intersect("union", "shingles")) >= percent * F.size("shingles")).select("doc", "comp", "grp", "block")
+    pairs = opened.join(inside.select("grp", "block", F.col("doc").alias("b"), F.col("comp").alias("comp_b")), ["grp", "block"]).filter("comp != comp_b AND doc != b")
+    pairs = stage(pairs.select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b")).distinct(), "pairs")
+    return edges.unionByName(stage(_linked(pairs, sets, percent), "links"))
 
 
 def join_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -293,12 +326,12 @@ def join_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets, suspects = survey(docs, k)
     same = ["n_shingles", "sig_a", "sig_b"]
-    classes = stage(sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
+    classes = stage(sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("low").alias("low")), "classes")
     prefixes = classes.agg(F.sum((F.col("n_shingles") * (100 - percent) / 100).cast("long") + 1)).first()[0] or 0
     buckets = max(16, int(prefixes // BUCKET) + 1)
     shared = np.unique(_keys(_told(stage(suspects.groupBy("shingle").agg(F.sum("n").alias("n")), "suspects"), SHARED), buckets))
     labels = _labels(_candidate_links(docs, classes, shared, buckets, k, percent))
-    out = sets.join(classes, same, "left").join(small(labels), F.col("rep") == F.col("node"), "left")
+    out = sets.drop("low").join(classes.drop("low"), same, "left").join(small(labels), F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
