@@ -3,8 +3,8 @@
 Each tree gives a vector a long hash string, a bit for each random direction: on which side of a threshold it
 lies. A tree is an array of the strings in order, dealt in ranges. A query descends to where its string would
 stand, where the strings with the longest common prefix lie around it; it takes the range of the longest prefix
-that enough strings share. The trees' finds are then taken together from the longest prefixes up until there are
-enough candidates, whose distances are computed exactly.
+that enough strings share. The trees ascend together: what most trees have found, and with the longest prefixes,
+comes first, until there are enough candidates, whose distances are computed exactly.
 
 Rows with one vector are indexed as one and keep their k + 1 smallest ids, more of which no result can need, so
 very common vectors neither fill a range nor crowd out others. A query at the edge of a range sees one side only
@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._tables import stage
+from ._tables import small, stage
 
 K = 10
-TREES = 24
+TREES = 64
 BITS = 48
 #: Strings that a query wants from each tree, and candidates from all.
-PER_TREE = 192
-CANDIDATES = 2400
+PER_TREE = 800
+CANDIDATES = 10_000
 #: Rows that the thresholds are fitted on, by a hash of the id.
 SAMPLE = 20_000
 
@@ -140,12 +140,12 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
     index = stage(_hashed(both, forest), "strings")
     ordered = index.repartitionByRange("tree", "string", "node").sortWithinPartitions("tree", "string", "node")
     finds = _finds(ordered, bits, per_tree).join(nodes.select("node"), "node", "left_semi")
-    finds = finds.groupBy("query", "node").agg(F.max("depth").alias("depth"), F.count("*").alias("trees"))
-    up = W.partitionBy("query").orderBy(F.desc("depth"), F.desc("trees"), "node")
+    finds = finds.groupBy("query", "node").agg(F.sum("depth").alias("depth"), F.count("*").alias("trees"))
+    up = W.partitionBy("query").orderBy(F.desc("trees"), F.desc("depth"), "node")
     chosen = stage(finds.withColumn("r", F.row_number().over(up)).filter(F.col("r") <= candidates).select("query", "node"), "candidates")
     # the query's own vector is a candidate, as other rows may share it
     same = asks.join(nodes, asks["qv"] == nodes["v"]).select("query", "node")
-    pairs = chosen.unionByName(same).distinct().join(nodes, "node").join(asks, "query").select("query", "ids", "v", "qv")
+    pairs = chosen.unionByName(same).distinct().join(nodes, "node").join(small(asks), "query").select("query", "ids", "v", "qv")
     found = _distances(pairs).select("query", F.explode("ids").alias("id"), "score").filter("id != query")
     best = W.partitionBy("query").orderBy("score", "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
