@@ -5,8 +5,9 @@
 2. A second pass orders each set by (shared by many, hash) and keeps its prefix: the size - need + extra first
    shingles, where need is the least overlap that the threshold allows. Two linked sets have at least the smaller
    ``extra`` of shingles of their prefixes in common, whatever the common order is. 
-3. The matrix (shingle, group) is built in hash buckets. Each text counts the shingles of its prefix that are in a
-   group's union; a group with too few for a partner of the text's size cannot hold one and is not opened.
+3. The matrix (shingle, group) is built in hash buckets, from one text of each class. Each text counts the shingles
+   of its prefix that members of a group have whose sizes allow a link; a group with too few for a partner of the
+   text's size cannot hold one and is not opened.
 4. Each text is compared with the leaders of the groups that qualify. Where a group is
    not yet in the same component as a text, the union of its sets bounds the overlap, and only groups that can
    reach the threshold are opened and compared in full.
@@ -122,32 +123,32 @@ def _prefix(s: np.ndarray, shared: np.ndarray, buckets: int, percent: int) -> np
 
 
 def _prefix_blocks(docs: DataFrame, shared: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
-    """Rows (bucket, shingles, docs, groups) of (id, text, group): a chunk's prefix entries as three arrays of equal length."""
+    """Rows (bucket, shingles, docs, groups, sizes) of (id, text, group): a chunk's prefix entries as four arrays of equal length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for row, data, off in chunks(batch.column(1), 16 << 20):
                 own, kin = (x.slice(row, len(off) - 1).to_pylist() for x in (ids, batch.column(2)))
-                found, doc, group = [], [], []
+                found, doc, group, full = [], [], [], []
                 for one, g, s in zip(own, kin, (s for lo in _pieces(data, off) for s in shingle_sets(*lo, k))):
                     if one is not None and len(s):
                         found.append(_prefix(s, shared, buckets, percent))
-                        doc.append(one), group.append(g)
+                        doc.append(one), group.append(g), full.append(len(s))
                 if not found:
                     continue
                 size = np.array([len(x) for x in found])
                 t, d = np.concatenate(found), np.repeat(np.array(doc, np.int64), size)
-                low, g = t.astype(np.uint32), np.repeat(np.array(group, np.uint32), size)
+                low, g, z = t.astype(np.uint32), np.repeat(np.array(group, np.uint32), size), np.repeat(np.array(full, np.uint32), size)
                 bucket = ((t >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
-                low, d, g, bucket = low[order], d[order], g[order], bucket[order]
+                low, d, g, z, bucket = low[order], d[order], g[order], z[order], bucket[order]
                 cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
                 ends = np.append(cut[1:], len(bucket))
-                columns = [pa.array([x[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()) for x in (low, d, g)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int64)), *columns], names=["bucket", "shingles", "docs", "groups"])
+                columns = [pa.array([x[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()) for x in (low, d, g, z)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int64)), *columns], names=["bucket", "shingles", "docs", "groups", "sizes"])
 
-    return docs.mapInArrow(run, "bucket long, shingles binary, docs binary, groups binary")
+    return docs.mapInArrow(run, "bucket long, shingles binary, docs binary, groups binary, sizes binary")
 
 
 def _pieces(data: np.ndarray, off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -158,52 +159,57 @@ def _pieces(data: np.ndarray, off: np.ndarray, limit: int = 1 << 20) -> Iterator
         row = end
 
 
-def _meetings(blocks: DataFrame, shared: np.ndarray) -> DataFrame:
+def _meetings(blocks: DataFrame, shared: np.ndarray, percent: int) -> DataFrame:
     """Rows (kind, doc, grp, n) of the matrix, bucket by bucket.
 
-    MET: a doc, another group, and how many shingles of the doc's prefix its union has; docs of a BIG group ask
-    other big groups only, as the docs of small groups ask them. HEAVY: bucket and lower half of a shingle that is in more than CROWD groups and not yet at the end of
-    the order; its meetings are left to the next round.
+    MET: a doc, another group, and how many shingles of the doc's prefix its members of fitting size have; docs of a
+    BIG group ask other big groups only, as the docs of small groups ask them. HEAVY: bucket and lower half of a
+    shingle that is in more than CROWD groups and not yet at the end of the order; the matrix is then made again, so
+    a bucket that has one gives no meetings.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        t, d, g = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("shingles", np.uint32), ("docs", np.int64), ("groups", np.uint32)))
+    def rows_of(kind: int, doc: np.ndarray, grp: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (doc, grp, n))], names=["kind", "doc", "grp", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        t, d, g, z = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("shingles", np.uint32), ("docs", np.int64), ("groups", np.uint32), ("sizes", np.uint32)))
         bucket = table.column("bucket")[0].as_py()
         order = np.lexsort((g, t))
-        t, d, g = t[order], d[order], g[order]
+        t, d, g, z = t[order], d[order], g[order], z[order].astype(np.int64)
         new = np.concatenate(([True], t[1:] != t[:-1]))
         pair = new | np.concatenate(([True], g[1:] != g[:-1]))
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(t)))
         first = np.flatnonzero(pair)  # of each (shingle, group)
+        least, most = np.minimum.reduceat(z, first), np.maximum.reduceat(z, first)
         token = np.cumsum(new) - 1
         groups = np.bincount(token[first], minlength=len(start))
         base = np.searchsorted(first, start)
         known = _among((np.uint64(bucket) << np.uint64(32)) | t[start].astype(np.uint64), shared)
         heavy = (groups > CROWD) & ~known & (size > 1)
         names, d = np.unique(d, return_inverse=True)
-        out = [(HEAVY, np.full(int(heavy.sum()), bucket), t[start[heavy]], np.ones(int(heavy.sum()), np.int64))]
+        yield rows_of(HEAVY, np.full(int(heavy.sum()), bucket), t[start[heavy]], np.ones(int(heavy.sum())))
         asks = (g & BIG) == 0  # of the entries
         asked_big = np.bincount(token[first], (g[first] & BIG) > 0, len(start)).astype(np.int64)
         # within a shingle the big groups come last, as BIG is the highest bit
         wide_of = np.where(asks, groups[token], asked_big[token])
-        live = np.flatnonzero((groups > 1) & ~heavy)
+        live = np.flatnonzero(groups > 1) if not heavy.any() else np.zeros(0, np.int64)
         cost = np.cumsum(np.bincount(token, wide_of, len(start)).astype(np.int64)[live])
         at = 0
         while at < len(live):
-            end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + (1 << 21), "right")))
+            end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + (1 << 20), "right")))
             some = live[at:end]
             rows = np.repeat(start[some], size[some]) + _ranges(size[some])  # all docs of these shingles
             wide = wide_of[rows]
             left = np.repeat(rows, wide)
             skip = np.repeat(groups[token[rows]] - wide, wide)  # of a big group's doc, the small groups
-            right = first[np.repeat(base[token[rows]], wide) + skip + _ranges(wide)]
-            other = g[left] != g[right]
+            cell = np.repeat(base[token[rows]], wide) + skip + _ranges(wide)
+            right = first[cell]
+            other = (g[left] != g[right]) & (100 * most[cell] >= percent * z[left]) & (percent * least[cell] <= 100 * z[left])
             key, n = np.unique(d[left[other]].astype(np.uint64) << np.uint64(32) | g[right[other]], return_counts=True)
-            out.append((MET, names[(key >> np.uint64(32)).astype(np.int64)], key & np.uint64(0xFFFFFFFF), n))
+            yield rows_of(MET, names[(key >> np.uint64(32)).astype(np.int64)], key & np.uint64(0xFFFFFFFF), n)
             at = end
-        kinds = np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in out])
-        return pa.table({"kind": kinds, **{c: np.concatenate([x[i].astype(np.int64) for x in out]) for i, c in enumerate(("doc", "grp", "n"), 1)}})
 
     return blocks.groupBy("bucket").applyInArrow(run, "kind int, doc long, grp long, n long")
 
@@ -248,7 +254,7 @@ def _labelled(df: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame
 def matrix(docs: DataFrame, shared: np.ndarray, buckets: int, k: int = K, percent: int = PERCENT) -> DataFrame:
     """(kind, doc, grp) of the token-group matrix, made again until every crowded shingle is at the end of the order."""
     while True:
-        met = stage(_meetings(_prefix_blocks(docs, shared, buckets, k, percent), shared), "meetings")
+        met = stage(_meetings(_prefix_blocks(docs, shared, buckets, k, percent), shared, percent), "meetings")
         heavy = met.filter(F.col("kind") == HEAVY).select(F.shiftleft("doc", 32).bitwiseOR(F.col("grp")).alias("key")).limit(TOLD + 1).toPandas()["key"].to_numpy(np.int64)
         if not len(heavy):
             return met
@@ -283,8 +289,9 @@ def _candidate_links(docs: DataFrame, classes: DataFrame, shared: np.ndarray, bu
     labels = _labels(edges)
     counts = labels.groupBy("component").agg(F.count("*").alias("n"))
     kin = stage(labels.join(counts, "component").select("node", "component", _group_number("component", "n").alias("g")), "kin")
-    grouped = docs.join(small(kin.select("node", "g"), SLIM_ROWS), F.col("doc_id") == F.col("node"), "left")
-    grouped = grouped.select("doc_id", "text", F.coalesce("g", F.xxhash64("doc_id").bitwiseAND(0x7FFFFFFF)).alias("g"))
+    own = F.coalesce("g", F.xxhash64("rep").bitwiseAND(0x7FFFFFFF)).alias("g")
+    asking = stage(classes.select("rep").distinct().join(small(kin.select("node", "g"), SLIM_ROWS), F.col("rep") == F.col("node"), "left").select("rep", own), "asking")
+    grouped = docs.join(small(asking, SLIM_ROWS), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "g")
     met = matrix(grouped, shared, buckets, k, percent)
     sizes = classes.groupBy(F.col("rep").alias("doc")).agg(F.max("n_shingles").alias("size"))
     least = F.floor(F.col("size") * EXTRA * percent / 10_000)
