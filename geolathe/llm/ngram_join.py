@@ -53,6 +53,10 @@ BLOCK = 256
 MET, HEAVY = 1, 2
 #: Marks the number of a group with at least BIG_ROWS texts.
 BIG, BIG_ROWS = np.uint32(1 << 31), 8
+#: Groups are numbered by their smallest id modulo this.
+GROUPS = (1 << 31) - 1
+#: Entries of prefixes that are dealt to buckets at a time.
+ENTRIES = 1_000_000
 
 #: Minhashes of a set; texts that agree in one of the first LEADS and in AGREE of all are compared with a leader at once.
 HASHES, LEADS, AGREE = 10, 5, 5
@@ -122,33 +126,86 @@ def _prefix(s: np.ndarray, shared: np.ndarray, buckets: int, percent: int) -> np
     return np.concatenate((s[~late], s[late]))[:p] if late.any() else s[:p]
 
 
-def _prefix_blocks(docs: DataFrame, shared: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
-    """Rows (bucket, shingles, docs, groups, sizes) of (id, text, group): a chunk's prefix entries as four arrays of equal length."""
+def _prefixes(docs: DataFrame, shared: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
+    """(doc_id, size, low, bucket): of each text with an id and a set, the size of its set, and the lower halves and buckets of its prefix."""
+    width = _width(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for row, data, off in chunks(batch.column(1), 16 << 20):
-                own, kin = (x.slice(row, len(off) - 1).to_pylist() for x in (ids, batch.column(2)))
-                found, doc, group, full = [], [], [], []
-                for one, g, s in zip(own, kin, (s for lo in _pieces(data, off) for s in shingle_sets(*lo, k))):
+                doc, full, low, bucket = [], [], [], []
+                for one, s in zip(batch.column(0).slice(row, len(off) - 1).to_pylist(), (s for lo in _pieces(data, off) for s in shingle_sets(*lo, k))):
                     if one is not None and len(s):
-                        found.append(_prefix(s, shared, buckets, percent))
-                        doc.append(one), group.append(g), full.append(len(s))
-                if not found:
-                    continue
-                size = np.array([len(x) for x in found])
-                t, d = np.concatenate(found), np.repeat(np.array(doc, np.int64), size)
-                low, g, z = t.astype(np.uint32), np.repeat(np.array(group, np.uint32), size), np.repeat(np.array(full, np.uint32), size)
-                bucket = ((t >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+                        t = _prefix(s, shared, buckets, percent)
+                        doc.append(one), full.append(len(s))
+                        low.append(t.astype(np.uint32).tobytes()), bucket.append(((t >> np.uint64(32)) % np.uint64(buckets)).astype(width).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(full, pa.int64()), pa.array(low, pa.binary()), pa.array(bucket, pa.binary())], names=["doc_id", "size", "low", "bucket"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, low binary, bucket binary")
+
+
+def _width(buckets: int) -> type:
+    return np.uint8 if buckets <= 1 << 8 else np.uint16 if buckets <= 1 << 16 else np.uint32
+
+
+def _own(doc: np.ndarray) -> np.ndarray:
+    """The number of a group by its smallest id; of a text that is alone, by its own."""
+    return np.mod(doc, GROUPS).astype(np.uint32)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """An array's bytes, all first bytes before all second ones, compressed."""
+    return pa.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(x: bytes, kind: type, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    flat = pa.decompress(x, n * width, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(width, n).T).view(kind).ravel()
+
+
+def _blocks(prefixes: DataFrame, buckets: int) -> DataFrame:
+    """Rows (bucket, shingles, docs, groups, sizes) of prefixes with their group: entries of a bucket as four arrays of equal length.
+
+    Within a bucket entries are in order of their ids. The ids are differences, the groups are given against the
+    number of a text that is alone, and all but the shingles are compressed.
+    """
+    width = _width(buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, full, group = (batch.column(c).to_numpy() for c in ("doc_id", "size", "g"))
+            lows, codes = batch.column("low"), batch.column("bucket")
+            rank = np.argsort(doc, kind="stable")
+            n = np.array([len(x.as_buffer()) for x in codes], np.int64)[rank] // np.dtype(width).itemsize
+            sums = np.cumsum(n)
+            at = 0
+            while at < len(rank):
+                end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + ENTRIES, "right")))
+                some, m = rank[at:end], n[at:end]
+                at = end
+                low = np.frombuffer(b"".join(lows[int(i)].as_buffer() for i in some), np.uint32)
+                bucket = np.frombuffer(b"".join(codes[int(i)].as_buffer() for i in some), width)
+                d, z = np.repeat(doc[some], m), np.repeat(full[some].astype(np.uint32), m)
+                g = np.repeat(group[some].astype(np.uint32), m) ^ _own(d)
                 order = np.argsort(bucket, kind="stable")
                 low, d, g, z, bucket = low[order], d[order], g[order], z[order], bucket[order]
                 cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-                ends = np.append(cut[1:], len(bucket))
-                columns = [pa.array([x[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()) for x in (low, d, g, z)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int64)), *columns], names=["bucket", "shingles", "docs", "groups", "sizes"])
+                spans = list(zip(cut, np.append(cut[1:], len(bucket))))
+                columns = [[low[a:b].tobytes() for a, b in spans], [_packed(np.diff(d[a:b], prepend=np.int64(0))) for a, b in spans], [_packed(g[a:b]) for a, b in spans], [_packed(z[a:b]) for a, b in spans]]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int64)), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "shingles", "docs", "groups", "sizes"])
+
+    return prefixes.mapInArrow(run, "bucket long, shingles binary, docs binary, groups binary, sizes binary")
+
 
-    return docs.mapInArrow(run, "bucket long, shingles binary, docs binary, groups binary, sizes binary")
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower halves, docs, groups, set sizes) of all blocks of a bucket."""
+    out = []
+    for low, d, g, z in zip(*(table.column(c).to_pylist() for c in ("shingles", "docs", "groups", "sizes"))):
+        t = np.frombuffer(low, np.uint32)
+        d = np.cumsum(_unpacked(d, np.int64, len(t)))
+        out.append((t, d, _unpacked(g, np.uint32, len(t)) ^ _own(d), _unpacked(z, np.uint32, len(t))))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _pieces(data: np.ndarray, off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -173,7 +230,7 @@ def _meetings(blocks: DataFrame, shared: np.ndarray, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
-        t, d, g, z = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("shingles", np.uint32), ("docs", np.int64), ("groups", np.uint32), ("sizes", np.uint32)))
+        t, d, g, z = _entries(table)
         bucket = table.column("bucket")[0].as_py()
         order = np.lexsort((g, t))
         t, d, g, z = t[order], d[order], g[order], z[order].astype(np.int64)
@@ -251,10 +308,14 @@ def _labelled(df: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame
     return df.join(lab, col, "left").withColumn(out, F.coalesce("_c", col)).drop("_c")
 
 
-def matrix(docs: DataFrame, shared: np.ndarray, buckets: int, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(kind, doc, grp) of the token-group matrix, made again until every crowded shingle is at the end of the order."""
+def matrix(docs: DataFrame, groups: DataFrame, shared: np.ndarray, buckets: int, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """(kind, doc, grp, n) of the token-group matrix of the texts in ``groups`` (rep, g), made again until every crowded shingle is at the end of the order.
+
+    The prefixes are shuffled to the groups, not the texts; the plan is the same at every size.
+    """
     while True:
-        met = stage(_meetings(_prefix_blocks(docs, shared, buckets, k, percent), shared, percent), "meetings")
+        own = _prefixes(docs, shared, buckets, k, percent).join(groups.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).drop("rep")
+        met = stage(_meetings(_blocks(own, buckets), shared, percent), "meetings")
         heavy = met.filter(F.col("kind") == HEAVY).select(F.shiftleft("doc", 32).bitwiseOR(F.col("grp")).alias("key")).limit(TOLD + 1).toPandas()["key"].to_numpy(np.int64)
         if not len(heavy):
             return met
@@ -278,9 +339,9 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return stage(_full_sets(docs.join(small(ids, SLIM_ROWS), F.col("doc_id") == F.col("_id"), "left_semi"), k), "members", "lz4")
 
 
-def _group_number(comp: str, n: str) -> Column:
-    low = F.xxhash64(comp).bitwiseAND(0x7FFFFFFF)
-    return F.when(F.coalesce(F.col(n), F.lit(1)) >= BIG_ROWS, low.bitwiseOR(1 << 31)).otherwise(low)
+def _group_number(comp: str, n: str | None = None) -> Column:
+    low = F.pmod(F.col(comp), F.lit(GROUPS))
+    return low if n is None else F.when(F.coalesce(F.col(n), F.lit(1)) >= BIG_ROWS, low.bitwiseOR(F.lit(1 << 31))).otherwise(low)
 
 
 def _candidate_links(docs: DataFrame, classes: DataFrame, shared: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
@@ -289,10 +350,9 @@ def _candidate_links(docs: DataFrame, classes: DataFrame, shared: np.ndarray, bu
     labels = _labels(edges)
     counts = labels.groupBy("component").agg(F.count("*").alias("n"))
     kin = stage(labels.join(counts, "component").select("node", "component", _group_number("component", "n").alias("g")), "kin")
-    own = F.coalesce("g", F.xxhash64("rep").bitwiseAND(0x7FFFFFFF)).alias("g")
+    own = F.coalesce("g", _group_number("rep")).alias("g")
     asking = stage(classes.select("rep").distinct().join(small(kin.select("node", "g"), SLIM_ROWS), F.col("rep") == F.col("node"), "left").select("rep", own), "asking")
-    grouped = docs.join(small(asking, SLIM_ROWS), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "g")
-    met = matrix(grouped, shared, buckets, k, percent)
+    met = matrix(docs, asking, shared, buckets, k, percent)
     sizes = classes.groupBy(F.col("rep").alias("doc")).agg(F.max("n_shingles").alias("size"))
     least = F.floor(F.col("size") * EXTRA * percent / 10_000)
     asks = met.filter(F.col("kind") == MET).groupBy("doc", "grp").agg(F.sum("n").alias("n")).join(sizes, "doc").filter(F.col("n") >= least).select("doc", "grp")
@@ -300,7 +360,7 @@ def _candidate_links(docs: DataFrame, classes: DataFrame, shared: np.ndarray, bu
     if not asks.limit(1).count():
         return edges
     members = sizes.select("doc").join(kin, F.col("doc") == F.col("node"), "left")
-    members = members.select("doc", F.coalesce("component", "doc").alias("comp"), F.coalesce("g", F.xxhash64("doc").bitwiseAND(0x7FFFFFFF)).alias("grp"))
+    members = members.select("doc", F.coalesce("component", "doc").alias("comp"), F.coalesce("g", _group_number("doc")).alias("grp"))
     members = stage(members.join(asks.select("grp").distinct(), "grp", "left_semi"), "members")
     # first the leaders of the groups
     leads = members.groupBy("grp").agg(F.min("doc").alias("leader"), F.count("*").alias("n"))
