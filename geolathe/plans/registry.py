@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import geometry as geo
 from ..functions import indices as ix
-from ..operators import catalog, inversion, network, raster
+from ..operators import catalog, detect, inversion, network, raster
 from ..sources import tables as t
 from ..streaming import monitor
 
@@ -169,6 +169,26 @@ _add("adi_ps_select", f"SELECT row, col, {_r('stddev_pop(abs(v)) / avg(abs(v))')
 _add("temporal_coherence", f"SELECT row, col, {_r('sqrt(pow(avg(cos(v)), 2) + pow(avg(sin(v)), 2))')} AS gamma FROM {PIXELS} GROUP BY row, col")(lambda s, d: t.rasters(s, d).groupBy("row", "col").agg(r6(F.sqrt(F.pow(F.avg(F.cos("v")), 2) + F.pow(F.avg(F.sin("v")), 2))).alias("gamma")))
 _add("risk_index", f"SELECT scene_id, row, col, {_r('0.6 * greatest(least(1.0, abs(v) / 0.5), least(1.0, abs(zx) / 0.3), least(1.0, abs(zy) / 0.3)) + 0.4 * (least(1.0, abs(v) / 0.5) + least(1.0, abs(zx) / 0.3) + least(1.0, abs(zy) / 0.3)) / 3')} AS risk FROM ({_GRAD})")(lambda s, d: raster.gradient(t.rasters(s, d)).withColumn("f", F.array(*[F.least(F.lit(1.0), F.abs(c) / k) for c, k in (("v", 0.5), ("zx", 0.3), ("zy", 0.3))])).select("scene_id", "row", "col", r6(0.6 * F.array_max("f") + 0.4 * F.aggregate("f", F.lit(0.0), lambda a, x: a + x) / 3).alias("risk")))
 
+# detectors and measures
+_BOX2 = lambda src, cols, k: f"SELECT a.scene_id, a.row, a.col, {cols} FROM ({src}) a JOIN ({src}) b ON a.scene_id = b.scene_id AND abs(b.row - a.row) <= {k // 2} AND abs(b.col - a.col) <= {k // 2} GROUP BY a.scene_id, a.row, a.col"
+_RING = _BOX2(f"SELECT * FROM {PIXELS}", "any_value(a.v) AS v, avg(CASE WHEN abs(b.row - a.row) > 1 OR abs(b.col - a.col) > 1 THEN b.v END) AS m, stddev_pop(CASE WHEN abs(b.row - a.row) > 1 OR abs(b.col - a.col) > 1 THEN b.v END) AS s", 7)
+_add("cfar_targets", f"SELECT {_KEY}, {_r('m')} AS ring_mean, {_r('s')} AS ring_std, v > m + 2.0 * s AS target FROM ({_RING})")(lambda s, d: detect.bright_targets(t.rasters(s, d), 3, 7, 2.0).select("scene_id", "row", "col", r6(F.col("ring_mean")).alias("ring_mean"), r6(F.col("ring_std")).alias("ring_std"), "target"))
+_LEVEL = f"SELECT scene_id, row, col, q, q - coalesce(lag(q) OVER (PARTITION BY scene_id, row ORDER BY col), last_value(q) OVER (PARTITION BY scene_id, row ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS d FROM (SELECT *, floor(63 * coalesce((v - min(v) OVER (PARTITION BY scene_id)) / nullif(max(v) OVER (PARTITION BY scene_id) - min(v) OVER (PARTITION BY scene_id), 0), 0)) AS q FROM {PIXELS})"
+_px("texture", "contrast dissimilarity homogeneity asm", _BOX2(_LEVEL, "avg(b.d * b.d) AS contrast, avg(abs(b.d)) AS dissimilarity, avg(1 / (1 + b.d * b.d)) AS homogeneity, 1 / (1 + greatest(0.0, avg(b.q * b.q) - avg(b.q) * avg(b.q))) AS asm", 5), detect.texture)
+_px("despeckle_enhanced_lee", "out", f"SELECT *, (1 - w) * m + w * v AS out FROM (SELECT *, CASE WHEN cv <= t THEN 0.0 WHEN cv > 3 * t THEN 1.0 ELSE (cv - t) / (2 * t + 1e-10) END AS w FROM (SELECT *, sqrt(var) / (m + 1e-10) AS cv, 1 / sqrt(1 + 1e-10) AS t FROM ({_MOM})))", lambda p: raster.despeckle(p, "enhanced_lee"))
+_D8 = "(VALUES (0, -1, -1), (1, -1, 0), (2, -1, 1), (3, 0, -1), (4, 0, 1), (5, 1, -1), (6, 1, 0), (7, 1, 1)) AS o(i, dr, dc)"
+_add("d8_direction", f"SELECT {_KEY}, CAST(CASE WHEN max(z) > 0 THEN arg_min(i, (-z, i)) ELSE -1 END AS INT) AS direction FROM (SELECT a.scene_id, a.row, a.col, o.i, (a.v - b.v) / sqrt(o.dr * o.dr + o.dc * o.dc) AS z FROM {PIXELS} a, {_D8}, {PIXELS} b WHERE b.scene_id = a.scene_id AND b.row = a.row + o.dr AND b.col = a.col + o.dc) GROUP BY {_KEY}")(lambda s, d: detect.flow_direction(t.rasters(s, d)))
+_px("dos1", "out", f"SELECT p.*, CASE WHEN v > 0 THEN v - dark ELSE 0 END AS out FROM {PIXELS} p LEFT JOIN (SELECT scene_id, quantile_cont(v, 0.01) AS dark FROM {PIXELS} WHERE v > 0 GROUP BY scene_id) USING (scene_id)", detect.subtract_dark)
+_px("despike_median", "out", f"SELECT a.scene_id, a.row, a.col, median(b.v) AS out FROM {PIXELS} a, (SELECT unnest([-1, 0, 1]) AS dr), (SELECT unnest([-1, 0, 1]) AS dc), {PIXELS} b WHERE b.scene_id = a.scene_id AND b.row = greatest(0, least(7, a.row + dr)) AND b.col = greatest(0, least(7, a.col + dc)) GROUP BY a.scene_id, a.row, a.col", detect.median_3x3)
+_COH = _BOX2(f"SELECT * FROM {_PAIRS}", "sqrt(pow(sum(cos(b.a - b.b)), 2) + pow(sum(sin(b.a - b.b)), 2)) / count(*) AS coherence", 5)
+_add("coherence_window", f"SELECT {_KEY}, {_r('coherence')} AS coherence FROM ({_COH})")(lambda s, d: detect.coherence(_pairs(s, d).select("scene_id", "row", "col", F.cos("a").alias("re1"), F.sin("a").alias("im1"), F.cos("b").alias("re2"), F.sin("b").alias("im2"))).withColumn("coherence", r6(F.col("coherence"))))
+_mid = lambda c, part, by: f"(lead({c}) OVER (PARTITION BY scene_id, {part} ORDER BY {by}) - lag({c}) OVER (PARTITION BY scene_id, {part} ORDER BY {by})) / 2"
+_add("strain_tensor", f"SELECT {_KEY}, {_r(_mid('a', 'row', 'col'))} AS exx, {_r(_mid('b', 'col', 'row'))} AS eyy, {_r('(' + _mid('a', 'col', 'row') + ' + ' + _mid('b', 'row', 'col') + ') / 2')} AS exy FROM {_PAIRS}")(lambda s, d: detect.strain(_pairs(s, d).withColumnsRenamed({"a": "dx", "b": "dy"})).select("scene_id", "row", "col", *[r6(F.col(c)).alias(c) for c in ("exx", "eyy", "exy")]))
+_add("structure_function", " UNION ALL ".join(f"SELECT {n} AS lag, {_r('sqrt(avg(d * d))')} AS rms, count(d) AS n FROM (SELECT v - lag(v, {n}) OVER (PARTITION BY scene_id, row ORDER BY col) AS d FROM {PIXELS})" for n in (1, 2, 4)))(lambda s, d: detect.structure_function(t.rasters(s, d)).withColumn("rms", r6(F.col("rms"))))
+for _h, _op in {"union": "OR", "intersection": "AND"}.items():
+    _add(f"flood_fusion_{_h}", f"SELECT scene_id, row, col, CASE WHEN abs(a) < 1.5 THEN (a > 0.2) {_op} (b < -0.2) ELSE b < -0.2 END AS flood FROM {_PAIRS}")(lambda s, d, op=_op: _pairs(s, d).select("scene_id", "row", "col", F.expr(f"CASE WHEN abs(a) < 1.5 THEN (a > 0.2) {op} (b < -0.2) ELSE b < -0.2 END").alias("flood")))
+_add("kmeans_pixels", None)(lambda s, d: detect.kmeans(t.bands(s, d).select("l_orderkey", "l_linenumber", "green", "red", "nir"), ["green", "red", "nir"]))
+
 # time series of parts
 _T = "date_diff('day', DATE '1970-01-01', date) / 365.25"
 _add("pixel_trend", f"SELECT l_partkey, {_r(f'regr_slope(dn, {_T})')} AS slope, count(dn) AS n FROM {BANDS} GROUP BY l_partkey HAVING count(DISTINCT date) >= 2")(lambda s, d: raster.trend(t.bands(s, d), ["l_partkey"], value="dn").filter("slope IS NOT NULL").withColumn("slope", r6(F.col("slope"))))
