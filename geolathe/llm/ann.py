@@ -6,6 +6,10 @@ stand, where the strings with the longest common prefix lie around it; it takes
 that enough strings share. The trees ascend together: what most trees have found, and with the longest prefixes,
 comes first, until there are enough candidates, whose distances are computed exactly.
 
+A query is settled when its k best were among the first SETTLED of its candidates and none of the many that
+followed came near. The others, as those of unstructured vectors on large tables, are compared with every vector:
+their number times that of the vectors is the work, which no count of candidates bounds.
+
 Rows with one vector are indexed as one and keep their k + 1 smallest ids, more of which no result can need, so
 very common vectors neither fill a range nor crowd out others. A query at the edge of a range sees one side only
 in that tree; the other trees make up for it.
@@ -33,6 +37,10 @@ BITS = 48
 #: Strings that a query wants from each tree, and candidates from all.
 PER_TREE = 800
 CANDIDATES = 10_000
+#: Share of the candidates that must hold the k best of a settled query.
+SETTLED = 0.25
+#: Queries that one pass over all vectors compares, and those of them that are compared together.
+PASS, TOGETHER = 20_000, 256
 #: Rows that the thresholds are fitted on, by a hash of the id.
 SAMPLE = 20_000
 
@@ -108,12 +116,52 @@ def _finds(index: DataFrame, bits: int, per_tree: int) -> DataFrame:
 
 
 def _distances(pairs: DataFrame) -> DataFrame:
+    """(query, node, r, score) of (query, node, v, qv, r)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = _matrix(batch.column(2)) - _matrix(batch.column(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sqrt((d * d).sum(1)))], names=["query", "ids", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(np.sqrt((d * d).sum(1)))], names=["query", "node", "r", "score"])
+
+    return pairs.mapInArrow(run, "query long, node long, r int, score double")
 
-    return pairs.mapInArrow(run, "query long, ids array<long>, score double")
+
+def _best_of_all(nodes: DataFrame, queries: list[tuple[int, list[float]]], most: int) -> DataFrame:
+    """(query, node, score): the ``most`` nearest nodes of each query in each partition of all nodes, by exact distances."""
+    names, q = [n for n, _ in queries], np.array([v for _, v in queries])
+    square = (q * q).sum(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
+        for batch in batches:
+            node, v = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            own = (v * v).sum(1)
+            for at in range(0, len(names) if len(node) else 0, TOGETHER):
+                rough = square[at : at + TOGETHER, None] + own - 2 * q[at : at + TOGETHER] @ v.T
+                # rounding may change the order of near ties: what is within it is computed again
+                slack = 1e-9 * (square[at : at + TOGETHER, None] + own.max())
+                edge = np.partition(rough, min(most, len(node)) - 1, 1)[:, [min(most, len(node)) - 1]] + slack
+                for i, near in enumerate(rough <= edge, at):
+                    d = v[near] - q[i]
+                    score, ids = np.concatenate((best[i][0], np.sqrt((d * d).sum(1)))), np.concatenate((best[i][1], node[near]))
+                    order = np.lexsort((ids, score))[:most]
+                    best[i] = score[order], ids[order]
+        n = [len(ids) for _, ids in best]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), n)), pa.array(np.concatenate([ids for _, ids in best])), pa.array(np.concatenate([d for d, _ in best]))], names=["query", "node", "score"])
+
+    return nodes.select("node", "v").mapInArrow(run, "query long, node long, score double")
+
+
+def _unsettled(nodes: DataFrame, asks: DataFrame, most: int) -> DataFrame:
+    """(query, node, score) of the ``asks`` (a staged table), PASS of them in a pass."""
+    parts = asks.count() // PASS + 1
+    out = None
+    for part in range(parts):
+        some = asks.filter(F.pmod(F.xxhash64("query"), F.lit(parts)) == part).select("query", "qv").collect()
+        if some:
+            one = stage(_best_of_all(nodes, [(r["query"], r["qv"]) for r in some], most), "compared")
+            out = one if out is None else out.unionByName(one)
+    return nodes.sparkSession.createDataFrame([], "query long, node long, score double") if out is None else out
 
 
 def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, trees: int = TREES, bits: int = BITS, per_tree: int = PER_TREE, candidates: int = CANDIDATES, sample: int = SAMPLE) -> DataFrame:
@@ -134,18 +182,33 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
     if n > sample:
         some = some.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     forest = Forest(np.array([r["v"] for r in some.select("v").collect()]), trees, bits)  # about ``sample`` rows
-    # a query's position in the arrays is marked by a row of its own
-    asks = stage(asked.select(F.col("id").alias("query"), F.col("v").alias("qv")), "asked")
+    # a query vector's position in the arrays is marked by a row of its own; ids that share it get its result
+    asked = asked.withColumn("h", key)
+    asks = stage(asked.groupBy("h", F.col("v").alias("qv")).agg(F.min("id").alias("query")).select("query", "qv"), "asked")
+    # an id with several vectors is the smallest of each: then vectors are told apart by a hash
+    if asks.groupBy("query").count().filter("count > 1").limit(1).count():
+        asks = stage(asks.withColumn("query", F.xxhash64("query", "qv")), "asked")
+    sharing = stage(asked.join(asks, asked["v"] == asks["qv"]).select("query", F.col("id").alias("query_id")), "sharing")
     both = nodes.select("node", "v", F.lit(False).alias("asks")).unionByName(asks.select(F.col("query").alias("node"), F.col("qv").alias("v"), F.lit(True).alias("asks")))
     index = stage(_hashed(both, forest), "strings")
     ordered = index.repartitionByRange("tree", "string", "node").sortWithinPartitions("tree", "string", "node")
-    finds = _finds(ordered, bits, per_tree).join(nodes.select("node"), "node", "left_semi")
-    finds = finds.groupBy("query", "node").agg(F.sum("depth").alias("depth"), F.count("*").alias("trees"))
-    up = W.partitionBy("query").orderBy(F.desc("trees"), F.desc("depth"), "node")
-    chosen = stage(finds.withColumn("r", F.row_number().over(up)).filter(F.col("r") <= candidates).select("query", "node"), "candidates")
     # the query's own vector is a candidate, as other rows may share it
-    same = asks.join(nodes, asks["qv"] == nodes["v"]).select("query", "node")
-    pairs = chosen.unionByName(same).distinct().join(nodes, "node").join(small(asks), "query").select("query", "ids", "v", "qv")
-    found = _distances(pairs).select("query", F.explode("ids").alias("id"), "score").filter("id != query")
-    best = W.partitionBy("query").orderBy("score", "id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+    same = asks.join(nodes, asks["qv"] == nodes["v"]).select("query", "node", F.lit(bits * trees).cast("int").alias("depth"))
+    finds = _finds(ordered, bits, per_tree).join(nodes.select("node"), "node", "left_semi").unionByName(same).groupBy("query", "node").agg(F.sum("depth").alias("depth"), F.count("*").alias("trees"))
+    up = W.partitionBy("query").orderBy(F.desc("trees"), F.desc("depth"), "node")
+    chosen = stage(finds.withColumn("r", F.row_number().over(up)).filter(F.col("r") <= candidates).select("query", "node", "r"), "candidates")
+    # the most vectors that an asked id has, all of which its own results leave out
+    several = rows.join(asked.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.countDistinct("v").alias("n")).agg(F.max("n")).first()[0] or 0
+    most = k + max(several, 1)
+    near = W.partitionBy("query").orderBy("score", "node")
+    pairs = chosen.join(nodes.select("node", "v"), "node").join(small(asks), "query").select("query", "node", "v", "qv", "r")
+    found = stage(_distances(pairs).withColumn("near", F.row_number().over(near)).filter(F.col("near") <= most), "found")
+    total = chosen.groupBy("query").agg(F.count("*").alias("n"))
+    last = found.filter(F.col("near") <= k).groupBy("query").agg(F.max("r").alias("r"), F.count("*").alias("have"))
+    settled = stage(total.join(last, "query").filter((F.col("n") >= n) | ((F.col("have") == k) & (F.col("r") <= SETTLED * F.col("n")))).select("query"), "settled")
+    rest = stage(asks.join(settled, "query", "left_anti"), "rest")
+    scored = found.join(settled, "query", "left_semi").select("query", "node", "score").unionByName(_unsettled(nodes, rest, most))
+    scored = scored.withColumn("near", F.row_number().over(near)).filter(F.col("near") <= most)
+    best = W.partitionBy("query_id").orderBy("score", "id")
+    found = scored.join(nodes.select("node", "ids"), "node").join(sharing, "query").select("query_id", F.explode("ids").alias("id"), "score").filter("id != query_id").distinct()
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
