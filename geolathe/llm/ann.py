@@ -103,14 +103,18 @@ def _finds(index: DataFrame, bits: int, per_tree: int) -> DataFrame:
         table = pa.concat_tables(got)
         tree, string, node = (table.column(c).to_numpy() for c in ("tree", "string", "node"))
         asks = table.column("asks").to_numpy(zero_copy_only=False)
-        for p in np.flatnonzero(asks):
-            lo, hi = np.searchsorted(tree, [tree[p], tree[p] + 1])
-            a, b = max(lo, p - 2 * per_tree), min(hi, p + 2 * per_tree + 1)
-            depth = _shared_bits(string[a:b], int(string[p]), bits)
-            depth[p - a] = -1
+        asked, before = np.flatnonzero(asks), np.cumsum(~asks)
+        queries = list(zip(tree[asked], string[asked], node[asked], before[asked]))
+        tree, string, node = tree[~asks], string[~asks], node[~asks]  # markers fill no range
+        for t, s, query, p in queries:
+            lo, hi = np.searchsorted(tree, [t, t + 1])
+            a, b = max(lo, p - 2 * per_tree), min(hi, p + 2 * per_tree)
+            if a >= b:
+                continue
+            depth = _shared_bits(string[a:b], int(s), bits)
             enough = np.sort(depth)[::-1][min(per_tree, len(depth)) - 1]
-            take = np.flatnonzero((depth >= enough) & (depth >= 0))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), node[p])), pa.array(node[a:b][take]), pa.array(depth[take])], names=["query", "node", "depth"])
+            take = np.flatnonzero(depth >= enough)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), query)), pa.array(node[a:b][take]), pa.array(depth[take])], names=["query", "node", "depth"])
 
     return index.mapInArrow(run, "query long, node long, depth int")
 
@@ -194,7 +198,7 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
     ordered = index.repartitionByRange("tree", "string", "node").sortWithinPartitions("tree", "string", "node")
     # the query's own vector is a candidate, as other rows may share it
     same = asks.join(nodes, asks["qv"] == nodes["v"]).select("query", "node", F.lit(bits * trees).cast("int").alias("depth"))
-    finds = _finds(ordered, bits, per_tree).join(nodes.select("node"), "node", "left_semi").unionByName(same).groupBy("query", "node").agg(F.sum("depth").alias("depth"), F.count("*").alias("trees"))
+    finds = _finds(ordered, bits, per_tree).unionByName(same).groupBy("query", "node").agg(F.sum("depth").alias("depth"), F.count("*").alias("trees"))
     up = W.partitionBy("query").orderBy(F.desc("trees"), F.desc("depth"), "node")
     chosen = stage(finds.withColumn("r", F.row_number().over(up)).filter(F.col("r") <= candidates).select("query", "node", "r"), "candidates")
     # the most vectors that an asked id has, all of which its own results leave out
