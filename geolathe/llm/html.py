@@ -5,7 +5,8 @@ and whether the nearest marked container around it is one of content or of trimm
 the small labelled table below, keeps or drops each block; kept blocks are joined by line breaks.
 
 Defined results: null or empty html has an empty text; broken markup is read as far as it goes; repeated rows are
-extracted each; an empty table gives no rows; other columns stay, but for ``text``, which is replaced.
+extracted each; an empty table gives no rows; of a skipped element without an end only the tag is skipped, but for
+raw text, which goes to the end of the page; a head's tags only end a block; other columns stay, but for ``text``, which is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Elements by what they do to the flow of text.
-SKIPPED = "script style noscript template head title svg math button select textarea iframe object canvas audio video map".split()
+SKIPPED = "script style noscript template title svg math button select textarea iframe object canvas audio video map".split()
+RAW = "script style textarea".split()
+NESTED = "template svg math object".split()
 BLOCKS = "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 CONTAINERS = "article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul span p".split()
 CONTENT = "article main".split()
@@ -32,9 +35,15 @@ TRIMMINGS_HINT = re.compile(
 )
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<skip>" + "|".join(SKIPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=skip)\s*>|.*\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+# the tags of one element, past comments and raw text
+_TAGS = {
+    n: re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)(?=[\s/>])|\Z)|<(?P<end>/?)" + n + r"(?=[\s/>])(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+    for n in SKIPPED if n not in RAW
+}
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in RAW}
 _HINTS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLOCK, _BOX = frozenset(BLOCKS), frozenset(CONTAINERS)
 
@@ -60,6 +69,25 @@ LABELLED = [
 ]
 
 
+def _closed(html: str, name: str) -> dict[int, int]:
+    """Where the elements of a name end, by where their tags start: of those that do."""
+    out: dict[int, int] = {}
+    opened: list[int] = []
+    for m in _TAGS[name].finditer(html):
+        if m["end"] is None:
+            continue
+        if m["end"]:
+            if opened:
+                out[opened.pop()] = m.end()
+        elif m["attrs"].endswith("/"):
+            out[m.start()] = m.end()
+        else:
+            if name not in NESTED:
+                opened.clear()  # an element that cannot hold its like has been left open
+            opened.append(m.start())
+    return out
+
+
 def blocks(html: str) -> tuple[list[str], list[tuple]]:
     """The text blocks of a page, and (words, links, inside, outside, heading) of each."""
     texts: list[str] = []
@@ -79,7 +107,10 @@ def blocks(html: str) -> tuple[list[str], list[tuple]]:
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(html):
+    at = 0
+    ends_of: dict[str, dict[int, int]] = {}
+    while m := _TOKEN.match(html, at):
+        at = m.end()
         text = m["text"]
         if text is not None:
             parts.append(text)
@@ -88,11 +119,23 @@ def blocks(html: str) -> tuple[list[str], list[tuple]]:
             continue
         name = m["name"]
         if name is None:
-            if m["skip"] and m["skip"].lower() in ("head", "title"):
-                close()
             continue
         name = name.lower()
         ends = bool(m["end"])
+        if name == "head":
+            close()
+            continue
+        if name in RAW and not ends:
+            end = _RAW_END[name].search(html, at)
+            at = end.end() if end else len(html)
+            continue
+        if name in SKIPPED and not ends:
+            if name not in ends_of:
+                ends_of[name] = _closed(html, name)
+            at = ends_of[name].get(m.start(), at)
+            if name == "title":
+                close()
+            continue
         if name == "br":
             parts.append("\n")
             continue

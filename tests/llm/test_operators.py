@@ -135,6 +135,17 @@ def test_html():
     assert ((html.predict(html.trained(), rows[:, :-1]) >= 0.5) == (rows[:, -1] == 1)).all()
 
 
+def test_html_skipped_elements_left_open():
+    article = "<article><p>First of the words.</p><p>Second of the words.</p></article>"
+    want = "First of the words.\nSecond of the words."
+    for before in ("<head><title>T</title><meta charset=x><body>", "<head><script>var a</script>", "<svg class=x />", "<math/>", "<iframe src='x'/>", "<canvas/>", "<button>", "<select><option>", "<map>", "<object data=x>", "<button-group>", "<svg><svg></svg>hidden</svg>", "<title>T</title>", "<button>B</button>"):
+        page = f"<html>{before}{article}<div class=ad><button>No</button><select><option>o</select></div></html>"
+        texts = html.main_text(page)
+        assert texts == want, before
+    assert html.main_text(article + "<script>var a = '<p>Never</p>'") == want
+    assert html.main_text("<html><head><title>T</title>x.y { }</head><body>" + article) == want
+
+
 def _links(rows) -> dict:
     sets = {}
     for i, t, *_ in rows:
