@@ -149,11 +149,14 @@ def _plain(e: Column, d: Column, noise: Column, keep: int = 0) -> Column:
     return _fill(e, F.concat(F.substr(d, F.lit(1), F.lit(keep)), _some_digits(noise, keep, F.length(d) - 1)))
 
 
-def _invented(word: Column, noise: Column) -> Column:
+def _invented(word: Column, noise: Column, attempt: Column) -> Column:
+    """A surname with a syllable more for each attempt, so that there are always more of them than names."""
+
     def made(script: str) -> Column:
         s, ends = (F.array(*map(F.lit, x[script])) for x in (_SYLLABLES, _ENDS))
         part = lambda i: F.element_at(s, _number(noise, F.lit(i), len(_SYLLABLES[script])) + 1)
-        return F.initcap(F.concat(part(0), part(1), part(2), F.element_at(ends, _number(noise, F.lit(3), len(_ENDS[script])) + 1)))
+        more = F.array_join(F.transform(F.slice(F.sequence(F.lit(3), attempt + 4), 2, attempt), lambda i: F.element_at(s, _number(noise, i, len(_SYLLABLES[script])) + 1)), "")
+        return F.initcap(F.concat(part(0), part(1), part(2), more, F.element_at(ends, _number(noise, F.lit(3), len(_ENDS[script])) + 1)))
 
     return F.when(word.rlike(r"^\p{IsCyrillic}"), made("cyrillic")).otherwise(made("latin"))
 
@@ -179,15 +182,17 @@ def surrogates(entities: Column, key: str, attempt) -> Column:
     a = F.transform(a, lambda x: F.struct(x.e.alias("e"), x.k.alias("k"), x.n.alias("n"), F.when(x.k == "person", _last_word(x.n)).otherwise(x.n).alias("root")))
     second = lambda x: F.when(x.k == "email", F.regexp_extract(x.n, "@(.+)$", 1)).when(x.k == "person", F.when(F.contains(x.n, F.lit(" ")), F.split(x.n, " ")[0]))
     a = F.transform(a, lambda x: F.struct(x.e.alias("e"), x.k.alias("k"), x.n.alias("n"), x.root.alias("root"), second(x).alias("other"), attempt(x.root).cast("string").alias("t")))
+    # a given name outside the list changes with its surname's attempt, as two may have one surrogate
+    later = lambda x: [F.when((x.k == "person") & (x.t != "0"), x.t)]
     noise = lambda *parts: F.sha2(F.concat_ws("|", F.lit(key), *parts), 512)
-    a = F.transform(a, lambda x: F.struct(x.e.alias("e"), x.k.alias("k"), x.n.alias("n"), x.root.alias("root"), x.other.alias("other"), noise(x.k, x.t, x.root).alias("z"), noise(x.k, F.lit("other"), x.other).alias("y")))
+    a = F.transform(a, lambda x: F.struct(x.e.alias("e"), x.k.alias("k"), x.n.alias("n"), x.root.alias("root"), x.other.alias("other"), x.t.cast("int").alias("t"), noise(x.k, x.t, x.root).alias("z"), noise(x.k, F.lit("other"), *later(x), x.other).alias("y")))
 
     def made(x: Column) -> Column:
         e, k, n, z = x.e, x.k, x.n, x.z
         email = F.concat(_alike(F.regexp_extract(e, "^([^@]+)@", 1), z), F.lit("@"), _alike(F.regexp_extract(x.other, r"^(.+)\.[^.]+$", 1), x.y), F.regexp_extract(x.other, r"\.[^.]+$", 0))
         head = F.coalesce(F.nullif(F.regexp_extract(e, rf"^{_SECRET_NAME}\s*[=:]\s*[\"']?", 0), F.lit("")), F.regexp_extract(e, r"^(?:AKIA|gh[pousr]_|sk-)", 0))
         title = F.regexp_extract(e, rf"^(?:(?:{_TITLE})\.? )?", 0)
-        first = F.concat(F.coalesce(_given(x.other, key), _invented(x.other, x.y)), F.lit(" "))
+        first = F.concat(F.coalesce(_given(x.other, key), _invented(x.other, x.y, x.t)), F.lit(" "))
         return (
             F.when(k == "email", email)
             .when(k == "secret", _let(head, lambda h: F.concat(h, _alike(F.substr(e, F.length(h) + 1), z))))
@@ -196,7 +201,7 @@ def surrogates(entities: Column, key: str, attempt) -> Column:
             .when(k == "iban", F.concat(F.substr(e, F.lit(1), F.lit(2)), _alike(F.substr(e, F.lit(3)), z)))
             .when(k == "card", F.when(_luhn_sum(n) % 10 == 0, _card(e, n, z)))
             .when(k == "phone", _plain(e, n, z, 1))
-            .otherwise(F.concat(title, F.when(x.other.isNotNull(), first).otherwise(F.lit("")), _invented(x.root, z)))
+            .otherwise(F.concat(title, F.when(x.other.isNotNull(), first).otherwise(F.lit("")), _invented(x.root, z, x.t)))
         )
 
     return F.transform(a, made)

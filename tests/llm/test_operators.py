@@ -269,6 +269,15 @@ def test_distinct_numbers_stay_distinct(spark):
     assert len(set(found)) == 400
 
 
+def test_more_surnames_than_surrogates_of_one_length(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_SYLLABLES", {"latin": ["bar", "bel"], "cyrillic": ["бар", "бел"]})
+    monkeypatch.setattr(pii, "_ENDS", {"latin": ["son"], "cyrillic": ["ский"]})
+    names = ["Q" + a + b + "q" for a in "abcd" for b in "efghi"]
+    rows = [(i, f"Mr {n} came") for i, n in enumerate(names)]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(set(got)) == 20 and not any(n in t for n in names for t in got)
+
+
 def test_classifier_on_held_out_rows(spark):
     rng = random.Random(5)
     words = ["".join(rng.choices("abcdefg", k=5)) for _ in range(400)]
