@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import SLIM_ROWS, small, stage
+from ._tables import SLIM_ROWS, running_before, small, stage
 from ._words import chunks, mix, shingle_sets
 from .components import components
 
@@ -92,8 +92,8 @@ def survey(docs: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
                 many = runs >= SUSPECT
                 t, runs = t[edge[many]], runs[many]
                 nulls = pa.nulls(len(t), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(row, len(n)), pa.array(n, pa.int64()), _signed(np.array(a, np.uint64)), _signed(np.array(b, np.uint64)), pa.array(low, pa.binary()), pa.array([False] * len(n))], names=["doc_id", "n_shingles", "sig_a", "sig_b", "low", "suspect"])
-                yield pa.RecordBatch.from_arrays([nulls, pa.array(runs.astype(np.int64)), _signed(t), nulls, pa.nulls(len(t), pa.binary()), pa.array([True] * len(t))], names=["doc_id", "n_shingles", "sig_a", "sig_b", "low", "suspect"])
+                yield pa.RecordBatch.from_arrays([ids.slice(row, len(n)), pa.array(n, pa.int64()), _signed(np.array(a, np.uint64)), _signed(np.array(b, np.uint64)), pa.array(low, pa.binary()), pa.array([False] * len(n), pa.bool_())], names=["doc_id", "n_shingles", "sig_a", "sig_b", "low", "suspect"])
+                yield pa.RecordBatch.from_arrays([nulls, pa.array(runs.astype(np.int64)), _signed(t), nulls, pa.nulls(len(t), pa.binary()), pa.array([True] * len(t), pa.bool_())], names=["doc_id", "n_shingles", "sig_a", "sig_b", "low", "suspect"])
 
     found = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS + ", suspect boolean"), "sets")
     sets = found.filter(~F.col("suspect")).drop("suspect")
@@ -403,7 +403,17 @@ def join_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows of a component other than one of its smallest id; rows without an id or a component stay."""
-    groups = join_groups(docs, doc_id, text)
-    dropped = stage(groups.filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-    return docs.join(small(dropped), F.col(doc_id) == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each component, one of its smallest id; rows without an id or a component stay."""
+    own = F.col(doc_id).cast("long")
+    repeated = docs.filter(own.isNotNull()).groupBy(own.alias("_id")).count().filter("count > 1").limit(1).count()
+    if not repeated:
+        groups = join_groups(docs, doc_id, text)
+        dropped = stage(groups.filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
+        return docs.join(small(dropped), own == F.col("_gone"), "left_anti")
+    # where ids are repeated, rows are joined by their number in the order of the ids
+    rows = stage(docs.withColumn("_id", own).withColumn("_row", F.monotonically_increasing_id()).withColumn("_one", F.lit(1)), "rows")
+    slim = stage(running_before(rows.filter("_id IS NOT NULL").select("_id", "_row", "_one"), "_one", ["_id", "_row"], out="_number").select("_row", "_number"), "numbers")
+    rows = stage(rows.join(slim, "_row", "left").drop("_row", "_id", "_one"), "rows")
+    groups = join_groups(rows, "_number", text)
+    dropped = stage(groups.filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")), "dropped")
+    return rows.join(small(dropped), F.col("_number") == F.col("_gone"), "left_anti").select(*docs.columns)

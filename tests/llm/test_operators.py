@@ -177,6 +177,14 @@ def test_ngram_join(docs, none, rows):
     assert ngram_join.join_groups(none).count() == 0
 
 
+def test_keep_one_decides_on_rows(spark):
+    one, two, three = ("".join(f"{w}{i} " for i in range(30)) for w in "abc")
+    rows = [(1, one), (1, one), (2, one), (3, one), (3, two), (4, two), (5, three), (None, one), (None, one)]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.columns == ["doc_id", "text"]
+    assert Counter(map(tuple, got.collect())) == Counter([(1, one), (3, two), (5, three), (None, one), (None, one)])
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (None, 5), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(edges).collect()}
