@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -13,17 +14,19 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when it has been counted and has at most this many (slim) rows.
 BROADCAST_ROWS = 20_000
 
-#: The same for a table of ids alone.
-SLIM_ROWS = 200_000
+#: The same for a table of ids alone (16 MB as Spark holds them).
+SLIM_ROWS = 1_000_000
 
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset and all runs in this process."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="geolathe-"))
     return _own_dir[0]
@@ -37,7 +40,25 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` as columns that ``df`` does not have, whatever its own are called."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(f"{mark}{n}" in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import stage
+from ._tables import drop, stage
 
 
 def _lowest(both: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         large = stage(large, "edges")
         m = _lowest(large)  # v < u in each row
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
-        e = stage(small.filter(F.col("u") != F.col("v")).distinct(), "edges")
+        old, e = e, stage(small.filter(F.col("u") != F.col("v")).distinct(), "edges")
+        drop(old), drop(large)
         last, mark = mark, _mark(e)
         if mark == last:
             break

@@ -1,22 +1,22 @@
 """Exact Jaccard join of whole texts on word shingles through a token-group matrix.
 
-1. One pass over the texts gives each text's set size and a 128-bit fingerprint of its set (equal sets are one
-   class, whose representative is its smallest id) and finds shingles that many texts share.
-2. A second pass orders each set by (shared by many, hash) and keeps its prefix: the size - need + extra first
-   shingles, where need is the least overlap that the threshold allows. Two linked sets have at least the smaller
-   ``extra`` of shingles of their prefixes in common, whatever the common order is. 
-3. The matrix (shingle, group) is built in hash buckets, from one text of each class. Each text counts the shingles
-   of its prefix that members of a group have whose sizes allow a link; a group with too few for a partner of the
-   text's size cannot hold one and is not opened.
-4. Each text is compared with the leaders of the groups that qualify. Where a group is
-   not yet in the same component as a text, the union of its sets bounds the overlap, and only groups that can
-   reach the threshold are opened and compared in full.
-
-Groups are formed beforehand: texts that agree in several minhashes are compared with a leader, and what is linked
-so is one group. This only makes the matrix small: links that it misses are found by the steps above.
-
-No pair is lost: steps 2 and 3 are exact filters, and step 4 only skips pairs that are already connected.
-A hash bucket or a block of a group has a bounded size; a large group of copies is resolved by its leader.
+1. One pass over the texts gives each text's set size, its minhashes and a 128-bit fingerprint of its set (equal sets
+   are one class, whose representative is its smallest id) and finds shingles that many texts share.
+2. Classes that agree in several minhashes are compared with a leader; what is linked so is one group, named by its
+   smallest id. A class without such a link is a group of its own. This only makes the matrix small: links that it
+   misses are found by the steps below.
+3. A second pass orders each set by (shared by many, hash) and keeps its prefix: the size - need + MATCHES first
+   shingles, where need is the least overlap that the threshold allows. Two linked sets have MATCHES shingles of their
+   prefixes in common, whatever the common order is, and each of them stands so early that enough shingles follow it.
+4. The matrix has a row for each (shingle, group): the union of its members' prefixes, reduced in each task before it
+   is shuffled, with the least and greatest size of the members that have the shingle and the most shingles that
+   follow it in one of them. Pairs of groups are counted that share MATCHES shingles which these bounds allow.
+5. Of each such pair the leaders are compared. Where the two are not in one component then, the smaller group's texts
+   ask the larger one's blocks: the union of a block's sets bounds the overlap, and only blocks that can reach the
+   threshold are opened and compared in full.
+
+No pair is lost: steps 3 and 4 are exact filters, and step 5 only skips pairs that are already connected. A task
+holds a bounded number of prefixes or one bucket of the matrix, in which a group counts once, however large it is.
 
 Defined results: null or empty texts have an empty set and no links; a null id takes part in no link and gets a
 null component; repeated rows of one id are one node, linked if any of them is; an empty table gives no rows.
@@ -28,37 +28,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import SLIM_ROWS, running_before, small, stage
+from ._tables import SLIM_ROWS, drop, free_names, running_before, small, stage
 from ._words import chunks, mix, shingle_sets
 from .components import components
 
 K = 5
 PERCENT = 80
-#: A shingle in the prefixes of more groups than this goes to the end of the common order.
+#: Sets that link without being equal have at least so many shingles, at 80 percent: 4 of 5.
+MATCHES = 3
+#: A shingle that more texts than this have goes to the end of the common order.
 SHARED = 64
 #: A shingle is counted as soon as so many texts of one chunk have it.
 SUSPECT = 3
-#: At most so many shingles are told to all tasks; beyond, SHARED is doubled until they fit. Any order is exact.
+#: At most so many shingles are told to all tasks; beyond, the counts that they must exceed are doubled. Any order is exact.
 TOLD = 1_000_000
+#: Entries that a bucket of the matrix has on average.
 BUCKET = 400_000
-#: Share of a set, in percent, that the prefix is longer than one shingle would need.
-EXTRA = 5
 #: A shingle in more groups than this is put at the end of the order, and the matrix is made again.
 CROWD = 512
 #: Sets that are opened together.
 BLOCK = 256
+#: Entries of prefixes that are dealt to buckets at a time, and pairs of groups that are looked at together.
+ENTRIES, PAIRS = 1_000_000, 1 << 19
 MET, HEAVY = 1, 2
-#: Marks the number of a group with at least BIG_ROWS texts.
-BIG, BIG_ROWS = np.uint32(1 << 31), 8
-#: Groups are numbered by their smallest id modulo this.
-GROUPS = (1 << 31) - 1
-#: Entries of prefixes that are dealt to buckets at a time.
-ENTRIES = 1_000_000
-
-#: Minhashes of a set; texts that agree in one of the first LEADS and in AGREE of all are compared with a leader at once.
+
+#: Minhashes of a set; a class is compared with that leader of its first LEADS ones with which it agrees best, in AGREE of all at least.
 HASHES, LEADS, AGREE = 10, 5, 5
 _TURN = np.random.default_rng(5).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -73,8 +70,14 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _overlap(n, percent: int):
+    """The least overlap of two linked sets that have ``n`` shingles together."""
+    return -(-percent * n // (100 + percent))
+
+
 def survey(docs: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
     """(sets, suspects): a row for each text, and (shingle, n) of shingles that several texts of a chunk have."""
+    names = ["doc_id", "n_shingles", "sig_a", "sig_b", "low", "suspect"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,8 +95,9 @@ def survey(docs: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
                 many = runs >= SUSPECT
                 t, runs = t[edge[many]], runs[many]
                 nulls = pa.nulls(len(t), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(row, len(n)), pa.array(n, pa.int64()), _signed(np.array(a, np.uint64)), _signed(np.array(b, np.uint64)), pa.array(low, pa.binary()), pa.array([False] * len(n), pa.bool_())], names=["doc_id", "n_shingles", "sig_a", "sig_b", "low", "suspect"])
-                yield pa.RecordBatch.from_arrays([nulls, pa.array(runs.astype(np.int64)), _signed(t), nulls, pa.nulls(len(t), pa.binary()), pa.array([True] * len(t), pa.bool_())], names=["doc_id", "n_shingles", "sig_a", "sig_b", "low", "suspect"])
+                own = [ids.slice(row, len(n)), pa.array(n, pa.int64()), _signed(np.array(a, np.uint64)), _signed(np.array(b, np.uint64)), pa.array(low, pa.binary()), pa.array(np.zeros(len(n), bool), pa.bool_())]
+                yield pa.RecordBatch.from_arrays(own, names=names)
+                yield pa.RecordBatch.from_arrays([nulls, pa.array(runs, pa.int64()), _signed(t), nulls, pa.nulls(len(t), pa.binary()), pa.array(np.ones(len(t), bool), pa.bool_())], names=names)
 
     found = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS + ", suspect boolean"), "sets")
     sets = found.filter(~F.col("suspect")).drop("suspect")
@@ -121,13 +125,13 @@ def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
 
 
 def _prefix(s: np.ndarray, shared: np.ndarray, buckets: int, percent: int) -> np.ndarray:
-    p = len(s) - _needed(len(s), percent) + _needed(len(s), EXTRA)
+    p = len(s) - _needed(len(s), percent) + MATCHES
     late = _among(_keys(s, buckets), shared)
     return np.concatenate((s[~late], s[late]))[:p] if late.any() else s[:p]
 
 
 def _prefixes(docs: DataFrame, shared: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
-    """(doc_id, size, low, bucket): of each text with an id and a set, the size of its set, and the lower halves and buckets of its prefix."""
+    """(doc_id, size, low, bucket): of each text with an id and MATCHES shingles, the size of its set, and the lower halves and buckets of its prefix."""
     width = _width(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +139,7 @@ def _prefixes(docs: DataFrame, shared: np.ndarray, buckets: int, k: int, percent
             for row, data, off in chunks(batch.column(1), 16 << 20):
                 doc, full, low, bucket = [], [], [], []
                 for one, s in zip(batch.column(0).slice(row, len(off) - 1).to_pylist(), (s for lo in _pieces(data, off) for s in shingle_sets(*lo, k))):
-                    if one is not None and len(s):
+                    if one is not None and len(s) >= MATCHES:
                         t = _prefix(s, shared, buckets, percent)
                         doc.append(one), full.append(len(s))
                         low.append(t.astype(np.uint32).tobytes()), bucket.append(((t >> np.uint64(32)) % np.uint64(buckets)).astype(width).tobytes())
@@ -148,14 +152,9 @@ def _width(buckets: int) -> type:
     return np.uint8 if buckets <= 1 << 8 else np.uint16 if buckets <= 1 << 16 else np.uint32
 
 
-def _own(doc: np.ndarray) -> np.ndarray:
-    """The number of a group by its smallest id; of a text that is alone, by its own."""
-    return np.mod(doc, GROUPS).astype(np.uint32)
-
-
 def _packed(x: np.ndarray) -> bytes:
     """An array's bytes, all first bytes before all second ones, compressed."""
-    return pa.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), "zstd", asbytes=True)
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), "zstd", asbytes=True)
 
 
 def _unpacked(x: bytes, kind: type, n: int) -> np.ndarray:
@@ -164,19 +163,32 @@ def _unpacked(x: bytes, kind: type, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(width, n).T).view(kind).ravel()
 
 
+def _reduced(order: np.ndarray, same: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, rest: np.ndarray) -> tuple:
+    """The entries in ``order``, those that agree in ``same`` made one."""
+    same = [x[order] for x in same]
+    first = np.ones(len(order), bool)
+    if len(order):
+        first[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in same])
+    at = np.flatnonzero(first)
+    if not len(at):
+        return *same, lo, hi, rest
+    return *(x[at] for x in same), np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at), np.maximum.reduceat(rest[order], at)
+
+
 def _blocks(prefixes: DataFrame, buckets: int) -> DataFrame:
-    """Rows (bucket, shingles, docs, groups, sizes) of prefixes with their group: entries of a bucket as four arrays of equal length.
+    """Rows (bucket, n, shingles, groups, sizes, spans, rests) of prefixes with their group: entries (shingle, group) of a bucket as arrays.
 
-    Within a bucket entries are in order of their ids. The ids are differences, the groups are given against the
-    number of a text that is alone, and all but the shingles are compressed.
+    Within a bucket entries are in order of their groups, whose numbers are given as differences; all but the
+    shingles are compressed.
     """
     width = _width(buckets)
+    names = ["bucket", "n", "shingles", "groups", "sizes", "spans", "rests"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, full, group = (batch.column(c).to_numpy() for c in ("doc_id", "size", "g"))
+            full, group = (batch.column(c).to_numpy() for c in ("size", "g"))
             lows, codes = batch.column("low"), batch.column("bucket")
-            rank = np.argsort(doc, kind="stable")
+            rank = np.argsort(group, kind="stable")
             n = np.array([len(x.as_buffer()) for x in codes], np.int64)[rank] // np.dtype(width).itemsize
             sums = np.cumsum(n)
             at = 0
@@ -186,26 +198,26 @@ def _blocks(prefixes: DataFrame, buckets: int) -> DataFrame:
                 at = end
                 low = np.frombuffer(b"".join(lows[int(i)].as_buffer() for i in some), np.uint32)
                 bucket = np.frombuffer(b"".join(codes[int(i)].as_buffer() for i in some), width)
-                d, z = np.repeat(doc[some], m), np.repeat(full[some].astype(np.uint32), m)
-                g = np.repeat(group[some].astype(np.uint32), m) ^ _own(d)
-                order = np.argsort(bucket, kind="stable")
-                low, d, g, z, bucket = low[order], d[order], g[order], z[order], bucket[order]
+                size = np.repeat(full[some].astype(np.uint32), m)
+                rest = size - _ranges(m).astype(np.uint32)
+                g = np.repeat(group[some], m)
+                bucket, g, low, lo, hi, rest = _reduced(np.lexsort((low, g, bucket)), [bucket, g, low], size, size, rest)
                 cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
                 spans = list(zip(cut, np.append(cut[1:], len(bucket))))
-                columns = [[low[a:b].tobytes() for a, b in spans], [_packed(np.diff(d[a:b], prepend=np.int64(0))) for a, b in spans], [_packed(g[a:b]) for a, b in spans], [_packed(z[a:b]) for a, b in spans]]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int64)), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "shingles", "docs", "groups", "sizes"])
+                columns = [[low[a:b].tobytes() for a, b in spans], [_packed(np.diff(g[a:b], prepend=np.int64(0))) for a, b in spans], *([_packed(x[a:b]) for a, b in spans] for x in (lo, hi - lo, rest))]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int64)), pa.array([int(b - a) for a, b in spans], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=names)
 
-    return prefixes.mapInArrow(run, "bucket long, shingles binary, docs binary, groups binary, sizes binary")
+    return prefixes.mapInArrow(run, "bucket long, n long, shingles binary, groups binary, sizes binary, spans binary, rests binary")
 
 
-def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lower halves, docs, groups, set sizes) of all blocks of a bucket."""
+def _entries(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(lower halves, groups, least sizes, greatest sizes, rests) of a bucket, one for each shingle and group, in their order."""
     out = []
-    for low, d, g, z in zip(*(table.column(c).to_pylist() for c in ("shingles", "docs", "groups", "sizes"))):
-        t = np.frombuffer(low, np.uint32)
-        d = np.cumsum(_unpacked(d, np.int64, len(t)))
-        out.append((t, d, _unpacked(g, np.uint32, len(t)) ^ _own(d), _unpacked(z, np.uint32, len(t))))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    for n, low, g, z, w, r in zip(*(table.column(c).to_pylist() for c in ("n", "shingles", "groups", "sizes", "spans", "rests"))):
+        lo = _unpacked(z, np.uint32, n)
+        out.append((np.frombuffer(low, np.uint32), np.cumsum(_unpacked(g, np.int64, n)), lo, lo + _unpacked(w, np.uint32, n), _unpacked(r, np.uint32, n)))
+    t, g, lo, hi, rest = (np.concatenate(x) for x in zip(*out))
+    return _reduced(np.lexsort((g, t)), [t, g], lo, hi, rest)
 
 
 def _pieces(data: np.ndarray, off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -216,59 +228,82 @@ def _pieces(data: np.ndarray, off: np.ndarray, limit: int = 1 << 20) -> Iterator
         row = end
 
 
-def _meetings(blocks: DataFrame, shared: np.ndarray, percent: int) -> DataFrame:
-    """Rows (kind, doc, grp, n) of the matrix, bucket by bucket.
+def meet(t: np.ndarray, g: np.ndarray, lo: np.ndarray, hi: np.ndarray, rest: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(group, other) for each shingle that can be among the first MATCHES common ones of two of their members, the smaller number first.
 
-    MET: a doc, another group, and how many shingles of the doc's prefix its members of fitting size have; docs of a
-    BIG group ask other big groups only, as the docs of small groups ask them. HEAVY: bucket and lower half of a
-    shingle that is in more than CROWD groups and not yet at the end of the order; the matrix is then made again, so
-    a bucket that has one gives no meetings.
+    Of two linked sets the smaller one, and of two equal ones either, has such a shingle within the part of its
+    prefix after which 2 * percent / (100 + percent) of its size follow: only such entries look for others.
+    """
+    new = np.concatenate(([True], t[1:] != t[:-1]))
+    start = np.flatnonzero(new)
+    groups = np.diff(np.append(start, len(t)))
+    token = np.cumsum(new) - 1
+    lo, hi, rest = (x.astype(np.int64) for x in (lo, hi, rest))
+    asks = np.flatnonzero((groups[token] > 1) & (rest + MATCHES - 1 >= _overlap(2 * lo, percent)))
+    wide = groups[token[asks]]
+    cost = np.cumsum(wide)
+    at = 0
+    while at < len(asks):
+        end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + PAIRS, "right")))
+        left, n = asks[at:end], wide[at:end]
+        at = end
+        right = np.repeat(start[token[left]], n) + _ranges(n)
+        left = np.repeat(left, n)
+        # the least sizes that members of both can have and link
+        a = np.maximum(lo[left], -(-percent * lo[right] // 100))
+        b = np.maximum(lo[right], -(-percent * lo[left] // 100))
+        fits = (left != right) & (a <= hi[left]) & (b <= hi[right]) & (np.minimum(rest[left], rest[right]) + MATCHES - 1 >= _overlap(a + b, percent))
+        # a pair of two that both ask is seen from both sides
+        fits &= (left < right) | (rest[right] + MATCHES - 1 < _overlap(2 * lo[right], percent))
+        left, right = left[fits], right[fits]
+        yield np.minimum(g[left], g[right]), np.maximum(g[left], g[right])
+
+
+def _meetings(blocks: DataFrame, shared: np.ndarray, percent: int, crowd: int) -> DataFrame:
+    """Rows (kind, a, b, n) of the matrix, bucket by bucket.
+
+    MET: two groups and how many shingles they share that their bounds allow. HEAVY: bucket and lower half of a
+    shingle that is in more than ``crowd`` groups and not yet at the end of the order; the matrix is then made
+    again, so a bucket that has one gives no meetings.
     """
 
-    def rows_of(kind: int, doc: np.ndarray, grp: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (doc, grp, n))], names=["kind", "doc", "grp", "n"])
+    def rows_of(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (a, b, n))], names=["kind", "a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
-        t, d, g, z = _entries(table)
         bucket = table.column("bucket")[0].as_py()
-        order = np.lexsort((g, t))
-        t, d, g, z = t[order], d[order], g[order], z[order].astype(np.int64)
-        new = np.concatenate(([True], t[1:] != t[:-1]))
-        pair = new | np.concatenate(([True], g[1:] != g[:-1]))
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(t)))
-        first = np.flatnonzero(pair)  # of each (shingle, group)
-        least, most = np.minimum.reduceat(z, first), np.maximum.reduceat(z, first)
-        token = np.cumsum(new) - 1
-        groups = np.bincount(token[first], minlength=len(start))
-        base = np.searchsorted(first, start)
+        t, g, lo, hi, rest = _entries(table)
+        del table
+        start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        groups = np.diff(np.append(start, len(t)))
         known = _among((np.uint64(bucket) << np.uint64(32)) | t[start].astype(np.uint64), shared)
-        heavy = (groups > CROWD) & ~known & (size > 1)
-        names, d = np.unique(d, return_inverse=True)
-        yield rows_of(HEAVY, np.full(int(heavy.sum()), bucket), t[start[heavy]], np.ones(int(heavy.sum())))
-        asks = (g & BIG) == 0  # of the entries
-        asked_big = np.bincount(token[first], (g[first] & BIG) > 0, len(start)).astype(np.int64)
-        # within a shingle the big groups come last, as BIG is the highest bit
-        wide_of = np.where(asks, groups[token], asked_big[token])
-        live = np.flatnonzero(groups > 1) if not heavy.any() else np.zeros(0, np.int64)
-        cost = np.cumsum(np.bincount(token, wide_of, len(start)).astype(np.int64)[live])
-        at = 0
-        while at < len(live):
-            end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + (1 << 20), "right")))
-            some = live[at:end]
-            rows = np.repeat(start[some], size[some]) + _ranges(size[some])  # all docs of these shingles
-            wide = wide_of[rows]
-            left = np.repeat(rows, wide)
-            skip = np.repeat(groups[token[rows]] - wide, wide)  # of a big group's doc, the small groups
-            cell = np.repeat(base[token[rows]], wide) + skip + _ranges(wide)
-            right = first[cell]
-            other = (g[left] != g[right]) & (100 * most[cell] >= percent * z[left]) & (percent * least[cell] <= 100 * z[left])
-            key, n = np.unique(d[left[other]].astype(np.uint64) << np.uint64(32) | g[right[other]], return_counts=True)
-            yield rows_of(MET, names[(key >> np.uint64(32)).astype(np.int64)], key & np.uint64(0xFFFFFFFF), n)
-            at = end
-
-    return blocks.groupBy("bucket").applyInArrow(run, "kind int, doc long, grp long, n long")
+        heavy = t[start[(groups > crowd) & ~known]]
+        if len(heavy):
+            yield rows_of(HEAVY, np.full(len(heavy), bucket), heavy, np.ones(len(heavy)))
+            return
+        yield rows_of(MET, *(np.zeros(0),) * 3)
+        held: list[tuple] = []
+        for a, b in meet(t, g, lo, hi, rest, percent):
+            held.append(_counted([*held, (a, b, np.ones(len(a), np.int64))]))
+            del held[:-1]
+            if len(held[0][0]) > 4 * PAIRS:
+                yield rows_of(MET, *held.pop())
+        if held:
+            yield rows_of(MET, *held.pop())
+
+    return blocks.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, n long")
+
+
+def _counted(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n) rows with equal pairs made one."""
+    a, b, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    if not len(a):
+        return a, b, n
+    at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    return a[at], b[at], np.add.reduceat(n, at)
 
 
 def _ranges(sizes: np.ndarray) -> np.ndarray:
@@ -299,6 +334,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return j.filter(100 * both >= percent * (n - both)).select("p.a", "p.b")
 
 
+def _compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links among ``pairs`` (a, b; a staged table)."""
+    sets = _sets_of(docs, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), k)
+    links = stage(_linked(pairs, sets, percent).distinct(), "links")
+    drop(sets)
+    return links
+
+
 def _labels(edges: DataFrame) -> DataFrame:
     return stage(components(edges), "labels")
 
@@ -308,112 +351,109 @@ def _labelled(df: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame
     return df.join(lab, col, "left").withColumn(out, F.coalesce("_c", col)).drop("_c")
 
 
-def matrix(docs: DataFrame, groups: DataFrame, shared: np.ndarray, buckets: int, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(kind, doc, grp, n) of the token-group matrix of the texts in ``groups`` (rep, g), made again until every crowded shingle is at the end of the order.
+def matrix(docs: DataFrame, members: DataFrame, shared: np.ndarray, buckets: int, k: int = K, percent: int = PERCENT, crowd: int = CROWD) -> DataFrame:
+    """(kind, a, b, n) of the token-group matrix of the texts in ``members`` (doc, g), made again until every crowded shingle is at the end of the order.
 
     The prefixes are shuffled to the groups, not the texts; the plan is the same at every size.
     """
     while True:
-        own = _prefixes(docs, shared, buckets, k, percent).join(groups.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).drop("rep")
-        met = stage(_meetings(_blocks(own, buckets), shared, percent), "meetings")
-        heavy = met.filter(F.col("kind") == HEAVY).select(F.shiftleft("doc", 32).bitwiseOR(F.col("grp")).alias("key")).limit(TOLD + 1).toPandas()["key"].to_numpy(np.int64)
+        own = _prefixes(docs, shared, buckets, k, percent).join(members.select("doc", "g").hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).drop("doc")
+        met = stage(_meetings(_blocks(own, buckets), shared, percent, crowd), "meetings")
+        heavy = met.filter(F.col("kind") == HEAVY).select(F.shiftleft("a", 32).bitwiseOR(F.col("b")).alias("key")).limit(TOLD + 1).toPandas()["key"].to_numpy(np.int64)
         if not len(heavy):
             return met
-        shared = np.unique(np.concatenate((shared, heavy.view(np.uint64))))
+        more = np.unique(np.concatenate((shared, heavy.view(np.uint64))))
+        if len(more) > 2 * TOLD:
+            crowd *= 2
+        else:
+            shared = more
 
 
 def _first_links(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links between a class and the smallest id that shares one of its LEADS minhashes, as far as they hold."""
+    """(a, b): links between a class and, of the smallest ids that share one of its LEADS minhashes, the one that it agrees with best, as far as they hold."""
     part = lambda i: F.substring("low", 8 * i + 1, 8)
-    keyed = classes.select("rep", "low", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), part(i).alias("h")) for i in range(LEADS)])).alias("x")).select("rep", "low", "x.i", "x.h")
+    keyed = classes.filter(F.col("n_shingles") > MATCHES).select("rep", "low", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), part(i).alias("h")) for i in range(LEADS)])).alias("x")).select("rep", "low", "x.i", "x.h")
     lead = keyed.groupBy("i", "h").agg(F.min(F.struct("rep", "low")).alias("lead"), F.count("*").alias("n")).filter("n > 1")
     agree = sum(((F.substring("low", 8 * i + 1, 8) == F.substring("lead.low", 8 * i + 1, 8)).cast("int") for i in range(HASHES)), F.lit(0))
-    pairs = keyed.join(lead.drop("n"), ["i", "h"]).filter((F.col("rep") != F.col("lead.rep")) & (agree >= AGREE))
-    pairs = stage(pairs.select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct(), "pairs")
-    return stage(_linked(pairs, _sets_of(docs, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), k), percent), "links")
+    pairs = keyed.join(lead.drop("n"), ["i", "h"]).filter(F.col("rep") != F.col("lead.rep")).select(F.col("rep").alias("a"), F.col("lead.rep").alias("b"), agree.alias("agree")).filter(F.col("agree") >= AGREE)
+    best = pairs.groupBy("a").agg(F.max(F.struct(F.col("agree"), (-F.col("b")).alias("b"))).alias("best"))
+    return _compared(stage(best.select("a", (-F.col("best.b")).alias("b")), "pairs"), docs, k, percent)
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(doc, shingles) of the texts with these ids (one column)."""
-    ids = stage(ids.toDF("_id").distinct(), "ids")
+    ids = stage(ids.toDF("_id").distinct(), "ids")  # of a table of its own, whose columns are doc_id and text
     return stage(_full_sets(docs.join(small(ids, SLIM_ROWS), F.col("doc_id") == F.col("_id"), "left_semi"), k), "members", "lz4")
 
 
-def _group_number(comp: str, n: str | None = None) -> Column:
-    low = F.pmod(F.col(comp), F.lit(GROUPS))
-    return low if n is None else F.when(F.coalesce(F.col(n), F.lit(1)) >= BIG_ROWS, low.bitwiseOR(F.lit(1 << 31))).otherwise(low)
-
-
 def _candidate_links(docs: DataFrame, classes: DataFrame, shared: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
     """(a, b) links between classes, enough of them to connect whatever the threshold connects."""
     edges = _first_links(classes, docs, k, percent)
-    labels = _labels(edges)
-    counts = labels.groupBy("component").agg(F.count("*").alias("n"))
-    kin = stage(labels.join(counts, "component").select("node", "component", _group_number("component", "n").alias("g")), "kin")
-    own = F.coalesce("g", _group_number("rep")).alias("g")
-    asking = stage(classes.select("rep").distinct().join(small(kin.select("node", "g"), SLIM_ROWS), F.col("rep") == F.col("node"), "left").select("rep", own), "asking")
-    met = matrix(docs, asking, shared, buckets, k, percent)
-    sizes = classes.groupBy(F.col("rep").alias("doc")).agg(F.max("n_shingles").alias("size"))
-    least = F.floor(F.col("size") * EXTRA * percent / 10_000)
-    asks = met.filter(F.col("kind") == MET).groupBy("doc", "grp").agg(F.sum("n").alias("n")).join(sizes, "doc").filter(F.col("n") >= least).select("doc", "grp")
-    asks = stage(asks, "qualifying")
+    sizes = classes.groupBy(F.col("rep").alias("doc")).agg(F.min("n_shingles").alias("size"))
+    members = stage(_labelled(sizes, _labels(edges), "doc", "g"), "members")
+    met = matrix(docs, members, shared, buckets, k, percent)
+    asks = stage(met.filter(F.col("kind") == MET).groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= MATCHES).select("a", "b"), "qualifying")
     if not asks.limit(1).count():
         return edges
-    members = sizes.select("doc").join(kin, F.col("doc") == F.col("node"), "left")
-    members = members.select("doc", F.coalesce("component", "doc").alias("comp"), F.coalesce("g", _group_number("doc")).alias("grp"))
-    members = stage(members.join(asks.select("grp").distinct(), "grp", "left_semi"), "members")
-    # first the leaders of the groups
-    leads = members.groupBy("grp").agg(F.min("doc").alias("leader"), F.count("*").alias("n"))
-    leads = stage(leads, "leads")
-    pairs = asks.join(leads, "grp").filter("doc != leader").select(F.greatest("doc", "leader").alias("a"), F.least("doc", "leader").alias("b")).distinct()
-    pairs = stage(pairs, "pairs")
-    more = stage(_linked(pairs, _sets_of(docs, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), k), percent), "links")
-    edges = stage(edges.unionByName(more), "links")
+    # first the leaders of the groups, by which groups are named
+    edges = stage(edges.unionByName(_compared(asks, docs, k, percent)), "links")
     labels = _labels(edges)
 
-    blocks = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK))
-    placed = members.join(leads, "grp").filter("n > 1").withColumn("block", blocks).select("grp", "block", "doc")
-    placed = stage(_labelled(placed, labels, "doc", "comp"), "placed")
-    spread = placed.groupBy("grp", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    rest = _labelled(asks, labels, "doc", "comp").join(spread, "grp").filter("NOT (lo = hi AND lo = comp)").select("doc", "comp", "grp", "block")
-    rest = stage(rest, "unsettled")
+    count = stage(members.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1"), "groups")
+    rest = _labelled(_labelled(asks, labels, "a", "ca"), labels, "b", "cb").filter("ca != cb")
+    number = lambda c: count.select(F.col("g").alias(c), F.col("n").alias(f"n{c}"))
+    rest = rest.join(number("a"), "a", "left").join(number("b"), "b", "left").filter("na IS NOT NULL OR nb IS NOT NULL")
+    turned = F.coalesce("na", F.lit(1)) > F.coalesce("nb", F.lit(1))
+    rest = stage(rest.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("asker"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("g")), "unsettled")
     if not rest.limit(1).count():
         return edges
-    inside = placed.join(rest.select("grp", "block").distinct(), ["grp", "block"], "left_semi")
-    sets = _sets_of(docs, inside.select("doc").unionByName(rest.select("doc")), k)
-    unions = inside.join(sets, "doc").groupBy("grp", "block").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("union"))
-    opened = rest.join(sets, "doc").join(unions, ["grp", "block"]).filter(100 * F.size(F.array_intersect("union", "shingles")) >= percent * F.size("shingles")).select("doc", "comp", "grp", "block")
-    pairs = opened.join(inside.select("grp", "block", F.col("doc").alias("b"), F.col("comp").alias("comp_b")), ["grp", "block"]).filter("comp != comp_b AND doc != b")
-    pairs = stage(pairs.select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b")).distinct(), "pairs")
-    return edges.unionByName(stage(_linked(pairs, sets, percent), "links"))
+    asked = members.join(rest.select("g").distinct(), "g", "left_semi").join(count, "g")
+    inside = stage(asked.select("g", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK)).alias("block"), F.col("doc").alias("b"), "size"), "inside")
+    queries = stage(rest.join(members.select(F.col("g").alias("asker"), "doc", "size"), "asker").select("doc", "size", "g").distinct(), "queries")
+    sets = _sets_of(docs, inside.select("b").unionByName(queries.select(F.col("doc").alias("b"))), k)
+    blocks = inside.join(sets, F.col("b") == F.col("doc")).groupBy("g", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("union"))
+    blocks = stage(blocks, "blocks", "lz4")
+    tight = stage(queries.join(blocks.drop("union"), "g").filter((100 * F.col("hi") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("lo"))).select("doc", "g", "block"), "tight")
+    least = F.ceil(percent * (F.size("shingles") + F.greatest(F.col("lo"), F.ceil(percent * F.size("shingles") / 100))) / (100 + percent))
+    opened = tight.join(sets, "doc").join(blocks, ["g", "block"]).filter(F.size(F.array_intersect("union", "shingles")) >= least).select(F.col("doc").alias("a"), "g", "block").distinct()
+    pairs = stage(opened, "opened").join(inside, ["g", "block"]).filter("a != b").select("a", "b").distinct()
+    return edges.unionByName(stage(_linked(stage(pairs, "pairs"), sets, percent).distinct(), "links"))
 
 
 def join_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``."""
+    """(doc_id, n_shingles, component_id) for every row of ``docs``; percent: 80 or more."""
+    if percent < 80:
+        raise ValueError("sets of fewer than MATCHES common shingles could link below 80 percent")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets, suspects = survey(docs, k)
     same = ["n_shingles", "sig_a", "sig_b"]
-    classes = stage(sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("low").alias("low")), "classes")
-    prefixes = classes.agg(F.sum((F.col("n_shingles") * (100 - percent) / 100).cast("long") + 1)).first()[0] or 0
+    known = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = stage(known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("low").alias("low")), "classes")
+    prefixes = classes.agg(F.sum((F.col("n_shingles") * (100 - percent) / 100).cast("long") + MATCHES)).first()[0] or 0
     buckets = max(16, int(prefixes // BUCKET) + 1)
     shared = np.unique(_keys(_told(stage(suspects.groupBy("shingle").agg(F.sum("n").alias("n")), "suspects"), SHARED), buckets))
-    labels = _labels(_candidate_links(docs, classes, shared, buckets, k, percent))
-    out = sets.drop("low").join(classes.drop("low"), same, "left").join(small(labels), F.col("rep") == F.col("node"), "left")
+    edges = _candidate_links(docs, classes, shared, buckets, k, percent)
+    # ids that have several texts connect their classes
+    several = stage(known.select("doc_id", *same).distinct().groupBy("doc_id").count().filter("count > 1").select("doc_id"), "several")
+    if several.limit(1).count():
+        own = known.join(several, "doc_id", "left_semi").join(classes.drop("low"), same).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        edges = edges.unionByName(own)
+    labels = _labels(edges)
+    named = classes.drop("low").join(labels, F.col("rep") == F.col("node"), "left")
+    out = sets.drop("low").join(named, same, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component, one of its smallest id; rows without an id or a component stay."""
     own = F.col(doc_id).cast("long")
-    repeated = docs.filter(own.isNotNull()).groupBy(own.alias("_id")).count().filter("count > 1").limit(1).count()
+    gone, key, row, one, number = free_names(docs, "gone", "id", "row", "one", "number")
+    repeated = docs.filter(own.isNotNull()).groupBy(own.alias(key)).count().filter("count > 1").limit(1).count()
+    dropped = lambda groups: small(stage(groups.filter("component_id != doc_id").select(F.col("doc_id").alias(gone)).distinct(), "dropped"), SLIM_ROWS)
     if not repeated:
-        groups = join_groups(docs, doc_id, text)
-        dropped = stage(groups.filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-        return docs.join(small(dropped), own == F.col("_gone"), "left_anti")
+        return docs.join(dropped(join_groups(docs, doc_id, text)), own == F.col(gone), "left_anti")
     # where ids are repeated, rows are joined by their number in the order of the ids
-    rows = stage(docs.withColumn("_id", own).withColumn("_row", F.monotonically_increasing_id()).withColumn("_one", F.lit(1)), "rows")
-    slim = stage(running_before(rows.filter("_id IS NOT NULL").select("_id", "_row", "_one"), "_one", ["_id", "_row"], out="_number").select("_row", "_number"), "numbers")
-    rows = stage(rows.join(slim, "_row", "left").drop("_row", "_id", "_one"), "rows")
-    groups = join_groups(rows, "_number", text)
-    dropped = stage(groups.filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")), "dropped")
-    return rows.join(small(dropped), F.col("_number") == F.col("_gone"), "left_anti").select(*docs.columns)
+    rows = stage(docs.withColumns({key: own, row: F.monotonically_increasing_id(), one: F.lit(1)}), "rows")
+    slim = stage(running_before(rows.filter(F.col(key).isNotNull()).select(key, row, one), one, [key, row], out=number).select(row, number), "numbers")
+    rows = stage(rows.join(slim, row, "left").drop(row, key, one), "rows")
+    return rows.join(dropped(join_groups(rows, number, text)), F.col(number) == F.col(gone), "left_anti").select(*docs.columns)
