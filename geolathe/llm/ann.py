@@ -1,18 +1,16 @@
 """Approximate nearest neighbours by a forest of hash prefixes.
 
-Each tree gives a vector a long hash string, a bit for each random direction: on which side of a threshold it
-lies. A tree is an array of the strings in order, dealt in ranges. A query descends to where its string would
-stand, where the strings with the longest common prefix lie around it; it takes the range of the longest prefix
-that enough strings share. The trees ascend together: what most trees have found, and with the longest prefixes,
-comes first, until there are enough candidates, whose distances are computed exactly.
-
-A query is settled when its k best were among the first SETTLED of its candidates and none of the many that
-followed came near. The others, as those of unstructured vectors on large tables, are compared with every vector:
-their number times that of the vectors is the work, which no count of candidates bounds.
-
-Rows with one vector are indexed as one and keep their k + 1 smallest ids, more of which no result can need, so
-very common vectors neither fill a range nor crowd out others. A query at the edge of a range sees one side only
-in that tree; the other trees make up for it.
+The vectors lie in blocks of a bounded size. In a block, each tree gives a vector a long hash string, a bit for each
+random direction: on which side of a threshold it lies, and is the array of the block's strings in order. A query
+descends every tree to where its string would stand, where the vectors with the longest common prefixes lie around
+it. Then all trees ascend together, a bit at a time: the vectors that share so long a prefix with the query in any
+tree are its candidates, whose distances are computed exactly. The ascent goes on until the block's best have not
+changed while the candidates grew by a factor of GROWTH, or all of the block are candidates. So the number of
+candidates follows from the vectors, not from a limit: well clustered ones settle after a few, vectors without
+structure need most of their block.
+
+Only each block's best leave its task. Rows with one vector are indexed as one and keep their k + 1 smallest ids,
+more of which no result can need, so very common vectors neither fill a range nor crowd out others.
 
 Defined results: vectors that are null, zero, of another dimension than most, or hold null or non-finite
 components take no part, nor do rows with a null id; repeated rows count once; with fewer candidates than k all
@@ -29,18 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._tables import small, stage
+from ._tables import stage
 
 K = 10
-TREES = 64
-BITS = 48
-#: Strings that a query wants from each tree, and candidates from all.
-PER_TREE = 800
-CANDIDATES = 10_000
-#: Share of the candidates that must hold the k best of a settled query.
-SETTLED = 0.25
-#: Queries that one pass over all vectors compares, and those of them that are compared together.
-PASS, TOGETHER = 20_000, 256
+TREES = 32
+BITS = 32
+#: Candidates before the ascent is first judged, and by how much they must grow without a change for it to end.
+FIRST, GROWTH = 400, 4.0
+#: Vectors of a block at most, and queries that one pass asks.
+BLOCK, PASS = 1 << 16, 20_000
 #: Rows that the thresholds are fitted on, by a hash of the id.
 SAMPLE = 20_000
 
@@ -62,9 +57,66 @@ class Forest:
         self.thresholds = at[place, np.arange(trees * bits)]
 
     def strings(self, vectors: np.ndarray) -> np.ndarray:
-        """(vectors, trees) hash strings as numbers, the first bit highest."""
-        side = (vectors.astype(np.float32) @ self.directions > self.thresholds).reshape(len(vectors), self.trees, self.bits)
-        return side.astype(np.int64) @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))
+        """(trees, vectors) hash strings as numbers, the first bit highest."""
+        weight = 1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64)
+        out = np.empty((self.trees, len(vectors)), np.int64)
+        for at in range(0, len(vectors), 4096):
+            side = (vectors[at : at + 4096].astype(np.float32) @ self.directions > self.thresholds).reshape(-1, self.trees, self.bits)
+            out[:, at : at + 4096] = (side.astype(np.int64) @ weight).T
+        return out
+
+
+class Block:
+    """The trees of some vectors."""
+
+    def __init__(self, forest: Forest, node: np.ndarray, vectors: np.ndarray) -> None:
+        self.bits, self.node, self.vectors = forest.bits, node, vectors
+        strings = forest.strings(vectors)
+        self.order = np.argsort(strings, axis=1, kind="stable").astype(np.int32)
+        self.strings = np.take_along_axis(strings, self.order, 1)
+
+    def ranges(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, trees, depths) bounds in each tree of the strings that share a prefix of 0, 1, ... bits with each of (trees, queries) strings."""
+        depths = self.bits - np.arange(self.bits + 1, dtype=np.int64)
+        lo, hi = (np.empty((strings.shape[1], len(strings), len(depths)), np.int64) for _ in "ab")
+        for t, (tree, s) in enumerate(zip(self.strings, strings)):
+            head = (s[:, None] >> depths) << depths
+            lo[:, t], hi[:, t] = np.searchsorted(tree, head), np.searchsorted(tree, head + (np.int64(1) << depths))
+        return lo, hi
+
+    def best(self, query: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, places) of the ``most`` nearest that the ascent finds, nearest first, ties by node."""
+        n = len(self.node)
+        total = (hi - lo).sum(0)  # of each depth, over all trees
+        seen = np.zeros(n, bool)
+        score, place = np.zeros(0), np.zeros(0, np.int64)
+        depth = max(int(np.searchsorted(-total, -min(FIRST, n), "right")) - 1, 0)
+        compared, unchanged_since = 0, 0
+        while True:
+            if total[depth] >= 2 * n or depth == 0:
+                new = ~seen
+            else:
+                new = np.zeros(n, bool)
+                for order, a, b in zip(self.order, lo[:, depth], hi[:, depth]):
+                    new[order[a:b]] = True
+                new &= ~seen
+            seen |= new
+            some = np.flatnonzero(new)
+            d = self.vectors[some] - query
+            d = np.sqrt((d * d).sum(1))
+            compared += len(some)
+            if len(some):
+                at = np.concatenate((place, some))
+                d = np.concatenate((score, d))
+                first = np.lexsort((self.node[at], d))[:most]
+                if len(first) > len(place) or (at[first] != place).any():
+                    unchanged_since = compared
+                score, place = d[first], at[first]
+            if compared >= n or depth == 0 or (len(place) == most and compared >= GROWTH * max(unchanged_since, FIRST)):
+                return score, place
+            # up to where the candidates are about half as many again
+            higher = np.flatnonzero(total[:depth] >= 1.5 * total[depth])
+            depth = int(higher[-1]) if len(higher) else 0
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -72,103 +124,53 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _hashed(rows: DataFrame, forest: Forest) -> DataFrame:
-    """(tree, string, node, asks) of (node, vector, asks)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = forest.strings(_matrix(batch.column(1)))
-            n = len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(forest.trees, dtype=np.int32), n)), pa.array(s.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(n), forest.trees))), batch.column(2).take(pa.array(np.repeat(np.arange(n), forest.trees)))], names=["tree", "string", "node", "asks"])
-
-    return rows.mapInArrow(run, "tree int, string long, node long, asks boolean")
-
-
-def _shared_bits(a: np.ndarray, b: int, bits: int) -> np.ndarray:
-    """The length of the common prefix of each string with ``b``."""
-    x = (a ^ b).astype(np.float64)
-    out = np.full(len(a), bits, np.int32)
-    some = x > 0
-    out[some] = bits - 1 - np.floor(np.log2(x[some])).astype(np.int32)
-    return out
-
-
-def _finds(index: DataFrame, bits: int, per_tree: int) -> DataFrame:
-    """(query, node, depth): for each query and tree, the strings of the longest prefix that enough share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [pa.table(pa.Table.from_batches([b])) for b in batches]
-        if not got:
-            return
-        table = pa.concat_tables(got)
-        tree, string, node = (table.column(c).to_numpy() for c in ("tree", "string", "node"))
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        asked, before = np.flatnonzero(asks), np.cumsum(~asks)
-        queries = list(zip(tree[asked], string[asked], node[asked], before[asked]))
-        tree, string, node = tree[~asks], string[~asks], node[~asks]  # markers fill no range
-        for t, s, query, p in queries:
-            lo, hi = np.searchsorted(tree, [t, t + 1])
-            a, b = max(lo, p - 2 * per_tree), min(hi, p + 2 * per_tree)
-            if a >= b:
-                continue
-            depth = _shared_bits(string[a:b], int(s), bits)
-            enough = np.sort(depth)[::-1][min(per_tree, len(depth)) - 1]
-            take = np.flatnonzero(depth >= enough)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), query)), pa.array(node[a:b][take]), pa.array(depth[take])], names=["query", "node", "depth"])
-
-    return index.mapInArrow(run, "query long, node long, depth int")
-
-
-def _distances(pairs: DataFrame) -> DataFrame:
-    """(query, node, r, score) of (query, node, v, qv, r)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = _matrix(batch.column(2)) - _matrix(batch.column(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(np.sqrt((d * d).sum(1)))], names=["query", "node", "r", "score"])
-
-    return pairs.mapInArrow(run, "query long, node long, r int, score double")
-
+def _best_of_blocks(nodes: DataFrame, forest: Forest, queries: list[tuple[int, list[float]]], most: int, block: int) -> DataFrame:
+    """(query, node, score): of each query the ``most`` nearest nodes that a task's blocks give."""
+    names, q = np.array([n for n, _ in queries], np.int64), np.array([v for _, v in queries])
 
-def _best_of_all(nodes: DataFrame, queries: list[tuple[int, list[float]]], most: int) -> DataFrame:
-    """(query, node, score): the ``most`` nearest nodes of each query in each partition of all nodes, by exact distances."""
-    names, q = [n for n, _ in queries], np.array([v for _, v in queries])
-    square = (q * q).sum(1)
+    def search(node: list[np.ndarray], vectors: list[np.ndarray], strings: np.ndarray, found: list[tuple]) -> None:
+        trees = Block(forest, np.concatenate(node), np.concatenate(vectors))
+        for at in range(0, len(names), 256):
+            lo, hi = trees.ranges(strings[:, at : at + 256])
+            for i in range(at, min(at + 256, len(names))):
+                score, place = trees.best(q[i], lo[i - at], hi[i - at], most)
+                score, ids = np.concatenate((found[i][0], score)), np.concatenate((found[i][1], trees.node[place]))
+                first = np.lexsort((ids, score))[:most]
+                found[i] = score[first], ids[first]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
+        strings = forest.strings(q)
+        found: list[tuple] = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
+        node, vectors, held = [], [], 0
         for batch in batches:
-            node, v = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            own = (v * v).sum(1)
-            for at in range(0, len(names) if len(node) else 0, TOGETHER):
-                rough = square[at : at + TOGETHER, None] + own - 2 * q[at : at + TOGETHER] @ v.T
-                # rounding may change the order of near ties: what is within it is computed again
-                slack = 1e-9 * (square[at : at + TOGETHER, None] + own.max())
-                edge = np.partition(rough, min(most, len(node)) - 1, 1)[:, [min(most, len(node)) - 1]] + slack
-                for i, near in enumerate(rough <= edge, at):
-                    d = v[near] - q[i]
-                    score, ids = np.concatenate((best[i][0], np.sqrt((d * d).sum(1)))), np.concatenate((best[i][1], node[near]))
-                    order = np.lexsort((ids, score))[:most]
-                    best[i] = score[order], ids[order]
-        n = [len(ids) for _, ids in best]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), n)), pa.array(np.concatenate([ids for _, ids in best])), pa.array(np.concatenate([d for d, _ in best]))], names=["query", "node", "score"])
+            for at in range(0, len(batch), block):
+                part = batch.slice(at, block)
+                if held + len(part) > block:
+                    search(node, vectors, strings, found)
+                    node, vectors, held = [], [], 0
+                node.append(part.column(0).to_numpy()), vectors.append(_matrix(part.column(1)))
+                held += len(part)
+        if held:
+            search(node, vectors, strings, found)
+        n = [len(ids) for _, ids in found]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(np.concatenate([ids for _, ids in found])), pa.array(np.concatenate([d for d, _ in found]))], names=["query", "node", "score"])
 
     return nodes.select("node", "v").mapInArrow(run, "query long, node long, score double")
 
 
-def _unsettled(nodes: DataFrame, asks: DataFrame, most: int) -> DataFrame:
-    """(query, node, score) of the ``asks`` (a staged table), PASS of them in a pass."""
+def _asked(nodes: DataFrame, forest: Forest, asks: DataFrame, most: int, block: int) -> DataFrame:
+    """(query, node, score) of the ``asks`` (query, qv; a staged table), about PASS of them in a pass over the nodes."""
     parts = asks.count() // PASS + 1
     out = None
     for part in range(parts):
         some = asks.filter(F.pmod(F.xxhash64("query"), F.lit(parts)) == part).select("query", "qv").collect()
         if some:
-            one = stage(_best_of_all(nodes, [(r["query"], r["qv"]) for r in some], most), "compared")
+            one = stage(_best_of_blocks(nodes, forest, [(r["query"], r["qv"]) for r in some], most, block), "found")
             out = one if out is None else out.unionByName(one)
     return nodes.sparkSession.createDataFrame([], "query long, node long, score double") if out is None else out
 
 
-def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, trees: int = TREES, bits: int = BITS, per_tree: int = PER_TREE, candidates: int = CANDIDATES, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, trees: int = TREES, bits: int = BITS, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, itself left out."""
     pick = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     rows, asked = pick(vectors), pick(queries)
@@ -181,38 +183,25 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
     nearest = rows.dropDuplicates(["id", "v"]).withColumn("h", key)
     nearest = nearest.withColumn("r", F.row_number().over(W.partitionBy("h", "v").orderBy("id"))).filter(F.col("r") <= k + 1)
     nodes = stage(nearest.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("node"), "v", "ids"), "nodes")
+    # an id with several vectors can be the smallest of each: then vectors are told apart by a hash
+    if nodes.groupBy("node").count().filter("count > 1").limit(1).count():
+        nodes = stage(nodes.withColumn("node", F.xxhash64("node", "v")), "nodes")
     n = nodes.count()
     some = nodes.select("node", "v")
     if n > sample:
         some = some.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     forest = Forest(np.array([r["v"] for r in some.select("v").collect()]), trees, bits)  # about ``sample`` rows
-    # a query vector's position in the arrays is marked by a row of its own; ids that share it get its result
+    # ids that share a vector are asked as one and get its result
     asked = asked.withColumn("h", key)
-    asks = stage(asked.groupBy("h", F.col("v").alias("qv")).agg(F.min("id").alias("query")).select("query", "qv"), "asked")
-    # an id with several vectors is the smallest of each: then vectors are told apart by a hash
-    if asks.groupBy("query").count().filter("count > 1").limit(1).count():
-        asks = stage(asks.withColumn("query", F.xxhash64("query", "qv")), "asked")
+    asks = asked.groupBy("h", F.col("v").alias("qv")).agg(F.min("id").alias("query"))
+    asks = stage(asks.select(F.xxhash64("query", "qv").alias("query"), "qv"), "asked")
     sharing = stage(asked.join(asks, asked["v"] == asks["qv"]).select("query", F.col("id").alias("query_id")), "sharing")
-    both = nodes.select("node", "v", F.lit(False).alias("asks")).unionByName(asks.select(F.col("query").alias("node"), F.col("qv").alias("v"), F.lit(True).alias("asks")))
-    index = stage(_hashed(both, forest), "strings")
-    ordered = index.repartitionByRange("tree", "string", "node").sortWithinPartitions("tree", "string", "node")
-    # the query's own vector is a candidate, as other rows may share it
-    same = asks.join(nodes, asks["qv"] == nodes["v"]).select("query", "node", F.lit(bits * trees).cast("int").alias("depth"))
-    finds = _finds(ordered, bits, per_tree).unionByName(same).groupBy("query", "node").agg(F.sum("depth").alias("depth"), F.count("*").alias("trees"))
-    up = W.partitionBy("query").orderBy(F.desc("trees"), F.desc("depth"), "node")
-    chosen = stage(finds.withColumn("r", F.row_number().over(up)).filter(F.col("r") <= candidates).select("query", "node", "r"), "candidates")
     # the most vectors that an asked id has, all of which its own results leave out
     several = rows.join(asked.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.countDistinct("v").alias("n")).agg(F.max("n")).first()[0] or 0
     most = k + max(several, 1)
+    found = _asked(nodes, forest, asks, most, block)
     near = W.partitionBy("query").orderBy("score", "node")
-    pairs = chosen.join(nodes.select("node", "v"), "node").join(small(asks), "query").select("query", "node", "v", "qv", "r")
-    found = stage(_distances(pairs).withColumn("near", F.row_number().over(near)).filter(F.col("near") <= most), "found")
-    total = chosen.groupBy("query").agg(F.count("*").alias("n"))
-    last = found.filter(F.col("near") <= k).groupBy("query").agg(F.max("r").alias("r"), F.count("*").alias("have"))
-    settled = stage(total.join(last, "query").filter((F.col("n") >= n) | ((F.col("have") == k) & (F.col("r") <= SETTLED * F.col("n")))).select("query"), "settled")
-    rest = stage(asks.join(settled, "query", "left_anti"), "rest")
-    scored = found.join(settled, "query", "left_semi").select("query", "node", "score").unionByName(_unsettled(nodes, rest, most))
-    scored = scored.withColumn("near", F.row_number().over(near)).filter(F.col("near") <= most)
+    scored = found.withColumn("near", F.row_number().over(near)).filter(F.col("near") <= most)
     best = W.partitionBy("query_id").orderBy("score", "id")
-    found = scored.join(nodes.select("node", "ids"), "node").join(sharing, "query").select("query_id", F.explode("ids").alias("id"), "score").filter("id != query_id").distinct()
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    out = scored.join(nodes.select("node", "ids"), "node").join(sharing, "query").select("query_id", F.explode("ids").alias("id"), "score").filter("id != query_id").distinct()
+    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
