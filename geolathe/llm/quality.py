@@ -2,8 +2,10 @@
 
 Every text gets a few measures. Their distribution per (language, source) goes into a quantile sketch of
 relative-error buckets: sketches are rows of counts, so they merge by addition, in any order and from any
-number of tasks, up to the language and the whole corpus. Groups of few documents use the merged sketch of
-their language, or of everything. A document is rejected if a measure lies beyond the far fence of its group.
+number of tasks, up to the language and the whole corpus. Every group's sketch has that of its language merged in,
+scaled to PRIOR texts, and so has the language's that of the corpus: small groups lean on them, large ones do not.
+A document is rejected if the logarithm of a measure lies beyond the far fence of its group, which the group's own
+quartiles set alone.
 
 Defined results: null or empty texts have all counts 0 and fail the base rules; a null language or source is
 a group of its own; an empty table gives an empty result; other columns stay with the operator ``apply_rules``.
@@ -20,23 +22,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._tables import small, stage
-from ._words import bounds, chunks, hash_spans, rows_of, spans, windows
+from ._words import chunks, hash_spans, spans, windows
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts"]
-#: Measures and the least distance from the upper quartile (or, for the second value, the lower) at which one is out.
+#: Each measure is one count for each of another; True where too few are out as well as too many.
 MEASURES = {
-    "symbols_per_word": (0.15, None),
-    "capitals_per_char": (0.25, None),
-    "shouts_per_word": (0.25, None),
-    "repeat_share": (0.15, None),
-    "dup_line_share": (0.25, None),
-    "chars_per_word": (4.0, 2.5),
+    "symbols_per_word": ("n_symbols", "n_words", False),
+    "capitals_per_char": ("n_capitals", "word_chars", False),
+    "shouts_per_word": ("n_shouts", "n_words", False),
+    "repeat_share": ("n_repeat_words", "n_words", False),
+    "dup_line_share": ("n_dup_lines", "n_lines", False),
+    "chars_per_word": ("word_chars", "n_words", True),
 }
-MIN_GROUP = 200
+#: Distance of the far fences from the quartiles, in distances between these.
 FENCE = 3.0
-#: Bucket b holds values in ((1+2a)^(b-1), (1+2a)^b] of value + SHIFT, so a quantile is off by about a share ``a`` at most.
-ACCURACY = 0.01
-SHIFT = 0.05
+#: A group's sketch counts beside so many texts of its language, and a language's beside so many of the corpus.
+PRIOR, MILLION = 100, 1_000_000
+#: Width of a bucket of the sketch, in logarithms: a quantile is off by about a hundredth of itself at most.
+WIDTH = 0.02
 
 _CONT = np.zeros(256, bool)
 _CONT[0x80:0xC0] = True
@@ -124,15 +127,8 @@ def with_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = No
 
 
 def measures() -> dict[str, Column]:
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    return {
-        "symbols_per_word": F.col("n_symbols") / words,
-        "capitals_per_char": F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1)),
-        "shouts_per_word": F.col("n_shouts") / words,
-        "repeat_share": F.col("n_repeat_words") / words,
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "chars_per_word": F.col("word_chars") / words,
-    }
+    """The logarithm of each measure's share; one more on both sides keeps what never occurs finite, and short texts apart from long ones."""
+    return {k: F.log((F.col(a) + 1) / (F.col(b) + 1)) for k, (a, b, _) in MEASURES.items()}
 
 
 def base_failed() -> Column:
@@ -141,72 +137,82 @@ def base_failed() -> Column:
 
 def sketch(counted: DataFrame, by: list[str]) -> DataFrame:
     """Rows (by, measure, bucket, n). Sketches merge by summing n."""
-    gamma = np.log(1 + 2 * ACCURACY)
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.ceil(F.log(v + SHIFT) / gamma).cast("int").alias("bucket")) for k, v in measures().items()])).alias("m")
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.floor(v / WIDTH).cast("int").alias("bucket")) for k, v in measures().items()])).alias("m")
     return counted.select(*by, pairs).groupBy(*by, "m.measure", "m.bucket").agg(F.count("*").alias("n"))
 
 
+def _same(a: str, b: str, columns: list[str]) -> Column:
+    on = F.col(f"{a}.measure") == F.col(f"{b}.measure")
+    for c in columns:
+        on = on & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return on
+
+
+def backed(own: DataFrame, by: list[str], wider: DataFrame, wide_by: list[str]) -> DataFrame:
+    """The sketches ``own`` with those of the level above merged in, scaled to PRIOR texts; n in millionths of a text.
+
+    ``wider`` has a row for each bucket of each of its groups, whose number the widths of the buckets bound.
+    """
+    total = wider.groupBy(*wide_by, "measure").agg(F.sum("n").alias("all"))
+    share = wider.alias("w").join(F.broadcast(total).alias("t"), _same("w", "t", wide_by)).select("w.*", F.floor(F.col("w.n") * (PRIOR * MILLION) / F.col("t.all")).cast("long").alias("part"))
+    share = stage(share, "prior")
+    groups = own.select(*by, "measure").distinct()
+    lent = groups.alias("g").join(small(share).alias("s"), _same("g", "s", wide_by)).select(*[F.col(f"g.{c}").alias(c) for c in by], "g.measure", "s.bucket", F.col("s.part").alias("n"))
+    both = own.select(*by, "measure", "bucket", (F.col("n") * MILLION).alias("n")).unionByName(lent)
+    return both.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
+
+
 def quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """(by, measure, n, q25, q75) from sketches merged to the level ``by``."""
-    merged = sketches.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
+    """(by, measure, q25, q75) of sketches."""
     key = W.partitionBy(*by, "measure")
-    run = merged.withColumn("seen", F.sum("n").over(key.orderBy("bucket"))).withColumn("all", F.sum("n").over(key))
-    mid = F.pow(F.lit(1 + 2 * ACCURACY), F.col("bucket") - 0.5) - SHIFT
-    at = lambda q: F.min(F.when(F.col("seen") >= q * F.col("all"), mid))
-    return run.groupBy(*by, "measure").agg(F.max("all").alias("n"), at(0.25).alias("q25"), at(0.75).alias("q75"))
+    run = sketches.withColumn("seen", F.sum("n").over(key.orderBy("bucket"))).withColumn("all", F.sum("n").over(key))
+    at = lambda q: (F.min(F.when(100 * F.col("seen") >= q * F.col("all"), F.col("bucket"))) + 0.5) * WIDTH
+    return run.groupBy(*by, "measure").agg(at(25).alias("q25"), at(75).alias("q75"))
 
 
-def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
-    """(lang, source, <measure>_low, <measure>_high): fences of every group that occurs."""
+def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """(lang, source, <measure>_low, <measure>_high): fences of every group that occurs, in logarithms."""
     own = stage(sketch(counted, [lang, source]), "sketch")
-    levels = [quartiles(own, [lang, source]), quartiles(own, [lang]), quartiles(own, [])]
-    a, b, c = (stage(x, "quartiles") for x in levels)
-    j = (
-        a.alias("a")
-        .join(small(b).alias("b"), F.col(f"a.{lang}").eqNullSafe(F.col(f"b.{lang}")) & (F.col("a.measure") == F.col("b.measure")))
-        .join(F.broadcast(c).alias("c"), F.col("a.measure") == F.col("c.measure"))  # a row for each measure
-    )
-    pick = lambda q: F.when(F.col("a.n") >= min_group, F.col(f"a.{q}")).when(F.col("b.n") >= min_group, F.col(f"b.{q}")).otherwise(F.col(f"c.{q}"))
-    j = j.select(F.col(f"a.{lang}").alias(lang), F.col(f"a.{source}").alias(source), "a.measure", pick("q25").alias("q25"), pick("q75").alias("q75"))
+    merged = lambda by: own.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
+    languages = stage(backed(merged([lang]), [lang], stage(merged([]), "sketch"), []), "sketch")
+    q = quartiles(backed(own, [lang, source], languages, [lang]), [lang, source])
     spread = FENCE * (F.col("q75") - F.col("q25"))
     out = []
-    for k, (above, below) in MEASURES.items():
+    for k, (_, _, both) in MEASURES.items():
         mine = F.col("measure") == k
-        out.append(F.max(F.when(mine, F.col("q75") + F.greatest(spread, F.lit(above)))).alias(f"{k}_high"))
-        if below is not None:
-            out.append(F.min(F.when(mine, F.col("q25") - F.greatest(spread, F.lit(below)))).alias(f"{k}_low"))
-    return j.groupBy(lang, source).agg(*out)
+        out.append(F.max(F.when(mine, F.col("q75") + spread)).alias(f"{k}_high"))
+        if both:
+            out.append(F.min(F.when(mine, F.col("q25") - spread)).alias(f"{k}_low"))
+    return q.groupBy(lang, source).agg(*out)
+
+
+def _within() -> Column:
+    good = F.lit(True)
+    for k, v in measures().items():
+        good = good & F.coalesce(v <= F.col(f"{k}_high"), F.lit(True))
+        if MEASURES[k][2]:
+            good = good & F.coalesce(v >= F.col(f"{k}_low"), F.lit(True))
+    return good
 
 
-def judged(counted: DataFrame, lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
+def judged(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """``counted`` (a staged table with COUNTS) with base_failed, kept and the fences used."""
-    fences = stage(thresholds(counted.filter(~base_failed()), lang, source, min_group), "fences")
+    fences = stage(thresholds(counted.filter(~base_failed()), lang, source), "fences")
     limits = [c for c in fences.columns if c not in (lang, source)]
     on = F.col(f"d.{lang}").eqNullSafe(F.col(f"t.{lang}")) & F.col(f"d.{source}").eqNullSafe(F.col(f"t.{source}"))
     j = counted.alias("d").join(small(fences).alias("t"), on, "left").select("d.*", *[f"t.{c}" for c in limits])
-    good = F.lit(True)
-    for k, v in measures().items():
-        if MEASURES[k][0] is not None:
-            good = good & F.coalesce(v <= F.col(f"{k}_high"), F.lit(True))
-        if MEASURES[k][1] is not None:
-            good = good & F.coalesce(v >= F.col(f"{k}_low"), F.lit(True))
-    return j.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & good)
+    return j.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & _within())
 
 
-def apply_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
+def apply_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns unchanged.
 
     The counts are staged without the texts to set the fences; the texts are then counted again beside the
     fences, which costs less than to shuffle them.
     """
     slim = stage(with_counts(docs, text, [c for c in dict.fromkeys((lang, source))]), "counts")
-    fences = stage(thresholds(slim.filter(~base_failed()), lang, source, min_group), "fences")
+    fences = stage(thresholds(slim.filter(~base_failed()), lang, source), "fences")
     counted = with_counts(docs.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns]), f"d_{text}")
     on = F.col(f"d_{lang}").eqNullSafe(F.col(lang)) & F.col(f"d_{source}").eqNullSafe(F.col(source))
     j = counted.join(small(fences), on, "left")
-    good = ~base_failed()
-    for k, v in measures().items():
-        good = good & F.coalesce(v <= F.col(f"{k}_high"), F.lit(True))
-        if MEASURES[k][1] is not None:
-            good = good & F.coalesce(v >= F.col(f"{k}_low"), F.lit(True))
-    return j.filter(good).select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])
+    return j.filter(~base_failed() & _within()).select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])
