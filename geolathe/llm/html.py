@@ -2,7 +2,9 @@
 
 A page becomes a flat list of text blocks. A block has its word count and link density, those of its neighbours,
 and whether the nearest marked container around it is one of content or of trimmings. A decision tree, trained on
-the small labelled table below, keeps or drops each block; kept blocks are joined by line breaks.
+the small labelled table below, keeps or drops each block; kept blocks are joined by line breaks. Marks decide where
+a page has them; blocks without a mark, and links in a marked article, are told apart by words and links of the block
+and its neighbours.
 
 Defined results: null or empty html has an empty text; broken markup is read as far as it goes; repeated rows are
 extracted each; an empty table gives no rows; of a skipped element without an end only the tag is skipped, but for
@@ -21,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Elements by what they do to the flow of text.
-SKIPPED = "script style noscript template title svg math button select textarea iframe object canvas audio video map".split()
+SKIPPED = "script style noscript template title svg button select textarea iframe object canvas audio video map".split()
 RAW = "script style textarea".split()
-NESTED = "template svg math object".split()
+NESTED = "template svg object".split()
 BLOCKS = "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 CONTAINERS = "article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul span p".split()
 CONTENT = "article main".split()
@@ -58,12 +60,24 @@ LABELLED = [
     (1, 1, 1, 1.0, 1.0, 1.0, 0, 1, 0, 1, 0), (2, 0, 1, 1.0, 0.0, 1.0, 0, 1, 0, 1, 0), (11, 1, 9, 0.0, 1.0, 0.0, 0, 1, 0, 1, 0), (14, 60, 0, 0.2, 0.0, 0.0, 0, 1, 0, 1, 0),
     (38, 75, 20, 0.0, 0.0, 0.0, 0, 1, 0, 1, 0), (90, 12, 44, 0.0, 0.0, 0.0, 0, 1, 0, 1, 0), (5, 90, 30, 0.0, 0.0, 0.0, 0, 1, 1, 1, 0), (3, 3, 3, 0.0, 0.0, 0.0, 0, 1, 0, 1, 0),
     (22, 4, 4, 0.5, 1.0, 1.0, 0, 1, 0, 0, 0), (7, 70, 0, 0.0, 0.0, 0.0, 0, 1, 0, 0, 0), (60, 8, 9, 0.0, 0.0, 0.0, 0, 1, 0, 0, 0), (4, 2, 2, 1.0, 1.0, 1.0, 0, 1, 0, 0, 0),
+    # the same before and after long blocks: menus above an article, a notice, a single reply, a form, a footer below
+    (1, 0, 80, 1.0, 0.0, 0.0, 0, 1, 0, 1, 0), (1, 1, 120, 1.0, 1.0, 0.0, 0, 1, 0, 1, 0), (4, 2, 95, 0.0, 1.0, 0.0, 0, 1, 0, 1, 0), (5, 0, 60, 0.0, 0.0, 0.0, 0, 1, 0, 1, 0),
+    (2, 110, 75, 0.0, 0.0, 0.0, 0, 1, 0, 1, 0), (17, 45, 90, 0.1, 0.0, 0.0, 0, 1, 0, 1, 0), (60, 80, 70, 0.0, 0.0, 0.0, 0, 1, 0, 1, 0), (33, 3, 140, 0.0, 0.0, 0.0, 0, 1, 1, 1, 0),
+    (1, 0, 70, 1.0, 0.0, 0.0, 0, 1, 0, 0, 0), (3, 1, 85, 0.0, 1.0, 0.0, 0, 1, 0, 0, 0), (12, 60, 65, 0.0, 0.0, 0.0, 0, 1, 0, 0, 0), (90, 70, 100, 0.0, 0.0, 0.0, 0, 1, 0, 0, 0),
+    (6, 130, 55, 0.5, 0.0, 0.0, 0, 1, 1, 0, 0), (25, 0, 90, 0.0, 0.0, 0.0, 0, 1, 0, 0, 0), (150, 30, 20, 0.0, 0.0, 0.0, 0, 1, 0, 0, 0), (8, 9, 120, 1.0, 1.0, 0.0, 0, 1, 0, 0, 0),
+    # lists of links in a marked article, and single links and short lines that belong to its text
+    (3, 4, 3, 1.0, 1.0, 1.0, 1, 0, 0, 1, 0), (5, 3, 4, 1.0, 1.0, 1.0, 1, 0, 0, 1, 0), (2, 2, 2, 1.0, 1.0, 1.0, 1, 0, 0, 1, 0), (7, 6, 8, 1.0, 1.0, 1.0, 1, 0, 0, 1, 0),
+    (3, 40, 35, 1.0, 0.0, 0.1, 1, 0, 0, 1, 1), (9, 22, 1, 0.8, 0.1, 0.0, 1, 0, 0, 1, 1), (2, 4, 70, 0.0, 0.0, 0.0, 1, 0, 0, 1, 1), (15, 14, 16, 0.3, 0.2, 0.4, 1, 0, 0, 1, 1),
+    (4, 5, 6, 0.0, 0.0, 0.0, 1, 0, 0, 1, 1), (1, 1, 1, 0.0, 0.0, 0.0, 1, 0, 0, 1, 1), (8, 90, 0, 0.0, 0.0, 0.0, 1, 0, 0, 1, 1), (4, 1, 60, 1.0, 1.0, 0.0, 1, 0, 1, 1, 1),
     # unmarked blocks of a page that marks its content
     (12, 2, 40, 0.0, 1.0, 0.0, 0, 0, 0, 1, 0), (6, 70, 8, 0.3, 0.0, 0.0, 0, 0, 0, 1, 0), (30, 2, 2, 0.0, 1.0, 1.0, 0, 0, 0, 1, 0), (4, 1, 9, 0.0, 1.0, 0.0, 0, 0, 1, 1, 0),
     (45, 60, 10, 0.0, 0.0, 0.0, 0, 0, 0, 1, 0), (18, 40, 3, 0.9, 0.0, 1.0, 0, 0, 0, 1, 0),
+    (4, 1, 90, 0.0, 1.0, 0.0, 0, 0, 0, 1, 0), (60, 10, 90, 0.0, 0.0, 0.0, 0, 0, 0, 1, 0), (2, 0, 110, 1.0, 0.0, 0.0, 0, 0, 0, 1, 0), (70, 80, 55, 0.0, 0.0, 0.0, 0, 0, 0, 1, 0),
     # unmarked blocks of a page without marks: word count and link density of the block and its neighbours
     (70, 8, 55, 0.0, 0.0, 0.0, 0, 0, 0, 0, 1), (55, 70, 30, 0.05, 0.0, 0.0, 0, 0, 0, 0, 1), (28, 55, 61, 0.1, 0.0, 0.0, 0, 0, 0, 0, 1), (8, 1, 70, 0.0, 1.0, 0.0, 0, 0, 1, 0, 1),
     (5, 62, 48, 0.0, 0.0, 0.1, 0, 0, 0, 0, 1), (19, 44, 3, 0.0, 0.0, 0.8, 0, 0, 0, 0, 1), (33, 2, 2, 0.2, 1.0, 1.0, 0, 0, 0, 0, 1), (7, 38, 90, 0.0, 0.0, 0.0, 0, 0, 1, 0, 1),
+    (3, 0, 85, 1.0, 0.0, 0.0, 0, 0, 0, 0, 0), (1, 1, 60, 1.0, 1.0, 0.0, 0, 0, 0, 0, 0), (2, 1, 130, 1.0, 1.0, 0.0, 0, 0, 0, 0, 0), (8, 2, 75, 0.9, 1.0, 0.0, 0, 0, 0, 0, 0),
+    (48, 80, 4, 0.0, 0.0, 0.5, 0, 0, 0, 0, 1), (12, 66, 71, 0.3, 0.0, 0.0, 0, 0, 0, 0, 1), (90, 2, 4, 0.0, 1.0, 1.0, 0, 0, 0, 0, 1), (26, 30, 28, 0.1, 0.1, 0.0, 0, 0, 0, 0, 1),
     (2, 1, 2, 1.0, 1.0, 1.0, 0, 0, 0, 0, 0), (6, 3, 5, 0.8, 1.0, 1.0, 0, 0, 0, 0, 0), (40, 5, 6, 0.9, 1.0, 1.0, 0, 0, 0, 0, 0), (3, 2, 4, 0.0, 1.0, 1.0, 0, 0, 0, 0, 0),
     (5, 4, 3, 0.0, 0.0, 0.0, 0, 0, 0, 0, 0), (9, 3, 2, 0.5, 0.0, 1.0, 0, 0, 0, 0, 0), (4, 35, 2, 0.6, 0.0, 1.0, 0, 0, 0, 0, 0), (7, 2, 0, 0.0, 1.0, 0.0, 0, 0, 0, 0, 0),
 ]
