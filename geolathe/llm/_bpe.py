@@ -4,6 +4,9 @@ Byte-level BPE with the usual word pattern never merges across some places: befo
 follows, between an ASCII letter and ASCII punctuation after it, and around a line break between two words. Texts
 are cut there by numpy; Arrow's dictionary encoding finds the distinct segments, and the library encodes those
 that the worker has not met. Joining the ids of the segments gives what encoding the whole text gives.
+
+The library's own setting holds for the strings of added tokens (like an end mark) in a text: it makes them their
+ids. With ``plain=True`` they are ordinary text. No segment is cut inside such a string.
 """
 
 from __future__ import annotations
@@ -43,18 +46,20 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(2)
-def _loaded(path: str):
+@lru_cache(4)
+def loaded(path: str, plain: bool = False):
+    """(tokenizer, segments met lately and before, strings of its added tokens)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t, [{}, {}]
+    if plain:
+        t.encode_special_tokens = True
+    return t, [{}, {}], [] if plain else [x.content.encode() for x in t.get_added_tokens_decoder().values()]
 
 
-def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Sorted places, with the ends of all texts, between which segments can be encoded alone."""
+def cuts(data: np.ndarray, off: np.ndarray, whole: list[bytes]) -> np.ndarray:
+    """Sorted places, with the ends of all texts, between which segments can be encoded alone; none inside the strings ``whole`` or the white space before them."""
     n = len(data)
     cut = np.zeros(n + 1, bool)
     if n > 2:
@@ -62,15 +67,22 @@ def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         cut[1:n] |= _LETTER[data[:-1]] & _PUNCT[data[1:]]
         line = np.flatnonzero((data[1:-1] == 10) & _PLAIN[data[:-2]] & _PLAIN[data[2:]]) + 1
         cut[line] = cut[line + 1] = True
+    flat = b""
+    for x in whole:
+        flat = flat or data.tobytes()
+        at = flat.find(x)
+        while at >= 0:
+            cut[len(flat[:at].rstrip()) + 1 : at + len(x)] = False
+            at = flat.find(x, at + 1)
     cut[off] = True
     return np.flatnonzero(cut)
 
 
-def encode(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encode(texts: pa.Array, path: str, plain: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, offsets of each text in the ids and the end)."""
-    lib, memory = _loaded(path)
+    lib, memory, whole = loaded(path, plain)
     for row, data, off in chunks(texts, BATCH):
-        at = cuts(data, off)
+        at = cuts(data, off, whole)
         if len(at) < 2:
             yield row, np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
             continue

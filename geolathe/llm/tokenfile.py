@@ -100,12 +100,11 @@ def read_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 class Corpus:
     folder: str
     manifest: DataFrame  # file, n_docs, n_ids, before (ids in the files before)
-    ranks: np.ndarray  # ids, most frequent first
 
 
 def _tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, ids) in ranges and order of doc_id; ids as bytes of 16 bits where the vocabulary allows it."""
-    kind = np.uint16 if _bpe._loaded(path)[0].get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.uint32
+    kind = np.uint16 if _bpe.loaded(path)[0].get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +123,7 @@ def write_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     path = path or _bpe.tokenizer_file()
     found, kind = _tokens(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), path, end_id)
     tokens = stage(found.withColumn("part", F.spark_partition_id()), "tokens")
-    vocabulary = max(_bpe._loaded(path)[0].get_vocab_size(), end_id + 1)
+    vocabulary = max(_bpe.loaded(path)[0].get_vocab_size(), end_id + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
@@ -174,13 +173,16 @@ def write_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
 
     placed = tokens.select("doc_id", "ids", F.col("part").cast("long"), F.col("_metadata.row_index").alias("row"))
     files = stage(placed.mapInArrow(write, "file string, part long, row long, n_docs long, n_ids long"), "files")
-    return Corpus(folder, running_before(files, "n_ids", ["part", "row"], parts=1 if files.limit(5000).count() < 5000 else None), ranks)
+    return Corpus(folder, running_before(files, "n_ids", ["part", "row"], parts=1 if files.limit(5000).count() < 5000 else None))
 
 
-def read_corpus(spark, folder: str, ranks: np.ndarray, digest_only: bool = True) -> DataFrame:
+def read_corpus(spark, folder: str, digest_only: bool = True) -> DataFrame:
     """(file, doc_id, within, n_tokens, ids_crc32 or ids) of all files; within: ids of the file before the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = pafs.FileSystem.from_uri(folder)
+        with fs.open_input_stream(f"{at}/ranks.bin") as f:
+            ranks = np.frombuffer(f.read(), "<u4")
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
                 docs, counts, coded = read_file(content.as_py())
@@ -200,6 +202,6 @@ def digest(corpus: Corpus) -> DataFrame:
     spark = corpus.manifest.sparkSession
     if not corpus.manifest.limit(1).count():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    found = read_corpus(spark, corpus.folder, corpus.ranks)
+    found = read_corpus(spark, corpus.folder)
     files = corpus.manifest.select(F.col("file").alias("_file"), "before")
     return found.join(small(files), F.col("file") == F.col("_file")).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
