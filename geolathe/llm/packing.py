@@ -42,7 +42,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int, kind: type) -> DataFrame:
                 low = np.zeros(len(off) - 1, np.uint64)
                 full = np.flatnonzero(off[1:] - off[:-1] > 1)
                 if len(full):
-                    # up to the next text's first pair: one pair in each run crosses over, which only moves the order
+                    pairs[off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(ids))] - 1] = ~np.uint64(0)  # across two texts
                     low[full] = np.minimum.reduceat(pairs, off[full])
                 ids = ids.astype(kind)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(off) - 1), pa.array([ids[a:b].tobytes() + tail for a, b in zip(off[:-1], off[1:])], pa.binary()), pa.array(low.view(np.int64))], names=["doc_id", "ids", "near"])
@@ -171,7 +171,7 @@ class _Packer:
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or _bpe.tokenizer_file()
-    vocabulary = max(_bpe._loaded(path)[0].get_vocab_size(), end_id + 1)
+    vocabulary = max(_bpe.loaded(path)[0].get_vocab_size(), end_id + 1)
     kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
     tokens = stage(_encoded(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), path, end_id, kind), "tokens")
     idf, mean = _statistics(tokens, kind, vocabulary)
