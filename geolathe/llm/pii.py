@@ -6,7 +6,8 @@ digits digits, punctuation stays, cards keep their first digit and a valid check
 first names keep gender and script and surnames their script. Distinct entities are checked: where two have one
 surrogate, or a surrogate is someone's real value, those entities get another try until none are left.
 
-Documents are never shuffled; what is grouped are the distinct entities, reduced in each task first.
+What is grouped are the distinct entities, reduced in each task first. Documents are not shuffled unless more than
+LITERAL entities need another attempt than the first, whose documents then get their attempts by a join.
 
 Defined results: null and empty texts stay as they are; repeated rows get the same result; other columns stay;
 an empty table gives no rows. A column named like an output (n_entities) is replaced.
@@ -14,10 +15,13 @@ an empty table gives no rows. A column named like an output (n_entities) is repl
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import stage
+from ._tables import free_names, stage
 
 # Frequent given names by gender and script, and titles that tell a gender.
 NAMES = {
@@ -37,7 +41,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _GIVEN = "|".join(n for ns in NAMES.values() for n in ns)
 _SURNAME = r"\p{Lu}[\p{L}'’-]+"
-_PERSON = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{_TITLE})\.? {_SURNAME}(?: {_SURNAME})?|(?:{_GIVEN}) {_SURNAME})"
+_PERSON = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{_TITLE})\.? {_SURNAME}(?: {_SURNAME})?|(?:{_GIVEN}) (?:\p{{Lu}}\. )?{_SURNAME})"
 _SECRET_NAME = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|passwd|pwd|[Aa]pi[_ -]?[Kk]ey|API[_ -]?KEY|access_key)"
 PATTERN = "|".join(
     (
@@ -46,10 +50,12 @@ PATTERN = "|".join(
         r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,})",
         r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
+        r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
         r"(?<!\d)(?:(?:\d{4}[ -]?){3}\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{5})(?!\d)",
         r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)",
         r"(?<![\w.])(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!\d)",
+        r"(?<![\w.+:/-])0\d{2,4}(?: ?[-/] ?| )\d{5,8}(?![\w:-])",
         _PERSON,
     )
 )
@@ -67,12 +73,13 @@ def _digits(e: Column) -> Column:
 
 
 def kind(e: Column) -> Column:
-    """email, ip, ssn, secret, iban, card, phone or person."""
+    """email, ip, ipv6, ssn, secret, iban, card, phone or person."""
     return (
         F.when(e.rlike(rf"^{_SECRET_NAME}\s*[=:]"), "secret")
         .when(e.contains("@"), "email")
         .when(e.rlike(r"^(AKIA|gh[pousr]_|sk-)"), "secret")
         .when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
+        .when(e.rlike(r"^([0-9A-Fa-f]{1,4}:){7}"), "ipv6")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(e.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]+$"), "iban")
         .when(e.rlike(r"^[\d -]+$") & (F.length(_digits(e)) >= 13), "card")
@@ -83,7 +90,7 @@ def kind(e: Column) -> Column:
 
 def _normal(e: Column, k: Column) -> Column:
     return (
-        F.when(k == "email", F.lower(e))
+        F.when(k.isin("email", "ipv6"), F.lower(e))
         .when(k.isin("ssn", "card", "phone"), _digits(e))
         .when(k == "iban", F.replace(e, F.lit(" "), F.lit("")))
         .when(k == "secret", F.regexp_extract(e, _VALUE, 0))
@@ -162,11 +169,11 @@ def _invented(word: Column, noise: Column, attempt: Column) -> Column:
 
 
 def _given(word: Column, key: str) -> Column:
-    """Another given name of its gender and script: each list is turned by a keyed number of places, so none coincide."""
+    """Another given name of its gender and script: each list is put in a keyed order, and a name stands for the one before it, so none coincide."""
     tables = []
-    for (gender, script), names in NAMES.items():
-        turn = 1 + sum(key.encode() + gender.encode() + script.encode()) % (len(names) - 1)
-        table = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, names[(i + turn) % len(names)])])
+    for names in NAMES.values():
+        order = sorted(names, key=lambda n: hmac.new(key.encode(), n.encode(), hashlib.sha256).digest())
+        table = F.create_map(*[F.lit(x) for i, n in enumerate(order) for x in (n, order[i - 1])])
         tables.append(F.try_element_at(table, word))
     return F.coalesce(*tables)
 
@@ -197,6 +204,7 @@ def surrogates(entities: Column, key: str, attempt) -> Column:
             F.when(k == "email", email)
             .when(k == "secret", _let(head, lambda h: F.concat(h, _alike(F.substr(e, F.length(h) + 1), z))))
             .when(k == "ip", F.concat_ws(".", *[(_number(z, F.lit(i), 254) + 1).cast("string") for i in range(4)]))
+            .when(k == "ipv6", F.concat_ws(":", *[F.substr(z, F.lit(4 * i + 1), F.lit(4)) for i in range(8)]))
             .when(k == "ssn", _plain(e, n, z))
             .when(k == "iban", F.concat(F.substr(e, F.lit(1), F.lit(2)), _alike(F.substr(e, F.lit(3)), z)))
             .when(k == "card", F.when(_luhn_sum(n) % 10 == 0, _card(e, n, z)))
@@ -216,10 +224,13 @@ def _attempts(found: DataFrame, key: str, most: int = 50) -> DataFrame:
     at = stage(found.select("entity", _root(F.col("entity")).alias("root"), normal(F.col("entity")).alias("norm"), F.lit(0).alias("attempt")), "entities")
     for _ in range(most):
         made = F.element_at(surrogates(F.array("entity"), key, lambda _: F.col("attempt")), 1)
-        made = stage(at.withColumn("new", made).filter("new IS NOT NULL").select("root", "norm", normal(F.col("new")).alias("made")), "made")
+        made = at.withColumn("new", made).filter("new IS NOT NULL").select("entity", "root", "norm", "new", normal(F.col("new")).alias("made"))
+        # surnames alone must differ too, as they may stand without a given name
+        alone = made.filter(kind(F.col("entity")) == "person").select("root", F.col("root").alias("norm"), _last_word(F.col("made")).alias("made"))
+        made = stage(made.select("root", "norm", "made").unionByName(alone).distinct(), "made")
         # of several that have one surrogate the smallest stays as it is
         clash = made.groupBy("made").agg(F.min("norm").alias("stays"), F.max("norm").alias("other")).filter("stays != other").select("made", "stays")
-        real = at.select(F.col("norm").alias("made")).distinct()
+        real = at.select(F.explode(F.array("norm", "root")).alias("made")).distinct()
         again = made.join(clash, "made").filter("norm != stays").select("root").unionByName(made.join(real, "made", "left_semi").select("root")).distinct()
         again = stage(again.withColumnRenamed("root", "_r"), "again")
         if not again.limit(1).count():
@@ -228,31 +239,32 @@ def _attempts(found: DataFrame, key: str, most: int = 50) -> DataFrame:
     raise RuntimeError("surrogates still collide")
 
 
-#: At most so many entities with another attempt than 0 become a literal; beyond, they are joined to the documents.
+#: At most so many entities with another attempt than 0 become a literal; beyond, their documents are joined to them.
 LITERAL = 2000
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = "geolathe") -> DataFrame:
-    """``docs`` with the entities in ``text`` replaced, and their number."""
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``docs`` with the entities in ``text`` replaced by surrogates that ``key`` alone decides, and their number."""
+    _m, _s, _a, _row = free_names(docs, "m", "s", "a", "row")
     body = F.col(text)
     matches = F.when(body.rlike(_MAYBE), F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)))
     found = docs.select(F.explode(matches).alias("entity")).distinct()
     attempts = stage(_attempts(stage(found, "found"), key), "attempts")
     some = attempts.limit(LITERAL + 1).count()
-    docs = docs.withColumn("_m", matches)
+    docs = docs.withColumn(_m, matches)
     if some == 0:
         attempt_of = lambda root: F.lit(0)
     elif some <= LITERAL:
         table = F.create_map(*[F.lit(x) for r in attempts.collect() for x in (r["root"], r["attempt"])])
         attempt_of = lambda root: F.coalesce(F.try_element_at(table, root), F.lit(0))
     else:
-        docs = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-        roots = docs.select("_row", F.explode(F.array_distinct(F.transform("_m", _root))).alias("root"))
-        maps = roots.join(attempts, "root").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("root", "attempt"))).alias("_a"))
-        docs = docs.join(maps, "_row", "left").drop("_row")
-        attempt_of = lambda root: F.coalesce(F.try_element_at(F.col("_a"), root), F.lit(0))
-    docs = docs.withColumn("_s", surrogates(F.col("_m"), key, attempt_of))
-    new = F.zip_with("_m", "_s", lambda e, s: F.coalesce(s, e))
+        docs = stage(docs.withColumn(_row, F.monotonically_increasing_id()), "rows")
+        roots = docs.select(_row, F.explode(F.array_distinct(F.transform(_m, _root))).alias("root"))
+        maps = roots.join(attempts, "root").groupBy(_row).agg(F.map_from_entries(F.collect_list(F.struct("root", "attempt"))).alias(_a))
+        docs = docs.join(maps, _row, "left").drop(_row)
+        attempt_of = lambda root: F.coalesce(F.try_element_at(F.col(_a), root), F.lit(0))
+    docs = docs.withColumn(_s, surrogates(F.col(_m), key, attempt_of))
+    new = F.zip_with(_m, _s, lambda e, s: F.coalesce(s, e))
     joined = F.array_join(F.zip_with(F.split(body, PATTERN, -1), new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    out = docs.withColumn("n_entities", F.coalesce(F.size(F.filter("_s", lambda s: s.isNotNull())), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.when(F.size("_m") > 0, joined).otherwise(body)).drop("_m", "_s", "_a")
+    out = docs.withColumn("n_entities", F.coalesce(F.size(F.filter(_s, lambda s: s.isNotNull())), F.lit(0)).cast("long"))
+    return out.withColumn(text, F.when(F.size(_m) > 0, joined).otherwise(body)).drop(_m, _s, _a)
