@@ -3,7 +3,9 @@
 For each source the rates r of its documents minimise the entropy sum(r log r - r) under the token constraint
 sum(size * r) = target and 0 <= r <= CAP. The solution is an exponential tilt by size, r = min(CAP,
 exp(l * size / scale)), where l solves a convex one-dimensional dual. Newton steps, kept inside a bracket, run
-for all sources at once over the counts per (source, size): a step is one join with the multipliers and one sum.
+for all sources at once. The first ones run inside one expression over a histogram of each source, whose bins grow by
+a twentieth of e, so that a source has some hundred at most; the last ones over the exact counts per (source, size):
+a step is one join with the multipliers and one sum. A dual that is not solved in STEPS steps is an error.
 Rates become whole copies by rounding their running sum over the documents of a source in order of size, so
 that what one document gains its neighbour in size gives back.
 
@@ -17,13 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._tables import running_before, small, stage
+from ._tables import free_names, running_before, small, stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
 TOLERANCE = 1e-9
-STEPS = 80
+#: Steps over the exact counts, and over the histograms before them.
+STEPS, ROUGH_STEPS = 60, 60
+BINS = 20
 
 
 def word_count(text: str = "text") -> Column:
@@ -54,12 +58,43 @@ def _rate(size: Column, cap: float) -> Column:
     return F.when(F.col("full"), F.lit(cap)).otherwise(F.least(F.lit(cap), F.exp(F.col("l") * size / F.col("scale"))))
 
 
+def _step(l: Column, lo: Column, hi: Column, off: Column, slope: Column) -> Column:
+    """Newton's next place, or the middle of the bracket where that lies outside."""
+    to = l - F.try_divide(off, slope)
+    return F.when((slope > 0) & (to > lo) & (to < hi), to).otherwise((lo + hi) / 2)
+
+
+def _rough(counts: DataFrame, state: DataFrame, cap: float) -> DataFrame:
+    """``state`` with ``l`` near the solution, found over the histograms of the sources."""
+    bins = counts.groupBy("source", F.floor(F.log("size") * BINS).alias("bin")).agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("m"), F.sum("n").cast("double").alias("k"))
+    bins = bins.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("m", "k"))).alias("bins"))
+    j = state.alias("t").join(bins.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source"))).select("t.*", "bins")
+
+    def step(at: Column, _: Column) -> Column:
+        def add(total: Column, x: Column) -> Column:
+            r = F.least(F.lit(cap), F.exp(at.l * x.m / F.col("scale")))
+            words = x.m * x.k * r
+            return F.struct((total.got + words).alias("got"), (total.slope + F.when(r < cap, words * x.m / F.col("scale")).otherwise(0.0)).alias("slope"))
+
+        def moved(sums: Column) -> Column:
+            off = sums.got - F.col("target")
+            lo, hi = F.when(off < 0, at.l).otherwise(at.lo), F.when(off > 0, at.l).otherwise(at.hi)
+            return F.struct(F.when(off == 0, at.l).otherwise(_step(at.l, lo, hi, off, sums.slope)).alias("l"), lo.alias("lo"), hi.alias("hi"))
+
+        sums = F.aggregate("bins", F.struct(F.lit(0.0).alias("got"), F.lit(0.0).alias("slope")), add)
+        return F.element_at(F.transform(F.array(sums), moved), 1)
+
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(ROUGH_STEPS)), F.struct(F.col("l"), F.col("lo"), F.col("hi")), step)["l"]
+    return j.withColumn("l", F.when(F.col("done"), F.col("l")).otherwise(F.greatest("lo", F.least("hi", solved)))).drop("bins")
+
+
 def tilts(counts: DataFrame, goals: DataFrame, cap: float = CAP, steps: int = STEPS) -> DataFrame:
     """(source, full, scale, l): the multipliers of the dual. counts: (source, size, n), sizes above 0."""
-    scale = counts.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"), F.min("size").alias("least"), F.max("size").alias("most"))
+    scale = counts.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"), F.min("size").alias("least"))
     same = F.col("g.source").eqNullSafe(F.col("s.source"))
     state = goals.alias("g").join(scale.alias("s"), same).select("g.source", "g.target", "scale", (F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)).alias("full"), F.lit(0.0).alias("l"), (-60 * F.col("scale") / F.col("least")).alias("lo"), (F.log(F.lit(cap)) * F.col("scale") / F.col("least")).alias("hi"), (F.col("target") <= 0).alias("done"))
-    state = stage(state.withColumn("done", F.col("done") | F.col("full")), "tilt")
+    state = state.withColumn("done", F.col("done") | F.col("full"))
+    state = stage(_rough(counts, state, cap), "tilt")
     for _ in range(steps):
         if not state.filter(~F.col("done")).limit(1).count():
             return state
@@ -71,12 +106,12 @@ def tilts(counts: DataFrame, goals: DataFrame, cap: float = CAP, steps: int = ST
         j = state.alias("t").join(sums.alias("u"), F.col("t.source").eqNullSafe(F.col("u.source")), "left").select("t.*", "got", "slope")
         off = F.col("got") - F.col("target")
         j = j.withColumn("lo", F.when(off < 0, F.col("l")).otherwise(F.col("lo"))).withColumn("hi", F.when(off > 0, F.col("l")).otherwise(F.col("hi")))
-        inside = (F.col("slope") > 0) & (F.try_divide(off, F.col("slope")).isNotNull()) & (F.col("l") - F.try_divide(off, F.col("slope")) > F.col("lo")) & (F.col("l") - F.try_divide(off, F.col("slope")) < F.col("hi"))
-        step = F.when(inside, F.col("l") - F.try_divide(off, F.col("slope"))).otherwise((F.col("lo") + F.col("hi")) / 2)
+        step = _step(F.col("l"), F.col("lo"), F.col("hi"), off, F.col("slope"))
         settled = F.abs(off) <= TOLERANCE * F.col("target")
         stuck = F.abs(step - F.col("l")) <= 1e-15 * F.greatest(F.abs("l"), F.lit(1.0))
-        nxt = j.select("source", "target", "scale", "full", F.when(F.col("done") | settled, F.col("l")).otherwise(step).alias("l"), "lo", "hi", (F.col("done") | F.coalesce(settled | stuck, F.lit(True))).alias("done"))
-        state = stage(nxt, "tilt")
+        state = stage(j.select("source", "target", "scale", "full", F.when(F.col("done") | settled, F.col("l")).otherwise(step).alias("l"), "lo", "hi", (F.col("done") | F.coalesce(settled | stuck, F.lit(True))).alias("done")), "tilt")
+    if state.filter(~F.col("done")).limit(1).count():
+        raise RuntimeError(f"the dual was not solved in {steps} steps")
     return state
 
 
@@ -120,19 +155,19 @@ def op_mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it."""
+    """``docs`` with each row as often as the mix takes it; the rows are shuffled once to their copies, at every size."""
+    doc, of, size, copies, rows, words, place, mine, again = free_names(docs, "id", "source", "size", "copies", "rows", "n", "k", "mine", "again")
     slim = stage(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
     # rows that agree in id, source and size share their copies: the first of them get one more where they differ
-    taken = mix(slim).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    taken = stage(taken.withColumnRenamed("doc_id", "_id").withColumnRenamed("source", "_source").withColumnRenamed("size", "_size"), "taken")
-    many = taken.filter("_rows > 1").limit(1).count() > 0
-    d = docs.withColumn("_n", word_count())
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    j = d.join(taken, on)
+    taken = mix(slim).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+    taken = stage(taken.withColumnsRenamed({"doc_id": doc, "source": of, "size": size}), "taken")
+    many = taken.filter(F.col(rows) > 1).limit(1).count() > 0
+    on = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(of)) & (F.col(words) == F.col(size))
+    j = docs.withColumn(words, word_count()).join(taken.hint("merge"), on)
     if many:
-        j = j.withColumn("_k", F.row_number().over(W.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64(*docs.columns))))
+        j = j.withColumn(place, F.row_number().over(W.partitionBy(doc, of, size).orderBy(F.xxhash64(*docs.columns))))
     else:
-        j = j.withColumn("_k", F.lit(1))
-    mine = (F.floor(F.col("_copies") * F.col("_k") / F.col("_rows")) - F.floor(F.col("_copies") * (F.col("_k") - 1) / F.col("_rows"))).cast("int")
-    j = j.withColumn("_mine", mine).filter("_mine > 0")
-    return j.withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("_mine")))).select(*docs.columns)
+        j = j.withColumn(place, F.lit(1))
+    share = lambda k: F.floor(F.col(copies) * k / F.col(rows))
+    j = j.withColumn(mine, (share(F.col(place)) - share(F.col(place) - 1)).cast("int")).filter(F.col(mine) > 0)
+    return j.withColumn(again, F.explode(F.array_repeat(F.lit(1), F.col(mine)))).select(*docs.columns)
