@@ -73,18 +73,18 @@ def running_before(df: DataFrame, value: str, order: Sequence[str], group: Seque
     their range, and each range gets the total of the ranges before it. Ties in ``order`` take any order among
     themselves, so end it with a column that tells rows apart. The result is a staged table.
     """
-    spark = df.sparkSession
+    number, total, ahead = free_names(df, "range", "total", "ahead")
     keys = [F.col(c) for c in [*group, *order]]
     ranged = df.repartitionByRange(*([parts] if parts else []), *keys)
-    ranged = stage(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
-    by = [*group, "_range"]
-    totals = ranged.groupBy(*by).agg(F.sum(value).alias("_total"))
-    ahead = F.coalesce(F.sum("_total").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    totals = stage(totals.withColumn("_ahead", ahead).drop("_total"), "ahead")
+    ranged = stage(ranged.withColumn(number, F.spark_partition_id()), "ranges")
+    by = [*group, number]
+    totals = ranged.groupBy(*by).agg(F.sum(value).alias(total))
+    before = F.coalesce(F.sum(total).over(W.partitionBy(*group).orderBy(number).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = stage(totals.withColumn(ahead, before).drop(total), "ahead")
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
     on: Column = same[0]
     for c in same[1:]:
         on = on & c
-    joined = ranged.alias("l").join(small(totals).alias("r"), on, "left").select("l.*", "r._ahead")
+    joined = ranged.alias("l").join(small(totals).alias("r"), on, "left").select("l.*", f"r.{ahead}")
     within = F.coalesce(F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return joined.withColumn(out, F.col("_ahead") + within).drop("_range", "_ahead")
+    return joined.withColumn(out, F.col(ahead) + within).drop(number, ahead)

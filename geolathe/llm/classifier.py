@@ -6,7 +6,7 @@ is the sum of these, the tail probability is P(y = K), and documents are kept by
 
 The model is fitted in one task on a bounded sample of labelled rows (SAMPLE, by a hash of the id); everything is
 scored. Defined results: null and empty texts have no words and are scored by their measures; label rows with a
-null are left out, and of several for one id the lowest grade counts; with no labels, or one grade only, weights
+null are left out, and of several for one id the lowest grade counts; a label below 0 counts as 0, one above 1 as 1; with no labels, or one grade only, weights
 are 0 and the thresholds give the grades' shares; repeated rows are scored alike; an empty table gives no rows.
 """
 
@@ -46,8 +46,9 @@ class Model:
 
 
 def grade(quality: Column, toxic: Column) -> Column:
-    """0 to 2: good and not toxic is 2, one fault 1, both 0."""
-    return quality.cast("int") + 1 - toxic.cast("int")
+    """0 to 2: good and not toxic is 2, one fault 1, both 0; other numbers count as the nearer of 0 and 1."""
+    good, bad = (F.greatest(F.lit(0), F.least(F.lit(1), F.round(c.cast("double")).cast("int"))) for c in (quality, toxic))
+    return good + 1 - bad
 
 
 def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._tables import running_before
+from ._tables import free_names, running_before
 
 SHARDS = 16
 
@@ -45,12 +45,13 @@ def shard_of(key: Column, shards: int) -> Column:
 
 
 def shard(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, order: list[str] | None = None) -> DataFrame:
-    """``docs`` with shard, grown_shard (with one shard more) and slot (gapless from 0 in its shard, by ``order``)."""
-    placed = docs.withColumns({"shard": shard_of(F.col(key), shards), "grown_shard": shard_of(F.col(key), shards + 1), "_one": F.lit(1).cast("long"), "_h": F.xxhash64(key)})
-    return running_before(placed, "_one", order or ["_h", key], ["shard"], "slot").drop("_one", "_h")
+    """``docs`` with shard, grown_shard (with one shard more) and slot (gapless from 0 in its shard, by a hash of the key and ``order``); columns of these names are replaced."""
+    one, h = free_names(docs, "one", "h")
+    placed = docs.withColumns({"shard": shard_of(F.col(key), shards), "grown_shard": shard_of(F.col(key), shards + 1), one: F.lit(1).cast("long"), h: F.xxhash64(key)})
+    return running_before(placed, one, [h, *(order or [key])], ["shard"], "slot").drop(one, h)
 
 
 def op_shard(docs: DataFrame) -> DataFrame:
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     slim = docs.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.lit("key").alias("law"))
-    return shard(slim, order=["_h", "doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return shard(slim, order=["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
