@@ -6,6 +6,8 @@ the last keep the columns of the documents; the last gives the pieces of the pac
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from geolathe.llm import mixing, ngram_join, packing, pii, quality
@@ -21,7 +23,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs).select(*docs.columns)
+    return pii.pseudonymise(docs, key=os.environ.get("CORPUS_PIPELINE_KEY", "set CORPUS_PIPELINE_KEY to a secret")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
