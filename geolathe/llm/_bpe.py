@@ -12,9 +12,9 @@ ids. With ``plain=True`` they are ordinary text. No segment is cut inside such a
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,9 @@ import pyarrow as pa
 from ._words import chunks
 
 #: Segments that a worker remembers from its last batches, and as many from those before.
-REMEMBERED = 350_000
-BATCH = 12 << 20
+REMEMBERED = 250_000
+#: Bytes of text that are looked at together, and segments that the library encodes together.
+BATCH, TOGETHER = 8 << 20, 10_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -98,12 +99,12 @@ def encode(texts: pa.Array, path: str, plain: bool = False) -> Iterator[tuple[in
                     new.append(w)
                 else:
                     known[w] = ids
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
-            known.update(zip(some, (tuple(e.ids) for e in lib.encode_batch_fast(some, add_special_tokens=False))))
+        for i in range(0, len(new), TOGETHER):
+            some = new[i : i + TOGETHER]
+            known.update(zip(some, (array("I", e.ids).tobytes() for e in lib.encode_batch_fast(some, add_special_tokens=False))))
         ids = [known[w] for w in words]
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         first = (np.cumsum(size) - size).astype(np.int32)
         which = segments.indices.to_numpy()
         n = size[which]
