@@ -1,4 +1,4 @@
-"""Spectral indices as column expressions over bands named blue, green, red, nir, swir1, swir2.
+"""Spectral indices as column expressions over bands named blue, green, red, red_edge, nir, nir1 and swir1 to swir5.
 
 Two styles exist side by side: ``guarded`` gives null on a zero denominator and is not clipped; ``clipped`` adds a
 small constant to the denominator and clips to [-1, 1] where the index is a normalised one.
@@ -6,11 +6,12 @@ small constant to the denominator and clips to [-1, 1] where the index is a norm
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The small constant, and numerator and denominator of each index in the clipped style.
-EPS = "1e-10"
+# Numerator and denominator of each index in the clipped style.
 CLIPPED = {
     "ndvi": ("nir - red", "nir + red + 1e-10"),
     "evi": ("2.5 * (nir - red)", "nir + 6 * red - 7.5 * blue + 1 + 1e-10"),
@@ -26,8 +27,9 @@ CLIPPED = {
     "gndvi": ("nir - green", "nir + green + 1e-10"),
     "vci": ("nir - red", "nir + red + blue + 1e-10"),
     "psri": ("red - blue", "nir + 1e-10"),
+    "cri1": ("green - blue", "(blue + 1e-10) * (green + 1e-10)"),
 }
-RATIOS = {"rvi": ("nir", "red + 1e-10"), "fox": ("nir", "red + 1e-10"), "akp": ("swir1 + swir2", "swir2 + 1e-10"), "amp": ("swir1", "swir2 + 1e-10")}
+RATIOS = {"rvi": ("nir", "red + 1e-10"), "fox": ("nir", "red + 1e-10"), "akp": ("swir1 + swir3", "swir2 + 1e-10"), "alt": ("swir3", "swir5 + 1e-10"), "gos": ("swir4", "red + 1e-10"), "amp": ("swir1", "swir2 + 1e-10")}
 GUARDED = {
     "ndvi": ("nir - red", "nir + red"),
     "evi": ("2.5 * (nir - red)", "nir + 6 * red - 7.5 * blue + 1"),
@@ -35,6 +37,10 @@ GUARDED = {
     "ndwi": ("green - nir", "green + nir"),
     "nbr": ("nir - swir2", "nir + swir2"),
     "ndmi": ("nir - swir1", "nir + swir1"),
+    "ndre": ("nir - red_edge", "nir + red_edge"),
+    "mndwi": ("green - swir1", "green + swir1"),
+    "ndbi": ("swir1 - nir", "swir1 + nir"),
+    "ndsi": ("green - swir1", "green + swir1"),
 }
 # Tasseled cap rows over blue, green, red, nir, swir1, swir2.
 TASSELED = {
@@ -73,3 +79,24 @@ def tasseled_cap(sensor: str) -> dict[str, Column]:
 def albedo(sensor: str) -> Column:
     w, c = ALBEDO[sensor]
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), combination(w) + c))
+
+
+def fei() -> Column:
+    """A sum of two ratios, not clipped."""
+    return F.try_divide(F.col("swir5"), F.col("red") + 1e-10) + F.try_divide(F.col("nir1"), F.col("green") + 1e-10)
+
+
+def dnbr(nir_before: Column, swir2_before: Column, nir_after: Column, swir2_after: Column, eps: float = 0.0) -> Column:
+    """Burn ratio before less after, not clipped; ``eps`` 1e-10 in the clipped style, else null on a zero denominator."""
+    ratio = lambda n, s: F.try_divide(n - s, n + s + eps)
+    return ratio(nir_before, swir2_before) - ratio(nir_after, swir2_after)
+
+
+def info() -> list[tuple[str, str, str, str, bool]]:
+    """(index, style, formula, bands, clipped) of all that there are."""
+    out = []
+    for style, table in (("clipped", CLIPPED), ("ratio", RATIOS), ("guarded", GUARDED)):
+        for name, (a, b) in table.items():
+            used = [x for x in dict.fromkeys(re.findall(r"[a-z_][a-z_0-9]*", re.sub(r"1e-10", "", f"{a} {b}")))]
+            out.append((name, style, f"({a}) / ({b})", " ".join(used), style == "clipped"))
+    return out

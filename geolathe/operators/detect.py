@@ -1,16 +1,18 @@
-"""Detectors and measures over pixel tables (scene_id, row, col, v); boxes are cut at the border."""
+"""Detectors and measures over pixel tables (scene_id, row, col, v); rasters are mirrored at the border of a box."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .raster import KEY, _line, box_sum, focal_mean, local_moments, neighbours
+from . import stencil as st
+from .raster import KEY, _line
 
 LEVELS = 64
 #: Distances to the neighbours in row-major order.
@@ -19,12 +21,16 @@ STEPS = (2**0.5, 1.0, 2**0.5, 1.0, 1.0, 2**0.5, 1.0, 2**0.5)
 
 def bright_targets(pixels: DataFrame, guard: int = 5, background: int = 21, factor: float = 3.0) -> DataFrame:
     """``target``: whether a pixel exceeds the mean of the ring between two boxes by ``factor`` deviations; null without a ring."""
-    p = pixels
-    for name, value in (("n", F.col("v").isNotNull().cast("double")), ("s", F.coalesce("v", F.lit(0.0))), ("q", F.coalesce(F.col("v") * F.col("v"), F.lit(0.0)))):
-        p = box_sum(box_sum(p, value, guard, "_g"), value, background, "_b").withColumn(name, F.col("_b") - F.col("_g")).drop("_g", "_b")
-    mean = F.try_divide("s", "n")
-    std = F.sqrt(F.greatest(F.lit(0.0), F.try_divide("q", "n") - mean * mean))
-    return p.select("scene_id", "row", "col", "v", mean.alias("ring_mean"), std.alias("ring_std"), (F.col("v") > mean + factor * std).alias("target"))
+    halo = background // 2
+
+    def run(x: dict) -> dict:
+        v = x["v"]
+        n, s, q = (st.box_sum(a, background) - st.box_sum(st.core(a, halo - guard // 2), guard) for a in ((~np.isnan(v)).astype(float), v, v * v))
+        mean = s / n
+        return {"ring_mean": mean, "ring_std": np.sqrt(np.maximum(0.0, q / n - mean * mean))}
+
+    p = st.stencil(pixels, halo, run, ["ring_mean", "ring_std"])
+    return p.withColumn("target", F.col("v") > F.col("ring_mean") + factor * F.col("ring_std"))
 
 
 def texture(pixels: DataFrame, k: int = 5) -> DataFrame:
@@ -36,47 +42,55 @@ def texture(pixels: DataFrame, k: int = 5) -> DataFrame:
     q = pixels.join(ends, list(KEY)).withColumn("q", F.floor((LEVELS - 1) * F.coalesce(F.try_divide(F.col("v") - F.col("_lo"), F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))), F.lit(0.0))).cast("double"))
     line = _line("row", "col")
     whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    d = F.col("q") - F.coalesce(F.lag("q").over(line), F.last("q").over(whole))
-    q = q.withColumn("_c", d * d).withColumn("_d", F.abs(d)).withColumn("_like", 1 / (1 + d * d))
-    for value, out in (("_c", "contrast"), ("_d", "dissimilarity"), ("_like", "homogeneity")):
-        q = focal_mean(q, k, value, out)
-    return local_moments(q, k, "q").select("scene_id", "row", "col", "contrast", "dissimilarity", "homogeneity", (1 / (1 + F.col("var"))).alias("asm"))
+    q = q.withColumn("d", F.col("q") - F.coalesce(F.lag("q").over(line), F.last("q").over(whole)))
+
+    def run(x: dict) -> dict:
+        d = x["d"]
+        return {"contrast": st.box_mean(d * d, k), "dissimilarity": st.box_mean(np.abs(d), k), "homogeneity": st.box_mean(1 / (1 + d * d), k), "asm": 1 / (1 + st.moments(x["q"], k)[1])}
+
+    out = ["contrast", "dissimilarity", "homogeneity", "asm"]
+    return st.stencil(q, k // 2, run, out, ["q", "d"]).select("scene_id", "row", "col", *out)
 
 
 def flow_direction(pixels: DataFrame) -> DataFrame:
     """``direction``: 0 to 7 for the neighbour of the steepest descent in row-major order, the first of equals; -1 for a sink."""
-    drop = F.transform(F.arrays_zip("n", F.array(*map(F.lit, STEPS)).alias("step")), lambda x: (F.col("v") - x["n"]) / x["step"])
-    best = F.array_max("_drop")
-    p = neighbours(pixels).withColumn("_drop", drop)
-    return p.select("scene_id", "row", "col", F.when(best > 0, F.array_position("_drop", best).cast("int") - 1).otherwise(-1).alias("direction"))
 
+    def run(x: dict) -> dict:
+        drop = (st.core(x["v"], 1) - st.neighbours(x["v"])) / np.array(STEPS)[:, None, None, None]
+        drop = np.where(np.isnan(drop), -np.inf, drop)
+        return {"direction": np.where(drop.max(0) > 0, drop.argmax(0), -1).astype(float)}
+
+    p = st.stencil(pixels, 1, run, ["direction"], border="none")
+    return p.select("scene_id", "row", "col", F.col("direction").cast("int").alias("direction"))
 
-def subtract_dark(pixels: DataFrame, by: Sequence[str] = KEY, share: float = 0.01) -> DataFrame:
-    """Values above zero less the given percentile of such values of their scene; others become zero."""
+
+def subtract_dark(pixels: DataFrame, by: Sequence[str] = KEY, share: float = 0.01, scale: float = 1.0) -> DataFrame:
+    """Values above zero less the given percentile of such values of their scene, by ``scale``; others become zero."""
     dark = pixels.filter("v > 0").groupBy(*by).agg(F.percentile("v", F.lit(share)).alias("_dark"))
-    return pixels.join(dark, list(by), "left").withColumn("out", F.when(F.col("v") > 0, F.col("v") - F.col("_dark")).otherwise(0.0)).drop("_dark")
+    return pixels.join(dark, list(by), "left").withColumn("out", F.when(F.col("v") > 0, (F.col("v") - F.col("_dark")) * scale).otherwise(0.0)).drop("_dark")
 
 
 def median_3x3(pixels: DataFrame) -> DataFrame:
     """Median of the known values in the 3 x 3 box, whose border pixels repeat; a null pixel stays null."""
-    up, down = _line("col", "row"), _line("row", "col")
-    p = pixels.withColumn("_x", F.struct("v"))
-    p = p.withColumn("_a", F.array(F.coalesce(F.lag("_x").over(up), "_x"), "_x", F.coalesce(F.lead("_x").over(up), "_x")))
-    box = F.concat(F.coalesce(F.lag("_a").over(down), "_a"), "_a", F.coalesce(F.lead("_a").over(down), "_a"))
-    known = F.array_sort(F.filter(F.transform(box, lambda x: x["v"]), lambda x: x.isNotNull()))
-    p = p.withColumn("_k", known)
-    n = F.size("_k")
-    middle = (F.element_at("_k", F.floor((n + 1) / 2).cast("int")) + F.element_at("_k", F.floor((n + 2) / 2).cast("int"))) / 2
-    return p.select("scene_id", "row", "col", F.when(F.col("v").isNotNull(), middle).alias("out"))
+
+    def run(x: dict) -> dict:
+        here = st.core(x["v"], 1)
+        return {"out": np.where(np.isnan(here), np.nan, np.nanmedian(np.concatenate((st.neighbours(x["v"]), here[None])), 0))}
+
+    return st.stencil(pixels, 1, run, ["out"], border="edge").select("scene_id", "row", "col", "out")
 
 
 def coherence(pairs: DataFrame, k: int = 5) -> DataFrame:
-    """Magnitude of the windowed complex correlation of (re1, im1) and (re2, im2)."""
-    p = pairs
-    terms = {"_re": "re1 * re2 + im1 * im2", "_im": "im1 * re2 - re1 * im2", "_p1": "re1 * re1 + im1 * im1", "_p2": "re2 * re2 + im2 * im2"}
-    for name, e in terms.items():
-        p = box_sum(p, F.expr(e), k, name)
-    return p.select("scene_id", "row", "col", F.try_divide(F.sqrt(F.expr("_re * _re + _im * _im")), F.nullif(F.sqrt(F.expr("_p1 * _p2")), F.lit(0.0))).alias("coherence"))
+    """Magnitude of the windowed complex correlation of (re1, im1) and (re2, im2), at most 1; the raster is mirrored at its border."""
+
+    def run(x: dict) -> dict:
+        a, b = x["re1"] + 1j * x["im1"], x["re2"] + 1j * x["im2"]
+        cross = a * np.conj(b)
+        box = lambda z: st.box_sum(z, k)
+        power = np.sqrt(box(np.abs(a) ** 2) * box(np.abs(b) ** 2))
+        return {"coherence": np.minimum(1.0, np.hypot(box(cross.real), box(cross.imag)) / np.where(power > 0, power, np.nan))}
+
+    return st.stencil(pairs, k // 2, run, ["coherence"], ["re1", "im1", "re2", "im2"]).select("scene_id", "row", "col", "coherence")
 
 
 def strain(shifts: DataFrame, cell: float = 1.0) -> DataFrame:

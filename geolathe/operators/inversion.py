@@ -1,33 +1,122 @@
-"""Displacement series from interferogram networks, one batched least-squares problem a pixel."""
+"""Displacement series from interferogram networks: many pixels' least-squares problems solved together, closures, referencing."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import pi
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.geometry import WAVELENGTH_M
 
+#: Interferogram values that are solved together.
+TOGETHER = 1 << 16
+
 
-def invert(ifg: DataFrame, pixel: str = "pixel", wavelength: float = WAVELENGTH_M) -> DataFrame:
-    """(pixel, velocity, rms, n) from (pixel, d1, d2, phase, coherence) rows, days as whole numbers.
+def solve(pixel: np.ndarray, d1: np.ndarray, d2: np.ndarray, moved: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """(dates, how many, displacements, rms, velocity a year) of ``n`` pixels: weighted least squares from each one's first date.
 
-    A pixel's pairs weigh by their squared coherence; its first date is the reference. A pixel has a bounded
-    number of pairs, which is what one group holds.
+    Pixels are 0 to n - 1 and their dates numbers. Of a network in several parts the smallest solution is taken.
     """
+    keys, code = np.unique(np.concatenate((pixel, pixel)) * np.int64(1 << 32) + np.concatenate((d1, d2)), return_inverse=True)
+    of, date = keys >> 32, keys & 0xFFFFFFFF
+    first = np.searchsorted(of, np.arange(n))
+    count = np.diff(np.append(first, len(of)))
+    most = int(count.max(initial=1))
+    at = code - first[np.concatenate((pixel, pixel))]
+    i, j = at[: len(pixel)], at[len(pixel) :]
+    normal, right = np.zeros((n, most, most)), np.zeros((n, most))
+    for a, b, sign in ((i, i, 1), (j, j, 1), (i, j, -1), (j, i, -1)):
+        np.add.at(normal, (pixel, a, b), sign * weight)
+    np.add.at(right, (pixel, j), weight * moved)
+    np.add.at(right, (pixel, i), -weight * moved)
+    # the first date and the places beyond a pixel's last one stay at zero
+    none = (np.arange(most)[None] >= count[:, None]) | (np.arange(most)[None] == 0)
+    normal[none[:, :, None] | none[:, None, :]] = 0
+    right[none] = 0
+    p, k = np.nonzero(none)
+    normal[p, k, k] = 1
+    try:
+        x = np.linalg.solve(normal, right[..., None])[..., 0]
+        if not np.isfinite(x).all():
+            raise np.linalg.LinAlgError
+    except np.linalg.LinAlgError:
+        x = (np.linalg.pinv(normal, hermitian=True) @ right[..., None])[..., 0]
+    off = moved - (x[pixel, j] - x[pixel, i])
+    rms = np.sqrt(np.bincount(pixel, off * off, n) / np.maximum(np.bincount(pixel, minlength=n), 1))
+    t = np.zeros((n, most))
+    t[of, np.arange(len(of)) - first[of]] = (date - date[first][of]) / 365.25
+    real = np.arange(most)[None] < count[:, None]
+    mean = lambda v: (v * real).sum(1) / np.maximum(count, 1)
+    ct, cx = (t - mean(t)[:, None]) * real, (x - mean(x)[:, None]) * real
+    with np.errstate(all="ignore"):
+        velocity = (ct * cx).sum(1) / (ct * ct).sum(1)
+    return date, count, x, rms, velocity
+
+
+def invert(ifg: DataFrame, pixel: str = "pixel", wavelength: float = WAVELENGTH_M, least_coherence: float = 0.0, bridge_penalty: float = 1.0) -> DataFrame:
+    """(pixel, velocity, rms, n, n_dates) from (pixel, d1, d2, phase, coherence) rows, days as whole numbers from 0.
+
+    A pixel's pairs weigh by their squared coherence, those in a column ``bridge``, if there is one, by
+    ``bridge_penalty`` of it; pairs below ``least_coherence`` are left out, and so are pixels that have fewer pairs
+    left than dates less one. A pixel's first date is the reference. A pixel has a bounded number of pairs.
+    """
+    weight = F.col("coherence") * F.col("coherence")
+    if "bridge" in ifg.columns:
+        weight = weight * F.when(F.col("bridge"), bridge_penalty).otherwise(1.0)
+    used = ifg.filter((F.col("coherence") >= least_coherence) & F.col("phase").isNotNull()).select(F.col(pixel).cast("long").alias("pixel"), F.col("d1").cast("long"), F.col("d2").cast("long"), (F.col("phase") * (wavelength / (4 * pi))).cast("double").alias("m"), weight.cast("double").alias("w"))
+    dealt = used.repartition("pixel").sortWithinPartitions("pixel")
+
+    def compute(t: pa.Table) -> pa.RecordBatch:
+        p, d1, d2, m, w = (t.column(c).to_numpy() for c in ("pixel", "d1", "d2", "m", "w"))
+        names, code = np.unique(p, return_inverse=True)
+        _, dates, _, rms, velocity = solve(code, d1, d2, m, w, len(names))
+        n = np.bincount(code, minlength=len(names))
+        ok = n >= dates - 1
+        return pa.RecordBatch.from_arrays([pa.array(names[ok]), pa.array(velocity[ok], from_pandas=True), pa.array(rms[ok]), pa.array(n[ok]), pa.array(dates[ok].astype(np.int64))], names=["pixel", "velocity", "rms", "n", "n_dates"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size < TOGETHER:
+                continue
+            t = pa.Table.from_batches(held)
+            p = t.column("pixel").to_numpy()
+            last = int(np.searchsorted(p, p[-1]))  # the last pixel may go on
+            if last:
+                yield compute(t.slice(0, last))
+                t = t.slice(last)
+                held, size = t.to_batches(), len(t)
+        if size:
+            yield compute(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, "pixel long, velocity double, rms double, n long, n_dates long").withColumnRenamed("pixel", pixel)
+
+
+def referenced(ifg: DataFrame, pixel: str = "pixel") -> DataFrame:
+    """``ifg`` with the phase of each pair less that of the pixel with the best mean coherence, the smallest of equals."""
+    best = ifg.groupBy(pixel).agg(F.avg("coherence").alias("_c")).agg(F.min_by(pixel, F.struct(-F.col("_c"), F.col(pixel))).alias("_ref"))  # one row
+    base = ifg.join(F.broadcast(best), F.col(pixel) == F.col("_ref")).select("d1", "d2", F.col("phase").alias("_p"))
+    return ifg.join(base, ["d1", "d2"], "left").withColumn("phase", F.col("phase") - F.coalesce("_p", F.lit(0.0))).drop("_p")
+
+
+def closures(ifg: DataFrame, pixel: str = "pixel") -> DataFrame:
+    """(pixel, a, b, c, closure, cycles): the phases of each triangle of dates and the whole cycles that they are off."""
+    e = ifg.select(pixel, "d1", "d2", "phase")
+    x, y, z = (e.toDF(pixel, *n) for n in (("a", "b", "ab"), ("b", "c", "bc"), ("a", "c", "ac")))
+    t = x.join(y, [pixel, "b"]).join(z, [pixel, "a", "c"])
+    closure = F.col("ab") + F.col("bc") - F.col("ac")
+    return t.select(pixel, "a", "b", "c", closure.alias("closure"), F.rint(closure / (2 * pi)).cast("long").alias("cycles"))
+
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        dates = np.unique(np.concatenate((p["d1"], p["d2"])))
-        a = np.zeros((len(p), len(dates)))
-        rows = np.arange(len(p))
-        a[rows, np.searchsorted(dates, p["d1"])] -= 1
-        a[rows, np.searchsorted(dates, p["d2"])] += 1
-        w = p["coherence"].to_numpy()
-        d = p["phase"].to_numpy() * wavelength / (4 * np.pi)
-        x = np.linalg.lstsq(a[:, 1:] * w[:, None], d * w, rcond=None)[0]
-        t = (dates - dates[0]) / 365.25
-        y = np.concatenate(([0.0], x))
-        slope = np.polyfit(t, y, 1)[0] if len(t) > 1 else np.nan
-        return pd.DataFrame({pixel: [p[pixel].iloc[0]], "velocity": [slope], "rms": [float(np.sqrt(np.mean((d - a[:, 1:] @ x) ** 2)))], "n": [len(p)]})
-
-    return ifg.groupBy(pixel).applyInPandas(run, f"{pixel} long, velocity double, rms double, n long")
+def dem_error(residual: DataFrame, by: str = "pixel", least_baseline: float = 10.0, least_coherence: float = 0.3) -> DataFrame:
+    """(by, beta): the residual phase a metre of baseline, weighted by squared coherence over pairs with a long enough one."""
+    w = F.col("coherence") * F.col("coherence")
+    used = residual.filter((F.abs("baseline") > least_baseline) & (F.col("coherence") > least_coherence))
+    return used.groupBy(by).agg(F.try_divide(F.sum(w * F.col("baseline") * F.col("residual")), F.sum(w * F.col("baseline") * F.col("baseline"))).alias("beta"))

@@ -1,13 +1,16 @@
-"""Raster operators over pixel tables (scene_id, row, col, v): stencils as windows, stacks as aggregates."""
+"""Raster operators over pixel tables (scene_id, row, col, v): focal ones by tiles, differences as windows, stacks as aggregates."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import stencil as st
+
 KEY = ("scene_id",)
 
 
@@ -20,45 +23,64 @@ def _line(across: str, along: str):
     return W.partitionBy(*KEY, across).orderBy(along)
 
 
-def box_sum(pixels: DataFrame, value: Column, k: int, out: str) -> DataFrame:
-    """Sum over the k x k box inside the raster, one axis after the other: k + k terms in place of k * k."""
-    r = k // 2
-    half = pixels.withColumn("_h", F.sum(value).over(_line("row", "col").rowsBetween(-r, r)))
-    return half.withColumn(out, F.sum("_h").over(_line("col", "row").rowsBetween(-r, r))).drop("_h")
-
-
 def focal_mean(pixels: DataFrame, k: int = 5, value: str = "v", out: str = "mean") -> DataFrame:
-    """Mean of the valid pixels in the box; the box is cut at the border."""
-    p = box_sum(pixels, F.coalesce(value, F.lit(0.0)), k, "_s")
-    p = box_sum(p, F.col(value).isNotNull().cast("double"), k, "_n")
-    return p.withColumn(out, F.try_divide("_s", "_n")).drop("_s", "_n")
+    """Mean of the known pixels in the k x k box; the raster is mirrored at its border."""
+    return st.stencil(pixels, k // 2, lambda x: {out: st.box_mean(x[value], k)}, [out], [value])
 
 
 def local_moments(pixels: DataFrame, k: int = 5, value: str = "v") -> DataFrame:
     """``m`` and ``var`` of the box."""
-    p = focal_mean(pixels, k, value, "m").withColumn("_sq", F.col(value) * F.col(value))
-    p = focal_mean(p, k, "_sq", "_m2")
-    return p.withColumn("var", F.greatest(F.lit(0.0), F.col("_m2") - F.col("m") * F.col("m"))).drop("_sq", "_m2")
+    return st.stencil(pixels, k // 2, lambda x: dict(zip(("m", "var"), st.moments(x[value], k))), ["m", "var"], [value])
 
 
 def despeckle(pixels: DataFrame, method: str = "lee", looks: float = 1.0, k: int = 5, value: str = "v") -> DataFrame:
-    """boxcar, lee, enhanced_lee or gamma filter in ``out``."""
-    p, m, v, x, e = local_moments(pixels, k, value), F.col("m"), F.col("var"), F.col(value), 1e-10
-    noise = m * m / (looks + e)
-    if method == "boxcar":
-        out = m
-    elif method == "lee":
-        out = m + v / (v + noise + e) * (x - m)
-    elif method == "enhanced_lee":
-        cv, t = F.sqrt(v) / (m + e), 1 / (looks + e) ** 0.5
-        w = F.when(cv <= t, 0.0).when(cv > 3 * t, 1.0).otherwise((cv - t) / (2 * t + e))
-        out = (1 - w) * m + w * x
-    elif method == "gamma":
-        b = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - noise) / (v + noise + e)))
-        out = m + b * (x - m)
-    else:
+    """boxcar, lee, enhanced_lee, gamma or frost filter in ``out``; the raster is mirrored at its border."""
+    e = 1e-10
+
+    def run(arrays: dict) -> dict:
+        x = st.core(arrays[value], k // 2)
+        m, v = st.moments(arrays[value], k)
+        noise = m * m / (looks + e)
+        if method == "boxcar":
+            out = m
+        elif method == "lee":
+            out = m + v / (v + noise + e) * (x - m)
+        elif method == "enhanced_lee":
+            cv, t = np.sqrt(v) / (m + e), 1 / (looks + e) ** 0.5
+            w = np.where(cv <= t, 0.0, np.where(cv > 3 * t, 1.0, (cv - t) / (2 * t + e)))
+            out = (1 - w) * m + w * x
+        else:
+            out = m + np.clip((v - noise) / (v + noise + e), 0, 1) * (x - m)
+        return {"out": out}
+
+    if method == "frost":
+        return _frost(pixels, k, value)
+    if method not in ("boxcar", "lee", "enhanced_lee", "gamma"):
         raise ValueError(f"unknown filter: {method}")
-    return p.withColumn("out", out).drop("m", "var")
+    return st.stencil(pixels, k // 2, run, ["out"], [value])
+
+
+def _frost(pixels: DataFrame, k: int, value: str) -> DataFrame:
+    """A blend of each pixel with a Gaussian whose width the scene's mean coefficient of variation sets."""
+    e = 1e-10
+    p = st.stencil(pixels, k // 2, lambda x: {"_cv": (lambda m, v: np.sqrt(v) / (m + e))(*st.moments(x[value], k))}, ["_cv"], [value])
+    width = p.groupBy("scene_id").agg(F.greatest(k / (2 * (1 + F.avg("_cv")) + e), F.lit(0.1)).alias("_sigma"))
+    halo = 2 * k + 1
+
+    def run(arrays: dict) -> dict:
+        x, cv = st.core(arrays[value], halo), st.core(arrays["_cv"], halo)
+        # the width of a tile's scene, rounded so that equal ones go together
+        sigma = np.round(np.nanmax(arrays["_sigma"], axis=(1, 2)), 9)
+        smooth = np.empty_like(x)
+        for one in np.unique(sigma):
+            if not 0 < 4 * one + 0.5 < halo + 1:
+                raise ValueError("the scene's mean variation is too far below zero")
+            smooth[sigma == one] = st.gaussian(arrays[value][sigma == one], one, halo)
+        alpha = np.exp(-cv * k)
+        return {"out": alpha * x + (1 - alpha) * smooth}
+
+    out = st.stencil(p.join(width, "scene_id"), halo, run, ["out"], [value, "_cv", "_sigma"])
+    return out.drop("_cv", "_sigma")
 
 
 def gradient(pixels: DataFrame, value: str = "v", cell: float = 1.0) -> DataFrame:
@@ -80,21 +102,14 @@ def terrain(pixels: DataFrame, cell: float = 1.0, azimuth: float = 315.0, altitu
     return g.select("scene_id", "row", "col", F.degrees(slope).alias("slope"), aspect.alias("aspect"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), shade)).alias("hillshade"))
 
 
-def neighbours(pixels: DataFrame, value: str = "v") -> DataFrame:
-    """``n`` array of the 8 neighbours, null outside, clockwise from north-west... in row-major order."""
-    up, down = _line("col", "row"), _line("row", "col")
-    p = pixels.withColumn("_u", F.lag(value).over(up)).withColumn("_d", F.lead(value).over(up))
-    near = []
-    for c in ("_u", value, "_d"):
-        near += [F.lag(c).over(down), *([F.col(c)] if c != value else []), F.lead(c).over(down)]
-    return p.withColumn("n", F.array(*near)).drop("_u", "_d")
+def ruggedness(pixels: DataFrame) -> DataFrame:
+    """Root of the summed squared differences to the 8 neighbours; the outermost pixels stand beyond the border too."""
 
+    def run(x: dict) -> dict:
+        d = st.neighbours(x["v"]) - st.core(x["v"], 1)
+        return {"tri": np.sqrt(np.nansum(d * d, 0))}
 
-def ruggedness(pixels: DataFrame) -> DataFrame:
-    """Root of the summed squared differences to the 8 neighbours."""
-    p = neighbours(pixels)
-    total = F.aggregate("n", F.lit(0.0), lambda a, x: a + F.coalesce((x - F.col("v")) * (x - F.col("v")), F.lit(0.0)))
-    return p.select("scene_id", "row", "col", F.sqrt(total).alias("tri"))
+    return st.stencil(pixels, 1, run, ["tri"], border="edge").select("scene_id", "row", "col", "tri")
 
 
 def curvature(pixels: DataFrame) -> DataFrame:

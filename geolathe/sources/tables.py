@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.raster import tiles_to_pixels
@@ -15,23 +16,44 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scene catalog from the events: provider, track, time, cloud cover, a box around a point of the id."""
+    """A scene catalog from the events: provider, track, time, cloud cover, instrument, a box around a point of the id."""
     e = read(spark, sf_dir, "events")
-    lon, lat = (F.col("event_id") % 360 - 180).cast("double"), (F.col("event_id") % 170 - 85).cast("double")
+    at = F.col("event_id")
+    lon, lat = (at % 360 - 180).cast("double"), (at % 170 - 85).cast("double")
+    of = lambda *values: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    radar = lambda c: F.when(at % 4 == 0, c)
     return e.select(
-        F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("provider"), F.col("user_id").alias("track"), F.col("ts").alias("datetime"),
-        F.least("value", F.lit(100.0)).alias("cloud_cover"), F.element_at(F.array(*map(F.lit, ("L1C", "L2A", "L2SP"))), (F.col("event_id") % 3 + 1).cast("int")).alias("processing_level"),
+        at.cast("string").alias("id"), F.col("event_type").alias("provider"), F.col("user_id").alias("track"), F.col("ts").alias("datetime"),
+        F.least("value", F.lit(100.0)).alias("cloud_cover"), of("L1C", "L2A", "L2SP").alias("processing_level"),
+        of("Sentinel-1A", "Sentinel-2B", "Landsat-8", None).alias("satellite"), of("C-SAR", "MSI", "OLI-TIRS", None).alias("sensor"),
+        radar(F.when(at % 8 == 0, "GRD").otherwise("SLC")).alias("product_type"), radar(F.when(at % 16 < 8, "VV").otherwise("VV+VH")).alias("polarisation"),
+        radar(F.when(at % 5 < 2, "ascending").otherwise("descending")).alias("pass_direction"), F.concat("event_type", F.lit("-"), (at % 2 + 1).cast("string")).alias("collection"),
+        (at % 6 * 10 + 10).cast("double").alias("resolution_m"),
         lon.alias("min_lon"), lat.alias("min_lat"), (lon + 1).alias("max_lon"), (lat + 1).alias("max_lat"), F.col("props").alias("properties"),
     )
 
 
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").select("c_custkey", (key % 170 - 85).cast("double").alias("lat"), (key % 360 - 180).cast("double").alias("lon"), "c_acctbal")
+
+
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dn, red, nir = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
     return read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").cast("date").alias("date"), (F.col("l_discount") * 0.9 + 0.01).alias("blue"), (F.col("l_quantity") / 50).alias("green"),
-        F.col("l_discount").alias("red"), F.col("l_tax").alias("nir"), (F.col("l_extendedprice") / 1e5).alias("swir1"), (F.col("l_extendedprice") / 2e5 + F.col("l_tax")).alias("swir2"), F.col("l_extendedprice").alias("dn"),
+        "l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").cast("date").alias("date"), (red * 0.9 + 0.01).alias("blue"), (F.col("l_quantity") / 50).alias("green"),
+        red.alias("red"), nir.alias("nir"), (dn / 1e5).alias("swir1"), (dn / 2e5 + nir).alias("swir2"), (dn / 3e5 + 0.01).alias("swir3"), (nir * 0.5 + 0.05).alias("swir4"),
+        (red * 0.5 + 0.02).alias("swir5"), (nir * 0.8 + 0.01).alias("nir1"), ((red + nir) / 2 + 0.005).alias("red_edge"), dn.alias("dn"),
     )
 
 
+def raster_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scene_id, row, col, a, b): each even raster with the next one."""
+    p = rasters(spark, sf_dir)
+    b = p.select((F.col("scene_id") - 1).alias("scene_id"), "row", "col", F.col("v").alias("b"))
+    return p.filter("scene_id % 2 = 0").withColumnRenamed("v", "a").join(b, ["scene_id", "row", "col"])
+
+
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles_to_pixels(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", WIDTH)
 
@@ -40,11 +62,15 @@ def track_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("track"), F.col("ts").cast("date").alias("date")).distinct()
 
 
-def interferograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of each part's successive shipment days; phase and coherence from price and discount."""
-    from pyspark.sql import Window as W
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pixel, day, p, c): mean price and discount of each part's shipment days, as a pixel's level and coherence."""
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("pixel"), day.alias("day")).agg((F.avg("l_extendedprice") / 1e5).alias("p"), F.avg("l_discount").alias("c"))
+
 
-    d = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("pixel"), F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).alias("d1")).agg(F.avg("l_extendedprice").alias("p"), F.avg("l_discount").alias("c"))
-    w = W.partitionBy("pixel").orderBy("d1")
-    d = d.withColumn("d2", F.lead("d1").over(w)).withColumn("q", F.lead("p").over(w)).filter("d2 IS NOT NULL")
-    return d.select("pixel", "d1", "d2", ((F.col("q") - F.col("p")) / 1e5).alias("phase"), (0.3 + F.col("c") * 5).alias("coherence"))
+def interferograms(spark: SparkSession, sf_dir: str, reach: int = 3) -> DataFrame:
+    """Pairs of each pixel's dates with the next ``reach`` ones: redundant networks of phases that close."""
+    w = W.partitionBy("pixel").orderBy("day")
+    later = F.array(*[F.struct(F.lead("day", i).over(w).alias("d2"), F.lead("p", i).over(w).alias("q"), F.lit(i).alias("apart")) for i in range(1, reach + 1)])
+    d = levels(spark, sf_dir).withColumn("x", later).select("pixel", F.col("day").alias("d1"), "p", "c", F.explode("x").alias("x")).filter("x.d2 IS NOT NULL")
+    return d.select("pixel", "d1", "x.d2", (F.col("x.q") - F.col("p")).alias("phase"), (0.3 + F.col("c") * 5 / F.col("x.apart")).alias("coherence"))
