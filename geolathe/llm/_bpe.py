@@ -12,19 +12,19 @@ ids. With ``plain=True`` they are ordinary text. No segment is cut inside such a
 from __future__ import annotations
 
 import os
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from ._words import chunks
+from ._words import chunks, hash_spans, mix
 
-#: Segments that a worker remembers from its last batches, and as many from those before.
-REMEMBERED = 250_000
+#: Segments that a worker remembers; beyond, it keeps those of its last batch.
+REMEMBERED = 1_000_000
 #: Bytes of text that are looked at together, and segments that the library encodes together.
-BATCH, TOGETHER = 8 << 20, 10_000
+BATCH, TOGETHER = 2 << 20, 5_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -47,16 +47,44 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Memory:
+    """The ids of segments by two hashes of theirs, in sorted arrays."""
+
+    def __init__(self) -> None:
+        self.hash, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def find(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where each segment stands; -1 for one that is not known."""
+        if not len(self.hash):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return np.where((self.hash[at] == h) & (self.check[at] == c), at, -1)
+
+    def add(self, h: np.ndarray, c: np.ndarray, ids: list[list[int]]) -> None:
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.used], np.zeros(max(len(flat), self.used), np.uint32)))
+        self.ids[self.used : self.used + len(flat)] = flat
+        start = self.used + np.cumsum(size, dtype=np.int64) - size
+        self.used += len(flat)
+        order = np.argsort(h, kind="stable")
+        to = np.searchsorted(self.hash, h[order])
+        self.hash, self.check, self.start, self.size = (np.insert(x, to, y[order]) for x, y in ((self.hash, h), (self.check, c), (self.start, start), (self.size, size)))
+
+
 @lru_cache(4)
 def loaded(path: str, plain: bool = False):
-    """(tokenizer, segments met lately and before, strings of its added tokens)."""
+    """(tokenizer, its memory, strings of its added tokens)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     if plain:
         t.encode_special_tokens = True
-    return t, [{}, {}], [] if plain else [x.content.encode() for x in t.get_added_tokens_decoder().values()]
+    return t, [Memory()], [] if plain else [x.content.encode() for x in t.get_added_tokens_decoder().values()]
 
 
 def cuts(data: np.ndarray, off: np.ndarray, whole: list[bytes]) -> np.ndarray:
@@ -88,28 +116,24 @@ def encode(texts: pa.Array, path: str, plain: bool = False) -> Iterator[tuple[in
             yield row, np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
             continue
         segments = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        words = segments.dictionary.to_pylist()
-        if len(memory[0]) > REMEMBERED:
-            memory[:] = [{}, memory[0]]
-        known, older = memory
-        new = []
-        for w in words:
-            if w not in known:
-                if (ids := older.get(w)) is None:
-                    new.append(w)
-                else:
-                    known[w] = ids
+        words = segments.dictionary
+        off_words = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        bytes_ = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        h = hash_spans(bytes_, off_words[:-1], off_words[1:])
+        c = mix(h ^ hash_spans(bytes_[::-1], len(bytes_) - off_words[1:], len(bytes_) - off_words[:-1]))
+        if len(memory[0].hash) > REMEMBERED:
+            memory[0] = Memory()
+        known = memory[0]
+        new = np.flatnonzero(known.find(h, c) < 0)
         for i in range(0, len(new), TOGETHER):
             some = new[i : i + TOGETHER]
-            known.update(zip(some, (array("I", e.ids).tobytes() for e in lib.encode_batch_fast(some, add_special_tokens=False))))
-        ids = [known[w] for w in words]
-        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        first = (np.cumsum(size) - size).astype(np.int32)
-        which = segments.indices.to_numpy()
-        n = size[which]
+            known.add(h[some], c[some], [e.ids for e in lib.encode_batch_fast(words.take(pa.array(some)).to_pylist(), add_special_tokens=False)])
+        at_word = known.find(h, c)
+        which = at_word[segments.indices.to_numpy()]
+        flat, first, n = known.ids, known.start[which], known.size[which]
         ends = np.cumsum(n, dtype=np.int64)
         place = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64)
-        place += np.repeat(first[which] - (ends - n), n)
+        place += np.repeat(first - (ends - n), n)
         total = np.concatenate(([0], ends))
         yield row, flat[place], total[np.searchsorted(at, off)]
+    pa.default_memory_pool().release_unused()  # else each worker holds on to what its largest batch took
