@@ -304,6 +304,41 @@ def test_neighbours(spark):
     assert ann.search(table.limit(0), table.limit(0)).count() == 0
 
 
+def _neighbour_rows(v: np.ndarray) -> list[tuple]:
+    return [(i, x) for i, x in enumerate(v.tolist())]
+
+
+def _exact(v: np.ndarray, q: int) -> set[int]:
+    d = np.sqrt(((v - v[q]) ** 2).sum(1))
+    return set(np.flatnonzero(d <= np.sort(d)[10]).tolist()) - {q}
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_neighbours_ascend_as_far_as_they_must(spark, clustered):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((6000, 32))
+    if clustered:
+        v = v[rng.integers(0, 40, 6000)] * 3 + v * 0.4
+    table = stage(spark.createDataFrame(_neighbour_rows(v), "vec_id long, embedding array<double>"), "vectors")
+    got = ann.search(table, table.filter("vec_id % 100 = 0"), block=1500).toPandas()
+    hit = sum(len(_exact(v, q) & set(g["vec_id"])) for q, g in got.groupby("query_id"))
+    assert hit >= 0.9 * 600 and len(got) == 600
+
+
+def test_ascent_ends_early_among_clusters():
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((200, 32))[rng.integers(0, 200, 40_000)] * 4 + rng.standard_normal((40_000, 32)) * 0.3
+    forest = ann.Forest(v[:5000])
+    block = ann.Block(forest, np.arange(len(v)), v)
+    seen = []
+    block.vectors = type("V", (), {"__getitem__": lambda self, i: (seen.append(len(i)), v[i])[1]})()
+    lo, hi = block.ranges(forest.strings(v[:20]))
+    for q in range(20):
+        score, place = block.best(v[q], lo[q], hi[q], 11)
+        assert set(place.tolist()) - {q} == _exact(v, q) and (np.diff(score) >= 0).all()
+    assert sum(seen) < 0.5 * 20 * len(v)
+
+
 def test_copies_of_one_vector(spark):
     v = np.random.default_rng(3).standard_normal((300, 8))
     v[::3] = v[0]
