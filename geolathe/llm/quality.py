@@ -154,7 +154,7 @@ def backed(own: DataFrame, by: list[str], wider: DataFrame, wide_by: list[str])
     ``wider`` has a row for each bucket of each of its groups, whose number the widths of the buckets bound.
     """
     total = wider.groupBy(*wide_by, "measure").agg(F.sum("n").alias("all"))
-    share = wider.alias("w").join(F.broadcast(total).alias("t"), _same("w", "t", wide_by)).select("w.*", F.floor(F.col("w.n") * (PRIOR * MILLION) / F.col("t.all")).cast("long").alias("part"))
+    share = wider.alias("w").join(F.broadcast(total).alias("t"), _same("w", "t", wide_by)).select("w.*", F.floor(F.col("w.n").cast("double") * (PRIOR * MILLION) / F.col("t.all")).cast("long").alias("part"))
     share = stage(share, "prior")
     groups = own.select(*by, "measure").distinct()
     lent = groups.alias("g").join(small(share).alias("s"), _same("g", "s", wide_by)).select(*[F.col(f"g.{c}").alias(c) for c in by], "g.measure", "s.bucket", F.col("s.part").alias("n"))

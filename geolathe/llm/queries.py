@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, classifier, html, mixing, ngram_join, packing, pii, quality, sharding, tokenfile
 from ._tables import stage
+from .oracles import ORACLES  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,4 +63,3 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_files, op4_html_extract, op5_ngram_jaccard_join, op6_pack_sequences, op7_nearest_neighbours, op8_pii_surrogates, op9_quality_classifier, op10_jump_shards)}
-ORACLES: dict[str, str] = {}

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geolathe.llm import _bpe, ann, classifier, components, html, mixing, ngram_join, packing, pii, quality, sharding, tokenfile
 from geolathe.llm._tables import stage
@@ -451,12 +452,64 @@ def test_segments_encode_as_whole_texts():
     assert got == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_pipeline(spark, docs):
+def test_rates_solve_the_dual(docs):
+    """Entropy balancing's conditions: one tilt a source below the cap, rates at the cap beyond it, and the target met."""
+    got = mixing.op_mix(docs).join(docs.select("doc_id", "source").distinct(), "doc_id").filter("size > 0").toPandas()
+    for _, g in got.groupby("source", dropna=False):
+        if g["target"].iloc[0] >= 2 * g["source_size"].iloc[0] * (1 - 1e-9):
+            assert (g["rate"] == 2).all()
+            continue
+        open_ = g[g["rate"] < 2 - 1e-9]
+        tilt = np.log(open_["rate"]) / open_["size"]
+        assert np.ptp(tilt) < 1e-6 and (2 <= np.exp(tilt.mean() * g[g["rate"] >= 2 - 1e-9]["size"]) + 1e-6).all()
+        assert abs((g["rate"] * g["size"]).sum() - g["target"].iloc[0]) <= 1e-6 * g["target"].iloc[0]
+
+
+def test_bm25_scores_against_the_formula():
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 50, rng.integers(1, 80)).astype(np.uint16) for _ in range(30)]
+    df = np.zeros(50)
+    for t in texts:
+        df[np.unique(t)] += 1
+    idf, mean = np.log1p((30 - df + 0.5) / (df + 0.5)).astype(np.float32), float(np.mean([len(t) for t in texts]))
+    index = packing._Index(texts, idf, mean)
+    for q in texts[:8]:
+        want = []
+        for t in texts:
+            tf = np.bincount(t, minlength=50)[np.unique(q)]
+            want.append((idf[np.unique(q)] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(t) / mean))).sum())
+        assert np.allclose(index.scores(np.unique(q).astype(np.int32)), want, rtol=1e-4)
+
+
+def test_pipeline(spark, docs, rows):
+    """Each stage against a plain version of itself, on what the stage before kept."""
     pytest.importorskip("corpus_pipeline")
     import corpus_pipeline
 
-    d = docs
-    for name, f in corpus_pipeline.STAGES[:-1]:
-        d = stage(f(spark, d, ""), "step")
-        assert d.columns == docs.columns, name
-    assert corpus_pipeline.STAGES[-1][1](spark, d, "").count() > 0
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality rules", "n-gram Jaccard join", "surrogates for personal data", "mixing sources", "packing"]
+    run = lambda name, d: stage(stages[name](spark, d, ""), "step")
+    texts = lambda d: Counter((r["doc_id"], r["text"]) for r in d.collect())
+    good = run("quality rules", docs)
+    counts = {t: _counts(t) for _, t, *_ in rows}
+    kept = texts(good)
+    assert not kept - Counter((i, t) for i, t, *_ in rows)
+    assert all(counts[t][0] >= 10 and 100 * counts[t][4] <= 20 * counts[t][0] for _, t in kept)
+    one = run("n-gram Jaccard join", good)
+    left = [(i, t) for (i, t), n in kept.items() for _ in range(n)]
+    links = _links([x for x in left if x[0] is not None])
+    assert {i for i, _ in texts(one) if i is not None} == {i for i, (_, c) in links.items() if c == i}
+    private = run("surrogates for personal data", one)
+    assert {i for i, _ in texts(private)} == {i for i, _ in texts(one)}
+    mixed = run("mixing sources", private)
+    words = lambda d: {s: sum(len(WORD.findall(r["text"] or "")) for r in d.filter(F.col("source").eqNullSafe(F.lit(s))).collect()) for s in ("a", "b", "hot", None)}
+    sizes, taken = words(private), words(mixed)
+    goal = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame([(s, n) for s, n in sizes.items() if n], "source string, source_size long")).collect()}
+    longest = max(len(WORD.findall(t or "")) for _, t in texts(private))
+    assert all(abs(taken[s] - goal[s]) <= longest / 2 for s in goal) and set(texts(mixed)) <= set(texts(private))
+    for d in (good, one, private, mixed):
+        assert d.columns == docs.columns
+    packed = stages["packing"](spark, mixed, "").toPandas()
+    lib = _library()
+    assert packed["length"].sum() == sum(n * (len(lib.encode(t or "", add_special_tokens=False).ids) + 1) for (_, t), n in texts(mixed).items())
+    assert (packed.groupby("sequence_id")["length"].sum() == 1024).sum() >= packed["sequence_id"].nunique() - 8
