@@ -182,3 +182,20 @@ def largest_track(scenes: DataFrame, most: int | None = None, preferred: int | N
     if most is None:
         return out
     return out.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy("datetime", "id"))).filter(F.col("_r") <= most).drop("_r")
+
+
+def capabilities(scenes: DataFrame) -> DataFrame:
+    """(provider, n_scenes, sar, optical, levels, collections, finest_m): what each provider of a catalog offers."""
+    return scenes.groupBy("provider").agg(
+        F.count("*").alias("n_scenes"), F.coalesce(F.bool_or(F.col("polarisation").isNotNull()), F.lit(False)).alias("sar"), F.coalesce(F.bool_or(F.col("sensor").isNotNull() & F.col("polarisation").isNull()), F.lit(False)).alias("optical"),
+        F.array_sort(F.collect_set("processing_level")).alias("levels"), F.array_sort(F.collect_set("collection")).alias("collections"), F.min("resolution_m").alias("finest_m"),
+    )
+
+
+def with_capability(offers: DataFrame, sar: bool = False, optical: bool = False, level: str | None = None) -> DataFrame:
+    """The providers that have all that is asked for."""
+    out = offers
+    for wanted, name in ((sar, "sar"), (optical, "optical")):
+        if wanted:
+            out = out.filter(name)
+    return out.filter(F.array_contains("levels", level)) if level else out
