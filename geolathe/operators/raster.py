@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import stencil as st
+from .series import zone_percentiles
 
 KEY = ("scene_id",)
 
@@ -124,7 +125,7 @@ def multilook(pixels: DataFrame, rows: int = 2, cols: int = 2) -> DataFrame:
 
 
 def composite(pixels: DataFrame, by: Sequence[str], how: str, value: str = "v") -> DataFrame:
-    """One value for each pixel of a stack: mean, median, min, max, first or last (by scene)."""
+    """One value for each pixel of a stack: mean, median, min, max, first or last (by scene). A pixel has a value for each date, which the median holds."""
     pick = {
         "mean": F.avg(value), "median": F.median(value), "min": F.min(value), "max": F.max(value), "sum": F.sum(value),
         "first": F.min_by(value, "scene_id"), "last": F.max_by(value, "scene_id"),
@@ -133,11 +134,12 @@ def composite(pixels: DataFrame, by: Sequence[str], how: str, value: str = "v")
 
 
 def zonal_stats(pixels: DataFrame, zone: str, value: str = "v") -> DataFrame:
+    """count, mean, median, min, max, std, sum and p90 of each zone; the percentiles by ranks, so that no task holds a zone."""
     v = F.col(value)
-    return pixels.groupBy(zone).agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.stddev_pop(v).alias("std"), F.sum(v).alias("sum"), F.percentile(v, F.lit(0.9)).alias("p90"),
-    )
+    base = pixels.groupBy(zone).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"), F.sum(v).alias("sum"))
+    q = zone_percentiles(pixels.select(zone, v.alias("v")), zone, (0.5, 0.9))
+    q = q.groupBy(zone).agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for s, n in ((0.5, "median"), (0.9, "p90"))])
+    return base.join(q, zone, "left")
 
 
 def trend(series: DataFrame, by: Sequence[str], date: str = "date", value: str = "v") -> DataFrame:

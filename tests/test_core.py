@@ -11,8 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geolathe.operators import catalog, detect, hydrology, inversion, network, preflight, raster, series, stencil, vectors
-from geolathe.sources import sinks, stac
+from geolathe.operators import catalog, detect, hydrology, inversion, network, orbits, phase, preflight, raster, series, stencil, vectors
+from geolathe.sources import products, sinks, stac
 from geolathe.streaming import monitor
 
 
@@ -330,3 +330,49 @@ def test_join_of_boxes_gives_each_pair_once(spark):
     got = vectors.join_boxes(spark.createDataFrame(a, "i int, ax0 double, ay0 double, ax1 double, ay1 double"), spark.createDataFrame(b, "j int, bx0 double, by0 double, bx1 double, by1 double"), 7.0).select("i", "j").collect()
     want = {(p[0], q[0]) for p in a for q in b if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]}
     assert len(got) == len(want) and {(r["i"], r["j"]) for r in got} == want
+
+
+def test_spectral_filter_does_not_depend_on_tiles(spark):
+    rng = np.random.default_rng(11)
+    y, x = np.mgrid[0:20, 0:26]
+    a = np.angle(np.exp(1j * (0.3 * x + 0.1 * y + 0.8 * rng.standard_normal(x.shape))))
+    p = _pixels(spark, {1: a})
+    one, many = (_back(phase.goldstein(p, window=8).select("scene_id", "row", "col", "out"), "out", {1: a.shape})[1] for _ in (0, 1))
+    small = _back(stencil.stencil(p, 2, lambda x: {"out": stencil.box_mean(x["v"], 5)}, ["out"], tile=7), "out", {1: a.shape})[1]
+    assert np.allclose(one, many, equal_nan=True) and np.isfinite(one).mean() > 0.9 and np.isfinite(small).all()
+    clean = 0.3 * x + 0.1 * y
+    off = lambda v: np.nanmean(1 - np.cos(v - clean))
+    assert off(one) < off(a)
+
+
+def test_offsets_between_cells(spark):
+    rng = np.random.default_rng(12)
+    a = rng.standard_normal((40, 44))
+    b = np.roll(a, (2, -3), (0, 1))
+    rows = [(1, int(r), int(c), float(a[r, c]), float(b[r, c])) for r, c in np.ndindex(a.shape)]
+    got = phase.offsets(spark.createDataFrame(rows, "scene_id long, row int, col int, a double, b double"), chip=8, reach=5, step=6).collect()
+    assert got and all(abs(r["d_row"] - 2) < 0.3 and abs(r["d_col"] + 3) < 0.3 and r["reliable"] for r in got)
+    flat = phase.correlate(np.ones((3, 3)), rng.standard_normal((6, 6)))
+    assert (flat == 0).all()
+
+
+def test_orbit_states_and_files(spark, tmp_path):
+    t = np.arange(12) * 10.0
+    x = np.sin(t / 40) * 7e6
+    at = [-5.0, 0.0, 3.0, 44.9, 45.1, 109.0, 115.0]
+    got = orbits.interpolated(spark.createDataFrame([("o", float(a), float(b)) for a, b in zip(t, x)], "k string, t double, x double"), spark.createDataFrame([(i, "o", v) for i, v in enumerate(at)] + [(99, "none", 1.0)], "id int, k string, t double"), "k", "t", ["x"], "id")
+    got = {r["id"]: r["x"] for r in got.collect()}
+    for i, v in enumerate(at):
+        c = int(np.clip(np.abs(t - v).argmin(), 2, len(t) - 3))
+        p = np.polyfit((t[c - 2 : c + 3] - t[c]) / 10, x[c - 2 : c + 3], 4)
+        assert np.isclose(got[i], np.polyval(p, (v - t[c]) / 10), rtol=1e-6)
+    assert got[99] is None
+    (tmp_path / "a.EOF").write_text("<E><List><OSV><UTC>UTC=2024-01-01T00:00:10.500000</UTC><X>1.5</X><Y>2</Y><Z>3</Z><VX>4</VX><VY>5</VY><VZ>-6</VZ></OSV></List></E>")
+    (tmp_path / "b.xml").write_text("<p><swathTiming><linesPerBurst>1501</linesPerBurst><burstList><burst><azimuthTime>2024-01-01T00:00:01</azimuthTime><sensingTime>2024-01-01T00:00:02</sensingTime></burst></burstList></swathTiming><azimuthTimeInterval>0.002</azimuthTimeInterval><slantRangeTime>0.005</slantRangeTime><radarFrequency>5405000454.33435</radarFrequency><calibrationVector><line>0</line><pixel>0 40</pixel><sigmaNought>300.5 301</sigmaNought></calibrationVector></p>")
+    files = products.read_files(spark, str(tmp_path))
+    row = products.orbit_vectors(files).collect()
+    assert len(row) == 1 and row[0]["vz"] == -6.0 and row[0]["time"].microsecond == 500000
+    burst = products.bursts(files).collect()
+    assert len(burst) == 1 and burst[0]["lines"] == 1501 and burst[0]["interval"] == 0.002
+    assert np.isclose(products.radar_geometry(files).first()["wavelength_m"], 0.05546576, atol=1e-6)
+    assert [tuple(r)[1:] for r in products.calibration_table(files).collect()] == [(0, 0, 300.5), (0, 40, 301.0)]
