@@ -52,8 +52,8 @@ bands_query("uq_phase_displacement", lambda: rd.phase_uncertainty(_c("red") * 12
 _missing = lambda c, n: F.when(_c("l_linenumber") != n, c)
 _W = "CASE WHEN i IS NULL AND NOT there THEN NULL WHEN NOT there THEN 1.0 WHEN i IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, (red * 10 - 0.4::DOUBLE) / (0.6::DOUBLE - 0.4::DOUBLE))) END"
 _FUSE = f"(SELECT *, {_W} AS w FROM (SELECT *, o IS NOT NULL AND green * 10 >= 1 AS there FROM (SELECT *, CASE WHEN l_linenumber <> 1 THEN swir1 END AS i, CASE WHEN l_linenumber <> 2 THEN swir2 END AS o FROM {BANDS})))"
-add("fuse_insar_optical", f"SELECT l_orderkey, l_linenumber, {sr('w')} AS weight, {sr('CASE WHEN w IS NULL THEN NULL WHEN w >= 1 THEN i WHEN w <= 0 THEN o ELSE w * i + (1 - w) * o END')} AS fused, CASE WHEN w >= 1 THEN 2 WHEN w <= 0 THEN 0 ELSE 1 END AS source FROM {_FUSE}")(
-    lambda s, d: t.bands(s, d).select("l_orderkey", "l_linenumber", *[(v if k == "source" else r6(v)).alias(k) for k, v in rd.fused_velocity(_missing(_c("swir1"), 1), _c("red") * 10, _missing(_c("swir2"), 2), _c("green") * 10).items()])
+add("fuse_insar_optical", f"SELECT l_orderkey, l_linenumber, {sr('w')} AS weight, {sr('1000 * CASE WHEN w IS NULL THEN NULL WHEN w >= 1 THEN i WHEN w <= 0 THEN o ELSE w * i + (1 - w) * o END')} AS fused, CASE WHEN w >= 1 THEN 2 WHEN w <= 0 THEN 0 ELSE 1 END AS source FROM {_FUSE}")(
+    lambda s, d: t.bands(s, d).select("l_orderkey", "l_linenumber", *[(v if k == "source" else r6(1000 * v if k == "fused" else v)).alias(k) for k, v in rd.fused_velocity(_missing(_c("swir1"), 1), _c("red") * 10, _missing(_c("swir2"), 2), _c("green") * 10).items()])
 )
 _SC = ["least(100.0, 100 * abs(swir1) / 0.5)", "least(100.0, 100 * least(abs(red), 0.1) / 0.01)", "least(100.0, 100 * abs(nir * 0.01) / 0.001)"]
 _MEAN = f"({' + '.join(_SC)}) / 3"

@@ -23,8 +23,8 @@ add("phase_closures", f"SELECT x.pixel, x.d1 AS a, x.d2 AS b, y.d2 AS c, {sr('x.
     lambda s, d: inversion.closures(t.interferograms(s, d)).select("pixel", "a", "b", "c", r6(_c("closure")).alias("closure"))
 )
 _BEST = f"(SELECT arg_min(pixel, (-round(m, 12), pixel)) AS pixel FROM (SELECT pixel, avg(coherence) AS m FROM {_IFG} GROUP BY pixel))"
-add("reference_pixel_pairs", f"SELECT i.pixel, i.d1, i.d2, {sr('i.phase - coalesce(r.phase, 0)')} AS phase FROM {_IFG} i LEFT JOIN (SELECT d1, d2, phase FROM {_IFG} WHERE pixel = (SELECT pixel FROM {_BEST})) r ON i.d1 = r.d1 AND i.d2 = r.d2")(
-    lambda s, d: inversion.referenced(t.interferograms(s, d).withColumn("coherence", F.round("coherence", 15))).select("pixel", "d1", "d2", r6(_c("phase")).alias("phase"))
+add("reference_pixel_pairs", f"SELECT i.pixel, i.d1, i.d2, {sr('1000 * (i.phase - coalesce(r.phase, 0))')} AS phase FROM {_IFG} i LEFT JOIN (SELECT d1, d2, phase FROM {_IFG} WHERE pixel = (SELECT pixel FROM {_BEST})) r ON i.d1 = r.d1 AND i.d2 = r.d2")(
+    lambda s, d: inversion.referenced(t.interferograms(s, d).withColumn("coherence", F.round("coherence", 15))).select("pixel", "d1", "d2", r6(1000 * _c("phase")).alias("phase"))
 )
 add("dem_error", f"SELECT pixel, {sr('sum(coherence * coherence * b * phase) / nullif(sum(coherence * coherence * b * b), 0)')} AS beta FROM (SELECT *, CAST((d1 + d2) % 401 - 200 AS DOUBLE) AS b FROM {_IFG}) WHERE abs(b) > 10 AND coherence > 0.3 GROUP BY pixel")(
     lambda s, d: inversion.dem_error(t.interferograms(s, d).withColumn("baseline", ((_c("d1") + _c("d2")) % 401 - 200).cast("double")).withColumn("residual", _c("phase"))).withColumn("beta", r6(_c("beta")))
