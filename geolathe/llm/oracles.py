@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, quality
+from . import ann, bitplanes, merkle, quality
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -64,4 +64,47 @@ FROM base b LEFT JOIN fence f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source
 """
 
 
-ORACLES = {"op2_quality_rules": _rules(), "op5_ngram_jaccard_join": JOIN, "op7_nearest_neighbours": NEIGHBOURS}
+def _clusters() -> str:
+    near = lambda c: f"(SELECT vec_id, x, d, rank FROM (SELECT v.vec_id, v.x, c.rank, list_sum([(v.x[i] - c.x[i]) * (v.x[i] - c.x[i]) FOR i IN range(1, {bitplanes.COMPONENTS + 1})]) AS d FROM v, {c} c) QUALIFY row_number() OVER (PARTITION BY vec_id, x ORDER BY d, rank) = 1)"
+    floored = "(list_sum(y) - ((list_sum(y) % len(y)) + len(y)) % len(y)) // len(y)"
+    rounds = [
+        f"c{k + 1} AS MATERIALIZED (SELECT c.rank, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (SELECT rank, list(m ORDER BY i) AS x FROM (SELECT rank, i, {floored} AS m FROM (SELECT rank, i, list(x[i]) AS y FROM {near(f'c{k}')}, (SELECT unnest(range(1, {bitplanes.COMPONENTS + 1})) AS i) GROUP BY rank, i)) GROUP BY rank) m ON m.rank = c.rank)"
+        for k in range(bitplanes.ROUNDS)
+    ]
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, [CAST(floor({bitplanes.SCALE} * CAST(e AS DOUBLE)) AS HUGEINT) FOR e IN embedding] AS x FROM embeddings WHERE len(embedding) = {bitplanes.COMPONENTS} AND len([e FOR e IN embedding IF e IS NULL OR isnan(e) OR abs(e) >= {bitplanes.LIMIT // bitplanes.SCALE}]) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS rank, x FROM v QUALIFY rank < {bitplanes.CLUSTERS}),
+{", ".join(rounds)},
+last AS (SELECT * FROM {near(f"c{bitplanes.ROUNDS}")})
+SELECT vec_id, CAST(l.rank AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY l.rank) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM last l JOIN c{bitplanes.ROUNDS} c ON c.rank = l.rank
+"""
+
+
+def _manifest() -> str:
+    tell = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(tell, [*merkle.FIELDS[:-1], text]))})"
+    crc = "list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), [CAST(ord(c) AS UBIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS UBIGINT[])), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"
+    up = lambda t, by: f"SELECT {by}level + 1, place // 3, sha256(string_agg(hash, '' ORDER BY place)) FROM (SELECT *, count(*) OVER ({'PARTITION BY source' if by else ''}) AS n FROM {t}) WHERE n > 1 GROUP BY {by}level, place // 3"
+    return f"""
+WITH RECURSIVE docs AS MATERIALIZED (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {crc} % 2 = 1 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS presented FROM documents),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, row_number() OVER () AS id FROM docs),
+low AS (SELECT source, CAST(0 AS BIGINT) AS level, place, leaf AS hash FROM leaves UNION ALL {up("low", "source, ")}),
+height AS (SELECT source, max(level) AS height FROM low GROUP BY source),
+sub AS (SELECT h.source, h.height, l.hash AS subroot, row_number() OVER (ORDER BY h.source NULLS FIRST) - 1 AS place FROM height h JOIN low l ON l.source IS NOT DISTINCT FROM h.source AND l.level = h.height),
+high AS (SELECT CAST(0 AS BIGINT) AS level, place, subroot AS hash FROM sub UNION ALL {up("high", "")}),
+top AS (SELECT level AS height, hash AS root FROM high ORDER BY level DESC LIMIT 1),
+nodes AS MATERIALIZED (SELECT source, level, place, hash, 1 AS tier FROM low UNION ALL SELECT NULL, level, place, hash, 2 FROM high),
+spots AS (SELECT d.id, d.source, 1 AS tier, k.level, d.place // CAST(pow(3, k.level) AS BIGINT) AS place FROM leaves d JOIN sub s ON s.source IS NOT DISTINCT FROM d.source, LATERAL (SELECT unnest(range(0, s.height)) AS level) k
+ UNION ALL SELECT d.id, NULL, 2, k.level, s.place // CAST(pow(3, k.level) AS BIGINT) FROM leaves d JOIN sub s ON s.source IS NOT DISTINCT FROM d.source, top, LATERAL (SELECT unnest(range(0, top.height)) AS level) k),
+steps AS MATERIALIZED (SELECT a.id, row_number() OVER (PARTITION BY a.id ORDER BY a.tier, a.level) - 1 AS step, coalesce(string_agg(n.hash, '' ORDER BY n.place) FILTER (n.place < a.place), '') AS before, coalesce(string_agg(n.hash, '' ORDER BY n.place) FILTER (n.place > a.place), '') AS after
+ FROM spots a JOIN nodes n ON n.tier = a.tier AND n.source IS NOT DISTINCT FROM a.source AND n.level = a.level AND n.place // 3 = a.place // 3 GROUP BY a.id, a.tier, a.level),
+fold AS (SELECT id, CAST(0 AS BIGINT) AS step, presented AS h FROM leaves UNION ALL SELECT f.id, f.step + 1, sha256(s.before || f.h || s.after) FROM fold f JOIN steps s ON s.id = f.id AND s.step = f.step),
+ends AS (SELECT id, arg_max(h, step) AS folded_root FROM fold GROUP BY id),
+proofs AS (SELECT id, sha256(string_agg(before || after, '' ORDER BY step)) AS proof FROM steps GROUP BY id)
+SELECT d.doc_id, d.leaf, s.subroot, t.root, coalesce(p.proof, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = t.root AS verified
+FROM leaves d JOIN sub s ON s.source IS NOT DISTINCT FROM d.source JOIN ends e ON e.id = d.id LEFT JOIN proofs p ON p.id = d.id, top t
+"""
+
+
+ORACLES = {"op2_quality_rules": _rules(), "op5_ngram_jaccard_join": JOIN, "op7_nearest_neighbours": NEIGHBOURS, "op11_bit_plane_clusters": _clusters(), "op13_merkle_manifest": _manifest()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, classifier, html, mixing, ngram_join, packing, pii, quality, sharding, tokenfile
+from . import ann, bitplanes, classifier, html, merkle, mixing, ngram_join, packing, pii, quality, sharding, simhash, tokenfile
 from ._tables import stage
 from .oracles import ORACLES  # noqa: F401
 
@@ -62,4 +62,16 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op_shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_files, op4_html_extract, op5_ngram_jaccard_join, op6_pack_sequences, op7_nearest_neighbours, op8_pii_surrogates, op9_quality_classifier, op10_jump_shards)}
+def op11_bit_plane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.op_cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op_manifest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_files, op4_html_extract, op5_ngram_jaccard_join, op6_pack_sequences, op7_nearest_neighbours, op8_pii_surrogates, op9_quality_classifier, op10_jump_shards, op11_bit_plane_clusters, op12_simhash_groups, op13_merkle_manifest)}
