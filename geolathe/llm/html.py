@@ -1,10 +1,15 @@
 """Main text of web pages from flat text blocks, classified by a decision tree.
 
-A page becomes a flat list of text blocks. A block has its word count and link density, those of its neighbours,
-and whether the nearest marked container around it is one of content or of trimmings. A decision tree, trained on
-the small labelled table below, keeps or drops each block; kept blocks are joined by line breaks. Marks decide where
-a page has them; blocks without a mark, and links in a marked article, are told apart by words and links of the block
-and its neighbours.
+A page becomes a flat list of text blocks. A block has its word count and link density, those of its neighbours, and
+whether the containers around it mark it as content or as trimmings. A decision tree, trained on the small labelled table
+below, keeps or drops each block; kept blocks are joined by line breaks. Marks decide where a page has them; blocks
+without a mark, and links in a marked article, are told apart by words and links of the block and its neighbours.
+
+Marks come from elements and from whole class, id and role names: a compound counts only if all its parts are known, so
+'cookie-banner' is a mark and 'with-sidebar' or 'share-price' is not. A named container that holds the page's article or
+main element, or most of the words of a page without one, is a wrapper and marks nothing; main and article set the mark
+back below a name, but not below an aside, a menu or comments. Reading takes time in proportion to the page: a tag that is
+not closed before the next one is text, and end tags without an open element cost nothing.
 
 Defined results: null or empty html has an empty text; broken markup is read as far as it goes; repeated rows are
 extracted each; an empty table gives no rows; of a skipped element without an end only the tag is skipped, but for
@@ -30,24 +35,67 @@ BLOCKS = "address article aside blockquote body center dd details dialog dir div
 CONTAINERS = "article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul span p".split()
 CONTENT = "article main".split()
 TRIMMINGS = "nav aside footer form dialog menu".split()
-CONTENT_HINT = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?:$|[\s_-])", re.I)
-TRIMMINGS_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|promo\w*|sponsor\w*|banner|cookies?|consent|notices?|alert|popup|modal|overlay|comments?|replies|discussion|disqus|sidebar|side|widget|menu|nav\w*|breadcrumbs?|footer|masthead|header|related|recommended|share|sharing|social|subscribe|newsletter|login|signup|search|tags|pagination|pager|toolbar|legal|copyright)(?:$|[\s_-])",
-    re.I,
-)
+# Parts of names.
+CONTENT_NAMES = frozenset("article content post entry story main body text".split())
+COMMENT_NAMES = frozenset("comment comments reply replies respond disqus".split())
+TRIMMINGS_NAMES = frozenset("promo promos promotion sponsor sponsors banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar widget widgets nav navbar navigation breadcrumb breadcrumbs related recommended share sharing social subscribe subscription newsletter signup pagination pager menu dialog complementary contentinfo".split())
+#: Names that in an article's own parts mean its subject or its head as often.
+WEAK_NAMES = frozenset("header footer masthead side search login tags toolbar legal copyright discussion discussions".split())
+ADVERT_NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising sponsored".split())
+#: What may stand beside them in a compound.
+NEUTRAL_NAMES = frozenset("site page top bottom left right box block wrap wrapper container inner outer list section area bar button buttons link links item items group panel col column row unit slot module form icon icons media primary secondary global local mobile desktop user users posts articles stories news blog more count thread reader readers feed policy message fixed sticky small large first last js".split())
 
+_ATTRS = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>{_ATTRS})>|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
 # the tags of one element, past comments and raw text
 _TAGS = {
-    n: re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)(?=[\s/>])|\Z)|<(?P<end>/?)" + n + r"(?=[\s/>])(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+    n: re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea)(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)(?=[\s/>])|\Z)|<(?P<end>/?){n}(?=[\s/>])(?P<attrs>{_ATTRS})>", re.S | re.I)
     for n in SKIPPED if n not in RAW
 }
-_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in RAW}
-_HINTS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^<>]*+>", re.I) for n in RAW}
+_NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))", re.I)
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _BLOCK, _BOX = frozenset(BLOCKS), frozenset(CONTAINERS)
+#: What a container says of its inside: content or trimmings by its element or by its name.
+NONE, ARTICLE, MAIN, CONTENT_NAME, TRIMMINGS_ELEMENT, HEADER, FORM, NAMED, WEAKLY_NAMED, COMMENTS = range(10)
+
+
+@lru_cache(4096)
+def kind_of(token: str) -> int:
+    """What one class, id or role name says."""
+    parts = [x.lower() for x in _PARTS.split(token) if x and not x.isdigit()]
+    if not parts:
+        return NONE
+    if parts[0] in ADVERT_NAMES or parts[-1] in ADVERT_NAMES:
+        return NAMED
+    known = {k for k, names in ((CONTENT_NAME, CONTENT_NAMES), (COMMENTS, COMMENT_NAMES), (NAMED, TRIMMINGS_NAMES), (WEAKLY_NAMED, WEAK_NAMES)) for x in parts if x in names}
+    if any(x not in NEUTRAL_NAMES and x not in CONTENT_NAMES and x not in COMMENT_NAMES and x not in TRIMMINGS_NAMES and x not in WEAK_NAMES for x in parts):
+        return NONE
+    return max(known - {CONTENT_NAME}, default=CONTENT_NAME if known else NONE)
+
+
+def _said(name: str, attrs: str) -> int:
+    """What a container's tag says."""
+    kinds = set()
+    for key, a, b, c in _NAMES.findall(attrs) if attrs else ():
+        kinds |= {k if key.lower() != "id" or k in (COMMENTS, CONTENT_NAME, NONE) else WEAKLY_NAMED for k in map(kind_of, (a or b or c).split())}
+    if name in ("body", "html"):
+        return NONE
+    if COMMENTS in kinds and name != "main":
+        return COMMENTS
+    if name in TRIMMINGS:
+        return FORM if name == "form" else TRIMMINGS_ELEMENT
+    if name in CONTENT:
+        return MAIN if name == "main" else ARTICLE
+    if NAMED in kinds:
+        return NAMED
+    if name == "header":
+        return HEADER
+    return WEAKLY_NAMED if WEAKLY_NAMED in kinds and name not in ("p", "span") else CONTENT_NAME if CONTENT_NAME in kinds else NONE
+
 
 COLUMNS = ["words", "words_before", "words_after", "links", "links_before", "links_after", "inside", "outside", "heading", "page_inside"]
 # The labelled table. COLUMNS and 1 for main text, 0 for trimmings.
@@ -79,6 +127,9 @@ LABELLED = [
     (3, 0, 85, 1.0, 0.0, 0.0, 0, 0, 0, 0, 0), (1, 1, 60, 1.0, 1.0, 0.0, 0, 0, 0, 0, 0), (2, 1, 130, 1.0, 1.0, 0.0, 0, 0, 0, 0, 0), (8, 2, 75, 0.9, 1.0, 0.0, 0, 0, 0, 0, 0),
     (48, 80, 4, 0.0, 0.0, 0.5, 0, 0, 0, 0, 1), (12, 66, 71, 0.3, 0.0, 0.0, 0, 0, 0, 0, 1), (90, 2, 4, 0.0, 1.0, 1.0, 0, 0, 0, 0, 1), (26, 30, 28, 0.1, 0.1, 0.0, 0, 0, 0, 0, 1),
     (2, 1, 2, 1.0, 1.0, 1.0, 0, 0, 0, 0, 0), (6, 3, 5, 0.8, 1.0, 1.0, 0, 0, 0, 0, 0), (40, 5, 6, 0.9, 1.0, 1.0, 0, 0, 0, 0, 0), (3, 2, 4, 0.0, 1.0, 1.0, 0, 0, 0, 0, 0),
+    # headings and leads below a menu, and closing lines below links
+    (5, 2, 66, 0.0, 1.0, 0.0, 0, 0, 1, 0, 1), (4, 1, 35, 0.0, 1.0, 0.0, 0, 0, 1, 0, 1), (7, 2, 48, 0.0, 1.0, 0.0, 0, 0, 1, 0, 1), (9, 1, 81, 0.0, 1.0, 0.0, 0, 0, 1, 0, 1), (3, 2, 27, 0.0, 1.0, 0.0, 0, 0, 1, 0, 1), (6, 3, 90, 0.0, 1.0, 0.0, 0, 0, 0, 0, 1),
+    (8, 4, 0, 0.0, 1.0, 0.0, 0, 0, 0, 0, 0), (11, 5, 0, 0.0, 1.0, 0.0, 0, 0, 0, 0, 0), (17, 3, 0, 0.0, 1.0, 0.0, 0, 0, 0, 0, 0), (9, 6, 2, 0.0, 1.0, 0.0, 0, 0, 0, 0, 0),
     (5, 4, 3, 0.0, 0.0, 0.0, 0, 0, 0, 0, 0), (9, 3, 2, 0.5, 0.0, 1.0, 0, 0, 0, 0, 0), (4, 35, 2, 0.6, 0.0, 1.0, 0, 0, 0, 0, 0), (7, 2, 0, 0.0, 1.0, 0.0, 0, 0, 0, 0, 0),
 ]
 
@@ -106,21 +157,32 @@ def blocks(html: str) -> tuple[list[str], list[tuple]]:
     """The text blocks of a page, and (words, links, inside, outside, heading) of each."""
     texts: list[str] = []
     facts: list[tuple] = []
-    stack: list[tuple[str, int]] = [("", 0)]  # containers with the mark that holds in them: 1 content, -1 trimmings
+    own: list[int] = []  # each block's container
+    boxes = [[0, NONE, 0, False, 0, 0]]  # containers: the one around, what it says, articles and mains so far, whether it holds any, words, blocks
+    stack: list[tuple[str, int]] = [("", 0)]
+    opened: dict[str, int] = {}  # how many of a name are open
     parts: list[str] = []
-    linked, anchors, heading = 0, 0, 0
+    linked, anchors, heading, contents = 0, 0, 0, 0
 
     def close() -> None:
         nonlocal linked
         if parts:
             words = unescape("".join(parts)).split()
             if words:
-                mark = stack[-1][1]
+                box = boxes[stack[-1][1]]
+                box[4] += len(words)
+                box[5] += 1
+                own.append(stack[-1][1])
                 texts.append(" ".join(words))
-                facts.append((len(words), min(1.0, linked / len(words)), int(mark > 0), int(mark < 0), heading))
+                facts.append((len(words), min(1.0, linked / len(words)), heading))
             parts.clear()
         linked = 0
 
+    def leave() -> None:
+        name, box = stack.pop()
+        opened[name] -= 1
+        boxes[box][3] = contents > boxes[box][2]
+
     at = 0
     ends_of: dict[str, dict[int, int]] = {}
     while m := _TOKEN.match(html, at):
@@ -158,36 +220,58 @@ def blocks(html: str) -> tuple[list[str], list[tuple]]:
             continue
         if name not in _BLOCK and name != "span":
             continue
-        hinted = None
-        if name in _BOX and not ends:
-            hinted = " ".join(a or b or c for a, b, c in _HINTS.findall(m["attrs"])) if m["attrs"] else ""
-            if name in ("span", "p") and not (hinted and TRIMMINGS_HINT.search(hinted)):
-                hinted = None
-        if name in _BLOCK or hinted is not None or (ends and any(n == name for n, _ in stack)):
-            if name in _BLOCK or hinted is not None:
-                close()
-                anchors = 0
-            elif name == "span":
-                close()
+        said = _said(name, m["attrs"]) if name in _BOX and not ends else NONE
+        boxed = name in _BOX and not ends and (name not in ("span", "p") or said in (NAMED, COMMENTS))
+        if name in _BLOCK or boxed:
+            close()
+            anchors = 0
+        elif ends and opened.get(name):
+            close()
         heading = int(not ends and len(name) == 2 and name[0] == "h" and name[1].isdigit()) if name in _BLOCK else heading
         if name not in _BOX:
             continue
         if ends:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-        elif hinted is not None:
-            mark = stack[-1][1]
-            if name in TRIMMINGS or (name == "header" and mark <= 0):
-                mark = -1
-            elif hinted and TRIMMINGS_HINT.search(hinted) and name not in ("body", "main", "article") and not (name == "header" and mark > 0):
-                mark = -1
-            elif name in CONTENT or (hinted and CONTENT_HINT.search(hinted) and name != "body"):
-                mark = 1 if mark >= 0 else mark
-            stack.append((name, mark))
+            if opened.get(name):
+                while stack[-1][0] != name:
+                    leave()
+                leave()
+        elif boxed:
+            if said in (ARTICLE, MAIN):
+                contents += 1
+            boxes.append([stack[-1][1], said, contents, False, 0, 0])
+            opened[name] = opened.get(name, 0) + 1
+            stack.append((name, len(boxes) - 1))
     close()
-    return texts, facts
+    while len(stack) > 1:
+        leave()
+    marks = _marks(boxes, contents)
+    return texts, [(words, links, int(marks[box] > 0), int(marks[box] < 0), head) for (words, links, head), box in zip(facts, own)]
+
+
+def _marks(boxes: list[list], contents: int) -> list[int]:
+    """The mark that holds in each container: 1 content, 0 none, -1 trimmings by name, -2 by element or as comments."""
+    for around, _, _, _, words, n in reversed(boxes[1:]):  # what is inside comes later
+        boxes[around][4] += words
+        boxes[around][5] += n
+    total = boxes[0][4]
+    marks = [0]
+    for around, said, _, holds, words, n in boxes[1:]:
+        mark = marks[around]
+        wraps = holds or (not contents and n > 3 and 2 * words > total)
+        if said == TRIMMINGS_ELEMENT or (said == COMMENTS and not (holds and mark < 1 and 2 * words > total and contents == 1)):
+            mark = -2
+        elif said == FORM:
+            mark = mark if wraps else -2
+        elif said == HEADER:
+            mark = mark if mark > 0 or holds else -2
+        elif said == NAMED or (said == WEAKLY_NAMED and mark <= 0):
+            mark = mark if wraps and mark <= 0 else min(mark, -1)
+        elif said in (ARTICLE, MAIN):
+            mark = 1 if mark > -2 or said == MAIN else mark
+        elif said == CONTENT_NAME:
+            mark = 1 if mark >= 0 else mark
+        marks.append(mark)
+    return marks
 
 
 def table_of(facts: list[tuple]) -> np.ndarray:
