@@ -287,7 +287,7 @@ def table_of(facts: list[tuple]) -> np.ndarray:
     return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple:
     """A tree by Gini impurity: (column, threshold, below, above) or (share of 1s,)."""
     if depth == 0 or len(set(y.tolist())) < 2:
         return (float(y.mean()),)
