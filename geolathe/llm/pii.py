@@ -3,7 +3,8 @@
 A surrogate depends on the key and on the entity's normal form alone, so one person, number or address has one
 surrogate in all documents, however it is written. It keeps the format: letters stay letters of their case,
 digits digits, punctuation stays, cards keep their first digit and a valid check digit, IP addresses stay valid,
-first names keep gender and script and surnames their script. Distinct entities are checked: where two have one
+first names keep gender (their own, or else their title's) and script, surnames their script, IPv6 addresses their zeros
+and how they are written. A surname that stands alone in a text which has it in a person's name follows that person. Distinct entities are checked: where two have one
 surrogate, or a surrogate is someone's real value, those entities get another try until none are left.
 
 What is grouped are the distinct entities, reduced in each task first. Documents are not shuffled unless more than
@@ -25,8 +26,8 @@ from ._tables import free_names, stage
 
 # Frequent given names by gender and script, and titles that tell a gender.
 NAMES = {
-    ("m", "latin"): "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Andrew Kenneth Joshua Kevin Brian George Carlos Miguel Pierre Stefan".split(),
-    ("f", "latin"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Margaret Sandra Ashley Emily Michelle Amanda Melissa Deborah Stephanie Maria Carmen Sophie Ursula".split(),
+    ("m", "latin"): "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Andrew Kenneth Joshua Kevin Brian George Carlos Miguel Pierre Stefan Liam Noah Oliver Lucas Henry Benjamin Alexander Samuel Jack Peter Paul Mark Simon Martin Frank Hans Klaus Jürgen Wolfgang Luis Juan José Jorge Pablo Diego Jean Jacques Luc Antoine Ahmed Omar Raj Arjun Wei".split(),
+    ("f", "latin"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Margaret Sandra Ashley Emily Michelle Amanda Melissa Deborah Stephanie Maria Carmen Sophie Ursula Olivia Emma Ava Isabella Mia Charlotte Amelia Grace Hannah Laura Julia Anna Eva Helen Alice Claire Rachel Rebecca Nicole Ingrid Petra Sabine Monika Lucía Ana Isabel Pilar Marie Camille Chloé Nathalie Fatima Aisha Priya Ananya Mei".split(),
     ("m", "cyrillic"): "Александр Дмитрий Сергей Андрей Алексей Максим Иван Михаил Николай Владимир".split(),
     ("f", "cyrillic"): "Елена Ольга Наталья Анна Татьяна Ирина Мария Светлана Екатерина Юлия".split(),
 }
@@ -41,7 +42,10 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _GIVEN = "|".join(n for ns in NAMES.values() for n in ns)
 _SURNAME = r"\p{Lu}[\p{L}'’-]+"
-_PERSON = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{_TITLE})\.? {_SURNAME}(?: {_SURNAME})?|(?:{_GIVEN}) (?:\p{{Lu}}\. )?{_SURNAME})"
+_PAIR = rf"{_SURNAME} (?:\p{{Lu}}\. )?{_SURNAME}"
+# two capitalised words are a person where a label or a closing line is before them, or a mail address or number in brackets behind
+_LABEL = r"(?:(?:[Nn]ame|NAME|[Cc]ontact|[Pp]atient|[Cc]lient|[Cc]ustomer|[Ee]mployee|[Ss]igned|[Aa]uthor): ?|[Mm]y name is |(?:[Rr]egards|[Ss]incerely),\s)"
+_PERSON = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{_TITLE})\.? {_SURNAME}(?: {_SURNAME})?|(?:{_GIVEN}) (?:\p{{Lu}}\. )?{_SURNAME}|(?<={_LABEL}){_PAIR}|{_PAIR}(?= ?[(<][A-Za-z0-9._%+-]{{1,64}}@| ?[(<](?:\+|tel|Tel|phone|Phone)))"
 _SECRET_NAME = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|passwd|pwd|[Aa]pi[_ -]?[Kk]ey|API[_ -]?KEY|access_key)"
 PATTERN = "|".join(
     (
@@ -51,11 +55,13 @@ PATTERN = "|".join(
         r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
         r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
+        r"(?<![\w:])(?=[0-9A-Fa-f:]{0,40}\d)(?=(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:]))(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}(?![\w:])",
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
         r"(?<!\d)(?:(?:\d{4}[ -]?){3}\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{5})(?!\d)",
         r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)",
         r"(?<![\w.])(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!\d)",
         r"(?<![\w.+:/-])0\d{2,4}(?: ?[-/] ?| )\d{5,8}(?![\w:-])",
+        r"(?<![\w.+:/-])(?=(?:[ /-]?\d){9,12}(?![\w:]|[ -]\d))0\d{1,4}(?:[ /-]\d{2,4}){2,4}(?![\w:-])",
         _PERSON,
     )
 )
@@ -79,7 +85,7 @@ def kind(e: Column) -> Column:
         .when(e.contains("@"), "email")
         .when(e.rlike(r"^(AKIA|gh[pousr]_|sk-)"), "secret")
         .when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
-        .when(e.rlike(r"^([0-9A-Fa-f]{1,4}:){7}"), "ipv6")
+        .when(e.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f]*:[0-9A-Fa-f:]*$"), "ipv6")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(e.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]+$"), "iban")
         .when(e.rlike(r"^[\d -]+$") & (F.length(_digits(e)) >= 13), "card")
@@ -88,9 +94,42 @@ def kind(e: Column) -> Column:
     )
 
 
+def _groups(e: Column, far: bool = False) -> Column:
+    """The written groups of an IPv6 address before '::' (all where there is none), or ``far`` the ones behind."""
+    part = F.try_element_at(F.split(e, "::", -1), F.lit(2 if far else 1))
+    return F.when(F.coalesce(part, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(part, ":", -1))
+
+
+def _full_address(e: Column) -> Column:
+    """All eight groups of an IPv6 address, in lower case with four digits each."""
+
+    def made(x: Column) -> Column:
+        zeros = F.array_repeat(F.lit("0000"), 8 - F.size(x["a"]) - F.size(x["b"]))
+        pad = lambda g: F.transform(g, lambda c: F.lpad(F.lower(c), 4, "0"))
+        return F.array_join(F.concat(pad(x["a"]), zeros, pad(x["b"])), ":")
+
+    return _let(F.struct(_groups(e).alias("a"), _groups(e, True).alias("b")), made)
+
+
+def _address(e: Column, full: Column, noise: Column) -> Column:
+    """Another address with zeros where ``full`` has them, written as ``e`` is."""
+
+    def one(g: Column, i: Column) -> Column:
+        return F.when(g == "0000", g).otherwise(F.concat(F.substr(F.lit("123456789abcdef"), _number(noise, i, 15) + 1, F.lit(1)), F.substr(noise, (i * 4 + 60).cast("int"), F.lit(3))))
+
+    def written(new: Column) -> Column:
+        def part(groups: Column, ahead: Column) -> Column:
+            return F.array_join(F.transform(groups, lambda g, i: F.when(F.length(g) == 4, F.element_at(new, ahead + i + 1)).otherwise(F.regexp_replace(F.element_at(new, ahead + i + 1), "^0{1,3}", ""))), ":")
+
+        return F.concat(part(_groups(e), F.lit(0)), F.when(F.contains(e, F.lit("::")), F.lit("::")).otherwise(F.lit("")), part(_groups(e, True), 8 - F.size(_groups(e, True))))
+
+    return _let(F.transform(F.split(full, ":"), one), written)
+
+
 def _normal(e: Column, k: Column) -> Column:
     return (
-        F.when(k.isin("email", "ipv6"), F.lower(e))
+        F.when(k == "email", F.lower(e))
+        .when(k == "ipv6", _full_address(e))
         .when(k.isin("ssn", "card", "phone"), _digits(e))
         .when(k == "iban", F.replace(e, F.lit(" "), F.lit("")))
         .when(k == "secret", F.regexp_extract(e, _VALUE, 0))
@@ -178,6 +217,26 @@ def _given(word: Column, key: str) -> Column:
     return F.coalesce(*tables)
 
 
+def _contradicts(e: Column, word: Column) -> Column:
+    """Whether a person's title tells another gender than the given name's list."""
+    title = F.regexp_extract(e, rf"^(?:({_TITLE})\.? )?", 1)
+    of = lambda gender: [n for (g, _), names in NAMES.items() if g == gender for n in names]
+    return (title.isin(*TITLES["m"]) & word.isin(*of("f"))) | (title.isin(*TITLES["f"]) & word.isin(*of("m")))
+
+
+def _titled(e: Column, word: Column, noise: Column, attempt: Column) -> Column:
+    """A given name of the gender that a person's title tells, two of them at the next attempt; null without a title or later."""
+    title = F.regexp_extract(e, rf"^(?:({_TITLE})\.? )?", 1)
+    script = F.when(word.rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    found = []
+    for (gender, of), names in NAMES.items():
+        table = F.array(*map(F.lit, names))
+        one = lambda i, table=table, names=names: F.element_at(table, _number(noise, F.lit(i), len(names)) + 1)
+        pick = F.when(attempt == 0, one(0)).when(attempt == 1, F.concat(one(0), F.lit("-"), one(1)))
+        found.append(F.when(title.isin(*TITLES[gender]) & (script == of), pick))
+    return F.coalesce(*found)
+
+
 def surrogates(entities: Column, key: str, attempt) -> Column:
     """The replacements of an array of entities; null for one that turns out to be none (a number that fails the card check).
 
@@ -199,12 +258,12 @@ def surrogates(entities: Column, key: str, attempt) -> Column:
         email = F.concat(_alike(F.regexp_extract(e, "^([^@]+)@", 1), z), F.lit("@"), _alike(F.regexp_extract(x.other, r"^(.+)\.[^.]+$", 1), x.y), F.regexp_extract(x.other, r"\.[^.]+$", 0))
         head = F.coalesce(F.nullif(F.regexp_extract(e, rf"^{_SECRET_NAME}\s*[=:]\s*[\"']?", 0), F.lit("")), F.regexp_extract(e, r"^(?:AKIA|gh[pousr]_|sk-)", 0))
         title = F.regexp_extract(e, rf"^(?:(?:{_TITLE})\.? )?", 0)
-        first = F.concat(F.coalesce(_given(x.other, key), _invented(x.other, x.y, x.t)), F.lit(" "))
+        first = F.concat(F.coalesce(F.when(~_contradicts(e, x.other), _given(x.other, key)), _titled(e, x.other, x.y, x.t), _invented(x.other, x.y, x.t)), F.lit(" "))
         return (
             F.when(k == "email", email)
             .when(k == "secret", _let(head, lambda h: F.concat(h, _alike(F.substr(e, F.length(h) + 1), z))))
             .when(k == "ip", F.concat_ws(".", *[(_number(z, F.lit(i), 254) + 1).cast("string") for i in range(4)]))
-            .when(k == "ipv6", F.concat_ws(":", *[F.substr(z, F.lit(4 * i + 1), F.lit(4)) for i in range(8)]))
+            .when(k == "ipv6", _address(e, n, z))
             .when(k == "ssn", _plain(e, n, z))
             .when(k == "iban", F.concat(F.substr(e, F.lit(1), F.lit(2)), _alike(F.substr(e, F.lit(3)), z)))
             .when(k == "card", F.when(_luhn_sum(n) % 10 == 0, _card(e, n, z)))
@@ -239,13 +298,20 @@ def _attempts(found: DataFrame, key: str, most: int = 50) -> DataFrame:
     raise RuntimeError("surrogates still collide")
 
 
+def _surnames(entities: Column, new: Column) -> Column:
+    """(old, new) of the surnames of three letters or more among a text's entities, each once."""
+    named = lambda e, s: F.when((kind(e) == "person") & s.isNotNull(), F.struct(_last_word(e).alias("old"), _last_word(s).alias("new")))
+    pairs = F.filter(F.zip_with(entities, new, named), lambda x: x.isNotNull() & (F.length(x["old"]) >= 3))
+    return F.coalesce(F.array_distinct(pairs), F.array().cast("array<struct<old:string,new:string>>"))
+
+
 #: At most so many entities with another attempt than 0 become a literal; beyond, their documents are joined to them.
 LITERAL = 2000
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with the entities in ``text`` replaced by surrogates that ``key`` alone decides, and their number."""
-    _m, _s, _a, _row = free_names(docs, "m", "s", "a", "row")
+    _m, _s, _a, _row, _b = free_names(docs, "m", "s", "a", "row", "b")
     body = F.col(text)
     matches = F.when(body.rlike(_MAYBE), F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)))
     found = docs.select(F.explode(matches).alias("entity")).distinct()
@@ -264,7 +330,12 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         docs = docs.join(maps, _row, "left").drop(_row)
         attempt_of = lambda root: F.coalesce(F.try_element_at(F.col(_a), root), F.lit(0))
     docs = docs.withColumn(_s, surrogates(F.col(_m), key, attempt_of))
+    docs = docs.withColumn(_b, _surnames(F.col(_m), F.col(_s)))
     new = F.zip_with(_m, _s, lambda e, s: F.coalesce(s, e))
-    joined = F.array_join(F.zip_with(F.split(body, PATTERN, -1), new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    out = docs.withColumn("n_entities", F.coalesce(F.size(F.filter(_s, lambda s: s.isNotNull())), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.when(F.size(_m) > 0, joined).otherwise(body)).drop(_m, _s, _a)
+    alone = lambda x: F.concat(F.lit(r"(?<![\p{L}\p{N}@._'’-])"), x["old"], F.lit(r"(?![\p{L}\p{N}@_-])"))
+    followed = lambda p: F.aggregate(_b, p, lambda now, x: F.regexp_replace(now, alone(x), x["new"]))
+    joined = F.array_join(F.zip_with(F.split(body, PATTERN, -1), new, lambda p, s: F.concat(followed(p), F.coalesce(s, F.lit("")))), "")
+    bare = F.aggregate(F.split(body, PATTERN, -1), F.lit(0), lambda n, p: n + F.aggregate(_b, F.lit(0), lambda k, x: k + F.regexp_count(p, alone(x))))
+    bare = F.when(F.size(_b) > 0, bare).otherwise(0)
+    out = docs.withColumn("n_entities", F.coalesce(F.size(F.filter(_s, lambda s: s.isNotNull())) + bare, F.lit(0)).cast("long"))
+    return out.withColumn(text, F.when(F.size(_m) > 0, joined).otherwise(body)).drop(_m, _s, _a, _b)

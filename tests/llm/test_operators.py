@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import random
 import re
 import zlib
@@ -513,3 +514,65 @@ def test_pipeline(spark, docs, rows):
     lib = _library()
     assert packed["length"].sum() == sum(n * (len(lib.encode(t or "", add_special_tokens=False).ids) + 1) for (_, t), n in texts(mixed).items())
     assert (packed.groupby("sequence_id")["length"].sum() == 1024).sum() >= packed["sequence_id"].nunique() - 8
+
+
+def _new_texts(spark, texts: list[str]) -> list[str]:
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_grouped_national_phones(spark):
+    texts = ["call 020 7946 0958 now", "or 01 23 45 67 89.", "0171 234 56 78", "on 01-02-2024 and 05/06/2023, 2024-01-02 03 04 05", "codes 0 12 34 and 007 12"]
+    got = _new_texts(spark, texts)
+    assert all(re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) and a != b for a, b in zip(texts[:3], got[:3])) and got[3:] == texts[3:]
+
+
+def test_compressed_addresses_keep_zeros_and_writing(spark):
+    full, short = "2001:0db8:0000:0000:0000:8a2e:0370:7334", "2001:db8::8a2e:370:7334"
+    got = _new_texts(spark, [f"from {full} as {short}", f"{short.upper()} and fe80::1", "std::vector, a::b, 10:30:45, ::", "x::12:y"])
+    a, b = re.findall(r"[0-9a-f:]{10,}", got[0])
+    c, d = re.findall(r"[0-9a-f:]{6,}", got[1])
+    expand = lambda x: ipaddress.ip_address(x).exploded
+    assert expand(a) == expand(b) == expand(c) != full and b == c and len(a) == 39 and "::" in b and ":0000:0000:0000:" in a
+    assert "fe80" not in got[1] and expand(d).split(":")[1:7] == ["0000"] * 6 and got[2].startswith("std::vector, a::b, 10:30:45") and got[3] == "x::12:y"
+
+
+def test_bare_surnames_follow_their_person(spark):
+    texts = ["Mr. John Smith left; then Smith told Smithson, smith@x.org and O'Smith. SMITH", "Smith alone", "Mr Li met Li. Dr. Müller-Lüdenscheidt and Müller-Lüdenscheidt"]
+    got = _new_texts(spark, texts)
+    new = re.match(r"Mr\. \w+ (\w+) left; then (\w+) told Smithson, \S+@\S+ and O'Smith\. SMITH$", got[0])
+    assert new[1] == new[2] != "Smith" and got[1] == texts[1]
+    assert got[2].endswith(re.search(r"Dr\. (\S+) and", got[2])[1]) and "Müller" not in got[2]
+
+
+def test_titles_tell_the_gender_of_unlisted_names(spark):
+    names = ["Zadie", "Xolani", "Quill", "Yvo", "Bryn", "Kaj"]
+    got = _new_texts(spark, [f"{t} {n} Okoro" for t in ("Mrs", "Mr", "Dr.") for n in names] + ["Госпожа Зара Иванова", "Mr Maria Weber", "Mrs Maria Weber"])
+    lists = {g: {n for (x, _), ns in pii.NAMES.items() if x == g for n in ns} for g in "mf"}
+    first = [re.match(r"\S+ (\S+) ", t)[1] for t in got]
+    assert all(set(n.split("-")) <= lists["f"] or n not in lists["m"] for n in first[:6]) and any(n.split("-")[0] in lists["f"] for n in first[:6])
+    assert any(n.split("-")[0] in lists["m"] for n in first[6:12]) and not any(n in lists["f"] for n in first[6:12])
+    assert len(set(got)) == len(got)  # distinct persons stay distinct
+    assert first[18] in pii.NAMES["f", "cyrillic"] and first[19] in lists["m"] and first[20] in lists["f"]
+
+
+def test_persons_by_label_and_by_what_follows(spark):
+    texts = ["Name: Xenia Quux", "Kind regards,\nYvo Plum", "Bob Alfa (bob@x.org)", "My name is Ona Vale.", "Cyd Blau <cyd@x.org>", "Contact Customer Service", "New York (see above)", "the name is New Deal"]
+    got = _new_texts(spark, texts)
+    for old, new in zip(texts[:5], got[:5]):
+        assert not any(w in new for w in ("Xenia", "Quux", "Yvo", "Plum", "Bob", "Alfa", "Ona", "Vale", "Cyd", "Blau"))
+    assert got[5:] == texts[5:]
+
+
+def test_share_of_planted_names_that_is_found(spark):
+    """Every listed name with any surname, and half of the unlisted ones by a title or a label."""
+    rng = random.Random(4)
+    surname = lambda: "".join(rng.choices("bcdfghklmnprst", k=1)).upper() + "".join(rng.choices("aeiou", k=1)) + "".join(rng.choices("lmnrst", k=3))
+    listed = [n for (_, s), ns in pii.NAMES.items() if s == "latin" for n in ns]
+    texts, hidden = [], []
+    for i in range(300):
+        given, last = (rng.choice(listed) if i % 2 else "Zq" + surname().lower()), surname()
+        hidden.append((given, last))
+        texts.append(rng.choice(["they met {} {} there and {} agreed", "so {} {} wrote, and {} came"] if i % 2 else ["they met Mrs {} {} there and {} agreed", "Name: {} {}, that is {}"]).format(given, last, last))
+    got = _new_texts(spark, texts)
+    assert sum(f"{g} {n}" in t or re.search(rf"\b{n}\b", t) is not None for (g, n), t in zip(hidden, got)) == 0
