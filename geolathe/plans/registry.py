@@ -179,7 +179,7 @@ def catalog_monitor_stream(s: SparkSession, d: str) -> DataFrame:
     return monitor.processed(s, f"{at}/state")
 
 
-from . import geodesy, geolocation, grids, hydrology, networks, phases, products, radiometry, scenes, series, vectors  # noqa: E402, F401  they register theirs
+from . import geodesy, geolocation, grids, hydrology, ionosphere, networks, phases, products, radiometry, scenes, series, vectors  # noqa: E402, F401  they register theirs
 
 
 def queries() -> dict[str, Query]:
