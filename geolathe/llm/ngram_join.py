@@ -10,7 +10,10 @@
    prefixes in common, whatever the common order is, and each of them stands so early that enough shingles follow it.
 4. The matrix has a row for each (shingle, group): the union of its members' prefixes, reduced in each task before it
    is shuffled, with the least and greatest size of the members that have the shingle and the most shingles that
-   follow it in one of them. Pairs of groups are counted that share MATCHES shingles which these bounds allow.
+   follow it in one of them. Pairs of groups are counted that share MATCHES shingles which these bounds allow. Of shingles
+   at the end of the order, which many texts share, a prefix has only those that can be the first common one of two linked
+   sets, with all of the overlap behind it; what a text leaves out is counted in favour of its pairs. So texts that only
+   have a form's words in common, too few to link, never meet.
 5. Of each such pair the leaders are compared. Where the two are not in one component then, the smaller group's texts
    ask the larger one's blocks: the union of a block's sets bounds the overlap, and only blocks that can reach the
    threshold are opened and compared in full.
@@ -49,8 +52,8 @@ TOLD = 1_000_000
 BUCKET = 400_000
 #: A shingle in more groups than this is put at the end of the order, and the matrix is made again.
 CROWD = 512
-#: Sets that are opened together.
-BLOCK = 256
+#: Sets that are opened together, and shingles that these have together on average at most.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 #: Entries of prefixes that are dealt to buckets at a time, and pairs of groups that are looked at together.
 ENTRIES, PAIRS = 1_000_000, 1 << 19
 MET, HEAVY = 1, 2
@@ -124,28 +127,33 @@ def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
     return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x
 
 
-def _prefix(s: np.ndarray, shared: np.ndarray, buckets: int, percent: int) -> np.ndarray:
-    p = len(s) - _needed(len(s), percent) + MATCHES
+def _prefix(s: np.ndarray, shared: np.ndarray, buckets: int, percent: int) -> tuple[np.ndarray, int]:
+    """The first shingles in the common order, without the shared ones that cannot be the first common one, and how many shared ones there were, MATCHES - 1 at most."""
+    first = len(s) - _needed(len(s), percent) + 1
     late = _among(_keys(s, buckets), shared)
-    return np.concatenate((s[~late], s[late]))[:p] if late.any() else s[:p]
+    early = len(s) - int(late.sum())
+    p = first + MATCHES - 1
+    if early >= p:
+        return s[~late][:p], 0
+    return np.concatenate((s[~late], s[late]))[: max(first, early)], min(MATCHES - 1, min(p, len(s)) - early)
 
 
 def _prefixes(docs: DataFrame, shared: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
-    """(doc_id, size, low, bucket): of each text with an id and MATCHES shingles, the size of its set, and the lower halves and buckets of its prefix."""
+    """(doc_id, size, late, low, bucket): of each text with an id and MATCHES shingles, the size of its set, the shared shingles and the lower halves and buckets of its prefix."""
     width = _width(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, off in chunks(batch.column(1), 16 << 20):
-                doc, full, low, bucket = [], [], [], []
+                doc, full, shares, low, bucket = [], [], [], [], []
                 for one, s in zip(batch.column(0).slice(row, len(off) - 1).to_pylist(), (s for lo in _pieces(data, off) for s in shingle_sets(*lo, k))):
                     if one is not None and len(s) >= MATCHES:
-                        t = _prefix(s, shared, buckets, percent)
-                        doc.append(one), full.append(len(s))
+                        t, late = _prefix(s, shared, buckets, percent)
+                        doc.append(one), full.append(len(s)), shares.append(late)
                         low.append(t.astype(np.uint32).tobytes()), bucket.append(((t >> np.uint64(32)) % np.uint64(buckets)).astype(width).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(full, pa.int64()), pa.array(low, pa.binary()), pa.array(bucket, pa.binary())], names=["doc_id", "size", "low", "bucket"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(full, pa.int64()), pa.array(shares, pa.int32()), pa.array(low, pa.binary()), pa.array(bucket, pa.binary())], names=["doc_id", "size", "late", "low", "bucket"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, low binary, bucket binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, late int, low binary, bucket binary")
 
 
 def _width(buckets: int) -> type:
@@ -163,30 +171,30 @@ def _unpacked(x: bytes, kind: type, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(width, n).T).view(kind).ravel()
 
 
-def _reduced(order: np.ndarray, same: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, rest: np.ndarray) -> tuple:
-    """The entries in ``order``, those that agree in ``same`` made one."""
+def _reduced(order: np.ndarray, same: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, *most: np.ndarray) -> tuple:
+    """The entries in ``order``, those that agree in ``same`` made one with the least ``lo`` and the greatest of the others."""
     same = [x[order] for x in same]
     first = np.ones(len(order), bool)
     if len(order):
         first[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in same])
     at = np.flatnonzero(first)
     if not len(at):
-        return *same, lo, hi, rest
-    return *(x[at] for x in same), np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at), np.maximum.reduceat(rest[order], at)
+        return *same, lo, hi, *most
+    return *(x[at] for x in same), np.minimum.reduceat(lo[order], at), *(np.maximum.reduceat(x[order], at) for x in (hi, *most))
 
 
 def _blocks(prefixes: DataFrame, buckets: int) -> DataFrame:
-    """Rows (bucket, n, shingles, groups, sizes, spans, rests) of prefixes with their group: entries (shingle, group) of a bucket as arrays.
+    """Rows (bucket, n, shingles, groups, sizes, spans, rests, lates) of prefixes with their group: entries (shingle, group) of a bucket as arrays.
 
     Within a bucket entries are in order of their groups, whose numbers are given as differences; all but the
     shingles are compressed.
     """
     width = _width(buckets)
-    names = ["bucket", "n", "shingles", "groups", "sizes", "spans", "rests"]
+    names = ["bucket", "n", "shingles", "groups", "sizes", "spans", "rests", "lates"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            full, group = (batch.column(c).to_numpy() for c in ("size", "g"))
+            full, group, shares = (batch.column(c).to_numpy() for c in ("size", "g", "late"))
             lows, codes = batch.column("low"), batch.column("bucket")
             rank = np.argsort(group, kind="stable")
             n = np.array([len(x.as_buffer()) for x in codes], np.int64)[rank] // np.dtype(width).itemsize
@@ -201,23 +209,24 @@ def _blocks(prefixes: DataFrame, buckets: int) -> DataFrame:
                 size = np.repeat(full[some].astype(np.uint32), m)
                 rest = size - _ranges(m).astype(np.uint32)
                 g = np.repeat(group[some], m)
-                bucket, g, low, lo, hi, rest = _reduced(np.lexsort((low, g, bucket)), [bucket, g, low], size, size, rest)
+                late = np.repeat(shares[some].astype(np.uint8), m)
+                bucket, g, low, lo, hi, rest, late = _reduced(np.lexsort((low, g, bucket)), [bucket, g, low], size, size, rest, late)
                 cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
                 spans = list(zip(cut, np.append(cut[1:], len(bucket))))
-                columns = [[low[a:b].tobytes() for a, b in spans], [_packed(np.diff(g[a:b], prepend=np.int64(0))) for a, b in spans], *([_packed(x[a:b]) for a, b in spans] for x in (lo, hi - lo, rest))]
+                columns = [[low[a:b].tobytes() for a, b in spans], [_packed(np.diff(g[a:b], prepend=np.int64(0))) for a, b in spans], *([_packed(x[a:b]) for a, b in spans] for x in (lo, hi - lo, rest, late))]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int64)), pa.array([int(b - a) for a, b in spans], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=names)
 
-    return prefixes.mapInArrow(run, "bucket long, n long, shingles binary, groups binary, sizes binary, spans binary, rests binary")
+    return prefixes.mapInArrow(run, "bucket long, n long, shingles binary, groups binary, sizes binary, spans binary, rests binary, lates binary")
 
 
 def _entries(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """(lower halves, groups, least sizes, greatest sizes, rests) of a bucket, one for each shingle and group, in their order."""
+    """(lower halves, groups, least sizes, greatest sizes, rests, shared ones) of a bucket, one for each shingle and group, in their order."""
     out = []
-    for n, low, g, z, w, r in zip(*(table.column(c).to_pylist() for c in ("n", "shingles", "groups", "sizes", "spans", "rests"))):
+    for n, low, g, z, w, r, c in zip(*(table.column(c).to_pylist() for c in ("n", "shingles", "groups", "sizes", "spans", "rests", "lates"))):
         lo = _unpacked(z, np.uint32, n)
-        out.append((np.frombuffer(low, np.uint32), np.cumsum(_unpacked(g, np.int64, n)), lo, lo + _unpacked(w, np.uint32, n), _unpacked(r, np.uint32, n)))
-    t, g, lo, hi, rest = (np.concatenate(x) for x in zip(*out))
-    return _reduced(np.lexsort((g, t)), [t, g], lo, hi, rest)
+        out.append((np.frombuffer(low, np.uint32), np.cumsum(_unpacked(g, np.int64, n)), lo, lo + _unpacked(w, np.uint32, n), _unpacked(r, np.uint32, n), _unpacked(c, np.uint8, n)))
+    t, g, lo, hi, rest, late = (np.concatenate(x) for x in zip(*out))
+    return _reduced(np.lexsort((g, t)), [t, g], lo, hi, rest, late)
 
 
 def _pieces(data: np.ndarray, off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -228,18 +237,22 @@ def _pieces(data: np.ndarray, off: np.ndarray, limit: int = 1 << 20) -> Iterator
         row = end
 
 
-def meet(t: np.ndarray, g: np.ndarray, lo: np.ndarray, hi: np.ndarray, rest: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def meet(t: np.ndarray, g: np.ndarray, lo: np.ndarray, hi: np.ndarray, rest: np.ndarray, percent: int, late: np.ndarray | None = None, shared: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(group, other) for each shingle that can be among the first MATCHES common ones of two of their members, the smaller number first.
 
     Of two linked sets the smaller one, and of two equal ones either, has such a shingle within the part of its
-    prefix after which 2 * percent / (100 + percent) of its size follow: only such entries look for others.
+    prefix after which 2 * percent / (100 + percent) of its size follow: only such entries look for others. At a
+    ``shared`` shingle (told for each entry) two meet only if it can be the first of all that they have in common. A pair
+    that can be so counts again for each of the shared shingles, ``late``, that both may have left out.
     """
+    late = np.zeros(len(t), np.int64) if late is None else late.astype(np.int64)
+    more = np.full(len(t), MATCHES - 1) if shared is None else np.where(shared, 0, MATCHES - 1)
     new = np.concatenate(([True], t[1:] != t[:-1]))
     start = np.flatnonzero(new)
     groups = np.diff(np.append(start, len(t)))
     token = np.cumsum(new) - 1
     lo, hi, rest = (x.astype(np.int64) for x in (lo, hi, rest))
-    asks = np.flatnonzero((groups[token] > 1) & (rest + MATCHES - 1 >= _overlap(2 * lo, percent)))
+    asks = np.flatnonzero((groups[token] > 1) & (rest + more >= _overlap(2 * lo, percent)))
     wide = groups[token[asks]]
     cost = np.cumsum(wide)
     at = 0
@@ -252,10 +265,13 @@ def meet(t: np.ndarray, g: np.ndarray, lo: np.ndarray, hi: np.ndarray, rest: np.
         # the least sizes that members of both can have and link
         a = np.maximum(lo[left], -(-percent * lo[right] // 100))
         b = np.maximum(lo[right], -(-percent * lo[left] // 100))
-        fits = (left != right) & (a <= hi[left]) & (b <= hi[right]) & (np.minimum(rest[left], rest[right]) + MATCHES - 1 >= _overlap(a + b, percent))
+        least, behind = _overlap(a + b, percent), np.minimum(rest[left], rest[right])
+        fits = (left != right) & (a <= hi[left]) & (b <= hi[right]) & (behind + more[left] >= least)
         # a pair of two that both ask is seen from both sides
-        fits &= (left < right) | (rest[right] + MATCHES - 1 < _overlap(2 * lo[right], percent))
+        fits &= (left < right) | (rest[right] + more[right] < _overlap(2 * lo[right], percent))
         left, right = left[fits], right[fits]
+        times = 1 + np.where(behind[fits] >= least[fits], np.minimum(late[left], late[right]), 0)
+        left, right = np.repeat(left, times), np.repeat(right, times)
         yield np.minimum(g[left], g[right]), np.maximum(g[left], g[right])
 
 
@@ -273,7 +289,7 @@ def _meetings(blocks: DataFrame, shared: np.ndarray, percent: int, crowd: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
         bucket = table.column("bucket")[0].as_py()
-        t, g, lo, hi, rest = _entries(table)
+        t, g, lo, hi, rest, late = _entries(table)
         del table
         start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         groups = np.diff(np.append(start, len(t)))
@@ -284,7 +300,7 @@ def _meetings(blocks: DataFrame, shared: np.ndarray, percent: int, crowd: int) -
             return
         yield rows_of(MET, *(np.zeros(0),) * 3)
         held: list[tuple] = []
-        for a, b in meet(t, g, lo, hi, rest, percent):
+        for a, b in meet(t, g, lo, hi, rest, percent, late, np.repeat(known, groups)):
             held.append(_counted([*held, (a, b, np.ones(len(a), np.int64))]))
             del held[:-1]
             if len(held[0][0]) > 4 * PAIRS:
@@ -399,7 +415,7 @@ def _candidate_links(docs: DataFrame, classes: DataFrame, shared: np.ndarray, bu
     edges = stage(edges.unionByName(_compared(asks, docs, k, percent)), "links")
     labels = _labels(edges)
 
-    count = stage(members.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1"), "groups")
+    count = stage(members.groupBy("g").agg(F.count("*").alias("n"), F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES).alias("blocks")).filter("n > 1"), "groups")
     rest = _labelled(_labelled(asks, labels, "a", "ca"), labels, "b", "cb").filter("ca != cb")
     number = lambda c: count.select(F.col("g").alias(c), F.col("n").alias(f"n{c}"))
     rest = rest.join(number("a"), "a", "left").join(number("b"), "b", "left").filter("na IS NOT NULL OR nb IS NOT NULL")
@@ -408,7 +424,7 @@ def _candidate_links(docs: DataFrame, classes: DataFrame, shared: np.ndarray, bu
     if not rest.limit(1).count():
         return edges
     asked = members.join(rest.select("g").distinct(), "g", "left_semi").join(count, "g")
-    inside = stage(asked.select("g", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK)).alias("block"), F.col("doc").alias("b"), "size"), "inside")
+    inside = stage(asked.select("g", F.pmod(F.xxhash64("doc"), F.ceil("blocks")).alias("block"), F.col("doc").alias("b"), "size"), "inside")
     queries = stage(rest.join(members.select(F.col("g").alias("asker"), "doc", "size"), "asker").select("doc", "size", "g").distinct(), "queries")
     sets = _sets_of(docs, inside.select("b").unionByName(queries.select(F.col("doc").alias("b"))), k)
     blocks = inside.join(sets, F.col("b") == F.col("doc")).groupBy("g", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("union"))
