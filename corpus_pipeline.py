@@ -7,6 +7,7 @@ the last keep the columns of the documents; the last gives the pieces of the pac
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,10 @@ from geolathe.llm import mixing, ngram_join, packing, pii, quality
 from geolathe.llm._tables import stage
 
 
+#: The key of the surrogates: CORPUS_PIPELINE_KEY where it is set; else one that this process draws and nobody knows, so that surrogates of two processes cannot be matched.
+KEY = os.environ.get("CORPUS_PIPELINE_KEY") or secrets.token_hex(32)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.apply_rules(docs)
 
@@ -23,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs, key=os.environ.get("CORPUS_PIPELINE_KEY", "set CORPUS_PIPELINE_KEY to a secret")).select(*docs.columns)
+    return pii.pseudonymise(docs, key=KEY).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
