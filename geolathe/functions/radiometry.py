@@ -86,10 +86,15 @@ def cosine_corrected(band: Column, slope_deg: Column, aspect_deg: Column, zenith
 
 
 def pansharpened(pan: Column, bands: Sequence[Column], method: str = "brovey") -> list[Column]:
-    """brovey: shares of the sum; ihs: over the mean of the first three; mean: over the mean of all."""
+    """brovey: shares of the sum; ihs: over the mean of the first three, or the first of fewer; gram_schmidt and mean: over the mean of all.
+
+    Where the intensity is not positive, all but brovey leave the bands as they are.
+    """
     total = sum(bands[1:], bands[0])
-    over = {"brovey": total, "ihs": sum(bands[1:3], bands[0]) / 3, "mean": total / len(bands)}[method]
-    return [F.try_divide(b * pan, F.nullif(over, F.lit(0.0))) for b in bands]
+    if method == "brovey":
+        return [b / (total + 1e-10) * pan for b in bands]
+    over = {"ihs": sum(bands[1:3], bands[0]) / 3 if len(bands) >= 3 else bands[0], "gram_schmidt": total / len(bands), "mean": total / len(bands)}[method]
+    return [b * F.when(over > 0, pan / (over + 1e-10)).when(over.isNotNull(), 1.0) for b in bands]
 
 
 def calibrated(dn: Column, kind: str = "sigma0", db: bool = True, lut: Column | None = None, noise: Column | None = None, floor: float = 1e-10) -> Column:

@@ -10,6 +10,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .series import zone_percentiles
+
 
 def _powers(degree: int) -> list[tuple[int, int]]:
     return [(i, n - i) for n in range(degree + 1) for i in range(n, -1, -1)]
@@ -38,15 +40,20 @@ def surface(coefficients: dict[tuple[int, int], float], x: str = "x", y: str = "
     return sum((m * coefficients[p] for p, m in zip(_powers(degree), _monomials(degree, x, y))), F.lit(0.0))
 
 
+def _median(rows: DataFrame, value: Column) -> float:
+    """0 without values; found by ranks, so that no task holds them all."""
+    found = zone_percentiles(rows.select(F.lit(0).alias("_z"), value.alias("v")), "_z", [0.5]).first()
+    return found["value"] if found else 0.0
+
+
 def robust_polynomial(points: DataFrame, value: str, degree: int = 1, x: str = "x", y: str = "y", rounds: int = 2, limit: float = 3.0, floor: float = 0.05) -> tuple[dict, DataFrame]:
     """The surface without points that are off by more than ``limit`` scaled median deviations (``floor`` at least), and ``points`` with ``used``."""
     used = F.lit(True)
     for _ in range(rounds + 1):
         c = polynomial(points.filter(used), value, degree, x, y)
         off = F.col(value) - surface(c, x, y)
-        row = points.filter(used).select(off.alias("r")).agg(F.median("r").alias("m")).first()
-        middle = row["m"] or 0.0
-        mad = points.filter(used).agg(F.median(F.abs(off - middle)).alias("d")).first()["d"] or 0.0
+        middle = _median(points.filter(used), off)
+        mad = _median(points.filter(used), F.abs(off - middle))
         used = F.coalesce(F.abs(off - middle) <= max(floor, limit * 1.4826 * mad), F.lit(False))
     return c, points.withColumn("used", used)
 

@@ -64,33 +64,51 @@ def residual_coherence(stack: DataFrame, k: int = 7) -> DataFrame:
     return p.groupBy("row", "col").agg(F.hypot(F.avg("re"), F.avg("im")).alias("gamma"))
 
 
-def goldstein(pixels: DataFrame, alpha: float = 0.5, window: int = 32) -> DataFrame:
-    """``out``: wrapped phases whose spectrum, in windows of half overlap, is weighted by its own magnitude to ``alpha``.
+def goldstein(pixels: DataFrame, alpha: float = 0.5, window: int = 32, tile: int = st.TILE) -> DataFrame:
+    """``out``: wrapped phases whose spectrum, in windows of half overlap, is weighted by its magnitude's share of the window's peak to ``alpha``.
 
-    Windows are blended by raised cosines. A tile is filtered with a window's width of halo, and its windows start
-    at multiples of half a window of the whole raster, so that the result does not depend on the tiles.
+    Windows are blended by raised cosines that are 0 at their ends; pixels that have no weight, along a raster's outer rows and
+    columns, keep their phase. Windows start at multiples of half a window and once more at the far edge of the whole raster, and
+    a tile has a window's width of halo, so that the result does not depend on the tiles.
     """
-    half = window // 2
-    taper = np.hanning(window + 2)[1:-1]
+    half = max(1, window // 2)
+    taper = np.hanning(window)
     taper = taper[:, None] * taper[None]
 
+    def starts(size: int, first: int, last: int) -> list[int]:
+        """Of windows over ``size`` rows that reach from ``first`` to ``last``."""
+        at = list(range(0, max(1, size - window + 1), half))
+        if at[-1] + window < size:
+            at.append(max(0, size - window))
+        return [x for x in at if x + window > first and x <= last]
+
     def run(x: dict) -> dict:
         v, row, col = x["v"], x["row_"], x["col_"]
         z = np.where(np.isnan(v), 0, np.exp(1j * np.nan_to_num(v)))
         out, weight = np.zeros_like(z), np.zeros(v.shape)
-        r0, c0 = np.nanmin(row, axis=(1, 2)).astype(int), np.nanmin(col, axis=(1, 2)).astype(int)
-        top, left = np.argmax(~np.isnan(row).all(2), 1), np.argmax(~np.isnan(col).all(1), 1)
         for n in range(len(v)):
-            for i in range(-(r0[n] - top[n]) % half, v.shape[1] - window + 1, half):
-                for j in range(-(c0[n] - left[n]) % half, v.shape[2] - window + 1, half):
-                    part = np.fft.fft2(z[n, i : i + window, j : j + window])
-                    out[n, i : i + window, j : j + window] += np.fft.ifft2(part * np.abs(part) ** alpha) * taper
-                    weight[n, i : i + window, j : j + window] += taper
-        out = out / np.where(weight > 0, weight, 1)
-        return {"out": np.where(np.isnan(st.core(v, window)) | (st.core(weight, window) == 0), np.nan, np.angle(st.core(out, window)))}
-
-    p = pixels.withColumn("row_", F.col("row")).withColumn("col_", F.col("col"))
-    return st.stencil(p, window, run, ["out"], ["v", "row_", "col_"], border="none").drop("row_", "col_")
+            # the place of the array's first cell in the raster
+            r = int(np.nanmin(row[n])) - int(np.argmax(~np.isnan(row[n]).all(1)))
+            c = int(np.nanmin(col[n])) - int(np.argmax(~np.isnan(col[n]).all(0)))
+            rows, cols = int(np.nanmax(x["rows_"][n])), int(np.nanmax(x["cols_"][n]))
+            high, wide = min(window, rows), min(window, cols)
+            if min(high, wide) < 2:
+                continue
+            for i in starts(rows, r + window, r + v.shape[1] - window - 1):
+                for j in starts(cols, c + window, c + v.shape[2] - window - 1):
+                    at = n, slice(i - r, i - r + high), slice(j - c, j - c + wide)
+                    part = np.fft.fft2(z[at])
+                    size = np.abs(part)
+                    if size.max() > 0:
+                        part = part * (size / size.max()) ** alpha
+                    out[at] += np.fft.ifft2(part) * taper[:high, :wide]
+                    weight[at] += taper[:high, :wide]
+        out = np.where(weight > 0, out / np.where(weight > 0, weight, 1), z)
+        return {"out": np.where(np.isnan(st.core(v, window)), np.nan, np.angle(st.core(out, window)))}
+
+    p = pixels.join(st.extents(pixels).select("scene_id", (F.col("r1") + 1).alias("rows_"), (F.col("c1") + 1).alias("cols_")), "scene_id")
+    p = p.withColumn("row_", F.col("row")).withColumn("col_", F.col("col"))
+    return st.stencil(p, window, run, ["out"], ["v", "row_", "col_", "rows_", "cols_"], border="none", tile=max(tile, window)).drop("row_", "col_", "rows_", "cols_")
 
 
 def correlate(chip: np.ndarray, search: np.ndarray) -> np.ndarray:

@@ -22,8 +22,9 @@ def dispersion(stack: DataFrame, by: Sequence[str] = CELL, eps: float = 1e-6) ->
 def scatterers(stack: DataFrame, by: Sequence[str] = CELL, threshold: float = 0.25, share: float = 0.7) -> DataFrame:
     """``dispersion`` with ``ps``: steady pixels whose mean amplitude is above the given percentile of all."""
     d = dispersion(stack, by)
-    bright = d.agg(F.percentile("amplitude", F.lit(share)).alias("_bright"))  # one row
-    return d.crossJoin(F.broadcast(bright)).withColumn("ps", (F.col("adi") < threshold) & (F.col("amplitude") > F.col("_bright"))).drop("_bright")
+    bright = zone_percentiles(d.select(F.lit(0).alias("_z"), F.col("amplitude").alias("v")), "_z", [share]).select("_z", F.col("value").alias("_bright"))  # one row
+    joined = d.withColumn("_z", F.lit(0)).join(F.broadcast(bright), "_z", "left")
+    return joined.withColumn("ps", (F.col("adi") < threshold) & (F.col("amplitude") > F.col("_bright"))).drop("_bright", "_z")
 
 
 def temporal_coherence(residuals: DataFrame, by: Sequence[str] = CELL, wavelength: float = WAVELENGTH_M) -> DataFrame:
@@ -43,20 +44,23 @@ def compared_selections(selections: DataFrame, reference: str) -> DataFrame:
     base = selections.filter((F.col("name") == reference) & F.col("picked")).select("key", F.lit(True).alias("_base"))
     j = selections.join(base, "key", "left").withColumn("_base", F.coalesce("_base", F.lit(False)))
     on = lambda c: F.when(F.col("picked"), c)
-    return j.groupBy("name").agg(
-        F.count(on(F.lit(1))).alias("n"), (F.count(on(F.lit(1))) / F.count("*")).alias("share"), F.avg(on(F.col("quality"))).alias("mean"), F.median(on(F.col("quality"))).alias("median"),
+    counts = j.groupBy("name").agg(
+        F.count(on(F.lit(1))).alias("n"), (F.count(on(F.lit(1))) / F.count("*")).alias("share"), F.avg(on(F.col("quality"))).alias("mean"),
         F.count(F.when(F.col("picked") & ~F.col("_base"), 1)).alias("added"), F.count(F.when(~F.col("picked") & F.col("_base"), 1)).alias("dropped"),
     )
+    medians = zone_percentiles(selections.filter("picked").select("name", F.col("quality").alias("v")), "name", [0.5]).select(F.col("name").alias("_n"), F.col("value").alias("median"))
+    return counts.join(medians, F.col("name").eqNullSafe(F.col("_n")), "left").select("name", "n", "share", "mean", "median", "added", "dropped")
 
 
 def compared_maps(base: DataFrame, new: DataFrame, by: Sequence[str]) -> DataFrame:
     """One row: pixels that a map gains, loses and shares, and the median and 95th percentile of what it is off there."""
     j = base.select(*by, F.col("v").alias("a")).join(new.select(*by, F.col("v").alias("b")), list(by), "full")
     d = F.col("b") - F.col("a")
-    return j.agg(
-        F.count(F.when(F.col("a").isNull() & F.col("b").isNotNull(), 1)).alias("gained"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNull(), 1)).alias("lost"), F.count(d).alias("common"),
-        F.median(d).alias("median_off"), F.percentile(F.abs(d), F.lit(0.95)).alias("p95_off"),
-    )
+    counts = j.agg(F.count(F.when(F.col("a").isNull() & F.col("b").isNotNull(), 1)).alias("gained"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNull(), 1)).alias("lost"), F.count(d).alias("common"))
+    off = j.select(F.explode(F.array(F.struct(F.lit("median").alias("z"), d.alias("v")), F.struct(F.lit("far").alias("z"), F.abs(d).alias("v")))).alias("x")).select("x.z", "x.v")
+    at = zone_percentiles(off, "z", [0.5, 0.95])
+    pick = lambda z, share: F.max(F.when((F.col("z") == z) & (F.col("share") == share), F.col("value")))
+    return counts.crossJoin(F.broadcast(at.agg(pick("median", 0.5).alias("median_off"), pick("far", 0.95).alias("p95_off"))))  # one row each
 
 
 def trend_risk(series: DataFrame, by: Sequence[str], t: Column, z: float = 1.959963984540054) -> DataFrame:

@@ -21,12 +21,15 @@ _N = _NEAR.format("any_value(a.v) AS v, sum(cos(b.v)) AS x, sum(sin(b.v)) AS y")
 _RES = f"(SELECT scene_id, row, col, cos(v - atan2(y, x)) AS re, sin(v - atan2(y, x)) AS im FROM ({_N}))"
 add("residual_phase_coherence", f"SELECT row, col, {sr('sqrt(pow(avg(re), 2) + pow(avg(im), 2))')} AS gamma FROM {_RES} GROUP BY row, col")(lambda s, d: phase.residual_coherence(t.rasters(s, d), 3).withColumn("gamma", r6(F.col("gamma"))))
 add("goldstein_filter", None)(lambda s, d: phase.goldstein(t.rasters(s, d), window=4))
-# a raster against itself moved by one row and column: what the tracker must find
-_MOVED = f"(SELECT scene_id, row, col FROM {PIXELS} WHERE row = 4 AND col = 4)"
-add("offset_tracking", f"SELECT {KEY}, 1.0 AS d_row, 1.0 AS d_col FROM {_MOVED}")(lambda s, d: phase.offsets(_moved(s, d), chip=4, reach=1, step=4).filter("row = 4 AND col = 4").select("scene_id", "row", "col", F.round("d_row").alias("d_row"), F.round("d_col").alias("d_col")))
+# sixteen rasters as one of 32 x 32, against itself moved by rows and columns of its number: what the tracker must find inside
+_LARGE = "scene_id // 16 AS scene_id, scene_id % 16 // 4 * 8 + row AS row, scene_id % 4 * 8 + col AS col"
+add("offset_tracking", f"SELECT scene_id, row, col, CAST(scene_id % 5 - 2 AS DOUBLE) AS d_row, CAST(scene_id % 4 - 1 AS DOUBLE) AS d_col FROM (SELECT {_LARGE} FROM {PIXELS}) WHERE row IN (12, 16, 20) AND col IN (12, 16, 20)")(
+    lambda s, d: phase.offsets(_moved(s, d), chip=12, reach=3, step=4).filter("row BETWEEN 12 AND 20 AND col BETWEEN 12 AND 20").select("scene_id", "row", "col", *[(F.round(c) + F.lit(0.0)).alias(c) for c in ("d_row", "d_col")])
+)
 
 
 def _moved(s, d):
-    p = t.rasters(s, d)
-    b = p.select("scene_id", ((F.col("row") + 1) % 8).alias("row"), ((F.col("col") + 1) % 8).alias("col"), F.col("v").alias("b"))
+    k = F.col("scene_id")
+    p = t.rasters(s, d).select(F.floor(k / 16).alias("scene_id"), (F.floor(k % 16 / 4) * 8 + F.col("row")).cast("int").alias("row"), (k % 4 * 8 + F.col("col")).cast("int").alias("col"), "v")
+    b = p.select("scene_id", F.pmod(F.col("row") + F.col("scene_id") % 5 - 2, F.lit(32)).cast("int").alias("row"), F.pmod(F.col("col") + F.col("scene_id") % 4 - 1, F.lit(32)).cast("int").alias("col"), F.col("v").alias("b"))
     return p.withColumnRenamed("v", "a").join(b, ["scene_id", "row", "col"])

@@ -42,8 +42,10 @@ bands_query(
     lambda: {"corrected": rd.cosine_corrected(_c("nir"), _c("red") * 300, _c("swir1") * 300, 40 + _c("green") * 20, F.lit(135.0))},
     {"corrected": f"nir * cos(radians(40 + green * 20)) / greatest({_COSI}, 0.05)"},
 )
-for _m, _over in {"brovey": "(blue + green + red + nir)", "ihs": "((blue + green + red) / 3)", "mean": "((blue + green + red + nir) / 4)"}.items():
-    bands_query(f"pansharpen_{_m}", lambda m=_m: dict(zip(("blue_p", "green_p", "red_p", "nir_p"), rd.pansharpened(_c("swir1"), [_c(b) for b in ("blue", "green", "red", "nir")], m))), {f"{b}_p": f"{b} * swir1 / nullif({_over}, 0)" for b in ("blue", "green", "red", "nir")})
+_SUM = "(blue + green + red + nir)"
+_SHARP = {"brovey": f"{{}} / ({_SUM} + 1e-10::DOUBLE) * swir1"} | {m: f"{{}} * CASE WHEN {o} > 0 THEN swir1 / ({o} + 1e-10::DOUBLE) ELSE 1 END" for m, o in (("ihs", "((blue + green + red) / 3)"), ("gram_schmidt", f"({_SUM} / 4)"), ("mean", f"({_SUM} / 4)"))}
+for _m, _sql in _SHARP.items():  # as they are: ties of rounding would differ
+    bands_query(f"pansharpen_{_m}", lambda m=_m: dict(zip(("blue_p", "green_p", "red_p", "nir_p"), rd.pansharpened(_c("swir1"), [_c(b) for b in ("blue", "green", "red", "nir")], m))), {f"{b}_p": _sql.format(b) for b in ("blue", "green", "red", "nir")}, whole=True)
 _DB = "10 * log10(greatest(dn * dn * {}, 1e-10))"
 bands_query("sar_calibrate_kinds", lambda: {k: rd.calibrated(_c("dn"), k) for k in ("sigma0", "gamma0", "beta0")}, {"sigma0": _DB.format("1.0"), "gamma0": _DB.format("cos(radians(38))"), "beta0": _DB.format("(1 / sin(radians(38)))")})
 _LUT = "(dn * dn - swir2 * 1e8) / ((300 + green * 100) * (300 + green * 100))"
