@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detect, inversion, series
+from ..operators import detect, inversion, resampling, series
 from ..sources import tables as t
 from .base import BANDS, PIXELS, add, r6, sr
 
@@ -100,3 +100,8 @@ def pca_variance(s, d):
     """All components have the bands' whole variance and share none."""
     p = series.principal_components(t.bands(s, d).select(*_PC), _PC, 4)
     return p.agg(r6(sum((F.var_samp(f"pc{i}") for i in (2, 3, 4)), F.var_samp("pc1"))).alias("total"), r6(F.abs(F.covar_samp("pc1", "pc2")) + F.abs(F.covar_samp("pc2", "pc3"))).alias("shared"))
+# without noise each replicate is the series itself; the bootstrap's draws are no SQL's
+add("risk_monte_carlo_quiet", f"SELECT l_partkey, {sr('risk')} AS risk, 0.0::DOUBLE AS std FROM (SELECT l_partkey, CASE WHEN count(v) > 2 THEN coalesce(abs(regr_slope(v, {_TY})), 0) ELSE 0 END / (stddev_pop(v) + 1e-10) AS risk FROM (SELECT l_partkey, date, dn / 1e4 AS v FROM {BANDS}) GROUP BY l_partkey)")(
+    lambda s, d: resampling.drawn_risk(_series(s, d), ["l_partkey"], _ty(), "monte_carlo", replicates=3, noise=0.0).select("l_partkey", r6(_c("risk")).alias("risk"), r6(_c("std")).alias("std"))
+)
+add("risk_bootstrap", None)(lambda s, d: resampling.drawn_risk(_series(s, d), ["l_partkey"], _ty(), replicates=200))
