@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import pi
+from collections.abc import Callable, Iterator
+from math import pi, radians, sin
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import WAVELENGTH_M
@@ -16,11 +16,8 @@ from ..functions.geometry import WAVELENGTH_M
 TOGETHER = 1 << 16
 
 
-def solve(pixel: np.ndarray, d1: np.ndarray, d2: np.ndarray, moved: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    """(dates, how many, displacements, rms, velocity a year) of ``n`` pixels: weighted least squares from each one's first date.
-
-    Pixels are 0 to n - 1 and their dates numbers. Of a network in several parts the smallest solution is taken.
-    """
+def _fitted(pixel: np.ndarray, d1: np.ndarray, d2: np.ndarray, moved: np.ndarray, weight: np.ndarray, n: int) -> tuple:
+    """(displacements by pixel and place of the date, places of d1 and of d2, (pixel and day of each date, first and number of a pixel's))."""
     keys, code = np.unique(np.concatenate((pixel, pixel)) * np.int64(1 << 32) + np.concatenate((d1, d2)), return_inverse=True)
     of, date = keys >> 32, keys & 0xFFFFFFFF
     first = np.searchsorted(of, np.arange(n))
@@ -45,6 +42,16 @@ def solve(pixel: np.ndarray, d1: np.ndarray, d2: np.ndarray, moved: np.ndarray,
             raise np.linalg.LinAlgError
     except np.linalg.LinAlgError:
         x = (np.linalg.pinv(normal, hermitian=True) @ right[..., None])[..., 0]
+    return x, (i, j), (of, date, first, count)
+
+
+def solve(pixel: np.ndarray, d1: np.ndarray, d2: np.ndarray, moved: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """(dates, how many, displacements, rms, velocity a year) of ``n`` pixels: weighted least squares from each one's first date.
+
+    Pixels are 0 to n - 1 and their dates numbers. Of a network in several parts the smallest solution is taken.
+    """
+    x, (i, j), (of, date, first, count) = _fitted(pixel, d1, d2, moved, weight, n)
+    most = x.shape[1]
     off = moved - (x[pixel, j] - x[pixel, i])
     rms = np.sqrt(np.bincount(pixel, off * off, n) / np.maximum(np.bincount(pixel, minlength=n), 1))
     t = np.zeros((n, most))
@@ -57,26 +64,14 @@ def solve(pixel: np.ndarray, d1: np.ndarray, d2: np.ndarray, moved: np.ndarray,
     return date, count, x, rms, velocity
 
 
-def invert(ifg: DataFrame, pixel: str = "pixel", wavelength: float = WAVELENGTH_M, least_coherence: float = 0.0, bridge_penalty: float = 1.0) -> DataFrame:
-    """(pixel, velocity, rms, n, n_dates) from (pixel, d1, d2, phase, coherence) rows, days as whole numbers from 0.
+def _dealt(ifg: DataFrame, pixel: str, wavelength: float, weight: Column, *more: Column) -> DataFrame:
+    """(pixel, d1, d2, m in metres, w, more...), a pixel's pairs together."""
+    used = ifg.select(F.col(pixel).cast("long").alias("pixel"), F.col("d1").cast("long"), F.col("d2").cast("long"), (F.col("phase") * (wavelength / (4 * pi))).cast("double").alias("m"), weight.cast("double").alias("w"), *more)
+    return used.repartition("pixel").sortWithinPartitions("pixel")
 
-    A pixel's pairs weigh by their squared coherence, those in a column ``bridge``, if there is one, by
-    ``bridge_penalty`` of it; pairs below ``least_coherence`` are left out, and so are pixels that have fewer pairs
-    left than dates less one. A pixel's first date is the reference. A pixel has a bounded number of pairs.
-    """
-    weight = F.col("coherence") * F.col("coherence")
-    if "bridge" in ifg.columns:
-        weight = weight * F.when(F.col("bridge"), bridge_penalty).otherwise(1.0)
-    used = ifg.filter((F.col("coherence") >= least_coherence) & F.col("phase").isNotNull()).select(F.col(pixel).cast("long").alias("pixel"), F.col("d1").cast("long"), F.col("d2").cast("long"), (F.col("phase") * (wavelength / (4 * pi))).cast("double").alias("m"), weight.cast("double").alias("w"))
-    dealt = used.repartition("pixel").sortWithinPartitions("pixel")
 
-    def compute(t: pa.Table) -> pa.RecordBatch:
-        p, d1, d2, m, w = (t.column(c).to_numpy() for c in ("pixel", "d1", "d2", "m", "w"))
-        names, code = np.unique(p, return_inverse=True)
-        _, dates, _, rms, velocity = solve(code, d1, d2, m, w, len(names))
-        n = np.bincount(code, minlength=len(names))
-        ok = n >= dates - 1
-        return pa.RecordBatch.from_arrays([pa.array(names[ok]), pa.array(velocity[ok], from_pandas=True), pa.array(rms[ok]), pa.array(n[ok]), pa.array(dates[ok].astype(np.int64))], names=["pixel", "velocity", "rms", "n", "n_dates"])
+def _by_pixel(compute: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``compute`` over tables of whole pixels, many of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -96,7 +91,81 @@ def invert(ifg: DataFrame, pixel: str = "pixel", wavelength: float = WAVELENGTH_
         if size:
             yield compute(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "pixel long, velocity double, rms double, n long, n_dates long").withColumnRenamed("pixel", pixel)
+    return run
+
+
+def invert(ifg: DataFrame, pixel: str = "pixel", wavelength: float = WAVELENGTH_M, least_coherence: float = 0.0, bridge_penalty: float = 1.0) -> DataFrame:
+    """(pixel, velocity, rms, n, n_dates) from (pixel, d1, d2, phase, coherence) rows, days as whole numbers from 0.
+
+    A pixel's pairs weigh by their squared coherence, those in a column ``bridge``, if there is one, by
+    ``bridge_penalty`` of it; pairs below ``least_coherence`` are left out, and so are pixels that have fewer pairs
+    left than dates less one. A pixel's first date is the reference. A pixel has a bounded number of pairs.
+    """
+    weight = F.col("coherence") * F.col("coherence")
+    if "bridge" in ifg.columns:
+        weight = weight * F.when(F.col("bridge"), bridge_penalty).otherwise(1.0)
+    dealt = _dealt(ifg.filter((F.col("coherence") >= least_coherence) & F.col("phase").isNotNull()), pixel, wavelength, weight)
+
+    def compute(t: pa.Table) -> pa.RecordBatch:
+        p, d1, d2, m, w = (t.column(c).to_numpy() for c in ("pixel", "d1", "d2", "m", "w"))
+        names, code = np.unique(p, return_inverse=True)
+        _, dates, _, rms, velocity = solve(code, d1, d2, m, w, len(names))
+        n = np.bincount(code, minlength=len(names))
+        ok = n >= dates - 1
+        return pa.RecordBatch.from_arrays([pa.array(names[ok]), pa.array(velocity[ok], from_pandas=True), pa.array(rms[ok]), pa.array(n[ok]), pa.array(dates[ok].astype(np.int64))], names=["pixel", "velocity", "rms", "n", "n_dates"])
+
+    return dealt.mapInArrow(_by_pixel(compute), "pixel long, velocity double, rms double, n long, n_dates long").withColumnRenamed("pixel", pixel)
+
+
+def joint_velocity(ifg: DataFrame, slant_range: float, incidence: float, pixel: str = "pixel", wavelength: float = WAVELENGTH_M, least_share: float = 1e-9) -> DataFrame:
+    """(pixel, velocity, height, n) from (pixel, d1, d2, phase, baseline, coherence): a steady motion a year and an error of the heights, solved together.
+
+    A pair's phase is 4 pi / wavelength times (years between its dates) * velocity + baseline / (slant range * sin incidence)
+    * height; pairs weigh by their squared coherence, and those with an unknown value are left out. Both unknowns are null
+    where years and baselines are in proportion, that is where the determinant is below ``least_share`` of its diagonal.
+    """
+    w, t = F.col("coherence") * F.col("coherence"), (F.col("d2") - F.col("d1")) / 365.25
+    b, m = F.col("baseline") / (slant_range * sin(radians(incidence))), F.col("phase") * (wavelength / (4 * pi))
+    used = ifg.select(pixel, w.alias("w"), t.alias("t"), b.alias("b"), m.alias("m")).dropna(subset=["w", "t", "b", "m"])
+    total = lambda x, y: F.sum(F.col("w") * F.col(x) * F.col(y))
+    sums = used.groupBy(pixel).agg(*[total(x, y).alias(f"{x}{y}") for x, y in ("tt", "bb", "tb", "tm", "bm")], F.count("*").alias("n"))
+    whole = F.col("tt") * F.col("bb") - F.col("tb") * F.col("tb")
+    det = F.when(whole > least_share * F.col("tt") * F.col("bb"), whole)
+    velocity = (F.col("tm") * F.col("bb") - F.col("bm") * F.col("tb")) / det
+    return sums.select(pixel, velocity.alias("velocity"), ((F.col("bm") * F.col("tt") - F.col("tm") * F.col("tb")) / det).alias("height"), "n")
+
+
+def joint_series(ifg: DataFrame, slant_range: float, incidence: float, pixel: str = "pixel", wavelength: float = WAVELENGTH_M, least_share: float = 1e-9) -> DataFrame:
+    """(pixel, velocity, height, rms, n, n_dates): a displacement of each date after the first and an error of the heights, solved together.
+
+    As ``invert``, with a column for the height: baseline / (slant range * sin incidence). Where pairs' baselines are the
+    differences of one value a date, the height cannot be told from displacements; if the part of that column which no
+    displacements explain is below ``least_share`` of it, the height is null and the dates are solved alone.
+    """
+    weight = F.col("coherence") * F.col("coherence")
+    lever = F.col("baseline") / (slant_range * sin(radians(incidence)))
+    used = ifg.filter(F.col("phase").isNotNull() & F.col("coherence").isNotNull() & F.col("baseline").isNotNull())
+    dealt = _dealt(used, pixel, wavelength, weight, lever.cast("double").alias("b"))
+
+    def compute(t: pa.Table) -> pa.RecordBatch:
+        p, d1, d2, m, w, b = (t.column(c).to_numpy() for c in ("pixel", "d1", "d2", "m", "w", "b"))
+        names, code = np.unique(p, return_inverse=True)
+        k = len(names)
+        n = np.bincount(code, minlength=k)
+        # what displacements leave unexplained of the levers and of the phases
+        left = []
+        for v in (b, m):
+            x, at, _ = _fitted(code, d1, d2, v, w, k)
+            left.append(v - (x[code, at[1]] - x[code, at[0]]))
+        rest = np.bincount(code, w * left[0] * left[0], k)
+        told = rest > least_share * np.bincount(code, w * b * b, k)
+        with np.errstate(all="ignore"):
+            height = np.where(told, np.bincount(code, w * left[0] * left[1], k) / rest, np.nan)
+        _, dates, _, rms, velocity = solve(code, d1, d2, m - np.nan_to_num(height)[code] * b, w, k)
+        ok = n >= dates - 1
+        return pa.RecordBatch.from_arrays([pa.array(names[ok]), *[pa.array(c[ok], from_pandas=True) for c in (velocity, height)], pa.array(rms[ok]), pa.array(n[ok]), pa.array(dates[ok].astype(np.int64))], names=["pixel", "velocity", "height", "rms", "n", "n_dates"])
+
+    return dealt.mapInArrow(_by_pixel(compute), "pixel long, velocity double, height double, rms double, n long, n_dates long").withColumnRenamed("pixel", pixel)
 
 
 def referenced(ifg: DataFrame, pixel: str = "pixel") -> DataFrame:

@@ -185,3 +185,62 @@ def principal_components(pixels: DataFrame, bands: Sequence[str], k: int) -> Dat
         terms = [(F.col(b) - row[f"m{i}"]) * float(v[i]) for i, b in enumerate(bands)]
         out[f"pc{n + 1}"] = F.when(ok, sum(terms[1:], terms[0]))
     return pixels.withColumns(out)
+
+
+def top_share(scores: DataFrame, name: str, key: Sequence[str], share: float) -> DataFrame:
+    """``scores`` (name, key..., score) with ``picked``: scores among the highest ``share`` of their name, equal ones at the edge included; null scores are the lowest."""
+    low = scores.withColumn("v", F.coalesce("score", F.lit(-1e300)))
+    edge = zone_ranks(low, name, share)
+    return scores.join(edge, name).withColumn("picked", F.coalesce(F.col("score"), F.lit(-1e300)) >= F.col("_edge")).drop("_edge")
+
+
+def zone_ranks(pixels: DataFrame, zone: str, share: float, bins: int = 4096) -> DataFrame:
+    """(zone, _edge): the value of the last of the highest ``share`` of a zone's values, of one at least, without interpolation."""
+    w = W.partitionBy(zone).orderBy(F.desc("_bin"))
+    known = pixels.filter("v > -1e300")
+    ends = pixels.groupBy(zone).agg(F.count("v").alias("_n")).join(known.groupBy(zone).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi")), zone, "left")
+    part = F.coalesce((F.col("v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(0.0))
+    binned = pixels.join(ends, zone).select(zone, "v", F.greatest(F.lit(1), F.floor(F.col("_n") * share)).alias("_want"), F.when(F.col("v") > -1e300, F.least(F.lit(bins - 1), F.floor(part * bins))).otherwise(-1).alias("_bin"))
+    counts = binned.groupBy(zone, "_bin").agg(F.count("*").alias("_k"), F.max("_want").alias("_want")).withColumn("_upto", F.sum("_k").over(w))
+    hit = counts.filter("_upto >= _want AND _upto - _k < _want").select(zone, "_bin", (F.col("_upto") - F.col("_k")).alias("_ahead"))
+    values = binned.join(hit, [zone, "_bin"]).groupBy(zone, "v").agg(F.count("*").alias("_c"), F.max("_ahead").alias("_ahead"), F.max("_want").alias("_want"))
+    upto = values.withColumn("_upto", F.col("_ahead") + F.sum("_c").over(W.partitionBy(zone).orderBy(F.desc("v"))))
+    return upto.filter("_upto >= _want AND _upto - _c < _want").select(zone, F.col("v").alias("_edge"))
+
+
+def holdout_stability(stack: DataFrame, scores: DataFrame, coherence_in: DataFrame, coherence_out: DataFrame, share: float = 0.06, seed: int = 0) -> DataFrame:
+    """(name, n, in_sample, held_out, neighbour_ratio, held_out_minus_random) of selections made without the last dates.
+
+    ``stack``: (row, col) of all pixels; ``scores``: (name, row, col, score) from the other dates; coherences: (row, col, gamma) on
+    those dates and on the ones held out. Each name picks its highest ``share``; 'random', by the hash of place and seed, is
+    the baseline. neighbour_ratio: picked neighbours of a picked pixel over those expected of a random pick, null for none.
+    """
+    cells = stack.select("row", "col").distinct()
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "row", "col")), 1, 8), 16, 10).cast("long")
+    all_scores = scores.select("name", "row", "col", "score").unionByName(cells.select(F.lit("random").alias("name"), "row", "col", drawn.cast("double").alias("score")))
+    picked = top_share(all_scores, "name", ("row", "col"), share).filter("picked").select("name", "row", "col")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]))
+    near = picked.withColumn("_o", around).select("name", (F.col("row") + F.col("_o.i")).alias("row"), (F.col("col") + F.col("_o.j")).alias("col"))
+    near = near.join(picked, ["name", "row", "col"], "left_semi").groupBy("name").agg(F.count("*").alias("_near"))
+    total = cells.agg(F.count("*").alias("_all"))  # one row
+    p = picked.join(coherence_in.select("row", "col", F.col("gamma").alias("_in")), ["row", "col"], "left").join(coherence_out.select("row", "col", F.col("gamma").alias("_out")), ["row", "col"], "left")
+    rows = p.groupBy("name").agg(F.count("*").alias("n"), F.avg("_in").alias("in_sample"), F.avg("_out").alias("held_out")).join(near, "name", "left").join(F.broadcast(total))
+    rows = rows.withColumn("neighbour_ratio", F.coalesce("_near", F.lit(0)) / F.col("n") / (8 * F.col("n") / F.col("_all")))
+    base = rows.filter("name = 'random'").select(F.col("held_out").alias("_random"))  # one row
+    return rows.join(F.broadcast(base)).select("name", "n", "in_sample", "held_out", "neighbour_ratio", (F.col("held_out") - F.col("_random")).alias("held_out_minus_random"))
+
+
+def holdout(stack: DataFrame, n_eval: int = 3, share: float = 0.06, k: int = 7, seed: int = 0) -> DataFrame:
+    """``holdout_stability`` of amplitude dispersion over a stack (scene_id, row, col, v as amplitude, phase), the last ``n_eval`` scenes held out.
+
+    Fewer than three scenes on either side give no rows. Numbers of scenes are counted first, one row.
+    """
+    from . import phase
+
+    last = stack.select("scene_id").distinct().withColumn("_i", F.row_number().over(W.orderBy(F.desc("scene_id"))))  # scenes, not pixels
+    sides = last.agg(F.count("*").alias("_n"), F.max(F.when(F.col("_i") == n_eval + 1, F.col("scene_id"))).alias("_cut")).filter((F.col("_n") - n_eval >= 3) & F.lit(n_eval >= 3))
+    s = stack.join(F.broadcast(sides))
+    kept, out = s.filter("scene_id <= _cut"), s.filter("scene_id > _cut")
+    score = dispersion(kept).select(F.lit("adi").alias("name"), "row", "col", (-F.col("adi")).alias("score"))
+    gamma = lambda x: phase.residual_coherence(x.select("scene_id", "row", "col", F.col("phase").alias("v")), k)
+    return holdout_stability(s, score, gamma(kept), gamma(out), share, seed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import pi, radians, sin
+
 from pyspark.sql import functions as F
 
 from ..operators import detect, inversion, resampling, series
@@ -105,3 +107,38 @@ add("risk_monte_carlo_quiet", f"SELECT l_partkey, {sr('risk')} AS risk, 0.0::DOU
     lambda s, d: resampling.drawn_risk(_series(s, d), ["l_partkey"], _ty(), "monte_carlo", replicates=3, noise=0.0).select("l_partkey", r6(_c("risk")).alias("risk"), r6(_c("std")).alias("std"))
 )
 add("risk_bootstrap", None)(lambda s, d: resampling.drawn_risk(_series(s, d), ["l_partkey"], _ty(), replicates=200))
+
+# heights and motions planted in networks whose pairs have baselines of their own
+_SCALE = "(800000.0 * sin(radians(39)))"
+_BASE = "CAST((d1 * 7 + d2 * 13) % 11 - 5 AS DOUBLE) * 20"
+_HEIGHT = "(pixel % 41 - 20)"
+_base = lambda: ((_c("d1") * 7 + _c("d2") * 13) % 11 - 5).cast("double") * 20
+
+
+def _lifted(s, d, motion=None):
+    """Networks with the phase of a height; instead of their own displacements, of a steady ``motion``."""
+    ifg = t.interferograms(s, d).withColumn("baseline", _base())
+    own = _c("phase") if motion is None else motion * (_c("d2") - _c("d1")) / 365.25 * (4 * pi / inversion.WAVELENGTH_M)
+    return ifg.withColumn("phase", own + _c("baseline") / (800000.0 * sin(radians(39))) * (_c("pixel") % 41 - 20) * (4 * pi / inversion.WAVELENGTH_M))
+
+
+_TURNS = f"(SELECT DISTINCT x.pixel FROM {_IFG} x JOIN {_IFG} y ON x.pixel = y.pixel AND x.d2 = y.d1 JOIN {_IFG} z ON z.pixel = x.pixel AND z.d1 = x.d1 AND z.d2 = y.d2 WHERE {_BASE.replace('d1', 'x.d1').replace('d2', 'x.d2')} + {_BASE.replace('d1', 'y.d1').replace('d2', 'y.d2')} <> {_BASE.replace('d1', 'z.d1').replace('d2', 'z.d2')})"
+add("sbas_with_heights", f"SELECT i.pixel, CASE WHEN u.pixel IS NOT NULL THEN CAST({_HEIGHT.replace('pixel', 'i.pixel')} AS DOUBLE) + 0.0 END AS height, CASE WHEN u.pixel IS NOT NULL THEN {sr('velocity')} END AS velocity, n_dates FROM (SELECT pixel, {_VEL} AS velocity, count(*) AS n_dates FROM {_LEVELS} GROUP BY pixel HAVING count(*) > 1) i LEFT JOIN {_TURNS} u ON u.pixel = i.pixel")(
+    lambda s, d: inversion.joint_series(_lifted(s, d), 800000.0, 39.0).select("pixel", r6(_c("height")).alias("height"), F.when(_c("height").isNotNull(), r6(_c("velocity"))).alias("velocity"), "n_dates")
+)
+_STEADY = f"(SELECT pixel, d2 - d1 AS t, {_BASE} AS b FROM {_IFG})"
+add("steady_motion_with_heights", f"SELECT pixel, CASE WHEN ok THEN (pixel % 13 - 6) * 0.01 + 0.0 END AS velocity, CASE WHEN ok THEN CAST({_HEIGHT} AS DOUBLE) + 0.0 END AS height, n FROM (SELECT pixel, count(*) AS n, max(b / t) <> min(b / t) AND max(abs(b)) > 0 AS ok FROM {_STEADY} GROUP BY pixel)")(
+    lambda s, d: inversion.joint_velocity(_lifted(s, d, (_c("pixel") % 13 - 6) * 0.01), 800000.0, 39.0).withColumns({c: r6(_c(c)) for c in ("velocity", "height")})
+)
+
+_HOLD = 20
+_RATED = f"""(SELECT 'adi' AS name, row, col, -stddev_pop(v) / (avg(v) + 1e-6) AS score FROM (SELECT scene_id, row, col, abs(v) + 0.5 AS v FROM {PIXELS}) WHERE scene_id <= (SELECT max(vec_id) - {_HOLD} FROM embeddings) GROUP BY row, col
+ UNION ALL SELECT 'random', row, col, CAST(('0x' || substr(md5('0:' || row || ':' || col), 1, 8)) AS BIGINT) FROM (SELECT DISTINCT row, col FROM {PIXELS}))"""
+_TOP = f"(SELECT name, row, col FROM (SELECT *, rank() OVER (PARTITION BY name ORDER BY score DESC) AS k FROM {_RATED}) WHERE k <= 12)"
+_UNIT = f"(SELECT scene_id, row, col, cos(v * 10) AS re, sin(v * 10) AS im FROM {PIXELS})"
+_OFF = f"(SELECT scene_id, row, col, atan2(im, re) - atan2(ni, nr) AS a FROM (SELECT a.scene_id, a.row, a.col, any_value(a.re) AS re, any_value(a.im) AS im, sum(b.re) - any_value(a.re) AS nr, sum(b.im) - any_value(a.im) AS ni FROM {_UNIT} a JOIN {_UNIT} b ON a.scene_id = b.scene_id AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY a.scene_id, a.row, a.col))"
+_GAMMA = f"(SELECT row, col, CASE WHEN scene_id <= (SELECT max(vec_id) - {_HOLD} FROM embeddings) THEN 0 ELSE 1 END AS side, sqrt(avg(cos(a)) * avg(cos(a)) + avg(sin(a)) * avg(sin(a))) AS gamma FROM {_OFF} GROUP BY ALL)"
+_HELD = f"(SELECT p.name, count(*) AS n, avg(i.gamma) AS in_sample, avg(o.gamma) AS held_out FROM {_TOP} p JOIN {_GAMMA} i ON i.row = p.row AND i.col = p.col AND i.side = 0 JOIN {_GAMMA} o ON o.row = p.row AND o.col = p.col AND o.side = 1 GROUP BY p.name)"
+add("holdout_stability", f"SELECT h.name, n, {sr('in_sample')} AS in_sample, {sr('held_out')} AS held_out, {sr('coalesce(k, 0) / n / (n / 8.0)')} AS neighbour_ratio, {sr('held_out - (SELECT held_out FROM held WHERE name = ' + chr(39) + 'random' + chr(39) + ')')} AS held_out_minus_random FROM held h LEFT JOIN (SELECT a.name, count(*) AS k FROM {_TOP} a JOIN {_TOP} b ON a.name = b.name AND greatest(abs(a.row - b.row), abs(a.col - b.col)) = 1 GROUP BY a.name) e ON e.name = h.name".replace("SELECT h.name", f"WITH held AS MATERIALIZED {_HELD} SELECT h.name", 1))(
+    lambda s, d: series.holdout(t.rasters(s, d).withColumn("phase", _c("v") * 10).withColumn("v", F.abs("v") + 0.5), n_eval=_HOLD, share=0.2, k=3).withColumns({c: r6(_c(c)) for c in ("in_sample", "held_out", "neighbour_ratio", "held_out_minus_random")})
+)
