@@ -179,7 +179,7 @@ def catalog_monitor_stream(s: SparkSession, d: str) -> DataFrame:
     return monitor.processed(s, f"{at}/state")
 
 
-from . import coregister, esd, geodesy, geolocation, grids, hydrology, ionosphere, networks, outlines, phases, products, radiometry, scenes, series, unwrap, vectors  # noqa: E402, F401  they register theirs
+from . import coregister, esd, geodesy, geolocation, grids, hydrology, ionosphere, networks, outlines, phases, products, radiometry, ramps, scenes, series, unwrap, vectors  # noqa: E402, F401  they register theirs
 
 
 def queries() -> dict[str, Query]:

@@ -63,3 +63,29 @@ def calibration_table(files: DataFrame, value: str = "sigmaNought", at: str = "/
     numbers = lambda c, kind: F.transform(F.split(F.trim(F.col(c)), r"\s+"), lambda x: x.try_cast(kind))
     pairs = F.explode(F.arrays_zip(numbers("pixel", "int").alias("pixel"), numbers(value, "double").alias("value"))).alias("x")
     return rows.select("file", F.col("line").try_cast("int").alias("line"), pairs).select("file", "line", "x.pixel", "x.value")
+
+
+def swaths(files: DataFrame) -> DataFrame:
+    """(file, lines, samples, dt, tau0, rate, frequency, steering) of burst annotation: seconds, hertz, and radians a second (files have degrees)."""
+    number = lambda path: _one(path).try_cast("double")
+    return files.select(
+        "file", _one("//linesPerBurst").try_cast("int").alias("lines"), _one("//samplesPerBurst").try_cast("int").alias("samples"), number("//azimuthTimeInterval").alias("dt"), number("//slantRangeTime").alias("tau0"),
+        number("//rangeSamplingRate").alias("rate"), number("//radarFrequency").alias("frequency"), F.radians(number("//azimuthSteeringRate")).alias("steering"),
+    ).filter("lines IS NOT NULL")
+
+
+def range_polynomials(files: DataFrame) -> DataFrame:
+    """(file, kind, number, time, t0, c): the polynomials of range time for the azimuth rate ("fm") and the Doppler centroid ("dc").
+
+    Coefficients are one list or, in older files, c0, c1 and c2 apart.
+    """
+    numbers = lambda c: F.transform(F.split(F.trim(c), r"\s+"), lambda x: x.try_cast("double"))
+    out = None
+    for kind, at, name in (("fm", "//azimuthFmRate", "azimuthFmRatePolynomial"), ("dc", "//dcEstimate", "dataDcPolynomial")):
+        listed = F.transform(_all(f"{at}/{name}"), numbers)
+        apart = F.arrays_zip(*[_all(f"{at}/c{k}").alias(f"c{k}") for k in range(3)])
+        apart = F.transform(apart, lambda x: F.array(*[x[f"c{k}"].try_cast("double") for k in range(3)]))
+        rows = F.arrays_zip(_all(f"{at}/azimuthTime").alias("time"), _all(f"{at}/t0").alias("t0"), F.when(F.size(listed) > 0, listed).otherwise(apart).alias("c"))
+        part = files.select("file", F.lit(kind).alias("kind"), F.posexplode(rows).alias("number", "x")).select("file", "kind", "number", F.col("x.time").alias("time"), F.col("x.t0").try_cast("double").alias("t0"), "x.c")
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("time", _time("time"))
