@@ -187,3 +187,77 @@ def terrain_heights(pixels: DataFrame, dem: DataFrame, lat0: float, lon0: float,
         found = resampled(dem, at, kernel="linear").select("scene_id", "row", "col", F.col("v").alias("height"))
         now = pixels.join(found, ["scene_id", "row", "col"], "left")
     return now
+
+
+REFINED = "scene_id long, point long, d_row double, d_col double, coherence double"
+
+
+def _chip(field: np.ndarray, top: float, left: float, size: int) -> np.ndarray:
+    """``size`` x ``size`` values from a fractional place on, between pixels linear."""
+    i, j = int(np.floor(top)), int(np.floor(left))
+    u, v = top - i, left - j
+    part = field[i : i + size + 1, j : j + size + 1]
+    part = part[:-1] * (1 - u) + part[1:] * u if u else part[:size]
+    return part[:, :-1] * (1 - v) + part[:, 1:] * v if v else part[:, :size]
+
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> float:
+    power = (np.abs(a) ** 2).sum() * (np.abs(b) ** 2).sum()
+    return float(np.abs((a * np.conj(b)).sum()) / np.sqrt(power)) if power > 0 else 0.0
+
+
+def _most_alike(ref: np.ndarray, sec: np.ndarray, top: float, left: float, window: int, coarse: int, fine: float) -> tuple[float, float, float]:
+    """(rows, columns, coherence) of the shift of ``sec`` that is most coherent with ``ref``: whole pixels first, then ever finer grids around the best."""
+    at = lambda r, c: _agreement(ref, _chip(sec, top + r, left + c, window))
+    whole = range(-coarse, coarse + 1)
+    best = max(((at(r, c), -abs(r) - abs(c), r, c) for r in whole for c in whole))
+    value, _, r0, c0 = best
+    r, c, step = float(r0), float(c0), fine / 2
+    while step > 1e-4:
+        grid = [(at(y, x), -abs(y - r) - abs(x - c), y, x) for y in r + step * np.arange(-2, 3) for x in c + step * np.arange(-2, 3) if abs(y - r0) <= fine and abs(x - c0) <= fine]
+        value, _, r, c = max(grid)
+        step /= 2
+    return r, c, value
+
+
+def refined_by_coherence(points: DataFrame, ref: DataFrame, sec: DataFrame, window: int = 32, coarse: int = 4, fine: float = 1.5, least: float = 0.3, tile: int = 256) -> DataFrame:
+    """(scene_id, point, d_row, d_col, coherence) of control points (scene_id, point, row, col, d_row, d_col) whose offsets a search in the images mends.
+
+    ``ref`` and ``sec``: (scene_id, row, col, re, im), without burst ramps (``ramps.turned`` takes them off). A window around the reference
+    place is compared with windows around the offset one, at most ``coarse`` pixels and a further ``fine`` away, between pixels linear.
+    Points that are less coherent than ``least``, or whose windows are not all known, are left out. A point takes
+    (window + 2 (coarse + fine))^2 pixels of each image to a task; pixels meet points by an equality join on tiles.
+    """
+    if window % 2:
+        window += 1
+    half, margin = window // 2, int(np.ceil(coarse + fine)) + 1
+    p = points.select(F.col("scene_id").cast("long").alias("scene_id"), F.col("point").cast("long").alias("point"), *[F.col(c).cast("double").alias(c) for c in ("row", "col", "d_row", "d_col")]).dropna()
+    sides = []
+    for image, name, r, c, more in ((ref, "ref", F.col("row"), F.col("col"), 1), (sec, "sec", F.col("row") + F.col("d_row"), F.col("col") + F.col("d_col"), margin)):
+        a = p.select("scene_id", "point", r.alias("_r"), c.alias("_c"), *[(F.floor(x) + s * (half + more)).cast("long").alias(n) for x, n, s in ((r, "r0", -1), (r, "r1", 1), (c, "c0", -1), (c, "c1", 1))])
+        for n, t in (("r", "tr"), ("c", "tc")):
+            a = a.withColumn(t, F.explode(F.sequence(F.floor(F.col(f"{n}0") / tile), F.floor(F.col(f"{n}1") / tile))))
+        x = image.select(F.col("scene_id").cast("long").alias("scene_id"), F.floor(F.col("row") / tile).alias("tr"), F.floor(F.col("col") / tile).alias("tc"), F.col("row").cast("long").alias("_y"), F.col("col").cast("long").alias("_x"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+        near = a.join(x, ["scene_id", "tr", "tc"]).filter("_y BETWEEN r0 AND r1 AND _x BETWEEN c0 AND c1")
+        sides.append(near.select("scene_id", "point", F.lit(name).alias("side"), (F.col("_y") - F.col("r0")).cast("int").alias("i"), (F.col("_x") - F.col("c0")).cast("int").alias("j"), (F.col("_r") - F.col("r0")).alias("y"), (F.col("_c") - F.col("c0")).alias("x"), "re", "im"))
+
+    def search(t: pa.Table) -> pa.Table:
+        b = t.to_pandas()
+        fields, places = {}, {}
+        for name, more in (("ref", 1), ("sec", margin)):
+            s = b[b["side"] == name]
+            size = 2 * (half + more) + 1
+            fields[name] = np.full((size, size), np.nan + 0j)
+            fields[name][s["i"], s["j"]] = s["re"] + 1j * s["im"]
+            places[name] = (s["y"].iloc[0] - half, s["x"].iloc[0] - half) if len(s) else (0.0, 0.0)
+        found: dict[str, list] = {f.split()[0]: [] for f in REFINED.split(", ")}
+        if all(np.isfinite(f).all() for f in fields.values()):
+            r, c, value = _most_alike(_chip(fields["ref"], *places["ref"], window), fields["sec"], *places["sec"], window, coarse, fine)
+            if value >= least:
+                found = dict(zip(found, ([int(b["scene_id"][0])], [int(b["point"][0])], [r], [c], [value])))
+        kinds = pa.schema([("scene_id", pa.int64()), ("point", pa.int64()), *[(n, pa.float64()) for n in ("d_row", "d_col", "coherence")]])
+        return pa.table(found, schema=kinds)
+
+    found = sides[0].unionByName(sides[1]).groupBy("scene_id", "point").applyInArrow(search, REFINED)
+    moved_by = p.select("scene_id", "point", F.col("d_row").alias("_dr"), F.col("d_col").alias("_dc"))
+    return found.join(moved_by, ["scene_id", "point"]).select("scene_id", "point", (F.col("_dr") + F.col("d_row")).alias("d_row"), (F.col("_dc") + F.col("d_col")).alias("d_col"), "coherence")

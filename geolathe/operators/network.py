@@ -149,23 +149,48 @@ def select_network(pairs: DataFrame, by: str, cost: Column, good: Column, redund
     return costed.groupBy(by).applyInPandas(run, fields).drop("_cost", "_good", "_a", "_b")
 
 
+def _bridges(edges: list[tuple[int, int]]) -> set[int]:
+    """Numbers of the edges without which their ends are apart, in one walk: those that no edge back leads over."""
+    near: dict[int, list[tuple[int, int]]] = {}
+    for i, (a, b) in enumerate(edges):
+        near.setdefault(a, []).append((b, i))
+        near.setdefault(b, []).append((a, i))
+    found: set[int] = set()
+    order: dict[int, int] = {}
+    low: dict[int, int] = {}
+    for root in near:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        way = [(root, -1, iter(near[root]))]
+        while way:
+            at, by, rest = way[-1]
+            for to, i in rest:
+                if i == by:
+                    continue
+                if to in order:
+                    low[at] = min(low[at], order[to])
+                    continue
+                order[to] = low[to] = len(order)
+                way.append((to, i, iter(near[to])))
+                break
+            else:
+                way.pop()
+                if way:
+                    above = way[-1][0]
+                    low[above] = min(low[above], low[at])
+                    if low[at] > order[above]:
+                        found.add(by)
+    return found
+
+
 def classify_pairs(pairs: DataFrame, by: str, good: Column) -> DataFrame:
     """``pairs`` with ``kind``: good; bridge where the network of all pairs falls apart without it; else excluded."""
     marked = pairs.withColumns({"_good": good, "_a": F.datediff("d1", F.lit("1970-01-01").cast("date")), "_b": F.datediff("d2", F.lit("1970-01-01").cast("date"))})
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        edges = list(zip(p["_a"], p["_b"]))
-        kinds = []
-        for i, ok in enumerate(p["_good"]):
-            if ok:
-                kinds.append("good")
-                continue
-            sets = _Sets({*p["_a"], *p["_b"]})
-            for j, (a, b) in enumerate(edges):
-                if j != i:
-                    sets.join(a, b)
-            kinds.append("bridge" if sets.find(edges[i][0]) != sets.find(edges[i][1]) else "excluded")
-        return p.assign(kind=kinds)
+        alone = _bridges(list(zip(p["_a"].tolist(), p["_b"].tolist())))
+        return p.assign(kind=["good" if ok else "bridge" if i in alone else "excluded" for i, ok in enumerate(p["_good"])])
 
     return marked.groupBy(by).applyInPandas(run, marked.select("*", F.lit("").alias("kind")).schema).drop("_good", "_a", "_b")
 

@@ -85,3 +85,18 @@ def _controls(s, d) -> DataFrame:
 add("coregistration_geometry_first", "SELECT DISTINCT l_suppkey AS scene_id, round(CAST(l_suppkey % 5 + 0.5 AS DOUBLE), 6) + 0.0 AS c0, round(CAST(0.01 + l_suppkey % 3 * 0.001 AS DOUBLE), 6) + 0.0 AS c_row, -0.002::DOUBLE AS c_col, 2.0::DOUBLE AS d0 FROM lineitem")(
     lambda s, d: cr.geometry_first(_controls(s, d), rounds=6).select("scene_id", *[r6(F.element_at("row_terms", i)).alias(n) for i, n in ((1, "c0"), (2, "c_row"), (3, "c_col"))], r6(F.element_at("col_terms", 1)).alias("d0"))
 )
+
+
+# mosaics whose second image is the first one, moved by whole pixels that the mosaic tells
+def _images(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k = _c("scene_id")
+    ref = _mosaic(s, d).select("scene_id", "row", "col", _c("v").alias("re"), (_c("v") * F.sin(_c("row") * 3 + _c("col") * 5)).alias("im"))
+    sec = ref.select("scene_id", (_c("row") + k % 3 - 1).alias("row"), (_c("col") + k % 5 - 2).alias("col"), "re", "im")
+    at = F.explode(F.array(*[F.struct(F.lit(n).alias("point"), F.lit(float(r)).alias("row"), F.lit(float(c)).alias("col")) for n, (r, c) in enumerate(((14, 16), (16, 13), (17, 18)))]))
+    points = ref.select("scene_id").distinct().withColumn("x", at).select("scene_id", "x.*", F.lit(0.0).alias("d_row"), F.lit(0.0).alias("d_col"))
+    return points, ref, sec
+
+
+add("coregistration_by_coherence", "SELECT scene_id, point, CAST(scene_id % 3 - 1 AS DOUBLE) AS d_row, CAST(scene_id % 5 - 2 AS DOUBLE) AS d_col, 1.0::DOUBLE AS coherence FROM (SELECT vec_id // 16 AS scene_id FROM embeddings GROUP BY 1 HAVING count(*) = 16), (SELECT unnest(range(3)) AS point)")(
+    lambda s, d: cr.refined_by_coherence(*_images(s, d), window=8, coarse=2, fine=1.0, tile=16).select("scene_id", "point", *[r6(_c(c)).alias(c) for c in ("d_row", "d_col", "coherence")])
+)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog, preflight
-from ..sources import sinks
+from ..sources import catalog_source, sinks
 from ..sources import tables as t
+from ..streaming import monitor
 from .base import AS_OF, SCENES, add, sr
 
 _SCORE = f"least(1.0, CASE WHEN cloud_cover IS NULL THEN 0.5 ELSE 0.5 * 0.6 + 0.4 * (100 - cloud_cover) / 100 END + 0.3 * greatest(0.0, 1 - greatest(0, date_diff('day', CAST(datetime AS DATE), DATE '{AS_OF}')) / 365.0) + CASE WHEN processing_level IN ('L2','L2A','L2SP','ARD') THEN 0.1 ELSE 0.0 END)"
@@ -61,3 +62,12 @@ add("stac_items_read_back", f"SELECT id, collection, processing_level AS level,
 )
 add("geojson_features", f"SELECT id, '{{\"type\":\"Feature\",' || {_GEOM} AS head FROM {SCENES}")(lambda s, d: sinks.features(t.scenes(s, d)).select("id", F.regexp_extract("feature", r"^(.*?\]\]\})", 1).alias("head")))
 add("scene_manifest", f"SELECT count(*) AS n_rows FROM {SCENES}")(lambda s, d: sinks.manifest(t.scenes(s, d), ["id", "provider"]).select("n_rows"))
+
+
+@add("catalog_source_search", f"SELECT id, provider, collection, datetime, cloud_cover, min_lon, max_lat FROM {SCENES} WHERE provider IN ('click', 'purchase') AND datetime >= TIMESTAMP '2024-01-10' AND datetime < TIMESTAMP '2024-01-25' AND cloud_cover < 40")
+def catalog_source_search(s, d):
+    """The whole catalog is written as items and searched through the source of its own."""
+    at = monitor.fresh_folder(s, "catalog")
+    catalog_source.write_catalog(t.scenes(s, d), at)
+    found = catalog_source.read_catalog(s, at).filter("provider IN ('click', 'purchase') AND datetime >= TIMESTAMP_NTZ '2024-01-10' AND datetime < TIMESTAMP_NTZ '2024-01-25' AND cloud_cover < 40")
+    return found.select("id", "provider", "collection", "datetime", "cloud_cover", "min_lon", "max_lat")
