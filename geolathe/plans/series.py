@@ -7,6 +7,7 @@ from math import pi, radians, sin
 from pyspark.sql import functions as F
 
 from ..operators import detect, inversion, resampling, series
+from ..sources import sinks
 from ..sources import tables as t
 from .base import BANDS, PIXELS, add, r6, sr
 
@@ -142,3 +143,6 @@ _HELD = f"(SELECT p.name, count(*) AS n, avg(i.gamma) AS in_sample, avg(o.gamma)
 add("holdout_stability", f"SELECT h.name, n, {sr('in_sample')} AS in_sample, {sr('held_out')} AS held_out, {sr('coalesce(k, 0) / n / (n / 8.0)')} AS neighbour_ratio, {sr('held_out - (SELECT held_out FROM held WHERE name = ' + chr(39) + 'random' + chr(39) + ')')} AS held_out_minus_random FROM held h LEFT JOIN (SELECT a.name, count(*) AS k FROM {_TOP} a JOIN {_TOP} b ON a.name = b.name AND greatest(abs(a.row - b.row), abs(a.col - b.col)) = 1 GROUP BY a.name) e ON e.name = h.name".replace("SELECT h.name", f"WITH held AS MATERIALIZED {_HELD} SELECT h.name", 1))(
     lambda s, d: series.holdout(t.rasters(s, d).withColumn("phase", _c("v") * 10).withColumn("v", F.abs("v") + 0.5), n_eval=_HOLD, share=0.2, k=3).withColumns({c: r6(_c(c)) for c in ("in_sample", "held_out", "neighbour_ratio", "held_out_minus_random")})
 )
+add("selected_points", f"SELECT CAST(row + 0.5 AS DOUBLE) AS crop_row, CAST((col + 0.5) * 3 AS DOUBLE) AS crop_col, row AS stack_row, col AS stack_col, {sr('amplitude')} AS score, CAST(10 + 0.25 * (col + 0.5) AS DOUBLE) AS lon, CAST(50 - 0.25 * (row + 0.5) AS DOUBLE) AS lat FROM {_DISP} JOIN {_PS} USING (row, col) WHERE ps")(
+    lambda s, d: sinks.selected_points(series.scatterers(_amp(s, d), threshold=0.5, share=0.3).select("row", "col", _c("ps").alias("picked"), r6(_c("amplitude")).alias("score")), transform=(0.25, 0.0, 10.0, 0.0, -0.25, 50.0))
+)

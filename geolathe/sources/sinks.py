@@ -48,3 +48,23 @@ def manifest(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row: how many rows there are and a hash that any order of them gives."""
     row = F.xxhash64(F.to_json(F.struct(*keys)))
     return df.agg(F.count("*").alias("n_rows"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("content_hash"))
+
+
+def selected_points(selection: DataFrame, looks: tuple[int, int] = (1, 3), transform: tuple[float, ...] | None = None, geographic: bool = True) -> DataFrame:
+    """(crop_row, crop_col, stack_row, stack_col, score, and lon, lat or x, y) of the picked pixels of (row, col, picked, score).
+
+    Crop places are those of a pixel's centre at full resolution, ``looks`` pixels of it each way; map places need the six
+    numbers of a ``transform`` of columns and rows, as for ``outlines.polygons``. Pixels whose ``picked`` is null are none.
+    """
+    y, x = F.col("row") + 0.5, F.col("col") + 0.5
+    out = {"crop_row": y * looks[0], "crop_col": x * looks[1], "stack_row": F.col("row"), "stack_col": F.col("col"), "score": F.col("score")}
+    if transform:
+        a, b, c, d, e, f = transform
+        names = ("lon", "lat") if geographic else ("x", "y")
+        out |= {names[0]: a * x + b * y + c, names[1]: d * x + e * y + f}
+    return selection.filter("picked").select(*[v.alias(k) for k, v in out.items()])
+
+
+def export_points(selection: DataFrame, path: str, **how) -> None:
+    """``selected_points`` as CSV with a header, in parts."""
+    selected_points(selection, **how).write.option("header", True).csv(path)

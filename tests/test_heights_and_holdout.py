@@ -9,6 +9,7 @@ import pytest
 
 from geolathe.functions.geometry import WAVELENGTH_M
 from geolathe.operators import inversion, series
+from geolathe.sources import sinks
 
 PAIRS = "pixel long, d1 int, d2 int, phase double, baseline double, coherence double"
 TO_M = WAVELENGTH_M / (4 * math.pi)
@@ -90,3 +91,13 @@ def test_steady_pixels_keep_their_lead_on_held_out_dates(spark):
     assert got["adi"].n == 16 and got["adi"].held_out > 0.95 and got["adi"].held_out_minus_random > 0.3
     assert got["adi"].neighbour_ratio == pytest.approx((4 * 3 + 8 * 5 + 4 * 8) / 16 / (8 * 16 / 256))
     assert series.holdout(stack.filter("scene_id < 5"), n_eval=3).count() == 0
+
+
+def test_selected_points_as_csv(spark, tmp_path):
+    rows = [(0, 0, True, 0.5), (3, 4, True, 0.25), (5, 5, False, 0.1), (6, 6, None, 0.1)]
+    s = spark.createDataFrame(rows, "row int, col int, picked boolean, score double")
+    sinks.export_points(s, f"{tmp_path}/p", transform=(0.5, 0.0, 10.0, 0.0, -0.5, 50.0))
+    got = spark.read.csv(f"{tmp_path}/p", header=True, inferSchema=True).orderBy("stack_row").collect()
+    assert [tuple(r) for r in got] == [(0.5, 1.5, 0, 0, 0.5, 10.25, 49.75), (3.5, 13.5, 3, 4, 0.25, 12.25, 48.25)]
+    assert sinks.selected_points(s, looks=(2, 2)).columns == ["crop_row", "crop_col", "stack_row", "stack_col", "score"]
+    assert sinks.selected_points(s, transform=(1.0, 0.0, 0.0, 0.0, 1.0, 0.0), geographic=False).columns[-2:] == ["x", "y"]
