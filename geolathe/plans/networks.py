@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from ..operators import network
@@ -48,7 +50,7 @@ _B = "(SELECT p_partkey % 40 AS swath, p_partkey AS burst, p_partkey // 40 * 2.7
 _END = "(start + lines * 0.002)"
 _LINE = "OVER (PARTITION BY swath ORDER BY start)"
 add("burst_row_ranges", f"SELECT swath, burst, CAST(coalesce(greatest(0, ceil(((lag({_END}) {_LINE} + start) / 2 - start) / 0.002 - 1e-9)), 0) AS BIGINT) AS keep_from, CAST(coalesce(least(lines, ceil(((lead(start) {_LINE} + {_END}) / 2 - start) / 0.002 - 1e-9)), lines) AS BIGINT) AS keep_to, CAST(least(lines, ceil((lead(start) {_LINE} - start) / 0.002 - 1e-9)) AS BIGINT) AS overlap_from FROM {_B}")(
-    lambda s, d: network.burst_rows(t.read(s, d, "part").select((F.col("p_partkey") % 40).alias("swath"), F.col("p_partkey").alias("burst"), (F.floor(F.col("p_partkey") / 40) * 2.75).alias("start"), (F.col("p_size") + 1500).alias("lines")), "swath", 0.002).select("swath", "burst", "keep_from", "keep_to", "overlap_from")
+    lambda s, d: network.burst_rows(t.read(s, d, "part").select((F.col("p_partkey") % 40).alias("swath"), F.col("p_partkey").alias("burst"), (F.floor(F.col("p_partkey") / 40) * F.lit(Decimal("2.75"))).alias("start"), (F.col("p_size") + 1500).alias("lines")), "swath", Decimal("0.002")).select("swath", "burst", "keep_from", "keep_to", "overlap_from")
 )
 _X = "(o_totalprice / 1000 - floor(o_totalprice / 1000 / 2.75) * 2.75)"
 _Y = "(o_custkey / 100.0 - floor(o_custkey / 100.0 / 2.75) * 2.75)"
