@@ -111,17 +111,34 @@ def _on_piece(piece: Column, at: Column) -> Column:
     return F.aggregate(piece, F.struct(*[F.lit(0.0).alias(n) for n in (*STATE, *_SLOPES)]), down)
 
 
+def _lots(vectors: DataFrame, key: str, halo: int, span: float = 1000.0, many: int = 512) -> DataFrame:
+    """``vectors`` (key, t, ...) with ``_lot``: an orbit's vectors by rank in lots of ``many``, each with ``halo`` of those before and after, ``_own`` false.
+
+    A rank is the count of the orbit's vectors in the spans of time before, and the place in its own span, so no task holds an orbit.
+    """
+    v = vectors.withColumn("_span", F.floor(F.col("t") / span).cast("long"))
+    before = F.sum("_n").over(W.partitionBy(key).orderBy("_span")) - F.col("_n")
+    spans = v.groupBy(key, "_span").agg(F.count("*").alias("_n")).select(key, "_span", before.alias("_first"))
+    v = v.join(spans.hint("merge"), [key, "_span"])
+    v = v.withColumn("_rank", F.col("_first") + F.row_number().over(W.partitionBy(key, "_span").orderBy("t")) - 1)
+    lot = lambda shift: F.floor((F.col("_rank") + shift) / many)
+    v = v.withColumn("_lot", F.explode(F.sequence(lot(-halo), lot(halo))))
+    return v.withColumn("_own", F.col("_lot") == lot(0)).drop("_span", "_first", "_rank")
+
+
 def orbit_pieces(vectors: DataFrame, key: str, time: str, degree: int = 4) -> DataFrame:
-    """(key, t, t0, t1, s0, s1, piece): the polynomial around each vector.
+    """(key, t, t0, t1, last, s0, s1, piece): the polynomial around each vector.
 
     It goes through the ``degree`` + 1 vectors around the nearest one (an orbit's first or last at its ends) and holds from half
     way to the vector before, t0, to half way to the next, t1. s0 and s1 are the states there, the same for the piece before and
-    after. A piece lists Newton's coefficients of x, y, z, vx, vy, vz, the highest order first, and its nodes' times from t. Times
-    are seconds; repeated times count once, vectors with a null time are left out, and orbits with fewer vectors have no piece.
+    after; ``last`` tells an orbit's last piece. A piece lists Newton's coefficients of x, y, z, vx, vy, vz, the highest order first, and
+    its nodes' times from t. Times are seconds; repeated times count once, vectors without a time are left out, and orbits with fewer
+    vectors have no piece.
     """
-    v = vectors.select(key, F.col(time).alias("t"), F.struct(F.col(time).alias("t"), *STATE).alias("_v")).filter(F.col("t").isNotNull()).dropDuplicates([key, "t"])
-    w = W.partitionBy(key).orderBy("t")
-    v = v.select(key, "t", F.lag("t").over(w).alias("_before"), F.lead("t").over(w).alias("_after"), F.collect_list("_v").over(w.rowsBetween(-degree, degree)).alias("_near"))
+    v = vectors.select(key, F.col(time).alias("t"), F.struct(F.col(time).alias("t"), *STATE).alias("_v")).filter(F.col("t").isNotNull() & ~F.isnan("t")).dropDuplicates([key, "t"])
+    v = _lots(v, key, degree + 1)
+    w = W.partitionBy(key, "_lot").orderBy("t")
+    v = v.select(key, "_lot", "_own", "t", F.lag("t").over(w).alias("_before"), F.lead("t").over(w).alias("_after"), F.collect_list("_v").over(w.rowsBetween(-degree, degree)).alias("_near"))
     place = F.array_position(F.transform("_near", lambda x: x["t"]), F.col("t")).cast("int")
     first = F.greatest(F.lit(1), F.least(place - degree // 2, F.size("_near") - degree))
     v = v.withColumn("_near", F.slice("_near", first, degree + 1)).filter(F.size("_near") == degree + 1)
@@ -130,9 +147,10 @@ def orbit_pieces(vectors: DataFrame, key: str, time: str, degree: int = 4) -> Da
     for k in range(1, degree + 1):
         v = v.withColumns({n: _divided(n, k) for n in STATE})
     half = lambda a: (F.col(a) + F.col("t")) / 2
-    v = v.select(key, "t", F.coalesce(half("_before"), F.col("t")).alias("t0"), F.coalesce(half("_after"), F.col("t")).alias("t1"), F.reverse(F.arrays_zip("u", *STATE)).alias("piece"))
-    v = v.withColumn("s1", _on_piece(F.col("piece"), F.col("t1") - F.col("t")))
-    return v.withColumn("s0", F.coalesce(F.lag("s1").over(w), _on_piece(F.col("piece"), F.col("t0") - F.col("t"))))
+    v = v.select(key, "_lot", "_own", "t", F.coalesce(half("_before"), F.col("t")).alias("t0"), F.coalesce(half("_after"), F.col("t")).alias("t1"), F.col("_after").isNull().alias("last"), F.reverse(F.arrays_zip("u", *STATE)).alias("piece"))
+    state = lambda at: F.element_at(F.transform(F.array(_on_piece(F.col("piece"), F.col(at) - F.col("t"))), lambda s: F.struct(*[s[n].alias(n) for n in STATE])), 1)
+    v = v.withColumn("s1", state("t1"))
+    return v.withColumn("s0", F.coalesce(F.lag("s1").over(w), state("t0"))).filter("_own").drop("_lot", "_own")
 
 
 def _cells(pieces: DataFrame, key: str, cell: float, reach: int) -> DataFrame:
@@ -144,11 +162,10 @@ def _cells(pieces: DataFrame, key: str, cell: float, reach: int) -> DataFrame:
 def states(targets: DataFrame, vectors: DataFrame, key: str, time: str, target_time: str | None = None, cell: float = 10.0, degree: int = 4) -> DataFrame:
     """``targets`` with the state (x, y, z, vx, vy, vz) of orbit ``key`` at their time; null beyond the orbit's ends."""
     at = target_time or time
-    pieces = orbit_pieces(vectors, key, time, degree).withColumn("_ends", F.lead("t").over(W.partitionBy(key).orderBy("t")).isNull())
-    p = _cells(pieces, key, cell, 0).select(key, "_cell", "t0", "t1", "_ends", F.struct("t", "piece").alias("_p"))
+    p = _cells(orbit_pieces(vectors, key, time, degree), key, cell, 0).select(key, "_cell", "t0", "t1", F.col("last").alias("_ends"), F.struct("t", "piece").alias("_p"))
     now = F.col(f"a.{at}")
     on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.floor(now / cell).cast("long") == F.col("b._cell")) & (now >= F.col("b.t0")) & ((now < F.col("b.t1")) | (F.col("b._ends") & (now == F.col("b.t1"))))
-    joined = targets.alias("a").join(p.alias("b"), on, "left").select("a.*", "b._p")
+    joined = targets.alias("a").join(p.alias("b").hint("merge"), on, "left").select("a.*", "b._p")  # pieces are as many as vectors, and larger than Spark takes them for
     joined = joined.withColumn("_s", F.when(F.col("_p").isNotNull(), _on_piece(F.col("_p.piece"), F.col(at) - F.col("_p.t"))))
     return joined.select(*targets.columns, *[F.col(f"_s.{n}").alias(n) for n in STATE])
 
@@ -159,11 +176,14 @@ def zero_doppler(points: DataFrame, vectors: DataFrame, key: str, time: str, gue
     The pass is looked for within ``reach`` cells of ``cell`` seconds around the ``guess``, where Doppler falls through zero once.
     Null where it does not, or a point is null.
     """
-    pieces = _cells(orbit_pieces(vectors, key, time, degree), key, cell, reach).select(key, "_cell", "s0", "s1", F.struct("t", "piece").alias("_p"))
+    pieces = orbit_pieces(vectors, key, time, degree)
+    ends = _cells(pieces, key, cell, reach).select(key, "_cell", "s0", "s1", F.col("t").alias("_t"))
     p = [F.col(f"a.{n}") for n in point]
     doppler = lambda end: dot(_triple(F.col(f"b.{end}"), ("vx", "vy", "vz")), _minus(p, _triple(F.col(f"b.{end}"))))
     on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.floor(F.col(f"a.{guess}") / cell).cast("long") == F.col("b._cell")) & (doppler("s0") > 0) & (doppler("s1") <= 0)
-    joined = points.alias("a").join(pieces.alias("b"), on, "left").select("a.*", "b._p")
+    joined = points.alias("a").join(ends.alias("b").hint("merge"), on, "left").select("a.*", "b._t")
+    # the polynomial comes once the piece is known, so that the cells hold its ends alone
+    joined = joined.join(pieces.select(F.col(key).alias("_key"), F.struct("t", "piece").alias("_p")).hint("merge"), (F.col(key) == F.col("_key")) & (F.col("_t") == F.col("_p.t")), "left").drop("_key")
     p = [F.col(n) for n in point]
 
     def step(at: Column, _: Column) -> Column:
@@ -235,7 +255,7 @@ def at_pixels(pixels: DataFrame, nodes: DataFrame, frames: DataFrame, pair: str,
     px = pixels.join(steps, pair, "left")
     px = px.withColumns({"_ci": within((F.col("row") + 1) / F.col("_rs"), size[0]), "_cj": within((F.col("col") + 1) / F.col("_cs"), size[1])})
     patch = node_patches(nodes, pair, size, values).select(F.col(pair).alias("_pair"), "ci", "cj", F.struct("row", "col", "row_step", "col_step", *values).alias("_p"))
-    px = px.join(patch, (F.col(pair) == F.col("_pair")) & (F.col("_ci") == F.col("ci")) & (F.col("_cj") == F.col("cj")), "left")
+    px = px.join(patch.hint("merge"), (F.col(pair) == F.col("_pair")) & (F.col("_ci") == F.col("ci")) & (F.col("_cj") == F.col("cj")), "left")
 
     def weights(u: Column) -> list[Column]:
         out = []
