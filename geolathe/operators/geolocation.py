@@ -9,8 +9,10 @@ from the sixteen nodes around them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -184,18 +186,45 @@ def zero_doppler(points: DataFrame, vectors: DataFrame, key: str, time: str, gue
     joined = points.alias("a").join(ends.alias("b").hint("merge"), on, "left").select("a.*", "b._t")
     # the polynomial comes once the piece is known, so that the cells hold its ends alone
     joined = joined.join(pieces.select(F.col(key).alias("_key"), F.struct("t", "piece").alias("_p")).hint("merge"), (F.col(key) == F.col("_key")) & (F.col("_t") == F.col("_p.t")), "left").drop("_key")
-    p = [F.col(n) for n in point]
-
-    def step(at: Column, _: Column) -> Column:
-        def nearer(s: Column) -> Column:
-            v, away = _triple(s, ("vx", "vy", "vz")), _minus(p, _triple(s))
-            return at - F.try_divide(dot(v, away), dot(_triple(s, ("dvx", "dvy", "dvz")), away) - dot(v, _triple(s, ("dx", "dy", "dz"))))
-
-        return F.element_at(F.transform(F.array(_on_piece(F.col("_p.piece"), at)), nearer), 1)
-
-    joined = joined.withColumn("_u", F.when(F.col("_p").isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)))
-    joined = joined.withColumn("_s", F.when(F.col("_u").isNotNull(), _on_piece(F.col("_p.piece"), F.col("_u"))))
-    return joined.select(*points.columns, (F.col("_p.t") + F.col("_u")).alias(out), norm(_minus(p, _triple(F.col("_s")))).alias(f"{out}_range"))
+    flat = F.flatten(F.transform("_p.piece", lambda q: F.array(*[q[n] for n in ("u", *STATE)])))
+    joined = joined.select(*points.columns, *[F.col(n).cast("double").alias(f"_{i}") for i, n in enumerate(point)], "_t", flat.alias("_q"))
+    schema = points.schema
+    for name in (out, f"{out}_range"):
+        schema = schema.add(name, "double")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = np.flatnonzero(batch.column("_q").is_valid().to_numpy(zero_copy_only=False))
+            p = np.stack([batch.column(f"_{i}").take(pa.array(some)).to_numpy(zero_copy_only=False) for i in range(3)])
+            q = batch.column("_q").take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), degree + 1, 1 + len(STATE))
+            when, far = _passes(p, q, steps)
+            made = np.full((2, len(batch)), np.nan)
+            made[0, some], made[1, some] = batch.column("_t").take(pa.array(some)).to_numpy(zero_copy_only=False) + when, far
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in schema.names[:-2]], *[pa.array(m, from_pandas=True) for m in made]], names=schema.names)
+
+    return joined.mapInArrow(solve, schema)
+
+
+def _passes(p: np.ndarray, q: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Times of zero Doppler from each piece's own, and the distances then: ``p`` is (3, points), ``q`` (points, orders, u and state)."""
+
+    def state(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        now, slope = np.zeros((len(STATE), len(u))), np.zeros((len(STATE), len(u)))
+        for k in range(q.shape[1]):
+            step = u - q[:, k, 0]
+            now, slope = now * step + q[:, k, 1:].T, slope * step + now
+        return now, slope
+
+    product = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    u = np.zeros(len(q))
+    with np.errstate(all="ignore"):
+        for _ in range(steps):
+            now, slope = state(u)
+            away = p - now[:3]
+            fall = product(slope[3:], away) - product(now[3:], slope[:3])
+            u = u - product(now[3:], away) / np.where(fall == 0, np.nan, fall)
+        away = p - state(u)[0][:3]
+    return u, np.sqrt(product(away, away))
 
 
 def locate(pixels: DataFrame, vectors: DataFrame, key: str, time: str, range_m: str, height: Column, side: int = 1, prefix: str = "p", **how) -> DataFrame:
@@ -210,16 +239,21 @@ def locate(pixels: DataFrame, vectors: DataFrame, key: str, time: str, range_m:
 NODE = ("phase_flat", "k1", "k2")
 
 
-def geometry_nodes(frames: DataFrame, vectors: DataFrame, pair: str, nodes: tuple[int, int] = (9, 9), probe: float = 500.0, wavelength: float = WAVELENGTH_M, side: int = 1) -> DataFrame:
+def geometry_nodes(frames: DataFrame, vectors: DataFrame, pair: str, nodes: tuple[int, int] = (9, 9), probe: float = 500.0, wavelength: float = WAVELENGTH_M, side: int = 1, pixels: DataFrame | None = None) -> DataFrame:
     """(pair, i, j, row, col, lat, lon, incidence, range_m, phase_flat, k1, k2): the geometry of each pair at its nodes.
 
     ``frames`` has for each pair (at most one row): reference and secondary (orbits' keys in ``vectors`` (orbit, time, state)), rows, cols,
     first_time, row_s (seconds a row), near_range, col_m (metres of range a column) and shift (seconds from the reference's pass to the
     secondary's). Nodes run one pixel beyond the frame on every side. The phase of a height h is phase_flat + k1 h + k2 h^2 / 2. Nodes
-    that the orbits do not reach are null.
+    that the orbits do not reach are null. With ``pixels`` (pair, row, col) only the nodes are solved that these take values from.
     """
     places = lambda n, size: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * (F.col(size) + 1) / (n - 1) - 1)
     grid = frames.select("*", F.posexplode(places(nodes[0], "rows")).alias("i", "row")).select("*", F.posexplode(places(nodes[1], "cols")).alias("j", "col"))
+    if pixels is not None:
+        four = lambda c, n: F.sequence(_first_node(F.col(c), n), _first_node(F.col(c), n) + 3)
+        needed = _node_cells(pixels.select(pair, "row", "col"), frames, pair, nodes).select(pair, "_ci", "_cj").distinct()
+        needed = needed.select(pair, F.explode(four("_ci", nodes[0])).alias("i"), "_cj").select(pair, "i", F.explode(four("_cj", nodes[1])).alias("j")).distinct()
+        grid = grid.join(needed.hint("merge"), [pair, "i", "j"], "left_semi")
     grid = grid.select(pair, "i", "j", "row", "col", F.col("secondary"), F.col("reference").alias("orbit"), (F.col("first_time") + F.col("row") * F.col("row_s")).alias("time"), (F.col("near_range") + F.col("col") * F.col("col_m")).alias("range_m"), "shift")
     at = states(grid, vectors, "orbit", "time")
     state = {n: F.col(n) for n in STATE}
@@ -237,11 +271,23 @@ def geometry_nodes(frames: DataFrame, vectors: DataFrame, pair: str, nodes: tupl
     return out.select(pair, "i", "j", "row", "col", "lat", "lon", "incidence", "range_m", F.col("_0").alias("phase_flat"), ((F.col("_1") - F.col("_0")) / probe - k2 * probe / 2).alias("k1"), k2.alias("k2"))
 
 
+def _first_node(cell: Column, n: int) -> Column:
+    """The first of the four of ``n`` nodes that a cell between nodes takes values from."""
+    return F.greatest(F.lit(0), F.least(cell - 1, F.lit(n - 4)))
+
+
+def _node_cells(pixels: DataFrame, frames: DataFrame, pair: str, size: tuple[int, int]) -> DataFrame:
+    """``pixels`` with _ci and _cj, the cell between nodes that each lies in."""
+    steps = frames.select(pair, ((F.col("rows") + 1) / (size[0] - 1)).alias("_rs"), ((F.col("cols") + 1) / (size[1] - 1)).alias("_cs"))
+    within = lambda c, n: F.least(F.floor(c).cast("int"), F.lit(n - 2))
+    px = pixels.join(steps.hint("merge"), pair, "left")
+    return px.withColumns({"_ci": within((F.col("row") + 1) / F.col("_rs"), size[0]), "_cj": within((F.col("col") + 1) / F.col("_cs"), size[1])})
+
+
 def node_patches(nodes: DataFrame, pair: str, size: tuple[int, int] = (9, 9), values: Sequence[str] = NODE) -> DataFrame:
     """(pair, ci, cj, row, col, row_step, col_step, values): the 4 x 4 nodes that the cell ci, cj between nodes takes its values from, first ones' places and steps."""
-    first = lambda c, n: F.greatest(F.lit(0), F.least(F.col(c) - 1, F.lit(n - 4)))
     cells = nodes.select(pair, F.col("i").alias("_i"), F.col("j").alias("_j"), F.struct("i", "j", "row", "col", *values).alias("_n"))
-    span = lambda c, n: F.filter(F.sequence(F.lit(0), F.lit(n - 2)), lambda x: (F.greatest(F.lit(0), F.least(x - 1, F.lit(n - 4))) <= F.col(c)) & (F.col(c) <= F.greatest(F.lit(0), F.least(x - 1, F.lit(n - 4))) + 3))
+    span = lambda c, n: F.filter(F.sequence(F.lit(0), F.lit(n - 2)), lambda x: (_first_node(x, n) <= F.col(c)) & (F.col(c) <= _first_node(x, n) + 3))
     cells = cells.withColumn("ci", F.explode(span("_i", size[0]))).withColumn("cj", F.explode(span("_j", size[1])))
     patch = cells.groupBy(pair, "ci", "cj").agg(F.array_sort(F.collect_list("_n")).alias("_p")).filter(F.size("_p") == 16)  # 16 nodes
     at = lambda k, n: F.element_at("_p", k)[n]
@@ -250,10 +296,7 @@ def node_patches(nodes: DataFrame, pair: str, size: tuple[int, int] = (9, 9), va
 
 def at_pixels(pixels: DataFrame, nodes: DataFrame, frames: DataFrame, pair: str, size: tuple[int, int] = (9, 9), values: Sequence[str] = NODE) -> DataFrame:
     """``pixels`` (pair, row, col) with the nodes' ``values`` there, cubic in rows and columns. One join on the cell between nodes; a pixel beyond the frame has nulls."""
-    steps = frames.select(pair, ((F.col("rows") + 1) / (size[0] - 1)).alias("_rs"), ((F.col("cols") + 1) / (size[1] - 1)).alias("_cs"))
-    within = lambda c, n: F.least(F.floor(c).cast("int"), F.lit(n - 2))
-    px = pixels.join(steps, pair, "left")
-    px = px.withColumns({"_ci": within((F.col("row") + 1) / F.col("_rs"), size[0]), "_cj": within((F.col("col") + 1) / F.col("_cs"), size[1])})
+    px = _node_cells(pixels, frames, pair, size)
     patch = node_patches(nodes, pair, size, values).select(F.col(pair).alias("_pair"), "ci", "cj", F.struct("row", "col", "row_step", "col_step", *values).alias("_p"))
     px = px.join(patch.hint("merge"), (F.col(pair) == F.col("_pair")) & (F.col("_ci") == F.col("ci")) & (F.col("_cj") == F.col("cj")), "left")
 

@@ -113,8 +113,8 @@ def _phase_sql(height: str, out: str, digits: int = 2) -> str:
 
 
 def _dense(s, d) -> DataFrame:
-    frames, vectors = _frames(s, d), _vectors(s, d)
-    return g.at_pixels(_frame_pixels(s, d), g.geometry_nodes(frames, vectors, "pair", probe=200.0), frames, "pair")
+    frames, vectors, pixels = _frames(s, d), _vectors(s, d), _frame_pixels(s, d)
+    return g.at_pixels(pixels, g.geometry_nodes(frames, vectors, "pair", probe=200.0, pixels=pixels), frames, "pair")
 
 
 add("flat_earth_phase", _phase_sql("CAST(0 AS DOUBLE)", "phase"))(lambda s, d: _dense(s, d).select("pair", "row", "col", (F.round(g.geometric_phase(F.lit(0.0)), 2) + F.lit(0.0)).alias("phase")))

@@ -37,3 +37,10 @@ def test_no_piece_is_broadcast_and_no_orbit_in_one_window(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" not in plan
         assert "collect_list" in plan and "_lot" in plan
+
+
+def test_only_the_nodes_that_pixels_need(spark):
+    frames = spark.createDataFrame([(7, 1, 1, 80, 80, 30.0, 0.1, 840_000.0, 13.0, 0.0)], "pair long, reference int, secondary int, rows int, cols int, first_time double, row_s double, near_range double, col_m double, shift double")
+    pixels = spark.createDataFrame([(7, 40, 79), (7, 41, 79)], "pair long, row int, col int")
+    nodes = g.geometry_nodes(frames, _vectors(spark, 30), "pair", pixels=pixels).select("i", "j").collect()
+    assert sorted(map(tuple, nodes)) == [(i, j) for i in range(3, 7) for j in range(5, 9)]
