@@ -111,10 +111,21 @@ def goldstein(pixels: DataFrame, alpha: float = 0.5, window: int = 32, tile: int
     return st.stencil(p, window, run, ["out"], ["v", "row_", "col_", "rows_", "cols_"], border="none", tile=max(tile, window)).drop("row_", "col_", "rows_", "cols_")
 
 
-def correlate(chip: np.ndarray, search: np.ndarray) -> np.ndarray:
-    """Normalised correlation of a chip at all places in a larger array; 0 where either is flat."""
-    c = chip - chip.mean()
+def correlate(chip: np.ndarray, search: np.ndarray, least_known: float = 1.0) -> np.ndarray:
+    """Normalised correlation of a chip at all places in a larger array; 0 where either is flat.
+
+    Of cells that are NaN in either the rest counts; 0 where that is less than ``least_known`` of the chip.
+    """
     w = np.lib.stride_tricks.sliding_window_view(search, chip.shape)
+    if np.isnan(chip).any() or np.isnan(search).any():
+        known = ~np.isnan(chip) & ~np.isnan(w)
+        n = known.sum((-1, -2))
+        mean = lambda v: (np.where(known, v, 0).sum((-1, -2)) / np.maximum(n, 1))[..., None, None]
+        c, d = np.where(known, chip - mean(chip), 0), np.where(known, w - mean(w), 0)
+        norm = np.sqrt((c * c).sum((-1, -2)) * (d * d).sum((-1, -2)))
+        use = (norm > 1e-12) & (n >= least_known * chip.size)
+        return np.where(use, (c * d).sum((-1, -2)) / np.where(use, norm, 1), 0.0)
+    c = chip - chip.mean()
     d = w - w.mean((-1, -2), keepdims=True)
     norm = np.sqrt((c * c).sum() * (d * d).sum((-1, -2)))
     return np.where(norm > 1e-12, (d * c).sum((-1, -2)) / np.where(norm > 1e-12, norm, 1), 0.0)
@@ -142,10 +153,12 @@ def signal_to_noise(surface: np.ndarray, around: int = 2) -> float:
     return float(surface[r, c] / rest.std()) if len(rest) > 1 and rest.std() > 0 else float("nan")
 
 
-def offsets(pairs: DataFrame, chip: int = 16, reach: int = 8, step: int = 16, least: float = 3.0) -> DataFrame:
+def offsets(pairs: DataFrame, chip: int = 16, reach: int = 8, step: int = 16, least: float = 3.0, least_known: float = 1.0) -> DataFrame:
     """(scene_id, row, col, d_row, d_col, snr, reliable) at every ``step``-th row and column: by how much a chip of ``a`` around it is moved in ``b``.
 
-    Only places whose chip and search window lie inside the raster and are known are given.
+    Only places whose chip and search window lie inside the raster and are known are given. With ``least_known`` below 1, as at
+    the rim of a raster that is stored in part, so are those that are known in ``a`` with that share of their chip, and the cells
+    known in both are compared.
     """
     half = chip // 2 + reach
 
@@ -157,9 +170,13 @@ def offsets(pairs: DataFrame, chip: int = 16, reach: int = 8, step: int = 16, le
         for n, i, j in zip(*np.nonzero(at == 0)):
             one = a[n, i + reach : i + reach + chip, j + reach : j + reach + chip]
             other = b[n, i : i + chip + 2 * reach, j : j + chip + 2 * reach]
-            if np.isnan(one).any() or np.isnan(other).any():
+            if least_known >= 1 and (np.isnan(one).any() or np.isnan(other).any()):
+                continue
+            if np.isnan(a[n, i + half, j + half]) or np.isnan(one).mean() > 1 - least_known:
+                continue
+            surface = correlate(one, other, least_known)
+            if least_known < 1 and surface.max() <= 0:
                 continue
-            surface = correlate(one, other)
             y, z = peak(surface)
             out["d_row"][n, i, j], out["d_col"][n, i, j], out["snr"][n, i, j] = y - reach, z - reach, signal_to_noise(surface)
         return out

@@ -24,7 +24,7 @@ add("goldstein_filter", None)(lambda s, d: phase.goldstein(t.rasters(s, d), wind
 # sixteen rasters as one of 32 x 32, against itself moved by rows and columns of its number: what the tracker must find inside
 _LARGE = "scene_id // 16 AS scene_id, scene_id % 16 // 4 * 8 + row AS row, scene_id % 4 * 8 + col AS col"
 add("offset_tracking", f"SELECT scene_id, row, col, CAST(scene_id % 5 - 2 AS DOUBLE) AS d_row, CAST(scene_id % 4 - 1 AS DOUBLE) AS d_col FROM (SELECT {_LARGE} FROM {PIXELS}) WHERE row IN (12, 16, 20) AND col IN (12, 16, 20)")(
-    lambda s, d: phase.offsets(_moved(s, d), chip=12, reach=3, step=4).filter("row BETWEEN 12 AND 20 AND col BETWEEN 12 AND 20").select("scene_id", "row", "col", *[(F.round(c) + F.lit(0.0)).alias(c) for c in ("d_row", "d_col")])
+    lambda s, d: phase.offsets(_moved(s, d), chip=12, reach=3, step=4, least_known=0.5).filter("row BETWEEN 12 AND 20 AND col BETWEEN 12 AND 20").select("scene_id", "row", "col", *[(F.round(c) + F.lit(0.0)).alias(c) for c in ("d_row", "d_col")])
 )
 
 
@@ -32,4 +32,4 @@ def _moved(s, d):
     k = F.col("scene_id")
     p = t.rasters(s, d).select(F.floor(k / 16).alias("scene_id"), (F.floor(k % 16 / 4) * 8 + F.col("row")).cast("int").alias("row"), (k % 4 * 8 + F.col("col")).cast("int").alias("col"), "v")
     b = p.select("scene_id", F.pmod(F.col("row") + F.col("scene_id") % 5 - 2, F.lit(32)).cast("int").alias("row"), F.pmod(F.col("col") + F.col("scene_id") % 4 - 1, F.lit(32)).cast("int").alias("col"), F.col("v").alias("b"))
-    return p.withColumnRenamed("v", "a").join(b, ["scene_id", "row", "col"])
+    return p.withColumnRenamed("v", "a").join(b, ["scene_id", "row", "col"], "full")  # the last raster may lack tiles, here and where they moved
