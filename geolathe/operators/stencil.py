@@ -105,6 +105,29 @@ def stencil(pixels: DataFrame, halo: int, kernel: Kernel, out: Sequence[str], va
     return dealt.mapInArrow(run, fields)
 
 
+def grouped(compute: Callable[[pa.Table], pa.RecordBatch], key: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``compute`` over tables of whole groups, many of them at a time, for rows that are sorted by ``key``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size < TOGETHER:
+                continue
+            t = pa.Table.from_batches(held)
+            last = int(_starts(t, key)[-1])  # the last group may go on
+            if last:
+                yield compute(t.slice(0, last))
+                t = t.slice(last)
+                held, size = t.to_batches(), len(t)
+        if size:
+            yield compute(pa.Table.from_batches(held))
+
+    return run
+
+
 def _ranges(sizes: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)

@@ -7,7 +7,7 @@ sees. The reach doubles until every scene's regions are connected, or none are l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import pi
 
 import numpy as np
@@ -15,7 +15,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from . import stencil as st
 from .hydrology import _kept as kept
 
 CELL = ["scene_id", "row", "col"]
@@ -25,49 +27,80 @@ BLOCK = 1 << 20
 
 
 def border_pixels(pixels: DataFrame) -> DataFrame:
-    """(scene_id, row, col, region) of the pixels that have a neighbour outside their region, by equality joins with the four."""
-    p = pixels.select(*CELL, "region")
-    around = F.array(*[F.struct((F.col("row") + a).alias("row"), (F.col("col") + b).alias("col")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))])
-    told = p.select("scene_id", "region", F.explode(around).alias("x")).select("scene_id", "x.row", "x.col", "region")
-    inside = told.groupBy(*CELL, "region").agg(F.count("*").alias("_k")).filter("_k = 4")
-    return p.join(inside, [*CELL, "region"], "left_anti")
+    """(scene_id, row, col, region) of the pixels that have one of four neighbours outside their region."""
+
+    def run(x: dict) -> dict:
+        of = x["region"]
+        return {"rim": (st.neighbours(of)[[1, 3, 4, 6]] != st.core(of, 1)).any(0).astype(float)}
+
+    rims = st.stencil(pixels.select(*CELL, "region"), 1, run, ["rim"], ["region"], border="none")
+    return rims.filter("rim > 0").select(*CELL, F.col("region").cast("long").alias("region"))
+
+
+def _nearest(row: np.ndarray, col: np.ndarray, a: np.ndarray, na: int, b: np.ndarray, nb: int) -> tuple[np.ndarray, ...]:
+    """(squared distance, place, place) of the nearest of ``na`` rows from each of ``a`` and ``nb`` rows from ``b``; of equals the first."""
+    far, one, two = np.full(len(a), np.iinfo(np.int64).max), a.copy(), b.copy()
+    j = b[:, None] + np.arange(nb)
+    step = max(1, BLOCK // nb)
+    for k in range(0, na, step):
+        i = a[:, None] + np.arange(k, min(na, k + step))
+        d = ((row[i][:, :, None] - row[j][:, None]) ** 2 + (col[i][:, :, None] - col[j][:, None]) ** 2).reshape(len(a), -1)
+        at = d.argmin(1)
+        low = d[np.arange(len(a)), at]
+        new = low < far
+        far[new], one[new], two[new] = low[new], (a + k + at // nb)[new], (b + at % nb)[new]
+    return far, one, two
 
 
 def gaps(border: DataFrame, reach: int) -> DataFrame:
-    """(scene_id, a, b, far, row_a, col_a, row_b, col_b): the two nearest pixels of regions a < b within ``reach``; of equals the first in row-major order."""
+    """(scene_id, a, b, far, row_a, col_a, row_b, col_b): the two nearest pixels of regions a < b within ``reach``; of equals the first in row-major order.
+
+    Tiles are compared many at a time, and their pairs of regions that are equally large at once.
+    """
     size = max(2 * reach, 128)
-    tiles = lambda c: F.sequence(F.floor((F.col(c) - reach) / size).cast("int"), F.floor((F.col(c) + reach) / size).cast("int"))
-    dealt = border.select("scene_id", F.explode(tiles("row")).alias("tr"), "row", "col", "region").select("scene_id", "tr", F.explode(tiles("col")).alias("tc"), "row", "col", "region")
-    schema = "scene_id long, a long, b long, far double, row_a int, col_a int, row_b int, col_b int"
-
-    def nearest(key: tuple, table: pa.Table) -> pa.Table:
-        scene, tr, tc = (k.as_py() for k in key)
-        row, col, region = (table.column(n).to_numpy().astype(np.int64) for n in ("row", "col", "region"))
-        own = (row // size == tr) & (col // size == tc)
-        out = []
-        kinds = np.unique(region)
-        for a in kinds:
-            i = np.flatnonzero(own & (region == a))
-            if not len(i):
-                continue
-            for b in kinds[kinds != a]:
-                j = np.flatnonzero(region == b)
-                best = None
-                for k in range(0, len(i), max(1, BLOCK // len(j))):
-                    x = i[k : k + max(1, BLOCK // len(j))]
-                    d = (row[x][:, None] - row[j]) ** 2 + (col[x][:, None] - col[j]) ** 2
-                    low = d.min()
-                    if low > reach * reach or (best and low > best[0]):
-                        continue
-                    for m, n in zip(*np.nonzero(d == low)):
-                        one, two = (x[m], j[n]) if a < b else (j[n], x[m])
-                        found = (int(low), int(row[one]), int(col[one]), int(row[two]), int(col[two]))
-                        best = min(best, found) if best else found
-                if best:
-                    out.append((scene, int(min(a, b)), int(max(a, b)), float(np.sqrt(best[0])), *best[1:]))
-        return pa.Table.from_pandas(pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")]), schema=pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}[t]) for n, t in (f.split() for f in schema.split(", "))]), preserve_index=False)
-
-    found = dealt.groupBy("scene_id", "tr", "tc").applyInArrow(nearest, schema)  # a tile's border pixels
+    tiles = lambda c, lo, hi: F.sequence(F.floor(F.greatest(F.col(c) - reach, F.col(lo)) / size).cast("int"), F.floor(F.least(F.col(c) + reach, F.col(hi)) / size).cast("int"))
+    dealt = border.join(st.extents(border), "scene_id").withColumn("tr", F.explode(tiles("row", "r0", "r1"))).withColumn("tc", F.explode(tiles("col", "c0", "c1")))
+    group = ["scene_id", "tr", "tc"]
+    dealt = dealt.select(*group, "row", "col", F.col("region").cast("long").alias("region")).repartition(*group).sortWithinPartitions(*group)
+
+    def compute(t: pa.Table) -> pa.RecordBatch:
+        tr, tc, row, col, region = (t.column(n).to_numpy().astype(np.int64) for n in ("tr", "tc", "row", "col", "region"))
+        tile = np.zeros(len(t), np.int64)
+        tile[st._starts(t, group)[1:]] = 1
+        tile = tile.cumsum()
+        halo = (row // size != tr) | (col // size != tc)
+        order = np.lexsort((col, row, halo, region, tile))
+        tile, halo, row, col, region = (x[order] for x in (tile, halo, row, col, region))
+        # the parts of a tile: a region's own pixels there, and those in the halo
+        start = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]) | (region[1:] != region[:-1]) | (halo[1:] != halo[:-1])))
+        n = np.diff(np.append(start, len(t)))
+        first = np.flatnonzero(np.append(True, tile[start][1:] != tile[start][:-1]))
+        parts = np.diff(np.append(first, len(start)))
+        pairs = [np.zeros((2, 0), np.int64)]
+        for k in np.unique(parts):
+            i, j = np.triu_indices(k, 1)
+            of = first[parts == k][:, None]
+            pairs.append(np.stack(((of + i).ravel(), (of + j).ravel())))
+        a, b = np.concatenate(pairs, 1)
+        use = (region[start[a]] != region[start[b]]) & ~(halo[start[a]] & halo[start[b]])
+        a, b = a[use], b[use]
+        order = np.lexsort((n[b], n[a]))
+        a, b = a[order], b[order]
+        kinds = np.flatnonzero(np.append(True, (np.diff(n[a]) != 0) | (np.diff(n[b]) != 0))) if len(a) else []
+        found = [np.zeros((3, 0), np.int64)]
+        for lo, hi in zip(kinds, [*kinds[1:], len(a)]):
+            na, nb = int(n[a[lo]]), int(n[b[lo]])
+            step = max(1, BLOCK // (na * nb))
+            for k in range(lo, hi, step):
+                found.append(np.stack(_nearest(row, col, start[a[k : min(hi, k + step)]], na, start[b[k : min(hi, k + step)]], nb)))
+        far, one, two = np.concatenate(found, 1)
+        far, one, two = (x[far <= reach * reach] for x in (far, one, two))
+        scene = t.column("scene_id").take(pa.array(st._starts(t, group)[tile[one]])).combine_chunks()
+        places = [pa.array(x.astype(np.int32)) for x in (row[one], col[one], row[two], col[two])]
+        return pa.RecordBatch.from_arrays([scene, pa.array(region[one]), pa.array(region[two]), pa.array(np.sqrt(far)), *places], names=["scene_id", "a", "b", "far", "row_a", "col_a", "row_b", "col_b"])
+
+    kind = border.schema["scene_id"].dataType.simpleString()
+    found = dealt.mapInArrow(st.grouped(compute, group), f"scene_id {kind}, a long, b long, far double, row_a int, col_a int, row_b int, col_b int")
     best = F.min(F.struct("far", "row_a", "col_a", "row_b", "col_b")).alias("m")
     return found.groupBy("scene_id", "a", "b").agg(best).select("scene_id", "a", "b", "m.*")
 
@@ -80,45 +113,56 @@ def _joined(parent: dict, x: int) -> int:
 
 
 def spanning_forest(edges: pd.DataFrame) -> pd.DataFrame:
-    """The edges (a, b, far) of a minimum spanning forest, ties by a and b."""
+    """The edges (a, b, far) of a minimum spanning forest, of each ``scene_id`` if there are several, ties by a and b."""
     parent: dict = {}
     keep = []
-    for e in edges.sort_values(["far", "a", "b"]).itertuples():
-        x, y = _joined(parent, e.a), _joined(parent, e.b)
+    edges = edges.sort_values(["far", "a", "b"])
+    for s, a, b in zip(edges.get("scene_id", edges["far"] * 0), edges["a"], edges["b"]):
+        x, y = _joined(parent, (s, a)), _joined(parent, (s, b))
         keep.append(x != y)
         parent[max(x, y)] = min(x, y)
-    return edges.sort_values(["far", "a", "b"])[keep]
+    return edges[np.array(keep, bool)]
+
+
+def _by_scene(edges: DataFrame, compute: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType | str) -> DataFrame:
+    """``compute`` over the edges of whole scenes, many of them at a time."""
+    run = lambda t: pa.RecordBatch.from_pandas(compute(t.to_pandas()), preserve_index=False)
+    return edges.repartition("scene_id").sortWithinPartitions("scene_id").mapInArrow(st.grouped(run, ["scene_id"]), schema)
 
 
 def bridges(pixels: DataFrame, farthest: int = 4096, first: int = 32) -> DataFrame:
-    """The forest of each scene's regions: (scene_id, a, b, far and the two places). A scene has a few regions, whose gaps go to one task."""
+    """The forest of each scene's regions: (scene_id, a, b, far and the two places). A scene has a few regions, whose gaps meet in a task; scenes that are connected take no part in wider searches."""
     border = kept(border_pixels(pixels))
     regions = border.groupBy("scene_id").agg(F.countDistinct("region").alias("n"))
-    reach = first
+    reach, whole = first, None
     while True:
         e = gaps(border, reach)
-        tree = kept(e.groupBy("scene_id").applyInPandas(spanning_forest, e.schema))
-        short = regions.join(tree.groupBy("scene_id").count(), "scene_id", "left").filter(F.col("n") - 1 > F.coalesce("count", F.lit(0)))
-        if reach >= farthest or not short.limit(1).count():
-            return tree
+        tree = kept(_by_scene(e, spanning_forest, e.schema))
+        short = kept(regions.join(tree.groupBy("scene_id").count(), "scene_id", "left").filter(F.col("n") - 1 > F.coalesce("count", F.lit(0))).select("scene_id"))
+        last = reach >= farthest or not short.limit(1).count()
+        done = tree if last else tree.join(short, "scene_id", "left_anti")
+        whole = done if whole is None else whole.unionByName(done)
+        if last:
+            return whole
+        border, regions = kept(border.join(short, "scene_id", "left_semi")), regions.join(short, "scene_id", "left_semi")
         reach *= 2
 
 
 def _cycles(edges: pd.DataFrame) -> pd.DataFrame:
-    """(scene_id, region, cycles) of the regions that the forest's edges (a, b, jump, root) connect to the root."""
+    """(scene_id, region, cycles) of the regions that a scene's edges (a, b, jump) connect to its root."""
     near: dict = {}
-    for e in edges.itertuples():
-        near.setdefault(e.a, []).append((e.b, e.jump))
-        near.setdefault(e.b, []).append((e.a, -e.jump))
-    root = int(edges["root"].iloc[0])
-    found, left = {root: 0}, [root]
+    for s, a, b, jump in zip(*(edges[c].tolist() for c in ("scene_id", "a", "b", "jump"))):
+        near.setdefault((s, a), []).append(((s, b), jump))
+        near.setdefault((s, b), []).append(((s, a), -jump))
+    found = {x: 0 for x in zip(edges["scene_id"].tolist(), edges["root"].tolist())}
+    left = list(found)
     while left:
         x = left.pop()
         for y, jump in near.get(x, ()):
             if y not in found:
                 found[y] = found[x] + jump
                 left.append(y)
-    return pd.DataFrame({"scene_id": edges["scene_id"].iloc[0], "region": list(found), "cycles": list(found.values())})
+    return pd.DataFrame({"scene_id": pd.Series([s for s, _ in found], dtype=edges["scene_id"].dtype), "region": [r for _, r in found], "cycles": list(found.values())})
 
 
 def bridge_cycles(pixels: DataFrame, radius: int = 50, least_size: int = 100, reference: DataFrame | None = None, farthest: int = 4096) -> DataFrame:
@@ -147,7 +191,7 @@ def bridge_cycles(pixels: DataFrame, radius: int = 50, least_size: int = 100, re
     jumps = medians.select("scene_id", "a", "b", F.rint((F.col("ma") - F.col("mb")) / TURN).cast("long").alias("jump"))
     alone = root.select("scene_id", F.col("root").alias("a"), F.col("root").alias("b"), F.lit(0).cast("long").alias("jump"))
     edges = jumps.filter("jump IS NOT NULL").unionByName(alone).join(root, "scene_id")
-    return edges.groupBy("scene_id").applyInPandas(_cycles, "scene_id long, region long, cycles long")
+    return _by_scene(edges, _cycles, "scene_id long, region long, cycles long")
 
 
 def bridged(pixels: DataFrame, **how) -> DataFrame:
