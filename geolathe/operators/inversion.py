@@ -7,10 +7,13 @@ from math import pi, radians, sin
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import WAVELENGTH_M
+from . import stencil as st
 
 #: Interferogram values that are solved together.
 TOGETHER = 1 << 16
@@ -64,10 +67,15 @@ def solve(pixel: np.ndarray, d1: np.ndarray, d2: np.ndarray, moved: np.ndarray,
     return date, count, x, rms, velocity
 
 
+def by_pixel(rows: DataFrame, pixel: str, *order: str) -> DataFrame:
+    """``rows`` with those of a pixel together and in order, numbered in ``_n``; the window leaves them in their partitions if they are dealt by pixel."""
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(pixel).orderBy(*order)))
+
+
 def _dealt(ifg: DataFrame, pixel: str, wavelength: float, weight: Column, *more: Column) -> DataFrame:
     """(pixel, d1, d2, m in metres, w, more...), a pixel's pairs together."""
     used = ifg.select(F.col(pixel).cast("long").alias("pixel"), F.col("d1").cast("long"), F.col("d2").cast("long"), (F.col("phase") * (wavelength / (4 * pi))).cast("double").alias("m"), weight.cast("double").alias("w"), *more)
-    return used.repartition("pixel").sortWithinPartitions("pixel")
+    return by_pixel(used, "pixel", "d1", "d2")
 
 
 def _by_pixel(compute: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -175,13 +183,42 @@ def referenced(ifg: DataFrame, pixel: str = "pixel") -> DataFrame:
     return ifg.join(base, ["d1", "d2"], "left").withColumn("phase", F.col("phase") - F.coalesce("_p", F.lit(0.0))).drop("_p")
 
 
+def _matches(have: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all want[i] = have[j]."""
+    order = np.argsort(have, kind="stable")
+    low = np.searchsorted(have, want, "left", order)
+    n = np.searchsorted(have, want, "right", order) - low
+    return np.repeat(np.arange(len(want)), n), order[np.repeat(low, n) + st._ranges(n)]
+
+
+def threes(pixel: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs (a, b), (b, c) and (a, c) of each three dates that a pixel's pairs join; pixels are numbers from 0."""
+    dates, code = np.unique(np.concatenate((first, second)), return_inverse=True)
+    d1, d2, k = code[: len(first)], code[len(first) :], max(1, len(dates))
+    ab, bc = _matches(pixel * k + d1, pixel * k + d2)
+    i, ac = _matches((pixel * k + d1) * k + d2, (pixel[ab] * k + d1[ab]) * k + d2[bc])
+    return ab[i], bc[i], ac
+
+
 def closures(ifg: DataFrame, pixel: str = "pixel") -> DataFrame:
-    """(pixel, a, b, c, closure, cycles): the phases of each triangle of dates and the whole cycles that they are off."""
-    e = ifg.select(pixel, "d1", "d2", "phase")
-    x, y, z = (e.toDF(pixel, *n) for n in (("a", "b", "ab"), ("b", "c", "bc"), ("a", "c", "ac")))
-    t = x.join(y, [pixel, "b"]).join(z, [pixel, "a", "c"])
-    closure = F.col("ab") + F.col("bc") - F.col("ac")
-    return t.select(pixel, "a", "b", "c", closure.alias("closure"), F.rint(closure / (2 * pi)).cast("long").alias("cycles"))
+    """(pixel, a, b, c, closure, cycles): the phases of each triangle of dates and the whole cycles that they are off. A pixel has a bounded number of pairs."""
+    e = by_pixel(ifg.select(pixel, "d1", "d2", F.col("phase").cast("double").alias("phase")).dropna(subset=[pixel, "d1", "d2"]), pixel, "d1", "d2")
+
+    def compute(t: pa.Table) -> pa.RecordBatch:
+        own = np.zeros(len(t), np.int64)
+        own[st._starts(t, [pixel])[1:]] = 1
+        d1, d2 = (t.column(c).to_numpy() for c in ("d1", "d2"))
+        ab, bc, ac = (pa.array(x) for x in threes(own.cumsum(), d1, d2))
+        phase = t.column("phase")
+        closure = pc.subtract(pc.add(phase.take(ab), phase.take(bc)), phase.take(ac))
+        columns = [t.column(pixel).take(ab), t.column("d1").take(ab), t.column("d2").take(ab), t.column("d2").take(bc), closure]
+        return pa.table(columns, names=[pixel, "a", "b", "c", "closure"]).combine_chunks().to_batches()
+
+    kind = {n: e.schema[n].dataType.simpleString() for n in (pixel, "d1", "d2")}
+    schema = f"{pixel} {kind[pixel]}, a {kind['d1']}, b {kind['d2']}, c {kind['d2']}, closure double"
+    run = st.grouped(compute, [pixel])
+    t = e.mapInArrow(lambda batches: (b for made in run(batches) for b in made), schema)
+    return t.select("*", F.rint(F.col("closure") / (2 * pi)).cast("long").alias("cycles"))
 
 
 def dem_error(residual: DataFrame, by: str = "pixel", least_baseline: float = 10.0, least_coherence: float = 0.3) -> DataFrame:

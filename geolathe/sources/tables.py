@@ -62,10 +62,20 @@ def track_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("track"), F.col("ts").cast("date").alias("date")).distinct()
 
 
+#: Rows of a partition whose pixels are solved.
+ROWS = 500_000
+
+
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pixel, day, p, c): mean price and discount of each part's shipment days, as a pixel's level and coherence."""
+    """(pixel, day, p, c): mean price and discount of each part's shipment days, as a pixel's level and coherence.
+
+    A pixel's rows are dealt once, over a number of partitions that grows with the table; what is done by pixel leaves them there.
+    """
+    lines = read(spark, sf_dir, "lineitem")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // ROWS))
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date"))
-    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("pixel"), day.alias("day")).agg((F.avg("l_extendedprice") / 1e5).alias("p"), F.avg("l_discount").alias("c"))
+    rows = lines.select(F.col("l_partkey").alias("pixel"), day.alias("day"), "l_extendedprice", "l_discount").repartition(parts, "pixel")
+    return rows.groupBy("pixel", "day").agg((F.avg("l_extendedprice") / 1e5).alias("p"), F.avg("l_discount").alias("c"))
 
 
 def interferograms(spark: SparkSession, sf_dir: str, reach: int = 3) -> DataFrame:
