@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 
 from . import stencil as st
 from .hydrology import _kept as kept
+from .inversion import by_pixel, threes
 
 CELL = ["scene_id", "row", "col"]
 TURN = 2 * pi
@@ -201,67 +202,73 @@ def bridged(pixels: DataFrame, **how) -> DataFrame:
     return joined.select(*pixels.columns, (F.col("phase") + F.coalesce("cycles", F.lit(0)) * TURN).alias("bridged"))
 
 
-def triangles(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the list of pairs, and signs, of (a, b), (b, c) and (a, c) for each three dates that pairs join."""
-    at: dict = {}
-    later: dict = {}
-    for i, (a, b) in enumerate(zip(first.tolist(), second.tolist())):
-        if (a, b) not in at:
-            at[a, b] = i
-            later.setdefault(a, []).append(b)
-    found = [(i, at[b, c], at[a, c]) for (a, b), i in at.items() for c in later.get(b, ()) if (a, c) in at]
-    return np.array(found, np.int64).reshape(-1, 3), np.array([1, 1, -1])
+def triangles(first: np.ndarray, second: np.ndarray, pixel: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the list of pairs, and signs, of (a, b), (b, c) and (a, c) for each three dates that a pixel's pairs join; of a pair given twice the first counts."""
+    pixel = np.zeros(len(first), np.int64) if pixel is None else pixel
+    order = np.lexsort((np.arange(len(first)), second, first, pixel))
+    p, a, b = pixel[order], first[order], second[order]
+    once = order[np.append(True, (p[1:] != p[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(order)]]
+    found = threes(pixel[once], first[once], second[once])
+    return np.stack([once[x] for x in found], 1).astype(np.int64), np.array([1, 1, -1])
 
 
-def whole_cycles(first: np.ndarray, second: np.ndarray, phase: np.ndarray, coherence: np.ndarray) -> np.ndarray:
-    """Cycles to add to each pair's phase so that triangles close.
+def whole_cycles(first: np.ndarray, second: np.ndarray, phase: np.ndarray, coherence: np.ndarray, pixel: np.ndarray | None = None) -> np.ndarray:
+    """Cycles to add to each pair's phase so that triangles close; pixels are numbers from 0, and all are taken a step further at once.
 
-    The pair whose change by a cycle closes the most of what is open is changed, the least coherent of equals, until no change helps.
+    The pair of a pixel whose change by a cycle closes the most of what is open is changed, the least coherent of equals, until no change helps.
     """
-    t, signs = triangles(first, second)
-    out = np.zeros(len(phase), np.int64)
-    if not len(t):
-        return out
-    rows = np.arange(len(t))
-    part = np.zeros((len(t), len(phase)), np.int64)
-    for k, s in enumerate(signs):
-        part[rows, t[:, k]] = s
+    n = len(phase)
+    out = np.zeros(n, np.int64)
+    pixel = np.zeros(n, np.int64) if pixel is None else pixel
+    t, signs = triangles(first, second, pixel)
     off = np.rint((phase[t] * signs).sum(1) / TURN).astype(np.int64)
-    order = np.lexsort((np.arange(len(phase)), coherence))
-    while off.any():
-        open_ = np.abs(off).sum()
-        gain = np.stack([open_ - np.abs(off[:, None] + s * part).sum(0) for s in (1, -1)])[:, order]
-        if gain.max() <= 0:
-            break
-        pair = order[int(np.argmax(gain.max(0)))]
-        s = 1 if open_ - np.abs(off + part[:, pair]).sum() >= open_ - np.abs(off - part[:, pair]).sum() else -1
-        out[pair] += s
-        off = off + s * part[:, pair]
+    bad = np.unique(pixel[t[off != 0, 0]])
+    keep = np.isin(pixel[t[:, 0]], bad)
+    t, off = t[keep], off[keep]
+    s = np.tile(signs, (len(t), 1))
+    # a pair from a date to itself: what stands on both sides does not count
+    i, j, k = t.T
+    s[(j == k) & (i != k), 1:] = 0
+    s[(i == k) & (j != k), ::2] = 0
+    s[(i == j) & (j == k), 1:] = 0
+    order = np.lexsort((np.arange(n), coherence, pixel))
+    order = order[np.isin(pixel[order], bad)]
+    while len(t):
+        gains = [np.bincount(t.ravel(), (np.abs(off)[:, None] - np.abs(off[:, None] + g * s)).ravel(), n) for g in (1, -1)]
+        best = np.maximum(*gains)[order]
+        start = np.flatnonzero(np.append(True, np.diff(pixel[order]) != 0))
+        most = np.repeat(np.maximum.reduceat(best, start), np.diff(np.append(start, len(order))))
+        at = np.flatnonzero((best == most) & (most > 0))
+        pair = order[at[np.unique(pixel[order[at]], return_index=True)[1]]]
+        change = np.zeros(n, np.int64)
+        change[pair] = np.where(gains[0][pair] >= gains[1][pair], 1, -1)
+        out += change
+        on = np.isin(pixel[t[:, 0]], pixel[pair])
+        t, s, off = t[on], s[on], off[on]
+        off = off + (change[t] * s).sum(1)
+        order = order[np.isin(pixel[order], pixel[pair])]
     return out
 
 
 def closing_cycles(ifg: DataFrame, pixel: str = "pixel") -> DataFrame:
     """(pixel, d1, d2, cycles): whole cycles to add to the phases of ``ifg`` (pixel, d1, d2, phase, coherence), of the pairs that need any.
 
-    Rows without a phase or a date take no part; of a pair given twice the first in order counts. A pixel's pairs, a few hundred, meet in one row.
+    Rows without a pixel, a phase or a date take no part; of a pair given twice the first in order counts. A pixel has a bounded number of pairs.
     """
-    used = ifg.filter("phase IS NOT NULL AND d1 IS NOT NULL AND d2 IS NOT NULL")
-    rows = used.groupBy(pixel).agg(F.array_sort(F.collect_list(F.struct("d1", "d2", F.col("phase").cast("double").alias("phase"), F.coalesce(F.col("coherence").cast("double"), F.lit(0.0)).alias("coherence")))).alias("x"))
-    kinds = [rows.schema[pixel].dataType, *[rows.schema["x"].dataType.elementType[n].dataType for n in ("d1", "d2")]]
-    schema = f"{pixel} {kinds[0].simpleString()}, d1 {kinds[1].simpleString()}, d2 {kinds[2].simpleString()}, cycles long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1)
-            flat, ends = x.flatten(), np.cumsum([0, *[len(v) if v else 0 for v in x]])
-            d1, d2 = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("d1", "d2"))
-            phase, coherence = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("phase", "coherence"))
-            cycles = np.concatenate([np.zeros(0, np.int64), *[whole_cycles(d1[a:b], d2[a:b], phase[a:b], coherence[a:b]) for a, b in zip(ends[:-1], ends[1:])]])
-            some = np.flatnonzero(cycles)
-            owner = np.searchsorted(ends, some, "right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), flat.field("d1").take(pa.array(some)), flat.field("d2").take(pa.array(some)), pa.array(cycles[some])], names=[pixel, "d1", "d2", "cycles"])
-
-    return rows.mapInArrow(run, schema)
+    values = [F.col("phase").cast("double").alias("phase"), F.coalesce(F.col("coherence").cast("double"), F.lit(0.0)).alias("coherence")]
+    used = ifg.select(pixel, "d1", "d2", *values).dropna(subset=[pixel, "d1", "d2", "phase"])
+    kinds = [used.schema[n].dataType.simpleString() for n in (pixel, "d1", "d2")]
+
+    def compute(t: pa.Table) -> pa.RecordBatch:
+        own = np.zeros(len(t), np.int64)
+        own[st._starts(t, [pixel])[1:]] = 1
+        cycles = whole_cycles(*(t.column(n).to_numpy() for n in ("d1", "d2", "phase", "coherence")), own.cumsum())
+        some = pa.array(np.flatnonzero(cycles))
+        columns = [t.column(n).take(some).combine_chunks() for n in (pixel, "d1", "d2")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(cycles[np.flatnonzero(cycles)])], names=[pixel, "d1", "d2", "cycles"])
+
+    schema = f"{pixel} {kinds[0]}, d1 {kinds[1]}, d2 {kinds[2]}, cycles long"
+    return by_pixel(used, pixel, "d1", "d2", "phase", "coherence").mapInArrow(st.grouped(compute, [pixel]), schema)
 
 
 def closed(ifg: DataFrame, pixel: str = "pixel") -> DataFrame:

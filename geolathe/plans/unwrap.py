@@ -33,11 +33,10 @@ add("unwrap_region_cycles", f"SELECT scene_id, region, CAST(scene_id % 5 - scene
 
 def _jumped(s, d) -> DataFrame:
     """Networks of closed phases, in each of which the pair of the fifth and sixth date is off by some cycles."""
-    ifg = t.interferograms(s, d)
-    dates = ifg.select("pixel", "d1").distinct().withColumn("k", F.row_number().over(W.partitionBy("pixel").orderBy("d1")))
-    off = dates.filter("k = 5").select("pixel", "d1", (_c("pixel") % 2 * 2 - 1 + _c("pixel") % 5 - 2).alias("off"))
-    first = ifg.groupBy("pixel", "d1").agg(F.min("d2").alias("d2"))
-    return ifg.join(first.join(off, ["pixel", "d1"]), ["pixel", "d1", "d2"], "left").withColumn("off", F.coalesce("off", F.lit(0))).withColumn("phase", _c("phase") + _c("off") * 2 * pi)
+    first = F.row_number().over(W.partitionBy("pixel", "d1").orderBy("d2")) == 1
+    ifg = t.interferograms(s, d).withColumns({"k": F.dense_rank().over(W.partitionBy("pixel").orderBy("d1")), "first": first})
+    off = F.when(F.expr("k = 5 AND first"), _c("pixel") % 2 * 2 - 1 + _c("pixel") % 5 - 2).otherwise(0)
+    return ifg.withColumn("off", off).drop("k", "first").withColumn("phase", _c("phase") + _c("off") * 2 * pi)
 
 
 _LEVELS = "(SELECT pixel, day, row_number() OVER (PARTITION BY pixel ORDER BY day) AS k, lead(day) OVER (PARTITION BY pixel ORDER BY day) AS next, count(*) OVER (PARTITION BY pixel) AS n FROM (SELECT DISTINCT l_partkey AS pixel, CAST(datediff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS INT) AS day FROM lineitem))"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from geolathe.operators import unwrap
 
 
@@ -19,3 +21,22 @@ def test_gaps_and_forests_take_many_scenes_a_call(spark):
     assert got == {s: (1, 2, float(d), 0, 2, 0, d + 2) for s, d in apart.items()}
     assert "FlatMapGroups" not in _plan(unwrap.bridge_cycles(table, 2, 4))
     assert unwrap.bridge_cycles(table, 2, 4).count() == 120
+
+
+def test_cycles_of_many_pixels_are_those_of_each(monkeypatch):
+    """All pixels in one call against a pixel at a time, with copies of pairs and pairs from a date to itself."""
+    rng = np.random.default_rng(5)
+    n = 1500
+    pixel = np.sort(rng.integers(0, 60, n))
+    d1, gap = rng.integers(0, 8, n), rng.integers(0, 4, n)
+    level = rng.uniform(-9, 9, (60, 12))
+    phase = level[pixel, d1 + gap] - level[pixel, d1] + 2 * np.pi * rng.choice((-2, -1, 0, 0, 0, 0, 1, 3), n)
+    coherence = np.round(rng.random(n), 1)
+    rounds = []
+    bincount = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a: rounds.append(1) or bincount(*a))
+    got = unwrap.whole_cycles(d1, d1 + gap, phase, coherence, pixel)
+    assert np.count_nonzero(got) > 60 and len(rounds) < 60
+    for k in range(60):
+        i = np.flatnonzero(pixel == k)
+        assert (got[i] == unwrap.whole_cycles(d1[i], (d1 + gap)[i], phase[i], coherence[i])).all()
