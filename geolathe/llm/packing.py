@@ -54,13 +54,13 @@ def _statistics(tokens: DataFrame, kind: type, vocabulary: int) -> tuple[np.ndar
     """(inverse document frequency of each id, mean length) over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, docs, length = np.zeros(vocabulary, np.int64), 0, 0
+        df, last, docs, length = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64), 0, 0
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 ids = np.frombuffer(x, kind)
-                seen = np.zeros(vocabulary, bool)
-                seen[ids] = True
-                df[np.flatnonzero(seen)] += 1
+                place = np.arange(len(ids))
+                last[ids] = place
+                df[ids[last[ids] == place]] += 1  # each id once, where it stands last
                 docs += 1
                 length += len(ids)
         some = np.flatnonzero(df)
@@ -79,18 +79,24 @@ class _Index:
     """BM25 postings of one shard."""
 
     def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        terms, counts = zip(*(np.unique(t, return_counts=True) for t in texts))
-        self.terms = terms
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in terms])
-        term, tf = np.concatenate(terms).astype(np.int32), np.concatenate(counts).astype(np.float32)
-        length = np.array([len(t) for t in texts], np.float32)[doc]
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.known, first = np.unique(term[order], return_index=True)
-        self.first, self.n = first, np.diff(np.append(first, len(term)))
+        self.texts = texts
+        size = np.array([len(t) for t in texts])
+        # one sorted number for each place of an id: the id, then the text
+        pairs = np.concatenate(texts).astype(np.int64) * len(texts) + np.repeat(np.arange(len(texts)), size)
+        pairs.sort()
+        new = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+        tf = np.diff(np.append(new, len(pairs))).astype(np.float32)
+        term = pairs[new] // len(texts)
+        self.doc = (pairs[new] - term * len(texts)).astype(np.int32)
+        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size.astype(np.float32)[self.doc] / mean))
+        self.first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
+        self.known, self.n = term[self.first], np.diff(np.append(self.first, len(term)))
         self.size = len(texts)
 
+    def terms(self, text: int) -> np.ndarray:
+        ids = np.sort(self.texts[text])
+        return ids[np.concatenate(([True], ids[1:] != ids[:-1]))]
+
     def scores(self, terms: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, terms), len(self.known) - 1)
         at = at[self.known[at] == terms]
@@ -135,7 +141,7 @@ class _Packer:
                     return
                 free[at] = False
                 self._place(names[at], texts[at])
-                self.last = index.terms[at]
+                self.last = index.terms(at)
                 continue
             score = index.scores(self.last)
             score[~free] = -1
@@ -160,7 +166,7 @@ class _Packer:
                 one = int(rest[0])
                 free[one] = False
                 self._place(names[one], texts[one])
-                self.last = index.terms[one]
+                self.last = index.terms(one)
 
     def take(self) -> pa.RecordBatch:
         columns = list(zip(*self.out)) or [[] for _ in _PIECE]
