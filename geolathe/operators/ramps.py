@@ -29,23 +29,37 @@ def burst_terms(swaths: DataFrame, bursts: DataFrame, polynomials: DataFrame, sp
     the nearest to a burst's middle in time counts, the earlier of equals; ``speeds``: (scene_id, time, speed), between
     which the speed is interpolated and beyond which it stays. A burst without both polynomials makes its scene null.
     """
-    b = bursts.join(swaths, "scene_id").withColumn("mid", F.col("start") + F.col("lines") * F.col("dt") / 2)
-    near = b.select("scene_id", "burst", "mid").join(polynomials, "scene_id")
-    best = lambda kind: F.min_by(F.when(F.col("kind") == kind, F.struct("c", "t0")), F.when(F.col("kind") == kind, F.struct(F.abs(F.col("time") - F.col("mid")), "time"))).alias(kind)
-    b = b.join(near.groupBy("scene_id", "burst").agg(best("fm"), best("dc")), ["scene_id", "burst"], "left")
-    speed = F.lit(SPEED)
+    rows = bursts.select("scene_id", F.struct("burst", "start").alias("b"))
+    rows = rows.unionByName(polynomials.select("scene_id", F.struct("kind", "time", "t0", "c").alias("p")), allowMissingColumns=True)
     if speeds is not None:
-        at = b.select("scene_id", "burst", "mid").join(speeds, "scene_id")
-        point = F.struct("time", "speed")
-        ends = at.groupBy("scene_id", "burst").agg(F.max(F.when(F.col("time") <= F.col("mid"), point)).alias("_a"), F.min(F.when(F.col("time") > F.col("mid"), point)).alias("_b"))
-        b = b.join(ends, ["scene_id", "burst"], "left")
-        part = (F.col("mid") - F.col("_a.time")) / (F.col("_b.time") - F.col("_a.time"))
-        speed = F.coalesce(F.col("_a.speed") + part * (F.col("_b.speed") - F.col("_a.speed")), "_a.speed", "_b.speed", speed)
-    steering = 2 * speed * F.col("frequency") / LIGHT * F.col("steering")
-    middle = F.col("tau0") + F.col("samples") / 2 / F.col("rate")
-    center = -polynomial(F.col("dc.c"), middle - F.col("dc.t0")) / polynomial(F.col("fm.c"), middle - F.col("fm.t0"))
-    one = F.struct("burst", "mid", steering.alias("steering"), F.col("fm.c").alias("fm"), F.col("fm.t0").alias("fm_t0"), F.col("dc.c").alias("dc"), F.col("dc.t0").alias("dc_t0"), center.alias("center"))
-    return b.groupBy("scene_id", "lines", "dt", "tau0", "rate").agg(F.array_sort(F.collect_list(one)).alias("bursts"))  # a scene has some ten bursts
+        rows = rows.unionByName(speeds.select("scene_id", F.struct("time", "speed").alias("v")), allowMissingColumns=True)
+    lists = ["b", "p", *(["v"] if speeds is not None else [])]
+    # a scene has some ten bursts and some tens of polynomials and speeds: all of a scene is one row, met by its swath in the only join
+    j = rows.groupBy("scene_id").agg(*[F.collect_list(c).alias(c) for c in lists]).filter(F.size("b") > 0).join(swaths, "scene_id")
+
+    def near(kind: str, mid: Column) -> Column:
+        of = F.filter("p", lambda p: p["kind"] == kind)
+        return F.array_min(F.transform(of, lambda p: F.struct(F.abs(p["time"] - mid).alias("away"), p["time"].alias("time"), p["t0"].alias("t0"), p["c"].alias("c"))))
+
+    def met(one: Column) -> Column:
+        mid = one["start"] + F.col("lines") * F.col("dt") / 2
+        ends = [F.array_max(F.filter("v", lambda v: v["time"] <= mid)).alias("a"), F.array_min(F.filter("v", lambda v: v["time"] > mid)).alias("z")] if speeds is not None else []
+        return F.struct(one["burst"].alias("burst"), mid.alias("mid"), near("fm", mid).alias("fm"), near("dc", mid).alias("dc"), *ends)
+
+    def term(one: Column) -> Column:
+        speed = F.lit(SPEED)
+        if speeds is not None:
+            a, z = one["a"], one["z"]
+            part = (one["mid"] - a["time"]) / (z["time"] - a["time"])
+            speed = F.coalesce(a["speed"] + part * (z["speed"] - a["speed"]), a["speed"], z["speed"], speed)
+        steering = 2 * speed * F.col("frequency") / LIGHT * F.col("steering")
+        middle = F.col("tau0") + F.col("samples") / 2 / F.col("rate")
+        fm, dc = one["fm"], one["dc"]
+        center = -polynomial(dc["c"], middle - dc["t0"]) / polynomial(fm["c"], middle - fm["t0"])
+        return F.struct(one["burst"].alias("burst"), one["mid"].alias("mid"), steering.alias("steering"), fm["c"].alias("fm"), fm["t0"].alias("fm_t0"), dc["c"].alias("dc"), dc["t0"].alias("dc_t0"), center.alias("center"))
+
+    j = j.withColumn("b", F.transform("b", met))
+    return j.select("scene_id", "lines", "dt", "tau0", "rate", F.array_sort(F.transform("b", term)).alias("bursts"))
 
 
 def _with_terms(pixels: DataFrame, terms: DataFrame) -> DataFrame:

@@ -48,17 +48,17 @@ add("burst_ramp_phase", f"SELECT l_orderkey, l_linenumber, {sr('ramp')} AS ramp,
 )
 
 
-def _signed(s, d) -> DataFrame:
-    """Scenes of eight rasters, a burst of 64 lines, with the ramp of the scene's sign on calm phases."""
+def _signed(s, d) -> tuple[DataFrame, DataFrame]:
+    """Scenes of eight rasters, a burst of 64 lines, with the ramp of the scene's sign on calm phases; and their terms."""
     k = _c("scene_id")
     p = t.rasters(s, d).select(F.floor(k / 8).alias("scene_id"), (k % 8 * 8 + _c("row")).cast("int").alias("row"), "col", (_c("v") * 2).alias("a"))
-    z = ramps.with_ramp(p, _terms(s, d, p.select("scene_id").distinct(), 1))
+    terms = _terms(s, d, p.select("scene_id").distinct(), 1)
     at = _c("a") + _c("ramp") * F.when(k % 2 == 0, 1).otherwise(-1)
-    return z.select("scene_id", "row", "col", F.cos(at).alias("re"), F.sin(at).alias("im"))
+    return ramps.with_ramp(p, terms).select("scene_id", "row", "col", F.cos(at).alias("re"), F.sin(at).alias("im")), terms
 
 
 add("burst_ramp_sign", "SELECT scene_id, CAST(CASE WHEN scene_id % 2 = 0 THEN 1 ELSE -1 END AS INT) AS sign, true AS clear FROM (SELECT vec_id // 8 AS scene_id FROM embeddings GROUP BY 1 HAVING count(*) = 8)")(
-    lambda s, d: ramps.sign_scores(_signed(s, d), _terms(s, d, _signed(s, d).select("scene_id").distinct(), 1)).filter("sign IS NOT NULL").select("scene_id", "sign", "clear")
+    lambda s, d: ramps.sign_scores(*_signed(s, d)).filter("sign IS NOT NULL").select("scene_id", "sign", "clear")
 )
 
 # the lines of two rasters as one complex line of eight samples, eight hertz apart: the thirds of a band of six hold three frequencies each
