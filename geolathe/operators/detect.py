@@ -15,6 +15,8 @@ from . import stencil as st
 from .raster import KEY, _line
 
 LEVELS = 64
+#: Rows of a partition that clusters are trained on.
+ROWS = 500_000
 #: Distances to the neighbours in row-major order.
 STEPS = (2**0.5, 1.0, 2**0.5, 1.0, 1.0, 2**0.5, 1.0, 2**0.5)
 
@@ -110,9 +112,17 @@ def structure_function(pixels: DataFrame, lags: Sequence[int] = (1, 2, 4)) -> Da
 
 
 def kmeans(pixels: DataFrame, features: Sequence[str], clusters: int = 5, seed: int = 42) -> DataFrame:
-    """``cluster`` of each row; -1 where a feature is missing."""
+    """``cluster`` of each row; -1 where a feature is missing.
+
+    Training holds its rows as objects, a partition in one block, so many rows are dealt by their values over partitions of
+    about ROWS and put in order there; rows get their cluster where they lie.
+    """
     known = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="keep")
     ok = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in features)
-    good = known.transform(pixels.filter(ok))
-    out = KMeans(k=clusters, seed=seed, featuresCol="_f", predictionCol="cluster").fit(good).transform(good).drop("_f")
-    return out.unionByName(pixels.filter(f"NOT ({ok})").withColumn("cluster", F.lit(-1)))
+    good = pixels.filter(ok)
+    rows, train = good.count(), good
+    if rows > ROWS:
+        parts = max(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+        train = good.repartition(parts, *good.columns).select(*features).sortWithinPartitions(*features)
+    model = KMeans(k=clusters, seed=seed, featuresCol="_f", predictionCol="cluster").fit(known.transform(train))
+    return model.transform(known.transform(good)).drop("_f").unionByName(pixels.filter(f"NOT ({ok})").withColumn("cluster", F.lit(-1)))
